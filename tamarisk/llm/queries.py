@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import packing, quality_classifier, quality_rules, sharding
+from tamarisk.llm import packing, quality_classifier, quality_rules, sharding, simhash
 from tamarisk.llm.common import table
 
 
@@ -36,10 +36,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_interleaved_shards": op3_interleaved_shards,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {}
