@@ -36,3 +36,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a few numbers that a broadcast may hold; larger sides are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_smaller(large: DataFrame, small: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join a checkpointed narrow table: broadcast it if its count is small, else let both sides shuffle."""
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    return large.join(small, on, how)

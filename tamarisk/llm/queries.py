@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import packing, quality_classifier, quality_rules, sharding, simhash
+from tamarisk.llm import decontamination, language, packing, quality_classifier, quality_rules, sharding, simhash
 from tamarisk.llm.common import table
 
 
@@ -19,10 +19,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, model)
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _remainder("doc_id", 4) == 2
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = _remainder("doc_id", 5) == 0
@@ -43,7 +54,9 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_template_decontamination": op2_template_decontamination,
     "op3_interleaved_shards": op3_interleaved_shards,
+    "op5_language_spans": op5_language_spans,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
