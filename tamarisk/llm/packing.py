@@ -16,7 +16,9 @@ as often as they occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -38,24 +40,40 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of Latin letters (in no need of Unicode normalisation), and such a word with trailing ASCII signs.
+_LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_WITH_SIGNS = re.compile(_LATIN.pattern[:-1].replace("[a-z", "([0-9a-z") + "+)([!-&(-/:-@\\[-`{-~]+)")
+
+
 class WordIds(dict):
     """Ids of white-space separated chunks as little-endian bytes, filled on demand.
 
-    The vocabulary's pre-tokeniser drops white space and never joins what it separates, so a
-    text's ids are those of its chunks in order. Upper-case ASCII letters are lower-cased first
-    (the vocabulary's own normaliser does it too), which makes more chunks equal.
+    The vocabulary's pre-tokeniser drops white space, splits a word from signs after it and
+    never joins what it separates, so a text's ids are those of its chunks in order, and a
+    chunk's those of its word and signs. Upper-case ASCII letters are lower-cased first (the
+    vocabulary's own normaliser does it too), which makes more chunks equal. Plain Latin words
+    go straight to the merges, whatever else through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x100))]
+        self.as_bytes = {ord(c): byte_level.pre_tokenize_str(c.lower())[0][0] for c in latin}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        import numpy as np
-
-        ids = np.array(self.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        text = chunk.decode("utf-8")
+        if _LATIN.fullmatch(text):
+            ids = array("I", [t.id for t in self.merge(text.translate(self.as_bytes))]).tobytes()
+        elif parts := _WITH_SIGNS.fullmatch(text):
+            ids = self[parts[1].encode("utf-8")] + self[parts[2].encode("utf-8")]
+        else:
+            ids = array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHED_WORDS:
             self.clear()
         if len(chunk) <= 64:
@@ -63,10 +81,10 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        data = text.encode("utf-8", "surrogatepass")
+        data = text.encode("utf-8")
         if b"<|" not in data:
             data = data.lower()
-        return b"".join([self[chunk] for chunk in data.split()])
+        return b"".join(map(self.__getitem__, data.split()))
 
 
 def pieces(
