@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import decontamination, language, packing, quality_classifier, quality_rules, sharding, simhash
-from tamarisk.llm.common import table
+from tamarisk.llm import chat, decontamination, html, language, packing, quality_classifier, quality_rules, sharding, simhash
+from tamarisk.llm.common import cut, table
 
 
 def _remainder(name: str, n: int):
@@ -34,6 +34,11 @@ def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = _remainder("doc_id", 5) == 0
@@ -43,6 +48,17 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A conversation whose texts hold the template's control strings.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").withColumn("text", F.lit(HARD_TEXT))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(hard)
+    turns = cut(chat.formatted_turns(rows))
+    return chat.read_back(chat.prefix_trees(turns), turns)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -57,7 +73,9 @@ QUERIES = {
     "op2_template_decontamination": op2_template_decontamination,
     "op3_interleaved_shards": op3_interleaved_shards,
     "op5_language_spans": op5_language_spans,
+    "op6_block_labeller": op6_block_labeller,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_chat_prefix_tree": op8_chat_prefix_tree,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
