@@ -1,22 +1,89 @@
-"""Corpus preparation in stages, each a function of (spark, docs, sf_dir)."""
+"""Corpus preparation in five stages, each a function of (spark, docs, sf_dir).
+
+``docs`` has the columns of ``documents`` (doc_id, text, lang, source, n_chars); every stage
+but the last returns them for the documents that it keeps. Nulls, repeated rows and empty
+tables are handled as in the operators that the stages call. Columns beyond these five are
+dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamarisk.llm import decontamination, language, packing, simhash, substrings
+from tamarisk.llm.common import cut, join_smaller, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose prediction scores less is rejected: no language holds it.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not in ``ids`` (a checkpointed column of ids)."""
+    return join_smaller(docs, ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; those without any letter or of no clear language go."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.fit(docs.where(~held_out | F.col("doc_id").isNull()))
+    kept = language.identify(docs, model, carry=tuple(COLUMNS[1:]))
+    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    found = simhash.near_duplicates(docs)
+    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    kept = _without(docs, gone)
+    # Rows that share an id as well are one document; only where there are such ids do texts move.
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.limit(1).count():
+        once = join_smaller(kept, again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = _without(kept, again).union(once.select(*COLUMNS))
+    return kept
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 35 words or more that repeat; those left without a word go."""
+    found = substrings.remove_repeats(docs, carry=tuple(COLUMNS[1:]))
+    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    shorter = F.col("n_removed") > 0
+    return left.select(
+        "doc_id",
+        F.when(shorter, F.col("kept_text")).otherwise(F.col("text")).alias("text"),
+        "lang",
+        "source",
+        F.when(shorter, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+
 
-from tamarisk.llm import packing
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.find_items(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, cut(found.select("doc_id").distinct()))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row for each piece of a document with its place."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: The stages hash, label and tokenise in ways that SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on ``documents``; each stage's rows are written to the checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -164,11 +164,18 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
 _cached: dict = {}
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score, n_words, n_letters`` (and ``spans``: language, first word, number of words)."""
+def identify(
+    docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool = False, carry: tuple[str, ...] = (),
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``doc_id, lang_pred, score, n_words, n_letters`` (and ``spans``: language, first word, number of words).
+
+    The columns named in ``carry`` come along unchanged.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of slots for each language
     key = uuid4().hex
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, n_words long, n_letters long"
+    schema += "".join(f", carried_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(carry))
     if spans:
         schema += ", spans array<struct<lang: string, start: int, n_words: int>>"
 
@@ -219,12 +226,15 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool =
                     "n_words": lengths,
                     "n_letters": total.astype(np.int64),
                 })
+                for i in range(len(carry)):
+                    out[f"carried_{i}"] = batch[f"carried_{i}"].values
                 if spans:
                     out["spans"] = [runs(path[e - n : e], names) for n, e in zip(lengths, ends, strict=True)]
                 yield out
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(label, schema)
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    return chosen.mapInPandas(label, schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
 
 
 def runs(path: np.ndarray, names: np.ndarray) -> list[dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import chat, decontamination, html, language, packing, quality_classifier, quality_rules, sharding, simhash
+from tamarisk.llm import chat, decontamination, html, language, packing, quality_classifier, quality_rules, sharding, simhash, substrings
 from tamarisk.llm.common import cut, table
 
 
@@ -27,6 +27,11 @@ def op3_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op4_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = _remainder("doc_id", 4) == 2
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_template_decontamination": op2_template_decontamination,
     "op3_interleaved_shards": op3_interleaved_shards,
+    "op4_de_bruijn_substrings": op4_de_bruijn_substrings,
     "op5_language_spans": op5_language_spans,
     "op6_block_labeller": op6_block_labeller,
     "op7_quality_classifier": op7_quality_classifier,
