@@ -209,7 +209,7 @@ def _(v):
     return scd.snapshot_diff(v.sql(_OLD), v.sql(_INCOMING), "id")
 
 
-@query("gd26_as_of", f"WITH e AS ({_EXISTING}) SELECT o_orderkey, o_custkey AS id, segment, _scd_version FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN '2020-06-01' ELSE '2022-06-01' END AS at FROM orders) AS f LEFT JOIN e ON o_custkey = id AND _scd_effective_from <= at AND (_scd_effective_to IS NULL OR at < _scd_effective_to)")
+@query("gd26_as_of", f"WITH e AS ({_EXISTING}) SELECT o_orderkey, o_custkey AS id, segment, _scd_version FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN '2020-06-01' ELSE '2022-06-01' END AS moment FROM orders) AS f LEFT JOIN e ON o_custkey = id AND _scd_effective_from <= moment AND (_scd_effective_to IS NULL OR moment < _scd_effective_to)")
 def _(v):
     facts = v("orders").select("o_orderkey", F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "2020-06-01").otherwise("2022-06-01").alias("at"))
     return scd.as_of(facts, v.sql(_EXISTING), "id", "at").select("o_orderkey", "id", "segment", "_scd_version")

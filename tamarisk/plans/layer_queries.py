@@ -1 +1,373 @@
-"""Queries."""
+"""Queries that write and read: sources and sinks (IO), ingest (BZ), whole layers (GD21-23), streams (ST).
+
+What they write goes to a folder of its own under the session's checkpoint folder.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from uuid import uuid4
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+
+from tamarisk.operators import bronze, gold, serving, silver
+from tamarisk.plans.cleaning_queries import yes_no
+from tamarisk.plans.registry import query
+from tamarisk.plans.views import Views
+from tamarisk.sources import files, tables
+from tamarisk.streaming import submissions as stream
+
+
+def scratch(v: Views) -> str:
+    root = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/{uuid4().hex}"
+
+
+_CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
+_TYPED = [F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("int"), F.col("c_acctbal").cast("double")]
+
+
+def _round_trip(name: str, fmt: str) -> None:
+    @query(name, _CUSTOMERS)
+    def _(v):
+        path = files.write(v.sql(_CUSTOMERS), f"{scratch(v)}/customer.{fmt}", fmt)
+        return files.read(v.spark, path).select(*_TYPED)
+
+
+_round_trip("io01_csv", "csv")
+_round_trip("io02_parquet", "parquet")
+_round_trip("io03_json", "json")
+
+
+@query("io04_avro_or_skip", _CUSTOMERS)
+def _(v):
+    """Avro where its data source is there; else it is skipped with a warning and the Parquet copy is read."""
+    root = scratch(v)
+    files.write_all_formats(v.sql(_CUSTOMERS), root, "customer")
+    found = files.read(v.spark, f"{root}/customer.avro", "avro")
+    return (files.read(v.spark, f"{root}/customer.parquet") if found is None else found).select(*_TYPED)
+
+
+@query("io06_read_all", "SELECT 'customer' AS dataset, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
+def _(v):
+    root = scratch(v)
+    for name, fmt in (("customer", "csv"), ("nation", "json"), ("orders", "parquet")):
+        files.write(v(name), f"{root}/{name}.{fmt}", fmt)
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("dataset"), "n") for k, df in files.read_all(v.spark, root).items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("io07_read_by_key", _CUSTOMERS)
+def _(v):
+    return files.read(v.spark, f"{v.sf_dir}/customer.parquet", "parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+
+
+@query("io08_listing")
+def _(v):
+    found = files.with_names(files.listing(v.spark, v.sf_dir))
+    return found.groupBy("stem", "suffix").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("io09_best_sources", "SELECT 'customer' AS stem, 'parquet' AS suffix, 'current' AS era, count(*) AS n FROM customer UNION ALL SELECT 'nation', 'csv', 'historical', count(*) FROM nation")
+def _(v):
+    root = scratch(v)
+    for path, name, fmt in (("current", "customer", "csv"), ("current", "customer", "parquet"), ("historical", "customer", "json"), ("historical", "nation", "csv")):
+        files.write(v(name), f"{root}/{path}/{name}.{fmt}", fmt)
+    era = F.when(F.col("dataset_path").contains("/historical/"), "historical").otherwise("current")
+    rows = files.best_sources(files.with_names(files.listing(v.spark, root)), era).collect()
+    parts = [files.read(v.spark, r["dataset_path"], r["suffix"]).agg(F.count("*").alias("n")).select(F.lit(r["stem"]).alias("stem"), F.lit(r["suffix"]).alias("suffix"), F.lit(r["era"]).alias("era"), "n") for r in rows]
+    return parts[0].union(parts[1])
+
+
+@query("io10_read_first", _CUSTOMERS)
+def _(v):
+    root = scratch(v)
+    files.write(v.sql(_CUSTOMERS), f"{root}/silver/customer.json", "json")
+    return files.read_first(v.spark, "customer", [f"{root}/gold", f"{root}/silver", f"{root}/raw"]).select(*_TYPED)
+
+
+@query("io11_replace", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+def _(v):
+    path = f"{scratch(v)}/customer.parquet"
+    files.write(v.sql(_CUSTOMERS), path)
+    return files.read(v.spark, files.write(v.sql(_CUSTOMERS).where("c_custkey % 2 = 0"), path))
+
+
+@query("io13_all_formats", "SELECT f AS format, n FROM (SELECT count(*) AS n FROM customer) AS t, (VALUES ('csv'), ('parquet'), ('jsonl')) AS k(f)")
+def _(v):
+    written = files.write_all_formats(v.sql(_CUSTOMERS), scratch(v), "customer")
+    parts = [files.read(v.spark, p, k).agg(F.count("*").alias("n")).select(F.lit(k).alias("format"), "n") for k, p in written.items() if k != "avro"]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("io14_append", f"{_CUSTOMERS} UNION ALL SELECT c_custkey, c_name, NULL, c_acctbal FROM customer WHERE c_custkey % 10 = 0")
+def _(v):
+    path = f"{scratch(v)}/landing"
+    first = v.sql(_CUSTOMERS)
+    files.append(first, path, first.schema)
+    files.append(first.where("c_custkey % 10 = 0").drop("c_nationkey").withColumn("more", F.lit(1)), path, first.schema)
+    return v.spark.read.parquet(path)
+
+
+def _database() -> str:
+    return f"jdbc:derby:memory:t{uuid4().hex};create=true"  # one JVM: a stand-in for a server, for local runs
+
+
+@query("io15_table_load", _CUSTOMERS)
+def _(v):
+    url = _database()
+    tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 0"), url, "customer", "replace")
+    tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 1"), url, "customer", "append")
+    return tables.read(v.spark, url, "customer").select(*_TYPED)
+
+
+@query("io16_table_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0")
+def _(v):
+    url, rows = _database(), v.sql(_CUSTOMERS)
+    tables.load(rows.where("c_custkey % 5 <> 0"), url, "customer", "replace")
+    tables.upsert(rows.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("NEW")), url, "customer", "c_custkey")
+    return tables.read(v.spark, url, "customer").select(*_TYPED)
+
+
+@query("io17_partitions", "SELECT CAST(coalesce(year(o_orderdate), 2024) AS INT) AS year, CAST(coalesce(month(o_orderdate), 1) AS INT) AS month, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS o_orderdate FROM orders) AS t GROUP BY ALL")
+def _(v):
+    path = f"{scratch(v)}/orders"
+    dated = v("orders").withColumn("_ingested_at", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).cast("string"))
+    files.write_partitions(dated, path)
+    files.write_partitions(dated.where("o_orderkey % 2 = 0"), path)  # touched partitions are replaced
+    files.write_partitions(dated, path)
+    return v.spark.read.parquet(path).groupBy("year", "month").agg(F.count("*").alias("n"))
+
+
+@query("io18_publish", "SELECT district, count(*) AS n FROM households GROUP BY district")
+def _(v):
+    url = _database()
+    report = v("households").groupBy("district").agg(F.count("*").alias("n")).withColumn("_layer", F.lit("gold"))
+    tables.publish({"rpt_households": report}, url)
+    return tables.read(v.spark, url, "rpt_households")
+
+
+@query("io19_submissions_since", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
+def _(v):
+    path = files.write(v("events").select("event_id", "user_id", F.col("ts").cast("string").alias("submission_date")), f"{scratch(v)}/landing", "json")
+    return files.submissions_since(v.spark, path, "2024-01-10", "event_id long, user_id long, submission_date string").drop("submission_date")
+
+
+@query("bz01_lineage", "SELECT household_id, 'households.csv' AS _source_file, 'current' AS _source_era, 'csv' AS _source_type, 'full_load' AS _load_type, 'bronze' AS _layer FROM households")
+def _(v):
+    return bronze.add_lineage(v("households").select("household_id"), "households.csv", "current", "csv", "2024-01-01", "full_load").drop("_ingested_at")
+
+
+@query("bz02_checksums")
+def _(v):
+    return bronze.checksums(v.spark, v.sf_dir).select("stem", "suffix", "checksum")
+
+
+@query("bz03_load_types", "SELECT c_name AS stem, CASE WHEN c_custkey % 3 = 0 THEN 'full_load' WHEN c_custkey % 3 = 1 THEN 'incremental' ELSE 'cdc' END AS load_type FROM customer")
+def _(v):
+    sources = v.sql("SELECT c_name AS stem, md5(CAST(c_acctbal AS STRING)) AS checksum FROM customer")
+    stored = v.sql("SELECT c_name AS dataset, CASE WHEN c_custkey % 3 = 1 THEN 'old' ELSE md5(CAST(c_acctbal AS STRING)) END AS checksum FROM customer WHERE c_custkey % 3 <> 0")
+    return bronze.load_types(sources, stored).select("stem", "load_type")
+
+
+@query("bz04_newer_than", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15'")
+def _(v):
+    return bronze.newer_than(v("events"), "2024-01-15", "ts").select("event_id")
+
+
+@query("bz05_sentinels", "SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN NULL ELSE c_name END AS name FROM customer")
+def _(v):
+    return bronze.clean_sentinels(v.sql("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'nan' WHEN 2 THEN '<NA>' ELSE c_name END AS name FROM customer"))
+
+
+@query("bz06_watermarks", "SELECT c_name AS dataset, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS checksum, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS row_count FROM customer")
+def _(v):
+    old = v.sql("SELECT c_name AS dataset, 'old' AS checksum, TIMESTAMP '2023-01-01' AS watermark, 1 AS row_count FROM customer")
+    new = v.sql("SELECT c_name AS dataset, 'new' AS checksum, TIMESTAMP '2024-01-01' AS watermark, 2 AS row_count FROM customer WHERE c_custkey % 2 = 0")
+    return bronze.updated_watermarks(old, new).drop("watermark")
+
+
+@query("bz07_run_log", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 100")
+def _(v):
+    runs = v.sql("SELECT CAST(o_orderkey AS STRING) AS run_id, o_orderdate AS ts, o_orderkey FROM orders")
+    return bronze.with_run(runs.where("o_orderkey % 2 = 0"), runs.where("o_orderkey % 2 = 1")).select("run_id", F.to_date("ts").alias("day"))
+
+
+def _raw_files(v: Views) -> str:
+    root = f"{scratch(v)}/raw"
+    for name, view, fmt in (("households", "raw_households", "csv"), ("followup_visits", "visits", "parquet"), ("facility_assessments", "facilities", "json")):
+        df = v(view)
+        if name == "facility_assessments":
+            df = df.withColumnRenamed("visit_round", "assessment_round").withColumn("assessment_id", F.col("facility_id"))
+        files.write(df, f"{root}/current/{name}.{fmt}", fmt)
+    kids = v("children").where("visit_id % 20 = 1").selectExpr("visit_id as child_record_no", "household_id as household_ref", "1998 as year", "district", "stunted as stunted_flag", "muac_mm / 10 as muac_cm")
+    files.write(kids, f"{root}/historical/2020_child_nutrition.csv", "csv")
+    return root
+
+
+def _no_watermarks(v: Views):
+    return v.spark.createDataFrame([], bronze.WATERMARKS)
+
+
+_SETS = "SELECT 'households' AS dataset, count(*) AS n FROM raw_households UNION ALL SELECT 'followup_visits', count(*) FROM visits UNION ALL SELECT 'facility_assessments', count(*) FROM facilities UNION ALL SELECT '2020_child_nutrition', count(*) FROM children WHERE visit_id % 20 = 1"
+
+
+def _counts(found: dict):
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("dataset"), "n") for k, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query("bz08_ingest", _SETS)
+def _(v):
+    """A second run over unchanged files adds nothing."""
+    raw = _raw_files(v)
+    root = raw.removesuffix("/raw")
+    _, marks = bronze.ingest(v.spark, raw, f"{root}/bronze", _no_watermarks(v), "2024-01-01")
+    found, _ = bronze.ingest(v.spark, raw, f"{root}/bronze", marks, "2024-01-02")
+    return _counts(found)
+
+
+def _layers(v: Views) -> tuple[dict, dict, dict]:
+    raw = _raw_files(v)
+    loaded, _ = bronze.ingest(v.spark, raw, f"{raw}_bronze", _no_watermarks(v), "2024-01-01")
+    cleaned = silver.build(loaded, "2024-01-01")
+    for name, df in cleaned.items():
+        files.write(df, f"{raw}_silver/{name}")
+    cleaned = {name: v.spark.read.parquet(f"{raw}_silver/{name}") for name in cleaned}
+    return loaded, cleaned, gold.build(cleaned, loaded, v.spark, "2024-01-01")
+
+
+_ONCE = "once AS (SELECT DISTINCT visit_id FROM visits)"
+
+
+@query("gd21_gold_build", "SELECT data_era, count(*) AS n FROM (SELECT 'current' AS data_era FROM visits GROUP BY visit_id HAVING min(record_type) = 'child' AND max(record_type) = 'child' UNION ALL SELECT 'historical' FROM (SELECT DISTINCT household_id FROM children WHERE visit_id % 20 = 1) AS h) AS t GROUP BY data_era")
+def _(v):
+    """Child fact rows by era; visits whose repeats differ in type are left out, historical rows are one for each household."""
+    both = v("visits").groupBy("visit_id").agg(F.count_distinct("record_type").alias("k")).where("k = 1").select("visit_id")
+    fact = _layers(v)[2]["fct_child_nutrition"]
+    now = fact.where("data_era = 'current'").join(both, "visit_id", "left_semi").select("data_era")
+    return now.union(fact.where("data_era = 'historical'").select("data_era")).groupBy("data_era").agg(F.count("*").alias("n"))
+
+
+@query("gd22_pipeline", f"SELECT 'raw_households' AS dataset, count(*) AS n FROM raw_households UNION ALL SELECT 'households', count(*) FILTER (WHERE {yes_no('consent_given')} = 1) FROM raw_households UNION ALL SELECT 'followup_visits', count(*) FROM once UNION ALL SELECT 'dim_district', 36", extra=_ONCE)
+def _(v):
+    raw, clean, marts = _layers(v)
+    return _counts({"raw_households": raw["households"], "households": clean["households"], "followup_visits": clean["followup_visits"], "dim_district": marts["dim_district"]})
+
+
+@query("gd23_one_layer", "SELECT count(*) AS n FROM once", extra=_ONCE)
+def _(v):
+    """Silver alone, from the Bronze that is on disk."""
+    raw = _raw_files(v)
+    bronze.ingest(v.spark, raw, f"{raw}_bronze", _no_watermarks(v), "2024-01-01")
+    return silver.clean("followup_visits", v.spark.read.parquet(f"{raw}_bronze/followup_visits")).agg(F.count("*").alias("n"))
+
+
+@query("ap07_layer_statistics")
+def _(v):
+    raw = _raw_files(v)
+    return serving.layer_statistics(v.spark, {"raw": raw, "given": v.sf_dir})
+
+
+@query("ap08_recent_runs", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 20")
+def _(v):
+    runs = v.sql("SELECT CAST(o_orderkey AS STRING) AS run_id, o_orderdate AS ts FROM orders")
+    return serving.recent_runs(runs).select("run_id", F.to_date("ts").alias("day"))
+
+
+_EVENT = StructType([StructField("event_id", LongType()), StructField("ts", TimestampType()), StructField("user_id", LongType()), StructField("event_type", StringType()), StructField("value", StringType())])
+
+
+def _landed_events(v: Views) -> str:
+    """Events as landed JSON files in time order."""
+    df = v("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.col("value").cast("string").alias("value"))
+    return files.write(df.repartitionByRange(4, "ts"), f"{scratch(v)}/landed", "json")
+
+
+def _sunk(v: Views, df, out: str, mode: str = "append"):
+    stream.run_to_end(df.writeStream.format("parquet").option("path", out).outputMode(mode), f"{out}_checkpoint")
+    return v.spark.read.parquet(out)
+
+
+_FORMS = """SELECT CAST(household_id AS STRING) AS household_id, province, district, union_council, CASE WHEN household_id % 31 = 0 THEN '' ELSE respondent_name END AS respondent_name,
+  CAST(respondent_age AS STRING) AS respondent_age, CAST(household_size * 4 AS STRING) AS household_size, '2' AS children_under_5, 'piped' AS water_source, ses_tier,
+  CASE WHEN household_id % 2 = 0 THEN 'yes' ELSE 'no' END AS has_toilet, CAST(consent_given AS STRING) AS consent_given,
+  concat(CAST(gps_latitude AS STRING), ', ', CAST(gps_longitude AS STRING)) AS gps_raw, '2024-01-05 10:00:00' AS submission_time FROM households"""
+
+
+def _forms(v: Views):
+    return stream.typed(stream.landed(v.spark, files.write(v.sql(_FORMS), f"{scratch(v)}/forms", "json")))
+
+
+@query("st01_submissions", "SELECT CAST(household_id AS VARCHAR) AS household_id, CASE WHEN household_id % 2 = 0 THEN 1 ELSE 0 END AS has_toilet, consent_given, respondent_age, CAST(household_size * 4 AS INT) AS household_size, gps_latitude, gps_longitude FROM households")
+def _(v):
+    out = _sunk(v, _forms(v), f"{scratch(v)}/out")
+    return out.select("household_id", "has_toilet", "consent_given", "respondent_age", "household_size", "gps_latitude", "gps_longitude")
+
+
+@query("st02_each_file_once", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
+def _(v):
+    """A second run of the stream finds nothing new."""
+    landed, out = _landed_events(v), f"{scratch(v)}/out"
+    for _ in range(2):
+        found = _sunk(v, stream.landed(v.spark, landed, _EVENT), out)
+    return found.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("st03_first_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
+def _(v):
+    keyed = stream.landed(v.spark, _landed_events(v), _EVENT).withColumn("key", F.concat_ws("/", "user_id", "event_type"))
+    return _sunk(v, stream.first_arrivals(keyed, "key", "ts", "400 days"), f"{scratch(v)}/out").select("user_id", "event_type")
+
+
+@query(
+    "st04_daily_counts",
+    "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL",
+)
+def _(v):
+    """Closed days only; the estimate of distinct ids is left out."""
+    df = stream.daily_counts(stream.landed(v.spark, _landed_events(v), _EVENT), "ts", "event_type", "1 day", "user_id")
+    return _sunk(v, df, f"{scratch(v)}/out").select(F.to_date("day").alias("day"), "event_type", "n")
+
+
+@query(
+    "st05_sliding_rate",
+    """SELECT CAST(u AS DATE) AS until, event_type, count(*) AS n, round(avg(value), 6) AS rate FROM events, (SELECT unnest(generate_series(date_trunc('day', (SELECT min(ts) FROM events)) + INTERVAL 1 DAY, (SELECT max(ts) FROM events) + INTERVAL 31 DAY, INTERVAL 1 DAY)) AS u) AS d
+    WHERE ts < u AND ts >= u - INTERVAL 30 DAY AND u <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
+)
+def _(v):
+    rows = stream.landed(v.spark, _landed_events(v), _EVENT).withColumn("value", F.col("value").cast("double"))
+    out = _sunk(v, stream.sliding_rate(rows, "ts", "event_type", "value", "1 day"), f"{scratch(v)}/out")
+    return out.select(F.to_date("until").alias("until"), "event_type", "n", F.round("rate", 6).alias("rate"))
+
+
+@query("st06_short_interviews", "SELECT event_id, value FROM events WHERE value < 10")
+def _(v):
+    rows = stream.landed(v.spark, _landed_events(v), _EVENT).withColumn("value", F.col("value").cast("double"))
+    return _sunk(v, stream.short_interviews(rows, "value"), f"{scratch(v)}/out").select("event_id", "value")
+
+
+@query("st07_upsert_batches", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) AS t WHERE rn = 1")
+def _(v):
+    """The latest event of each user after batches of one file each."""
+    path = f"{scratch(v)}/table"
+    rows = stream.landed(v.spark, _landed_events(v), _EVENT, files_per_trigger=2)
+    writer = rows.writeStream.foreachBatch(stream.upsert_batches(path, "user_id", "ts", "events", "2024-01-01"))
+    stream.run_to_end(writer, f"{path}_checkpoint")
+    return stream.current_version(v.spark, path).select("user_id", "event_id")
+
+
+@query(
+    "st08_validation",
+    """SELECT valid, count(*) AS n FROM (SELECT household_id % 31 <> 0 AND respondent_age BETWEEN 15 AND 90 AND household_size * 4 BETWEEN 1 AND 30 AS valid FROM households) AS t GROUP BY valid""",
+)
+def _(v):
+    root = scratch(v)
+    writer = stream.validated(_forms(v)).writeStream.foreachBatch(stream.split_valid(f"{root}/valid", f"{root}/quarantine"))
+    stream.run_to_end(writer, f"{root}/checkpoint")
+    parts = [v.spark.read.parquet(f"{root}/{k}").agg(F.count("*").alias("n")).select(F.lit(ok).alias("valid"), "n") for k, ok in (("valid", True), ("quarantine", False))]
+    return parts[0].union(parts[1])

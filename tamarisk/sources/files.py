@@ -23,9 +23,13 @@ def format_of(path: str) -> str:
 
 
 def has_avro(spark: SparkSession) -> bool:
-    """Whether the Avro data source is on the class path."""
-    loader = spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    return loader.getResource("org/apache/spark/sql/avro/AvroFileFormat.class") is not None
+    """Whether the session has the Avro data source."""
+    session = spark._jsparkSession
+    try:
+        spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource("avro", session.sessionState().conf())
+    except Exception:  # the Java side says why
+        return False
+    return True
 
 
 def read(spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | str | None = None) -> DataFrame | None:

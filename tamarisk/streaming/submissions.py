@@ -49,7 +49,7 @@ def validated(df: DataFrame) -> DataFrame:
     return df.withColumn("errors", F.filter(F.array(*checks), lambda e: e.isNotNull()))
 
 
-def split_valid(df: DataFrame, valid_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
+def split_valid(valid_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
     """A batch function that writes valid rows and rows with errors to their folders."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
