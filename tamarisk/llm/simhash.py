@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import cut
+from tamarisk.llm.common import cut, join_smaller
 from tamarisk.llm.components import connected_components
 
 BITS = 64
@@ -173,7 +173,7 @@ def candidate_links(values: DataFrame, radius: int = 4, hot_values: int = 256) -
                 for j in range(radius + 1)
             ])
             whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("sub_value")))
-            marked = rows.join(hot, ["part", "value"], "left")
+            marked = join_smaller(rows, hot, ["part", "value"], "left")
             marked = marked.withColumn("s", F.explode(F.when(F.col("held").isNull(), whole).otherwise(kept)))
             return marked.select("fp", "part", "value", "s.sub", "s.sub_value")
 
