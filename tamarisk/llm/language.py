@@ -18,8 +18,8 @@ alike. An empty table gives an empty result; without any labelled text all is ``
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 from uuid import uuid4
 
@@ -28,10 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import WORD_RE
-
 SLOTS = 1 << 15
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 #: First code points of script ranges (fixed values of the Unicode charts); a range ends where the next starts.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -40,25 +38,42 @@ SCRIPTS = (
     (0x2E80, "Han"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"),
     (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Other"), (0xFF00, "Latin"), (0x10000, "Other"), (0x20000, "Han"),
 )
-_STARTS = [start for start, _ in SCRIPTS]
+_STARTS = np.array([start for start, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
+_SCRIPT_NUMBERS = np.array([_NAMES.index(name) for _, name in SCRIPTS])
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def script_of(letter: str) -> int:
-    return _NAMES.index(SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1])
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Script numbers of code points."""
+    return _SCRIPT_NUMBERS[np.searchsorted(_STARTS, points, side="right") - 1]
+
 
+def n_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the letter 1- to 3-grams of all words and of the words themselves, the word that each
+    belongs to, and the first code point of each word. Words stand between two markers."""
+    points = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    opens, closes = points == ord("<"), points == ord(">")
+    word = np.cumsum(opens) - 1
+    starts = np.nonzero(opens)[0]
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    one, two = points[:-1] * odd + np.uint64(1), (points[:-1] * odd + points[1:]) * odd + np.uint64(2)
+    three = ((points[:-2] * odd + points[1:-1]) * odd + points[2:]) * odd + np.uint64(3)
+    place = np.arange(len(points), dtype=np.uint64) - starts.astype(np.uint64)[word]
+    whole = np.add.reduceat(_mixed((points * odd) ^ (place * np.uint64(0xD1342543DE82EF95))), starts)
+    kept = ~(opens | closes)[:-1], ~closes[:-1], ~(closes[:-2] | closes[1:-1])
+    hashes = np.concatenate([one[kept[0]], two[kept[1]], three[kept[2]], whole])
+    owner = np.concatenate([word[:-1][kept[0]], word[:-1][kept[1]], word[:-2][kept[2]], np.arange(len(words))])
+    return (_mixed(hashes) % np.uint64(SLOTS)).astype(np.int64), owner, points[starts + 1]
 
-def n_grams(word: str) -> list[str]:
-    """Letter 1- to 3-grams of a lower-cased word between two markers, and the word itself."""
-    marked = f"<{word}>"
-    return [*word, *map("".join, zip(marked, marked[1:], strict=False)), *map("".join, zip(marked, marked[1:], marked[2:], strict=False)), f"={word}"]
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
 
-def slots(word: str) -> np.ndarray:
-    from zlib import crc32
 
-    return np.array([crc32(g.encode("utf-8", "replace")) % SLOTS for g in n_grams(word)], dtype=np.int64)
+def letters_in(word: str) -> int:
+    return len(word) if word.isalpha() else sum(map(str.isalpha, word))
 
 
 class Model(NamedTuple):
@@ -83,10 +98,10 @@ def fit(docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_c
         total = np.zeros((len(languages), SLOTS + len(_NAMES)))
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                row = total[place[lang]]
-                for word in _LETTERS.findall(text.lower()):
-                    np.add.at(row, slots(word), 1.0)
-                    row[SLOTS + script_of(word[0])] += 1
+                if words := _LETTERS.findall(text.lower()):
+                    grams, _, first = n_grams(words)
+                    total[place[lang], :SLOTS] += np.bincount(grams, minlength=SLOTS)
+                    total[place[lang], SLOTS:] += np.bincount(scripts_of(first), minlength=len(_NAMES))
         at = np.nonzero(total.ravel())[0]
         yield pd.DataFrame({"at": at, "n": total.ravel()[at]})
 
@@ -101,28 +116,34 @@ def fit(docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_c
     return Model(languages, (logs - logs.mean(1, keepdims=True)).astype(np.float32), np.where(share >= 0.01, 0, -np.inf).astype(np.float32))
 
 
-class WordScores(dict):
-    """Scores of words for all languages, and their letters, filled on demand."""
+class WordScores:
+    """Scores of words for all languages and their numbers of letters, kept for the words seen."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
         self.model = model
-        self.rows = np.zeros((CACHED_WORDS + 1, len(model.languages)), np.float32)
-        self.letters = np.zeros(CACHED_WORDS + 1, np.int32)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        rows, parts = 0, ["".join(filter(str.isalpha, p)) for p in _LETTERS.findall(word.lower())]
-        for part in filter(None, parts):
-            own = self.model.scores[slots(part)].mean(0) * min(8, 1 + len(part))
-            allowed = self.model.uses[script_of(part[0])]
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.languages)), np.float32)
+        self.letters = np.zeros(0, np.int32)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Row numbers of the words; new ones are scored together."""
+        numbers = self.numbers
+        at = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
+        if len(numbers) > len(self.scores):
+            new = list(islice(numbers, len(self.scores), None))
+            grams, owner, first = n_grams(new)
+            size = np.bincount(owner, minlength=len(new))
+            weight = np.minimum(8, 1 + np.array(list(map(len, new)))) / size
+            own = np.stack([np.bincount(owner, x[grams], minlength=len(new)) * weight for x in self.model.scores.T] or [np.zeros(len(new))], axis=1)
+            allowed = self.model.uses[scripts_of(first)]
             # A script that no language uses rules nothing out.
-            rows = rows + own + (allowed if (allowed == 0).any() else 0)
-        if not np.isfinite(rows).any():
-            rows = 0
-        self.rows[at] = np.maximum(rows, -50)
-        self.letters[at] = sum(map(len, parts))
-        self[word] = at
+            own = np.where((allowed == 0).any(1, keepdims=True), own + np.nan_to_num(allowed, neginf=-50.0), own)
+            letters = np.array(list(map(letters_in, new)), np.int32)
+            self.scores = np.concatenate([self.scores, np.where(letters[:, None] > 0, own, 0)[:, : self.scores.shape[1]].astype(np.float32)])
+            self.letters = np.concatenate([self.letters, letters])
         return at
 
 
@@ -189,27 +210,20 @@ def identify(
         for whole in batches:
             for low in range(0, len(whole), 2000):
                 batch = whole.iloc[low : low + 2000]
-                scores, letters, lengths = [], [], []
-                for text in batch["text"]:
-                    words = WORD_RE.findall(text or "")
-                    own_scores, own_letters = [], []
-                    for part in range(0, len(words), CACHED_WORDS // 2):
-                        if len(scorer) > CACHED_WORDS // 2:
-                            scorer.clear()
-                        at = [scorer[w] for w in words[part : part + CACHED_WORDS // 2]]
-                        own_scores.append(scorer.rows[at])
-                        own_letters.append(scorer.letters[at])
-                    scores += own_scores
-                    letters += own_letters
-                    lengths.append(len(words))
-                scores = np.concatenate([*scores, np.zeros((0, k), np.float32)])
-                letters = np.concatenate([*letters, np.zeros(0, np.int32)])
-                lengths = np.array(lengths, dtype=np.int64)
+                texts = [_LETTERS.findall((text or "").lower()) for text in batch["text"]]
+                lengths = np.array(list(map(len, texts)), dtype=np.int64)
+                flat = list(chain.from_iterable(texts))
+                scores, letters = np.zeros((len(flat), k), np.float32), np.zeros(len(flat), np.int32)
+                for part in range(0, len(flat), CACHED_WORDS // 2):
+                    if len(scorer.numbers) > CACHED_WORDS:
+                        scorer.clear()
+                    at = scorer.of(flat[part : part + CACHED_WORDS // 2])
+                    scores[part : part + len(at)], letters[part : part + len(at)] = scorer.scores[at], scorer.letters[at]
                 ends = np.cumsum(lengths)
                 path = best_paths(scores, lengths, penalty) if k else np.zeros(len(scores), np.int8)
                 rows = np.repeat(np.arange(len(batch)), lengths)
                 held = np.zeros((len(batch), max(k, 1)))
-                np.add.at(held, (rows, path), letters)
+                held = np.bincount(rows * max(k, 1) + path, letters, minlength=held.size).reshape(held.shape)
                 total = held.sum(1)
                 sums = np.zeros((len(batch), max(k, 1)))
                 for j in range(k):
