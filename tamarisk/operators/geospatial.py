@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.functions.geo import distance, utm
+from tamarisk.sources.shared import cut
 
 #: Facilities up to this number are broadcast; more are looked up by grid cell.
 BROADCAST_FACILITIES = 20_000
@@ -27,8 +28,8 @@ def nearest_facility(households: DataFrame, facilities: DataFrame, radius_km: fl
 
     Facilities are reference data: after a count they are broadcast, and each household keeps one
     candidate as it streams by. With more than ``BROADCAST_FACILITIES`` of them, households
-    look into rings of grid cells of the radius first, and only those without a facility nearby
-    are compared with one representative set per wider cell.
+    look into the grid cells around their own, in cells of the radius first and then, for those
+    without a facility that near, in ever wider ones.
     """
     places = projected(points(facilities)).select(F.col("facility_id").alias("f_id"), F.col("x_m").alias("fx"), F.col("y_m").alias("fy"))
     homes = projected(points(households)).withColumn("_row", F.struct(*households.columns))
@@ -39,19 +40,20 @@ def nearest_facility(households: DataFrame, facilities: DataFrame, radius_km: fl
         )
         best = homes.crossJoin(sites).withColumn("_best", near)
         return _result(best, households, radius_km)
-    size = radius_km * 1000
-    width = size
-    left, parts = homes, []
-    places = places.withColumns({"fx0": F.col("fx"), "fy0": F.col("fy")})
+    width = radius_km * 1000
+    left, parts = cut(homes.withColumn("_id", F.monotonically_increasing_id())), []
     for _ in range(12):  # cells double until every household has found its nearest facility
         ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         around = left.withColumn("_c", ring).withColumns({"cx": F.floor(F.col("x_m") / width) + F.col("_c.i"), "cy": F.floor(F.col("y_m") / width) + F.col("_c.j")})
         cells = places.withColumns({"cx": F.floor(F.col("fx") / width), "cy": F.floor(F.col("fy") / width)})
         met = around.join(cells, ["cx", "cy"])
         d = distance(F.col("x_m"), F.col("y_m"), F.col("fx"), F.col("fy"))
-        best = met.groupBy("_row", "x_m", "y_m").agg(F.min(F.struct(d.alias("d"), F.col("f_id").alias("f_id"))).alias("_best")).where(F.col("_best.d") <= width)
+        best = met.groupBy("_id", "_row").agg(F.min(F.struct(d.alias("d"), F.col("f_id").alias("f_id"))).alias("_best")).where(F.col("_best.d") <= width)
+        best = cut(best)
         parts.append(best)
-        left = left.join(best.select("_row"), "_row", "left_anti")
+        left = cut(left.join(best.select("_id"), "_id", "left_anti"))
+        if left.isEmpty():
+            break
         width *= 4
     out = parts[0]
     for part in parts[1:]:
