@@ -25,14 +25,14 @@ def scratch(v: Views) -> str:
 
 
 _CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
-_TYPED = [F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("int"), F.col("c_acctbal").cast("double")]
+_TYPED = ("cast(c_custkey as long) as c_custkey", "c_name", "cast(c_nationkey as int) as c_nationkey", "cast(c_acctbal as double) as c_acctbal")
 
 
 def _round_trip(name: str, fmt: str) -> None:
     @query(name, _CUSTOMERS)
     def _(v):
         path = files.write(v.sql(_CUSTOMERS), f"{scratch(v)}/customer.{fmt}", fmt)
-        return files.read(v.spark, path).select(*_TYPED)
+        return files.read(v.spark, path).selectExpr(*_TYPED)
 
 
 _round_trip("io01_csv", "csv")
@@ -46,7 +46,7 @@ def _(v):
     root = scratch(v)
     files.write_all_formats(v.sql(_CUSTOMERS), root, "customer")
     found = files.read(v.spark, f"{root}/customer.avro", "avro")
-    return (files.read(v.spark, f"{root}/customer.parquet") if found is None else found).select(*_TYPED)
+    return (files.read(v.spark, f"{root}/customer.parquet") if found is None else found).selectExpr(*_TYPED)
 
 
 @query("io06_read_all", "SELECT 'customer' AS dataset, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
@@ -84,7 +84,7 @@ def _(v):
 def _(v):
     root = scratch(v)
     files.write(v.sql(_CUSTOMERS), f"{root}/silver/customer.json", "json")
-    return files.read_first(v.spark, "customer", [f"{root}/gold", f"{root}/silver", f"{root}/raw"]).select(*_TYPED)
+    return files.read_first(v.spark, "customer", [f"{root}/gold", f"{root}/silver", f"{root}/raw"]).selectExpr(*_TYPED)
 
 
 @query("io11_replace", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0")
@@ -119,7 +119,7 @@ def _(v):
     url = _database()
     tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 0"), url, "customer", "replace")
     tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 1"), url, "customer", "append")
-    return tables.read(v.spark, url, "customer").select(*_TYPED)
+    return tables.read(v.spark, url, "customer").selectExpr(*_TYPED)
 
 
 @query("io16_table_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0")
@@ -127,7 +127,7 @@ def _(v):
     url, rows = _database(), v.sql(_CUSTOMERS)
     tables.load(rows.where("c_custkey % 5 <> 0"), url, "customer", "replace")
     tables.upsert(rows.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("NEW")), url, "customer", "c_custkey")
-    return tables.read(v.spark, url, "customer").select(*_TYPED)
+    return tables.read(v.spark, url, "customer").selectExpr(*_TYPED)
 
 
 @query("io17_partitions", "SELECT CAST(coalesce(year(o_orderdate), 2024) AS INT) AS year, CAST(coalesce(month(o_orderdate), 1) AS INT) AS month, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS o_orderdate FROM orders) AS t GROUP BY ALL")
