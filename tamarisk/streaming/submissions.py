@@ -83,7 +83,8 @@ def short_interviews(df: DataFrame, minutes: str = "interview_duration_min", lim
 
 
 def upsert_batches(path: str, key: str, order: str, source: str, now: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges each batch into the table of a folder; the last row of a key counts.
+    """A batch function that merges each batch into the table of a folder; the last row of a key by ``order``
+    counts, also when files arrive out of order.
 
     Every batch writes a new version beside the old one and then points to it, so a batch that
     is run again gives the same table and readers never see half of one.
@@ -96,6 +97,8 @@ def upsert_batches(path: str, key: str, order: str, source: str, now: str) -> Ca
         if old is None:
             out = scd.tag_changes(rows, "INSERT", source, now)
         else:
+            known = old.select(key, F.col(order).alias("_known"))
+            rows = rows.join(known, key, "left").where(F.col("_known").isNull() | (F.col(order) >= F.col("_known"))).drop("_known")
             out = scd.upsert(old, scd.tag_against(old, rows, key, source, now), key, order)
         out.write.mode("overwrite").parquet(f"{path}/version={batch_id:09d}")
 
