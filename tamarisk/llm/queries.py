@@ -85,4 +85,34 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: CRC-32 has no function there: the table of its 256 remainders is computed, then the bytes of a text are folded in.
+_SHARDS = """WITH remainders AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i) AS r) AS s),
+coded AS (
+  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, coalesce('=' || source, 'null') AS stratum, md5('interleave-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    xor(list_reduce(list_prepend(4294967295, [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+  FROM documents, remainders),
+ranked AS (
+  SELECT *, (2 * (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32) - 1) + 1) / (2 * count(*) OVER (PARTITION BY stratum)) AS share FROM coded),
+placed AS (SELECT *, row_number() OVER (ORDER BY share, stratum, key, doc_id, text_crc32) - 1 AS place, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // total AS INT) AS shard, CAST(place - (place * 40 // total * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM placed"""
+
+_SUBSTRINGS = r"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS p FROM texts),
+windows AS (SELECT r, p, md5(array_to_string(words[p : p + 34], ' ')) AS h FROM places),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM windows SEMI JOIN repeated USING (h)),
+words AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)"""
+
+_CHAT = r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+escaped AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') AS safe_text,
+  replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS safe_role FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(length(coalesce(string_agg(text, '') FILTER (WHERE role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || safe_role || ': ' || safe_text || '</turn>') + 1) AS BIGINT) AS formatted_chars FROM escaped GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_interleaved_shards": _SHARDS, "op4_de_bruijn_substrings": _SUBSTRINGS, "op8_chat_prefix_tree": _CHAT}
