@@ -9,7 +9,7 @@ word's script are ruled out by its code points before any score is read.
 Labelling (``identify``): the words of every whole text are labelled by the best path through
 their scores, where each change of language costs ``penalty``. Many texts walk side by side,
 one numpy step for each word position. The language with most letters is the prediction; its
-share of the letters times its posterior is the score. The labelled spans can be returned.
+share of the letters times the posterior of its spans is the score. The labelled spans can be returned.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. Repeated rows are labelled
 alike. An empty table gives an empty result; without any labelled text all is ``und``.
@@ -225,12 +225,12 @@ def identify(
                 held = np.zeros((len(batch), max(k, 1)))
                 held = np.bincount(rows * max(k, 1) + path, letters, minlength=held.size).reshape(held.shape)
                 total = held.sum(1)
-                sums = np.zeros((len(batch), max(k, 1)))
-                for j in range(k):
-                    sums[:, j] = np.bincount(rows, scores[:, j], minlength=len(batch))
                 pick = held.argmax(1)
-                lead = sums - sums.max(1, keepdims=True)
-                posterior = np.exp(lead)[np.arange(len(batch)), pick] / np.exp(lead).sum(1)
+                # How sure the spans of the predicted language are, against all others.
+                own = path == pick[rows]
+                sums = np.stack([np.bincount(rows[own], scores[own, j], minlength=len(batch)) for j in range(k)] or [np.zeros(len(batch))], axis=1)
+                chances = np.exp(sums - sums.max(1, keepdims=True))
+                posterior = chances[np.arange(len(batch)), pick] / chances.sum(1)
                 known = (total > 0) & (k > 0)
                 share = held[np.arange(len(batch)), pick] / np.maximum(total, 1)
                 out = pd.DataFrame({
