@@ -94,6 +94,14 @@ def _(v):
     return files.read(v.spark, files.write(v.sql(_CUSTOMERS).where("c_custkey % 2 = 0"), path))
 
 
+@query("io12_write_to_uri", _CUSTOMERS)
+def _(v):
+    """A path with a scheme: any store that Spark has a file system for."""
+    root = scratch(v)
+    uri = files.write(v.sql(_CUSTOMERS), f"{root if ':' in root else f'file://{root}'}/customer.parquet")
+    return files.read(v.spark, uri, "parquet")
+
+
 @query("io13_all_formats", "SELECT f AS format, n FROM (SELECT count(*) AS n FROM customer) AS t, (VALUES ('csv'), ('parquet'), ('jsonl')) AS k(f)")
 def _(v):
     written = files.write_all_formats(v.sql(_CUSTOMERS), scratch(v), "customer")
