@@ -254,13 +254,14 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 28, per_bucke
                         "block": r.block, "kind": "edges", "places": places[kept].tobytes(), "flags": of_all[part][kept].tobytes(),
                         "hashes": joined["hashes"][part][kept].tobytes(), "before": b"", "ids": None, "digests": None,
                     })
+        give_back()
         return pd.DataFrame(out, columns=["block", "kind", "places", "flags", "hashes", "before", "ids", "digests"])
 
     def compact(rows: pd.DataFrame) -> pd.DataFrame:
         edges = rows[rows["kind"] == "edges"]
         names = ["id", "digest", "start", "n_edges", "path"]
         if not len(edges):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame([], columns=names)  # a block whose edges all stand at one place
         block = rows[rows["kind"] == "block"].iloc[0]
         places, flags, hashes = (np.concatenate([np.frombuffer(x, t) for x in edges[c]]) for c, t in (("places", "<u4"), ("flags", "u1"), ("hashes", "<u8")))
         order = np.argsort(places)

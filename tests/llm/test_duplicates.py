@@ -100,6 +100,12 @@ def test_substrings(spark, k, bits):
     assert out == expected
 
 
+def test_block_without_repeats(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{i}-{j}" for j in range(50))) for i in range(6)], "doc_id long, text string")
+    out = substrings.remove_repeats(docs.repartition(3), 35, 3).collect()  # the sieve lets all through
+    assert len(out) == 6 and all(r["n_removed"] == 0 for r in out)
+
+
 def test_substrings_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.remove_repeats(docs).count() == 0
