@@ -36,17 +36,18 @@ UNITS = (
     "years?", "dollars?", "euros?", "cents?", "degrees?",
 )
 _NUMBER = r"(?<![\p{L}\p{N}\ue000-\ue002])\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_NAME = r"(?<=[\p{Ll}\p{Nd}][,;]? )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+_NAME = r"\p{Lu}(?<=[\p{Ll}\p{Nd}][,;]? \p{Lu})\p{Ll}[\p{L}\p{M}]*"  # the capital first: most places fail there
 _UNIT = rf"(?i)(?<=\p{{Nd}} ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _VALUE = r"[\ue000-\ue002]([^\ue003]*)\ue003"
 
 
 def marked(text: Column) -> Column:
     """The text with each slot as marker, value, end sign."""
-    text = F.regexp_replace(text, "[\ue000-\ue003]", " ")
-    text = F.regexp_replace(text, _UNIT, f" {UNIT}$0\ue003 ")
-    text = F.regexp_replace(text, _NAME, f" {NAME}$0\ue003 ")
-    return F.regexp_replace(text, _NUMBER, f" {NUMBER}$0\ue003 ")
+    clean = F.regexp_replace(text, "[\ue000-\ue003]", " ")
+    names = lambda t: F.regexp_replace(t, _NAME, f" {NAME}$0\ue003 ")
+    units = F.regexp_replace(clean, _UNIT, f" {UNIT}$0\ue003 ")
+    # Only texts with a digit have numbers and units.
+    return F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(names(units), _NUMBER, f" {NUMBER}$0\ue003 ")).otherwise(names(clean))
 
 
 def template_tokens(text: Column) -> Column:
