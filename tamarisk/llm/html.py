@@ -287,14 +287,10 @@ def varied(page: list[Block], other: list[Block], rng: np.random.Generator) -> t
 
 def fit(pages: DataFrame, max_pages: int = 250, max_chars: int = 60_000) -> Lstm:
     """Train on at most ``max_pages`` whole pages of at most ``max_chars`` characters, chosen by digest."""
-    sample = (
-        pages.where(F.length("html") <= max_chars)
-        .select("html", F.xxhash64("page_id", "url").alias("lot"))
-        .where(F.col("html") != "")
-        .orderBy("lot", "html")
-        .limit(max_pages)
-        .collect()
-    )
+    lots = pages.where((F.length("html") <= max_chars) & (F.col("html") != "")).select("html", F.xxhash64("page_id", "url").alias("lot"))
+    # The lots alone are sorted first, so that no task sends pages that aren't chosen.
+    chosen = lots.select("lot").orderBy("lot").limit(max_pages).agg(F.max("lot")).first()[0]
+    sample = lots.where(F.col("lot") <= chosen).orderBy("lot", "html").limit(max_pages).collect() if chosen is not None else []
     rng = np.random.default_rng(3)
     plain = [blocks(r["html"]) for r in sample]
     both = [(p, teacher(p)) for p in plain] + [varied(p, plain[int(rng.integers(len(plain)))], rng) for p in plain for _ in range(2)]
