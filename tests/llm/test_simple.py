@@ -99,7 +99,7 @@ def test_language_spans_and_odd_rows(spark, odd):
     mixed = spark.createDataFrame([(1, "the dog and the cat went there le chien et la maison avec le chat"), (2, "собака")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in language.identify(mixed, model, penalty=2.0, spans=True).collect()}
     assert [s["lang"] for s in out[1]["spans"]] == ["en", "fr"] and out[2]["lang_pred"] == "ru"
-    found = language.identify(odd, model, carry=("source", "score")).collect() if False else language.identify(odd, model).collect()
+    found = language.identify(odd, model, carry=("source", "text")).collect()
     assert len(found) == len(ODD)
     assert {r["doc_id"]: r["lang_pred"] for r in found if r["doc_id"] in (1, 2, 3, 6)} == dict.fromkeys((1, 2, 3, 6), "und")
     assert language.identify(odd.limit(0), model).count() == 0
@@ -168,10 +168,14 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+LOADED: list = []
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aBéÀß 's.,&<|endoftxt>1 \ńΣ»", max_size=15))
 def test_word_ids(text):
     tokenizers = pytest.importorskip("tokenizers")
-    cache = packing._loaded.setdefault("t", packing.WordIds(packing.default_vocabulary()))
-    whole = packing._loaded.setdefault("w", tokenizers.Tokenizer.from_file(packing.default_vocabulary()))
+    if not LOADED:
+        LOADED.extend([packing.WordIds(packing.default_vocabulary()), tokenizers.Tokenizer.from_file(packing.default_vocabulary())])
+    cache, whole = LOADED
     assert np.frombuffer(cache.of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
