@@ -21,15 +21,18 @@ import re
 from collections.abc import Iterator
 from itertools import chain, islice
 from typing import NamedTuple
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.llm.common import small_batches, tidy
+
 SLOTS = 1 << 15
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
+#: Words that are scored together.
+SLAB = 40_000
 #: First code points of script ranges (fixed values of the Unicode charts); a range ends where the next starts.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -105,7 +108,7 @@ def fit(docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_c
         at = np.nonzero(total.ravel())[0]
         yield pd.DataFrame({"at": at, "n": total.ravel()[at]})
 
-    rows = sample.mapInPandas(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = sample.mapInPandas(tidy(count), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(len(languages) * (SLOTS + len(_NAMES)))
     for r in rows:  # a row for each used slot and language at most
         total[r["at"]] = r["n"]
@@ -182,9 +185,6 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
     return path
 
 
-_cached: dict = {}
-
-
 def identify(
     docs: DataFrame, model: Model, penalty: float = 6.0, spans: bool = False, carry: tuple[str, ...] = (),
     id_col: str = "doc_id", text_col: str = "text",
@@ -194,7 +194,6 @@ def identify(
     The columns named in ``carry`` come along unchanged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of slots for each language
-    key = uuid4().hex
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, n_words long, n_letters long"
     schema += "".join(f", carried_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(carry))
     if spans:
@@ -202,22 +201,20 @@ def identify(
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        if _cached.get("key") != key:  # a worker keeps the scores of its last model
-            _cached.update(key=key, scorer=WordScores(model))
-        scorer = _cached["scorer"]
+        scorer = WordScores(model)  # of this task alone: workers live on and would keep its memory
         names = np.array([*model.languages, "und"], dtype=object)
         k = len(model.languages)
         for whole in batches:
-            for low in range(0, len(whole), 2000):
-                batch = whole.iloc[low : low + 2000]
+            for low in range(0, len(whole), 500):
+                batch = whole.iloc[low : low + 500]
                 texts = [_LETTERS.findall((text or "").lower()) for text in batch["text"]]
                 lengths = np.array(list(map(len, texts)), dtype=np.int64)
                 flat = list(chain.from_iterable(texts))
                 scores, letters = np.zeros((len(flat), k), np.float32), np.zeros(len(flat), np.int32)
-                for part in range(0, len(flat), CACHED_WORDS // 2):
+                for part in range(0, len(flat), SLAB):
                     if len(scorer.numbers) > CACHED_WORDS:
                         scorer.clear()
-                    at = scorer.of(flat[part : part + CACHED_WORDS // 2])
+                    at = scorer.of(flat[part : part + SLAB])
                     scores[part : part + len(at)], letters[part : part + len(at)] = scorer.scores[at], scorer.letters[at]
                 ends = np.cumsum(lengths)
                 path = best_paths(scores, lengths, penalty) if k else np.zeros(len(scores), np.int8)
@@ -240,15 +237,16 @@ def identify(
                     "n_words": lengths,
                     "n_letters": total.astype(np.int64),
                 })
-                for i in range(len(carry)):
-                    out[f"carried_{i}"] = batch[f"carried_{i}"].values
+                for i, c in enumerate(carry):
+                    out[f"carried_{i}"] = batch["text" if c == text_col else f"carried_{i}"].values
                 if spans:
                     out["spans"] = [runs(path[e - n : e], names) for n, e in zip(lengths, ends, strict=True)]
                 yield out
 
-    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry) if c != text_col]
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
-    return chosen.mapInPandas(label, schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
+    small_batches(docs.sparkSession)
+    return chosen.mapInPandas(tidy(label), schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
 
 
 def runs(path: np.ndarray, names: np.ndarray) -> list[dict]:

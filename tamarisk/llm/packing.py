@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import cut
+from tamarisk.llm.common import cut, small_batches, tidy
 
 CAPACITY = 2048
 #: Entries that a worker's cache of tokenised words holds before it is emptied.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _loaded: dict = {}
 
 
@@ -122,8 +122,10 @@ def pieces(
             if keep_ids:
                 out["ids"] = kept
             yield out
+        _loaded[path].clear()  # the words of this task; the tokenizer stays
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut_up, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(cut_up), schema)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import WORD_RE
+from tamarisk.llm.common import WORD_RE, tidy
 from tamarisk.llm.textstats import base_counts
 
 STATS = (
@@ -169,4 +169,4 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": walk(trees, stats)})
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(judge, f"doc_id {dict(docs.dtypes)[id_col]}, score double")
+    return chosen.mapInPandas(tidy(judge), f"doc_id {dict(docs.dtypes)[id_col]}, score double")

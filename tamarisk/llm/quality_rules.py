@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import WORD_RE
+from tamarisk.llm.common import WORD_RE, tidy
 from tamarisk.llm.textstats import base_counts
 
 FEATURES = (
@@ -185,4 +185,4 @@ def apply_rules(
             out.insert(0, "doc_id", batch["doc_id"].values)
             yield out
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(judge, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(judge), schema)

@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import WORD_RE, cut, text_or_empty
+from tamarisk.llm.common import WORD_RE, cut, give_back, small_batches, text_or_empty, tidy
 
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE, _BASE_2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 _TAILS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _LONG = 64
 #: Windows that a block of documents holds at most.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ def sieve(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 found, n = Windows(block["text"].tolist(), k).minimisers()
                 yield pd.DataFrame({"a": found.view(np.int64), "n": n})
 
-    counts = docs.select("text").mapInPandas(gather, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.select("text").mapInPandas(tidy(gather), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
     segment = max(3, bits - 10)
     places = counts.select(F.col("a").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     places = places.select(F.shiftright("at", segment).alias("segment"), F.col("at").bitwiseAND(F.lit((1 << segment) - 1)).alias("at"))
@@ -168,7 +168,7 @@ _PACKED = "bucket long, block string, kind string, hashes binary, places binary,
 _FOUND = "block string, kind string, places binary, flags binary, hashes binary, before binary, ids array<string>, digests array<long>"
 
 
-def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 28, per_bucket: int = 500_000) -> DataFrame:
+def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 27, per_bucket: int = 1_000_000) -> DataFrame:
     """``id, digest, start, n_edges, path``: all nonbranching paths of repeated edges, by document.
 
     ``docs`` has the columns id, digest and text.
@@ -284,7 +284,7 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 28, per_bucke
             "start": places[first] - starts[own], "n_edges": n_edges, "path": hashes[first].view(np.int64),
         })
 
-    packed = docs.mapInPandas(request, _PACKED)
+    packed = docs.mapInPandas(tidy(request), _PACKED)
     found = packed.groupBy("bucket").applyInPandas(count_edges, _FOUND)
     return found.groupBy("block").applyInPandas(compact, "id string, digest long, start long, n_edges long, path long")
 
@@ -295,25 +295,28 @@ def hash_of_block(task: int, count: int) -> int:
 
 def confirmed_spans(paths: DataFrame) -> DataFrame:
     """The paths that stand, with the same extent, at two or more places."""
-    counts = paths.groupBy("path", "n_edges").agg(F.count("*").alias("n_places")).where("n_places > 1")
+    # Written first, so that a path which very many documents hold can be split in the join.
+    counts = cut(paths.groupBy("path", "n_edges").agg(F.count("*").alias("n_places")).where("n_places > 1"))
     return paths.join(counts, ["path", "n_edges"])
 
 
 def remove_repeats(
-    docs: DataFrame, k: int = 35, sieve_bits: int = 28, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 35, sieve_bits: int = 27, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, spans`` of every row, and the columns named in ``carry``.
 
     ``kept_text`` has the kept words joined by one space; ``spans`` are the repeated spans
     (first word, number of words, number of places).
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("id"),
-        text_or_empty(text_col).alias("text"),
-        *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)),
-    ).withColumn("digest", F.xxhash64("text"))
-    spans = confirmed_spans(cut(repeated_paths(keyed.select("id", "digest", "text"), k, sieve_bits)))
+        F.col(text_col).alias("text"),
+        F.xxhash64(text_or_empty(text_col)).alias("digest"),
+        *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry) if c != text_col),
+    )
+    spans = confirmed_spans(cut(repeated_paths(keyed.select("id", "digest", text_or_empty("text").alias("text")), k, sieve_bits)))
     # Rows of equal id and text hold the same spans.
     spans = spans.groupBy("id", "digest").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("n_edges") + k - 1).alias("n_words"), "n_places"))).alias("spans")
@@ -323,10 +326,10 @@ def remove_repeats(
     span = "array<struct<start: long, n_words: long, n_places: long>>"
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[low : low + 1000].reset_index(drop=True) for whole in batches for low in range(0, len(whole), 1000)):
             counts, removed, kept = [], [], []
             for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                words = WORD_RE.findall(text)
+                words = WORD_RE.findall(text or "")
                 out, low = [], 0
                 for span in [] if spans is None else spans:
                     out += words[low : max(low, span["start"])]
@@ -336,8 +339,8 @@ def remove_repeats(
                 removed.append(len(words) - len(out))
                 kept.append(" ".join(out))
             found = {"doc_id": batch["doc_id"], "n_words": counts, "n_removed": removed, "kept_text": kept, "spans": batch["spans"]}
-            yield pd.DataFrame(found | {f"carried_{i}": batch[f"carried_{i}"] for i in range(len(carry))})
+            yield pd.DataFrame(found | {f"carried_{i}": batch["text" if c == text_col else f"carried_{i}"] for i, c in enumerate(carry)})
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, spans {span}"
     schema += "".join(f", carried_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(carry))
-    return joined.mapInPandas(keep, schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
+    return joined.mapInPandas(tidy(keep), schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
