@@ -7,9 +7,9 @@ and tokenised in three parts, so that the loss mask covers exactly the text of a
 Conversations that share their first turns share nodes: a node's id is a digest of all turns
 up to it. Different conversations are sorted by their node ids within the tree of their first
 turn; each then emits the nodes that the one before it doesn't have, which is the tree in
-depth-first order with every shared token once. The order is made in two levels (buckets of
-the ids of the second and third node), so that a first turn that a third of all conversations
-share is spread over many tasks.
+depth-first order with every shared token once. The order is made in two levels: buckets are
+consecutive ranges of the sorted paths, so that a first turn that a third of all conversations
+share is spread over many tasks, and no bucket's paths lie between those of another.
 
 Output: a row for each node with its place in the tree's sequence, its first position id (the
 tokens of its ancestors come before it), its token ids, the interval of its tokens that bear
@@ -71,6 +71,8 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+#: Nodes of a path that set its range; the driver samples keys of at most so many ids of 32 digits.
+RANGE_NODES = 16
 _NODE = "struct<node: string, role: string, ids: array<int>, loss_from: int, loss_to: int>"
 
 
@@ -118,8 +120,9 @@ def prefix_trees(turns: DataFrame) -> DataFrame:
     # The same conversation under many ids is one path.
     paths = chains.withColumn("leaf", F.element_at("nodes", -1)).groupBy("leaf").agg(F.min_by(F.struct("conv_key", "nodes", "sizes"), "conv_key").alias("c"))
     paths = paths.select("leaf", "c.*").withColumn("tree", F.col("nodes")[0]).withColumn("path", F.array_join("nodes", ""))
-    digits = [F.coalesce(F.substring(F.get("nodes", F.lit(i)), 1, 2), F.lit("")) for i in (1, 2)]
-    paths = cut(paths.withColumn("bucket", F.concat_ws("/", *digits)))
+    spark = turns.sparkSession
+    ranges = paths.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.substring("path", 1, RANGE_NODES * 32))
+    paths = cut(ranges.withColumn("bucket", F.spark_partition_id()))
 
     ends = paths.groupBy("tree", "bucket").agg(F.max_by("nodes", "path").alias("last"))
     ends = ends.withColumn("before_bucket", F.lag("last").over(Window.partitionBy("tree").orderBy("bucket"))).drop("last")

@@ -51,6 +51,23 @@ def test_prefix_tree(spark):
     assert chat.read_back(chat.prefix_trees(empty), empty).count() == 0
 
 
+def test_prefix_tree_of_a_hot_first_turn(spark):
+    """Hundreds of second turns, each with several continuations: every node is emitted once."""
+    pytest.importorskip("tokenizers")
+    talks = [["hi", f"second {i}", f"third {j}", "fourth"][: 3 + j % 2] for i in range(300) for j in range(3)]
+    rows = [(n, t, "assistant" if t % 2 else "user", x) for n, texts in enumerate(talks) for t, x in enumerate(texts)]
+    turns = cut(chat.formatted_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    trees = chat.prefix_trees(turns)
+    nodes = trees.drop("ids").toPandas().sort_values("start")
+    assert nodes.node.is_unique and len(nodes) == 1 + 300 + 900 + 300
+    assert nodes.start.tolist() == [0, *nodes.length.cumsum()[:-1]]
+    assert all(sum(x["to"] - x["from"] for x in r.attends) == r.position for r in nodes.itertuples())
+    out = {r["conv_id"]: r for r in chat.read_back(trees, turns).collect()}
+    for n, texts in enumerate(talks):
+        said = "".join(f"{'assistant' if t % 2 else 'user'}\n{x}\n" for t, x in enumerate(texts))
+        assert (out[n]["n_turns"], out[n]["turns_sha256"]) == (len(texts), hashlib.sha256(said.encode()).hexdigest())
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav>"
     "<div class='ad'>Buy &amp; go</div><article><h1>Head &amp;&#33;</h1><p><b>First</b> part<br>goes on\n here.<p>Second &lt;one&gt;.</p></article><footer>&copy; me</footer>"
