@@ -1,17 +1,23 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders; what is left is lower-cased and split into
-tokens without punctuation. Windows of ``size`` template tokens of the documents are joined by
+tokens without punctuation. Names that follow each other are one placeholder, and so are
+numbers with a space between. Windows of ``size`` template tokens of the documents are joined by
 hash with those of the benchmark items. A document holds an item if the matched windows lie on
-one diagonal (same distance between the two texts) and reach ``min_share`` of the item's
-windows, and if the values in the slots are consistent: on that diagonal each value of the item stands
-for one value of the document and the reverse, so a question with other numbers is caught and
-an accidental shape is not.
+neighbouring diagonals (distances between the two texts that differ by ``max_shift`` at most, so
+that words may be inserted or left out) and reach ``min_share`` of the item's windows; windows
+across an insertion count if all their tokens are matched.
+
+The values in the slots lower that share: it is multiplied by the share of slots whose value
+stands for one value of the other text, mean of both directions. With ``one_value`` a value of
+the item that stands for two values of the document vetoes the hit; two values of the item may
+always become one.
 
 Names are capitalised words after a lower-case letter, digit or comma; units follow a number.
-Item windows with fewer than ``min_literals`` different plain words are not used. Items of
-fewer tokens than ``size`` are one window of their own length; items without any usable
-window can't be found.
+Item windows with fewer than ``min_literals`` different
+plain words are not used. Items of fewer tokens than ``size`` are one window of their own length.
+
+Items without any usable window can't be found.
 
 All of it is DataFrame functions. The benchmark's windows are broadcast after a count, or
 joined by shuffle when they are many.
@@ -35,8 +41,8 @@ UNITS = (
     "pounds?", "lbs?", "tons?", "ml", "l", "litres?", "liters?", "seconds?", "minutes?", "hours?", "days?", "weeks?", "months?",
     "years?", "dollars?", "euros?", "cents?", "degrees?",
 )
-_NUMBER = r"(?<![\p{L}\p{N}\ue000-\ue002])\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_NAME = r"\p{Lu}(?<=[\p{Ll}\p{Nd}][,;]? \p{Lu})\p{Ll}[\p{L}\p{M}]*"  # the capital first: most places fail there
+_NUMBER = r"(?<![\p{L}\p{N}\ue000-\ue002])\p{Nd}+(?:[.,:/ ]\p{Nd}+)*"  # "1 200" is one number
+_NAME = r"\p{Lu}(?<=[\p{Ll}\p{Nd}][,;]? \p{Lu})\p{Ll}[\p{L}\p{M}]*(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*)*"  # the capital first: most places fail there
 _UNIT = rf"(?i)(?<=\p{{Nd}} ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _VALUE = r"[\ue000-\ue002]([^\ue003]*)\ue003"
 
@@ -87,46 +93,80 @@ def find_items(
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
+    max_shift: int = 8,
+    one_value: bool = True,
 ) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, share, n_slots, n_changed`` of every held item."""
-    items = cut(
+    whole = cut(
         benchmark.where(F.col(item_col).isNotNull())
-        .select(F.col(item_col).alias("item_id"), template_tokens(text_or_empty("text")).alias("tokens"), text_or_empty("text").alias("item_text"))
-        .where(F.size("tokens") >= min_literals)
+        .select(F.col(item_col).alias("item_id"), text_or_empty("text").alias("text"))
         .withColumn("row", F.monotonically_increasing_id())
     )
-    lengths = sorted(r["n"] for r in items.select(F.least(F.size("tokens"), F.lit(size)).alias("n")).distinct().collect())
+    items = cut(whole.select("item_id", "row", template_tokens(F.col("text")).alias("tokens"), F.col("text").alias("item_text")))
     found_schema = "doc_id {0}, item_id {1}, n_windows long, item_windows long, share double, n_slots long, n_changed long".format(
         dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     )
-    if not lengths:  # no item can be found
-        return docs.sparkSession.createDataFrame([], found_schema)
-    all_windows = windows(items.withColumnRenamed("row", "key"), "key", "tokens", lengths)
-    all_windows = all_windows.join(items.select(F.col("row").alias("key"), "item_id", "tokens"), "key").where(
-        F.col("length") == F.least(F.size("tokens"), F.lit(size))
-    )
-    plain = F.filter(F.slice("tokens", F.col("pos") + 1, F.col("length")), lambda t: ~t.rlike("^[\ue000-\ue002]"))
-    usable = all_windows.where(F.size(F.array_distinct(plain)) >= min_literals)
-    usable = usable.withColumn("item_windows", F.count("*").over(Window.partitionBy("key")))
-    usable = cut(usable.select("key", "item_id", F.col("pos").alias("item_pos"), "length", "h", "item_windows").withColumnRenamed("key", "item_row"))
-
+    none = docs.sparkSession.createDataFrame([], found_schema)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    seen = windows(texts.select("doc_id", template_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens", lengths)
-    hits = join_smaller(seen, usable, ["h", "length"], "inner")
-    diagonals = hits.groupBy("doc_id", "item_row", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count("*").alias("n_windows"), F.min("item_pos").alias("low"), (F.max(F.col("item_pos") + F.col("length"))).alias("high")
+
+    usable = _item_windows(items, size)
+    if usable is None:  # no item has a token
+        return none
+    plain = F.filter(F.slice("tokens", F.col("item_pos") + 1, F.col("length")), lambda t: ~t.rlike("^[\ue000-\ue002]"))
+    usable = usable.where(F.size(F.array_distinct(plain)) >= min_literals)
+    of_item = Window.partitionBy("item_row")
+    usable = usable.withColumn("item_windows", F.count("*").over(of_item)).withColumn("item_at", F.collect_list("item_pos").over(of_item)).drop("tokens")
+    usable = cut(usable)
+    by_template = _by_template(texts, items, usable, size, min_share, max_shift, one_value) if usable.limit(1).count() else none
+    return by_template
+
+
+def _lengths(of_items: DataFrame) -> list[int]:
+    return sorted(r["length"] for r in of_items.select("length").distinct().collect())
+
+
+def _item_windows(items: DataFrame, size: int) -> DataFrame | None:
+    """``h, item_row, item_id, tokens, item_pos, length``: every item's windows of its own length, ``size`` at most."""
+    rows = items.where(F.size("tokens") > 0)
+    lengths = sorted(r["n"] for r in rows.select(F.least(F.size("tokens"), F.lit(size)).alias("n")).distinct().collect())
+    if not lengths:
+        return None
+    out = windows(rows.withColumnRenamed("row", "item_row"), "item_row", "tokens", lengths).withColumnRenamed("pos", "item_pos")
+    out = out.join(rows.select(F.col("row").alias("item_row"), "item_id", "tokens"), "item_row")
+    return out.where(F.col("length") == F.least(F.size("tokens"), F.lit(size)))
+
+
+def _by_template(texts: DataFrame, items: DataFrame, usable: DataFrame, size: int, min_share: float, max_shift: int, one_value: bool) -> DataFrame:
+    seen = windows(texts.select("doc_id", template_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens", _lengths(usable))
+    hits = join_smaller(seen, usable.drop("item_at"), ["h", "length"], "inner")
+    diagonals = hits.groupBy("doc_id", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+        F.count("*").alias("n"), F.min("item_pos").alias("low"), F.max(F.col("item_pos") + F.col("length")).alias("high"), F.collect_list("item_pos").alias("at")
+    )
+    of_rows = usable.groupBy("item_row").agg(F.first("item_id").alias("item_id"), F.first("item_windows").alias("item_windows"), F.first("length").alias("length"), F.first("item_at").alias("item_at"))
+    near = Window.partitionBy("doc_id", "item_row").orderBy("shift").rangeBetween(0, max_shift)
+    banded = diagonals.withColumn("band", F.collect_list(F.struct("n", "shift", "low", "high", "at")).over(near)).select("doc_id", "item_row", "shift", "band")
+    banded = join_smaller(banded, cut(of_rows), "item_row", "inner").withColumn("at", F.array_sort(F.array_distinct(F.flatten("band.at"))))
+    # Between two starts no further apart than a window is long, all tokens are matched.
+    filled = F.flatten(
+        F.transform("at", lambda s, i: F.when(F.get("at", i + 1) - s <= F.col("length"), F.sequence(s, F.get("at", i + 1) - 1)).otherwise(F.array(s)))
     )
-    likely = cut(diagonals.where(F.col("n_windows") >= min_share * F.col("item_windows")))
+    banded = banded.withColumn("n_windows", F.size(F.array_intersect("item_at", filled)).cast("long"))
+    likely = banded.where(F.col("n_windows") >= min_share * F.col("item_windows"))
+    likely = cut(likely.select("doc_id", "item_row", "item_id", "item_windows", "shift", "n_windows", F.transform("band", lambda d: d.dropFields("at")).alias("band")))
 
     slots = F.regexp_count("item_text", F.lit(r"[\ue000-\ue002]"))
     slotted = items.withColumn("item_text", marked(F.col("item_text"))).where(slots > 0).select(F.col("row").alias("item_row"), "tokens", "item_text")
     judged = _consistent(likely.join(slotted, "item_row"), texts)
     keys = ["doc_id", "item_row", "shift"]
-    kept = likely.join(judged, keys, "left").where(F.coalesce(F.col("consistent"), F.lit(True)))
+    share = F.col("n_windows") / F.col("item_windows")
+    kept = likely.join(judged, keys, "left").withColumn("score", share * F.coalesce("consistent", F.lit(1.0)))
+    kept = kept.where(F.col("score") >= min_share)
+    if one_value:
+        kept = kept.where(F.coalesce("forth", F.lit(1)) == 1)
     best = kept.groupBy("doc_id", "item_id").agg(
         F.max_by(
             F.struct("n_windows", "item_windows", "n_slots", "n_changed"),
-            F.struct(F.col("n_windows") / F.col("item_windows"), "n_windows", -F.col("shift"), -F.col("item_row")),
+            F.struct("score", "n_windows", F.coalesce("n_slots", F.lit(0)), -F.col("shift"), -F.col("item_row")),
         ).alias("b")
     )
     return best.select(
@@ -136,7 +176,7 @@ def find_items(
 
 
 def _consistent(slotted: DataFrame, texts: DataFrame) -> DataFrame:
-    """For candidates with slots: whether item values and document values stand for each other one to one."""
+    """For candidates with slots: the share of slots where item and document values stand for each other, and the most values of one item value."""
     keys = ["doc_id", "item_row", "shift"]
     slotted = cut(slotted)
     ids = slotted.select("doc_id").distinct()
@@ -155,17 +195,22 @@ def _consistent(slotted: DataFrame, texts: DataFrame) -> DataFrame:
             F.transform("p.tokens", lambda t, i: F.when(t.rlike("^[\ue000-\ue002]$"), i)), lambda i: i.isNotNull()
         )
         pairs = F.arrays_zip(tokens_at.alias("pos"), F.col("p.values").alias("value"))
-        return rows.select(*by, F.explode(pairs).alias("s")).select(*by, F.col("s")["pos"].alias("pos"), F.lower(F.col("s")["value"]).alias("value"))
+        return rows.select(*by, F.explode(pairs).alias("s")).select(*by, F.col("s")["pos"].alias("pos"), F.replace(F.lower(F.col("s")["value"]), F.lit(" "), F.lit("")).alias("value"))
 
     in_items = slot_table(slotted.select("item_row", "tokens", "item_text").dropDuplicates(["item_row"]), ["item_row"], "tokens", "item_text")
     in_docs = slot_table(
         held.select("doc_id", template_tokens(F.col("text")).alias("tokens"), marked(F.col("text")).alias("text")), ["doc_id"], "tokens", "text"
     )
-    wanted = slotted.select(*keys, "low", "high").join(in_items.withColumnRenamed("value", "item_value"), "item_row")
-    wanted = wanted.where((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high"))).withColumn("pos", F.col("pos") + F.col("shift"))
-    pairs = wanted.join(in_docs, ["doc_id", "pos"]).select(*keys, "item_value", "value", (F.col("item_value") != F.col("value")).cast("long").alias("changed"))
-    forth = pairs.groupBy(*keys, "item_value").agg(F.count_distinct("value").alias("kinds"), F.count("*").alias("n"), F.sum("changed").alias("c"))
-    back = pairs.groupBy(*keys, "value").agg(F.count_distinct("item_value").alias("kinds"))
-    forth = forth.groupBy(*keys).agg(F.max("kinds").alias("forth"), F.sum("n").alias("n_slots"), F.sum("c").alias("n_changed"))
-    back = back.groupBy(*keys).agg(F.max("kinds").alias("back"))
-    return forth.join(back, keys).select(*keys, ((F.col("forth") == 1) & (F.col("back") == 1)).alias("consistent"), "n_slots", "n_changed")
+    # Of the diagonals that pass over a slot, that with the most windows places it.
+    wanted = slotted.select(*keys, F.explode("band").alias("d")).join(in_items.withColumnRenamed("value", "item_value"), "item_row")
+    wanted = wanted.where((F.col("pos") >= F.col("d.low")) & (F.col("pos") < F.col("d.high")))
+    wanted = wanted.groupBy(*keys, "pos", "item_value").agg(F.max_by("d.shift", F.struct("d.n", -F.col("d.shift"))).alias("of_slot"))
+    wanted = wanted.withColumn("pos", F.col("pos") + F.col("of_slot"))
+    pairs = wanted.join(in_docs, ["doc_id", "pos"]).groupBy(*keys, "item_value", "value").agg(F.count("*").alias("n"))
+    pairs = pairs.withColumn("changed", F.when(F.col("item_value") != F.col("value"), F.col("n")).otherwise(0))
+    forth = pairs.groupBy(*keys, "item_value").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("changed").alias("c"))
+    back = pairs.groupBy(*keys, "value").agg(F.max("n").alias("most"))
+    forth = forth.groupBy(*keys).agg(F.max("kinds").alias("forth"), F.sum("most").alias("there"), F.sum("n").alias("n_slots"), F.sum("c").alias("n_changed"))
+    back = back.groupBy(*keys).agg(F.sum("most").alias("here"))
+    share = (F.col("there") + F.col("here")) / (2 * F.col("n_slots"))
+    return forth.join(back, keys).select(*keys, share.alias("consistent"), "forth", "n_slots", "n_changed")

@@ -141,3 +141,22 @@ def test_decontamination(spark):
     assert (found[1, 1]["n_slots"], found[1, 1]["n_changed"]) == (6, 5) and found[8, 1]["n_changed"] == 0
     assert decontamination.find_items(docs.limit(0), items).count() == 0
     assert decontamination.find_items(docs, items.limit(0)).count() == 0
+
+
+APPLES = "a farmer named Alice has 1200 apples and gives some of them to a neighbour before the market opens on friday"
+COUNTS = "there are 3 apples and 5 pears in a bowl so how many pieces of fruit are there"
+TWICE = "there are 2 apples and 2 plums in one box so how many pieces of fruit are left"
+WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+
+
+def test_decontamination_of_changed_questions(spark):
+    texts = [
+        APPLES.replace("Alice", "Mary Ann").replace("1200", "1 200"), WORDS.replace("ten ", "ten oh "), COUNTS.replace("3", "4").replace("5", "4"),
+        TWICE.replace("2 a", "3 a").replace("2 p", "4 p"), "one two three four five six seven eight and then something else",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(0, APPLES), (1, WORDS), (2, COUNTS), (3, TWICE)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_items(docs, items, one_value=False).collect()}
+    assert set(found) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert (found[0, 0]["n_slots"], found[0, 0]["n_changed"]) == (2, 1) and found[1, 1]["share"] == 1
+    assert {r["doc_id"] for r in decontamination.find_items(docs, items).collect()} == {0, 1, 2}
