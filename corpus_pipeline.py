@@ -61,7 +61,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.find_items(docs, table(spark, sf_dir, "benchmark"), one_value=False)
+    found = decontamination.find_items(docs, table(spark, sf_dir, "benchmark"), one_value=False, wordless=True)
     return _without(docs, cut(found.select("doc_id").distinct()))
 
 

@@ -14,13 +14,16 @@ the item that stands for two values of the document vetoes the hit; two values o
 always become one.
 
 Names are capitalised words after a lower-case letter, digit or comma; units follow a number.
-Item windows with fewer than ``min_literals`` different
+As an item's first word has nothing before it, each item is looked for in two forms, as it
+stands and as after a lower-case word. Item windows with fewer than ``min_literals`` different
 plain words are not used. Items of fewer tokens than ``size`` are one window of their own length.
 
-Items without any usable window can't be found.
+Items that lack a usable window in one of the forms are also looked for word for word, as a run
+of lower-cased tokens without placeholders; those without any letter only if ``wordless``.
 
 All of it is DataFrame functions. The benchmark's windows are broadcast after a count, or
-joined by shuffle when they are many.
+joined by shuffle when they are many. Words are looked for without placeholders only if there
+are items that need it.
 
 Nulls: null texts are empty and match nothing, null ids are left out of the result. Documents
 with the same id are judged together. Repeated item windows give one hit for each diagonal. An empty
@@ -62,6 +65,11 @@ def template_tokens(text: Column) -> Column:
     return F.filter(F.split(template, r"[^\p{L}\p{M}\p{N}\ue000-\ue002]+"), lambda t: t != "")
 
 
+def plain_tokens(text: Column) -> Column:
+    """Lower-case words and numbers of a text, without placeholders."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
+
+
 def windows(rows: DataFrame, key: str, tokens: str, lengths: list[int]) -> DataFrame:
     """``key, pos, length, h``: hashes of all windows of the given lengths, by position."""
     coded = rows.select(key, F.transform(tokens, lambda t: F.xxhash64(t)).alias("codes"))
@@ -95,6 +103,7 @@ def find_items(
     item_col: str = "item_id",
     max_shift: int = 8,
     one_value: bool = True,
+    wordless: bool = False,
 ) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, share, n_slots, n_changed`` of every held item."""
     whole = cut(
@@ -102,7 +111,11 @@ def find_items(
         .select(F.col(item_col).alias("item_id"), text_or_empty("text").alias("text"))
         .withColumn("row", F.monotonically_increasing_id())
     )
-    items = cut(whole.select("item_id", "row", template_tokens(F.col("text")).alias("tokens"), F.col("text").alias("item_text")))
+    # Two forms: as it stands, and as after a lower-case word, which is taken off again.
+    first, after = F.struct(F.lit(0).alias("form"), F.col("text").alias("t")), F.struct(F.lit(1).alias("form"), F.concat(F.lit("a "), "text").alias("t"))
+    forms = whole.select("item_id", F.col("row").alias("whole"), F.explode(F.array(first, after)).alias("f"))
+    forms = forms.select("item_id", "whole", (F.col("whole") * 2 + F.col("f.form")).alias("row"), F.col("f.t").alias("t"), F.col("f.form").alias("form"))
+    items = cut(forms.select("item_id", "whole", "row", F.slice(template_tokens(F.col("t")), F.col("form") + 1, 1_000_000_000).alias("tokens"), F.col("t").alias("item_text")))
     found_schema = "doc_id {0}, item_id {1}, n_windows long, item_windows long, share double, n_slots long, n_changed long".format(
         dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     )
@@ -118,7 +131,26 @@ def find_items(
     usable = usable.withColumn("item_windows", F.count("*").over(of_item)).withColumn("item_at", F.collect_list("item_pos").over(of_item)).drop("tokens")
     usable = cut(usable)
     by_template = _by_template(texts, items, usable, size, min_share, max_shift, one_value) if usable.limit(1).count() else none
-    return by_template
+
+    # Items with a form that no template window stands for.
+    lacking = items.where(F.size("tokens") > 0).join(usable.select(F.col("item_row").alias("row")).distinct(), "row", "left_anti").select(F.col("whole").alias("row")).distinct()
+    exact = whole.join(lacking, "row").where(F.lit(wordless) | F.col("text").rlike(r"\p{L}"))
+    exact = cut(exact.select("item_id", "row", plain_tokens(F.col("text")).alias("tokens")))
+    of_exact = _item_windows(exact, size)
+    if of_exact is None:
+        return by_template
+    of_exact = cut(of_exact.drop("tokens").withColumn("item_windows", F.count("*").over(of_item)))
+    seen = windows(texts.select("doc_id", plain_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens", _lengths(of_exact))
+    hits = join_smaller(seen, of_exact, ["h", "length"], "inner")
+    held = hits.groupBy("doc_id", "item_row", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).count()
+    held = held.where(F.col("count") == F.col("item_windows")).groupBy("doc_id", "item_id").agg(F.max("item_windows").alias("item_windows"))
+    by_words = held.select(
+        "doc_id", "item_id", F.col("item_windows").alias("n_windows"), "item_windows", F.lit(1.0).alias("share"),
+        F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"),
+    )
+    # A hit by template tells more of the same pair.
+    by_template = cut(by_template)
+    return by_template.union(by_words.join(by_template.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").select(*by_template.columns))
 
 
 def _lengths(of_items: DataFrame) -> list[int]:

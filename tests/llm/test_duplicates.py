@@ -160,3 +160,11 @@ def test_decontamination_of_changed_questions(spark):
     assert set(found) == {(0, 0), (1, 1), (2, 2), (3, 3)}
     assert (found[0, 0]["n_slots"], found[0, 0]["n_changed"]) == (2, 1) and found[1, 1]["share"] == 1
     assert {r["doc_id"] for r in decontamination.find_items(docs, items).collect()} == {0, 1, 2}
+
+
+def test_decontamination_of_short_items(spark):
+    texts = ["so What is 12 + 7? I ask", "they asked What is the capital of France", "What is the capital of Spain?", "see 42 43 44 45 46 47 48 49 50 51", "What is 12 + 8?", "42 43 44 45 46 47 48 49", "then Tom Ben Ann went"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(0, "What is 12 + 7?"), (1, "What is the capital of France"), (2, "42 43 44 45 46 47 48 49 50"), (3, "Tom Ben Ann")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, items, wordless=True).collect()}
+    assert found == {(0, 0), (1, 1), (2, 1), (3, 2), (6, 3)}
