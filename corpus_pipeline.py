@@ -1,7 +1,9 @@
 """Corpus preparation in five stages, each a function of (spark, docs, sf_dir).
 
 ``docs`` has the columns of ``documents`` (doc_id, text, lang, source, n_chars); every stage
-but the last returns them for the documents that it keeps. Nulls, repeated rows and empty
+but the last returns them for the documents that it keeps. SimHash near-dedup and
+decontamination judge rows by a key of id and text, so that a row with a null id, or with an
+id that others have too, stays or goes by itself. Otherwise nulls, repeated rows and empty
 tables are handled as in the operators that the stages call. Columns beyond these five are
 dropped.
 """
@@ -12,16 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.llm import decontamination, language, packing, simhash, substrings
-from tamarisk.llm.common import cut, join_smaller, table
+from tamarisk.llm.common import cut, join_smaller, table, text_or_empty
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose prediction scores less is rejected: no language holds it.
 MIN_LANGUAGE_SCORE = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``ids`` (a checkpointed column of ids)."""
-    return join_smaller(docs, ids, "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with ``row_key``: never null, in the order of the ids (null last), then of a digest of the text."""
+    signed = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))  # as hexadecimal digits in the order of the ids
+    return docs.withColumn("row_key", F.concat(F.coalesce(F.lpad(F.hex(signed), 16, "0"), F.lit("null")), F.lit("~"), F.md5(text_or_empty())))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose key is not in ``keys`` (a checkpointed column of keys)."""
+    return join_smaller(keyed, keys, "row_key", "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +41,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = _without(docs, gone)
-    # Rows that share an id as well are one document; only where there are such ids do texts move.
-    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    """One document of each group of near-duplicates: that with the smallest id, of these that with the smallest digest."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed, id_col="row_key").withColumnRenamed("doc_id", "row_key")
+    gone = cut(found.where(F.col("row_key") != F.col("component_id")).select("row_key").distinct())
+    kept = _without(keyed, gone)
+    # Rows that share the key as well are one document; only where there are such keys do texts move.
+    again = cut(found.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"))
     if again.limit(1).count():
-        once = join_smaller(kept, again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = _without(kept, again).union(once.select(*COLUMNS))
-    return kept
+        once = join_smaller(kept, again, "row_key", "left_semi").dropDuplicates(["row_key"])
+        kept = _without(kept, again).select(*COLUMNS).union(once.select(*COLUMNS))
+    return kept.select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +70,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.find_items(docs, table(spark, sf_dir, "benchmark"), one_value=False, wordless=True)
-    return _without(docs, cut(found.select("doc_id").distinct()))
+    keyed = _keyed(docs)
+    found = decontamination.find_items(keyed, table(spark, sf_dir, "benchmark"), one_value=False, wordless=True, id_col="row_key")
+    return _without(keyed, cut(found.select(F.col("doc_id").alias("row_key")).distinct())).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

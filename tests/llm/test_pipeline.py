@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline
+from tamarisk.llm import simhash
 
 
 def test_stages_keep_columns_and_shrink(spark):
@@ -24,3 +25,37 @@ def test_odd_rows(spark, stage):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as length", "2 as score")
     stage(spark, docs, "/root/testdata/sf0.001").collect()
     assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def ids_and_texts(rows):
+    return sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows))
+
+
+def test_near_dedup_by_brute_force(spark):
+    """Null and repeated ids: one row of each group, that with the smallest id."""
+    texts = [" ".join(f"w{g}x{i}" for i in range(300)) for g in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[0] + " end"), (4, texts[1]), (None, texts[1]), (4, texts[2]), (2, texts[2]), (-3, texts[3]), (5, texts[3]), (7, texts[4]), (7, texts[4])]
+    rows += [(7, texts[5]), (None, None), (None, ""), (8, "a few words"), (None, "some other words"), (9, texts[4] + " end"), (9, texts[5][::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA)
+    prints, group = [simhash.fingerprint(t or "") for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        group = [min(group[j] for j, q in enumerate(prints) if (p ^ q).bit_count() <= 4) for p in prints]
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "/root/testdata/sf0.001").collect()
+    expected = {g: min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(expected.values())
+    assert len({group[rows.index((r["doc_id"], r["text"]))] for r in kept}) == len(kept) == len(expected)
+
+
+def test_decontamination_by_brute_force(spark):
+    """Null and repeated ids: rows that hold an item go, and only these."""
+    sf_dir = "/root/testdata/sf0.001"
+    items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null").orderBy("item_id").limit(3).collect()]
+    clean = "nothing of this kind is written anywhere in these few lines"
+    rows = [(None, f"before {items[0]} after"), (None, clean), (1, items[1]), (1, clean), (1, clean + " again"), (2, items[2]), (2, items[2]), (None, None), (3, None), (None, clean), (None, items[1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, sf_dir).collect()
+    held = [{"doc_id": i, "text": t} for i, t in rows if not any(item in (t or "") for item in items)]
+    assert ids_and_texts(kept) == ids_and_texts(held)
