@@ -82,6 +82,13 @@ def test_blocks():
     assert html.blocks("<p>a<!-- never closed") [0].text == "a"
 
 
+def test_self_closed_svg():
+    """A self-closed svg ends with its own tag; an open one with its closing tag."""
+    for svg in ('<svg class="i"/>', "<SVG title='a > b' />", "<svg/>"):
+        assert [b.text for b in html.blocks(f"<p>One</p>{svg}<p>Two</p><svg><path d='x'/>no</svg><p>Three</p>")] == ["One", "Two", "Three"]
+    assert [b.text for b in html.blocks("<p>One</p><svg class='i'><path/><text>no</text></svg><p>Two</p>")] == ["One", "Two"]
+
+
 def test_gradients_agree_with_differences():
     """One training step lowers the loss, and long and short pages give the same chances alone and together."""
     rng = np.random.default_rng(1)
