@@ -8,9 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session, or the context's own folder.
+
+    Only a local session (tests) gets a temporary folder where none is set; on a cluster
+    executors would write where the driver can't read, so that is an error.
+    """
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found
