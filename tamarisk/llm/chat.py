@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import cut
+from tamarisk.llm.common import cut, map_batches
 
 ESCAPES = {"\\": "\\\\", "###": "\\h", "</turn>": "\\t", ":": "\\c"}
 _BACK = {"\\": "\\", "h": "###", "t": "</turn>", "c": ":"}
@@ -103,7 +103,7 @@ def formatted_turns(conversations: DataFrame, vocabulary: str | None = None) ->
             yield pd.DataFrame({"conv_id": batch["conv_id"], "turns": nodes})
 
     kind = dict(conversations.dtypes)["conv_id"]
-    out = gathered.mapInPandas(tokenise, f"conv_id {kind}, turns array<{_NODE}>")
+    out = map_batches(gathered, tokenise, f"conv_id {kind}, turns array<{_NODE}>")
     return out.withColumn("conv_key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")))
 
 
@@ -197,8 +197,8 @@ def read_back(trees: DataFrame, turns: DataFrame, vocabulary: str | None = None)
             yield out
 
     kind = dict(turns.dtypes)["conv_id"]
-    return gathered.select("conv_id", "parts").mapInPandas(
-        digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return map_batches(
+        gathered.select("conv_id", "parts"), digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 

@@ -4,35 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.sources.shared import checkpoint_dir, cut  # noqa: F401
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        found = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read them from there on."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -56,11 +40,16 @@ def join_smaller(large: DataFrame, small: DataFrame, on: str | list[str], how: s
 BATCH_ROWS = 1_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS``, so that texts of some kB each stay within a worker's memory."""
+def map_batches(rows: DataFrame, f: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``mapInPandas`` over small batches, for rows that hold whole texts.
+
+    Spark reads the size of batches from the session alone, when it plans the query; so the
+    session's size is lowered to ``BATCH_ROWS`` if it is larger, and stays so.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "0") or 0) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(rows.sparkSession.conf.get(name, "0") or 0) <= BATCH_ROWS:
+        rows.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return rows.mapInPandas(tidy(f), schema)
 
 
 def give_back() -> None:

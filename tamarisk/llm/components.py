@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tamarisk.llm.common import cut
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1_000) -> DataFrame:
     """``node, component`` for every node of a link; the component is its smallest node.
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest
     neighbour. Only minima are aggregated, so a node with very many links is combined before
     the shuffle; the number of links never grows, and rounds grow with the logarithm of the
-    longest path. Links with a null end and self-links are left out.
+    longest path; it is an error if ``max_rounds`` do not do. Links with a null end and self-links are left out.
     """
     edges = cut(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -37,5 +37,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.llm.common import map_batches
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
@@ -319,4 +321,4 @@ def extract(pages: DataFrame, model: Lstm, with_blocks: bool = False) -> DataFra
                     ]
                 yield out
 
-    return pages.select("page_id", "url", "html").mapInPandas(label, schema)
+    return map_batches(pages.select("page_id", "url", "html"), label, schema)

@@ -12,7 +12,9 @@ one numpy step for each word position. The language with most letters is the pre
 share of the letters times the posterior of its spans is the score. The labelled spans can be returned.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. Repeated rows are labelled
-alike. An empty table gives an empty result; without any labelled text all is ``und``.
+alike. Of languages that tie, the first by name is taken. Very long texts are read whole, one step
+for each word. Other columns of the input are not read, whatever their names. An empty table
+gives an empty result; without any labelled text all is ``und``.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import small_batches, tidy
+from tamarisk.llm.common import map_batches
 
 SLOTS = 1 << 15
 CACHED_WORDS = 100_000
@@ -108,7 +110,7 @@ def fit(docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_c
         at = np.nonzero(total.ravel())[0]
         yield pd.DataFrame({"at": at, "n": total.ravel()[at]})
 
-    rows = sample.mapInPandas(tidy(count), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(sample, count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(len(languages) * (SLOTS + len(_NAMES)))
     for r in rows:  # a row for each used slot and language at most
         total[r["at"]] = r["n"]
@@ -153,16 +155,16 @@ class WordScores:
 def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Labels of all words of many texts; ``scores`` has the words of one text after those of another."""
     n, k = scores.shape
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int32)
     if not n:
         return path
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
     active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, sizes[0] + 1))  # texts with a t-th word
-    stays, tops = np.zeros((n, k), bool), np.zeros(n, np.int8)
+    stays, tops = np.zeros((n, k), bool), np.zeros(n, np.int32)
     best = scores[starts[: active[0]]].astype(np.float64)
-    final = np.zeros(len(sizes), np.int8)
+    final = np.zeros(len(sizes), np.int32)
     for t in range(1, int(sizes[0]) + 1):
         now = int(active[t]) if t < sizes[0] else 0
         final[now : len(best)] = best[now:].argmax(1)
@@ -217,7 +219,7 @@ def identify(
                     at = scorer.of(flat[part : part + SLAB])
                     scores[part : part + len(at)], letters[part : part + len(at)] = scorer.scores[at], scorer.letters[at]
                 ends = np.cumsum(lengths)
-                path = best_paths(scores, lengths, penalty) if k else np.zeros(len(scores), np.int8)
+                path = best_paths(scores, lengths, penalty) if k else np.zeros(len(scores), np.int32)
                 rows = np.repeat(np.arange(len(batch)), lengths)
                 held = np.zeros((len(batch), max(k, 1)))
                 held = np.bincount(rows * max(k, 1) + path, letters, minlength=held.size).reshape(held.shape)
@@ -245,8 +247,7 @@ def identify(
 
     carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry) if c != text_col]
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
-    small_batches(docs.sparkSession)
-    return chosen.mapInPandas(tidy(label), schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
+    return map_batches(chosen, label, schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
 
 
 def runs(path: np.ndarray, names: np.ndarray) -> list[dict]:

@@ -11,7 +11,9 @@
 The plan has a few entries per length, bounded by the capacity; it is broadcast.
 
 Nulls: a null text is empty, so its document is the end id alone. Repeated rows are packed
-as often as they occur. An empty table gives an empty result.
+as often as they occur; pieces of one length that tie in id, piece and
+digest are alike and take their slots in any order. Very long texts are tokenised whole. Other
+columns of the input are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import cut, small_batches, tidy
+from tamarisk.llm.common import cut, map_batches
 
 CAPACITY = 2048
 #: Entries that a worker's cache of tokenised words holds before it is emptied.
@@ -124,8 +126,7 @@ def pieces(
             yield out
         _loaded[path].clear()  # the words of this task; the tokenizer stays
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(cut_up), schema)
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), cut_up, schema)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -177,7 +178,7 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 
 def pack(
     docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False,
-    id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 20_000,
+    id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 1_000,
 ) -> DataFrame:
     """Rows ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``)."""
     spark = docs.sparkSession

@@ -7,7 +7,8 @@ arrays (feature, threshold, left child, leaf value) and every batch of documents
 them at once with numpy, one level per step. Statistics come from the whole text alone.
 
 Nulls: a null text counts as empty and gets a score like any other. Repeated rows get equal
-scores. An empty table gives an empty result; without two classes in the sample the score is
+scores. Very long texts are read whole. Other columns of the input are not read, whatever their
+names. An empty table gives an empty result; without two classes in the sample the score is
 the prior.
 """
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import WORD_RE, tidy
+from tamarisk.llm.common import WORD_RE, map_batches
 from tamarisk.llm.textstats import base_counts
 
 STATS = (
@@ -66,7 +67,7 @@ def stats_of(docs: DataFrame, *more: str) -> DataFrame:
             out["stats"] = [document_stats(text or "") for text in batch["text"]]
             yield out
 
-    return docs.select("doc_id", "text", *more).mapInPandas(measure, schema)
+    return map_batches(docs.select("doc_id", "text", *more), measure, schema)
 
 
 class Trees(NamedTuple):
@@ -146,7 +147,7 @@ def walk(trees: Trees, stats: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 6_000) -> Trees:
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Train on at most ``max_documents`` labelled rows, chosen by digest of the id."""
     chosen = (
         labels.where("quality in (0, 1) and doc_id is not null")
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 6_000) -> Trees
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_documents)
     )
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_documents rows of two numbers
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_documents rows of two numbers
     rows = stats_of(found, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "stats").limit(max_documents).collect()
     return grow(np.array([r["stats"] for r in rows]).reshape(-1, len(STATS)), np.array([r["quality"] for r in rows]))
 
@@ -169,4 +170,4 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": walk(trees, stats)})
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(tidy(judge), f"doc_id {dict(docs.dtypes)[id_col]}, score double")
+    return map_batches(chosen, judge, f"doc_id {dict(docs.dtypes)[id_col]}, score double")

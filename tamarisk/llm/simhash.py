@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import cut, join_smaller, small_batches, tidy
+from tamarisk.llm.common import cut, join_smaller, map_batches
 from tamarisk.llm.components import connected_components
 
 BITS = 64
@@ -61,8 +61,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.view(np.int64)})
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    small_batches(docs.sparkSession)
-    return chosen.mapInPandas(tidy(take), f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
+    return map_batches(chosen, take, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
 
 
 def bit_products(values: DataFrame) -> tuple[int, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import WORD_RE, cut, give_back, small_batches, text_or_empty, tidy
+from tamarisk.llm.common import WORD_RE, cut, give_back, map_batches, text_or_empty
 
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE, _BASE_2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
@@ -147,7 +147,7 @@ def sieve(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 found, n = Windows(block["text"].tolist(), k).minimisers()
                 yield pd.DataFrame({"a": found.view(np.int64), "n": n})
 
-    counts = docs.select("text").mapInPandas(tidy(gather), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = map_batches(docs.select("text"), gather, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
     segment = max(3, bits - 10)
     places = counts.select(F.col("a").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     places = places.select(F.shiftright("at", segment).alias("segment"), F.col("at").bitwiseAND(F.lit((1 << segment) - 1)).alias("at"))
@@ -284,7 +284,7 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 27, per_bucke
             "start": places[first] - starts[own], "n_edges": n_edges, "path": hashes[first].view(np.int64),
         })
 
-    packed = docs.mapInPandas(tidy(request), _PACKED)
+    packed = map_batches(docs, request, _PACKED)
     found = packed.groupBy("bucket").applyInPandas(count_edges, _FOUND)
     return found.groupBy("block").applyInPandas(compact, "id string, digest long, start long, n_edges long, path long")
 
@@ -308,7 +308,6 @@ def remove_repeats(
     ``kept_text`` has the kept words joined by one space; ``spans`` are the repeated spans
     (first word, number of words, number of places).
     """
-    small_batches(docs.sparkSession)
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("id"),
@@ -343,4 +342,4 @@ def remove_repeats(
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, spans {span}"
     schema += "".join(f", carried_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(carry))
-    return joined.mapInPandas(tidy(keep), schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
+    return map_batches(joined, keep, schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})

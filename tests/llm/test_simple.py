@@ -1,5 +1,6 @@
 """Quality rules, classifier, language, sharding, packing: brute force, held-out accuracy, odd rows."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -38,12 +39,29 @@ def test_base_counts(text):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.floats(-3, 3), max_size=7), st.floats(0, 1), st.floats(-1, 0))
-def test_viterbi(scores, stay, leave):
-    best = max((sum(s * x for s, x in zip(scores, p)) + sum(stay if a == b else leave for a, b in zip(p, p[1:])) for p in np.ndindex(*[2] * len(scores))), default=0)
-    path = quality_rules.viterbi(np.array(scores), stay, leave)
-    got = sum(s * x for s, x in zip(scores, path)) + sum(stay if a == b else leave for a, b in zip(path, path[1:]))
-    assert abs(got - best) < 1e-9
+@given(st.lists(st.lists(st.floats(-3, 3), max_size=6), max_size=3), st.floats(0, 1), st.floats(-1, 0))
+def test_content_lines(texts, stay, leave):
+    """The best of all labellings, for many texts side by side."""
+    path = quality_rules.content_lines(np.array([x for t in texts for x in t]), np.array([len(t) for t in texts], dtype=np.int64), stay, leave).astype(int)
+    low = 0
+    for scores in texts:
+        value = lambda p: sum(s * x for s, x in zip(scores, p)) + sum(stay if a == b else leave for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        best = max((value(p) for p in np.ndindex(*[2] * len(scores))), default=0)
+        assert abs(value(path[low : low + len(scores)]) - best) < 1e-9
+        low += len(scores)
+
+
+def test_forward_backward_by_enumeration():
+    rng = np.random.default_rng(4)
+    scores, stay, leave = rng.normal(size=(3, 4)), 0.7, -0.4
+    mask = np.arange(4) < np.array([[4], [2], [1]])
+    _, alpha, beta, total = quality_rules.forward_backward(scores, mask, stay, leave)
+    for i, n in enumerate((4, 2, 1)):
+        paths = list(np.ndindex(*[2] * n))
+        weight = np.exp([sum(scores[i, t] * x for t, x in enumerate(p)) + sum(stay if a == b else leave for a, b in zip(p, p[1:])) for p in paths])
+        assert np.isclose(total[i], np.log(weight.sum()))
+        for t in range(n):
+            assert np.isclose(np.exp(alpha[i, t, 1] + beta[i, t, 1] - total[i]), sum(w for w, p in zip(weight, paths) if p[t]) / weight.sum())
 
 
 def test_quality_rules_odd_rows(spark, odd):
@@ -54,12 +72,64 @@ def test_quality_rules_odd_rows(spark, odd):
     assert quality_rules.apply_rules(odd.limit(0), model).count() == 0
 
 
-def test_quality_rules_learn(spark):
-    good = ["Words of plain prose follow each other here, line by line.\nAnd so on they go for a while." for _ in range(20)]
-    bad = ["BUY!! NOW!! ### $$$\n*** %%% ### $$$ CHEAP!!" for _ in range(20)]
-    weights, stay, leave = quality_rules.train([(t, 1) for t in good] + [(t, 0) for t in bad])
-    for text, label in ((good[0], 1), (bad[0], 0)):
-        assert set(quality_rules.viterbi(quality_rules.lines_of(text)[2] @ weights, stay, leave)) == {label}
+NOUNS = "river farmer harbour mill lesson garden letter winter village engine question market window teacher bridge".split()
+VERBS = "carried watched repaired described remembered crossed painted followed opened measured".split()
+FURNITURE = [
+    "Home | About | Contact", "Share this article", "Cookie policy", "Subscribe to our newsletter", "Read more »", "© 2021 Example Media. All rights reserved.",
+    "Posted on 12 March 2020", "Related posts", "Privacy Policy · Terms of Service", "Next page", "Comments (12)", "Menu", "LOG IN", "www.example.com/news",
+]
+
+
+def prose(rng):
+    return f"The {rng.choice(NOUNS)} {rng.choice(VERBS)} a {rng.choice(NOUNS)} of the {rng.choice(NOUNS)}, and in the {rng.choice(NOUNS)} it {rng.choice(VERBS)} the old {rng.choice(NOUNS)}."
+
+
+def junk(rng):
+    return " ".join(rng.choice(NOUNS).upper() + rng.choice(["!!", "###", "$$$", " |"]) for _ in range(rng.randint(3, 9)))
+
+
+@pytest.fixture(scope="module")
+def rules():
+    rng = random.Random(2)
+    sample = [("\n".join(prose(rng) for _ in range(rng.randint(1, 20))), 1) for _ in range(150)]
+    return quality_rules.train(sample + [("\n".join(junk(rng) for _ in range(rng.randint(1, 20))), 0) for _ in range(60)])
+
+
+def labels_of(lines, model):
+    feats = quality_rules.lines_of("\n".join(lines))[1]
+    return quality_rules.content_lines(feats @ model[0], np.array([len(feats)]), *model[1:]).astype(int).tolist()
+
+
+@pytest.mark.parametrize("runs", [[(1, 10), (0, 10)], [(1, 6), (0, 3), (1, 6)], [(0, 2), (1, 20)]])
+def test_mixed_documents(rules, runs):
+    rng = random.Random(9)
+    lines = [(prose if kind else junk)(rng) for kind, n in runs for _ in range(n)]
+    assert labels_of(lines, rules) == [kind for kind, n in runs for _ in range(n)]
+
+
+def test_furniture_in_prose(rules):
+    rng, right, total = random.Random(3), 0, 0
+    for _ in range(60):
+        lines = [(prose(rng), 1) for _ in range(12)]
+        for _ in range(3):
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = [(x, 0) for x in rng.sample(FURNITURE, rng.randint(1, 3))]
+        right += sum(a == b for a, (_, b) in zip(labels_of([x for x, _ in lines], rules), lines))
+        total += len(lines)
+    assert right >= 0.9 * total
+
+
+def test_quality_rules_fit_long_text(spark):
+    """Long texts reach training by their segments, and are labelled whole."""
+    rng = random.Random(6)
+    rows = [(i, "\n".join((prose if i % 2 else junk)(rng) for _ in range(200 if i < 4 else 5)), i % 2) for i in range(24)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").selectExpr("*", "'x' as quality", "1 as kept")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality_rules.fit(docs, labels)
+    long = docs.limit(0).select("doc_id", "text").union(spark.createDataFrame([(1, "\n".join([prose(rng) for _ in range(3000)] + [junk(rng) for _ in range(1000)]))], "doc_id long, text string"))
+    row = quality_rules.apply_rules(long, model, lines=True).first()
+    assert row["n_lines"] == 4000 and row["line_labels"][:3000].count(1) > 2900 and row["line_labels"][3000:].count(0) > 950
+    assert quality_rules.fit(docs.limit(0), labels)[1:] == (quality_rules.STAY, quality_rules.LEAVE)
 
 
 def test_trees_separate_and_handle_one_class():
