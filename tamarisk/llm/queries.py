@@ -89,11 +89,12 @@ QUERIES = {
 _SHARDS = """WITH remainders AS (
   SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i) AS r) AS s),
 coded AS (
-  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, coalesce('=' || source, 'null') AS stratum, md5('interleave-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, coalesce('=' || source, 'null') AS stratum,
     xor(list_reduce(list_prepend(4294967295, [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
   FROM documents, remainders),
+keyed AS (SELECT *, md5('interleave-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)) AS key FROM coded),
 ranked AS (
-  SELECT *, (2 * (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32) - 1) + 1) / (2 * count(*) OVER (PARTITION BY stratum)) AS share FROM coded),
+  SELECT *, (2 * (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32) - 1) + 1) / (2 * count(*) OVER (PARTITION BY stratum)) AS share FROM keyed),
 placed AS (SELECT *, row_number() OVER (ORDER BY share, stratum, key, doc_id, text_crc32) - 1 AS place, count(*) OVER () AS total FROM ranked)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // total AS INT) AS shard, CAST(place - (place * 40 // total * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM placed"""
 

@@ -10,8 +10,10 @@ pass one task: rows fall into buckets by digest prefix (or by fractional rank),
 bucket counts are summed up, and only the rows of one bucket are sorted together.
 
 Nulls: a null text counts as empty, a null source is a source of its own, a null id
-is shuffled as the empty string. Repeated rows each take a slot of their own. An empty
-table gives an empty result.
+is shuffled as the empty string. The digest covers id and text, so that rows without an id spread.
+Repeated rows tie and each take a slot of their own, in any order; they are alike. Very long texts are
+only measured. Columns beyond the three named are not read, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def interleave_shards(
             F.col(source_col).alias("source"),
             (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.crc32(text.cast("binary")).cast("string")).cast("binary")).alias("key"),
         ).withColumn("stratum", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     )
     total = base.count()
