@@ -1,6 +1,7 @@
 """Chat trees and page extraction: round trips and odd input."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -89,8 +90,46 @@ def test_self_closed_svg():
     assert [b.text for b in html.blocks("<p>One</p><svg class='i'><path/><text>no</text></svg><p>Two</p>")] == ["One", "Two"]
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p title=don't>Hello</p><p>it's fine</p>", ["Hello", "it's fine"]),
+    ('<p>keep</p><a title="unclosed>text</a><p>more</p>', ["keep", "text", "more"]),
+    ("<p>a</p><svg><p>b</p>rest of page", ["a", "b", "rest of page"]),
+    ('<a b="x>y">in</a><!-->shown<!-- never', ["inshown"]),
+    ("<p>x</p></ bogus><!-- c --><!doctype q>y<?php a?>z < 3 &amp;amp; <title>q", ["x", "yz < 3 &amp; q"]),
+    ("<div>one<script src='x'/>p()</script> two<style>p{}", ["one two"]),
+])
+def test_odd_markup(page, texts):
+    assert [b.text for b in html.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("bad", ['<a title="', "<a title='x\" ", "<!--", "<svg>", "<a ", "<iframe>", "<b>", "<li>", "<b></li>", "<p a='"])
+def test_long_pages_take_linear_time(bad):
+    page = bad * (1_000_000 // len(bad))
+    start = time.perf_counter()
+    html.blocks(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_gradients_agree_with_differences():
-    """One training step lowers the loss, and long and short pages give the same chances alone and together."""
+    rng = np.random.default_rng(1)
+    shapes = [(2, html.N_IN, 4 * html.N_HIDDEN), (2, html.N_HIDDEN, 4 * html.N_HIDDEN), (2, 4 * html.N_HIDDEN), (2 * html.N_HIDDEN + 1,)]
+    model = html.Lstm(*(rng.normal(0, 0.3, shape) for shape in shapes))
+    x, mask = rng.normal(size=(4, 3, html.N_IN)), np.arange(4)[:, None] < np.array([[4, 2, 1]])
+    gold = (rng.random((4, 3)) < 0.5) * mask
+    grads = html.gradients(model, x, mask, gold)
+    for weights, grad in zip(model, grads):
+        for at in zip(*(rng.integers(0, n, 12) for n in weights.shape)):
+            kept, step = weights[at], 1e-5
+            weights[at] = kept + step
+            above = html.loss(model, x, mask, gold)
+            weights[at] = kept - step
+            below = html.loss(model, x, mask, gold)
+            weights[at] = kept
+            assert np.isclose(grad[at], (above - below) / (2 * step), atol=1e-7)
+
+
+def test_network_learns_and_padding_is_silent():
+    """The labels are learnt, and long and short pages give the same chances alone and together."""
     rng = np.random.default_rng(1)
     pages = [rng.normal(size=(n, html.N_IN)).astype(np.float32) for n in (3, 7, 1)]
     model = html.train(pages, [[1, 0, 1], [0, 1, 0, 1, 1, 0, 0], [1]], rounds=60)
@@ -100,10 +139,48 @@ def test_gradients_agree_with_differences():
         assert ((p > 0.5) == np.array(y, bool)).all()
 
 
+@pytest.fixture(scope="module")
+def labeller(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    lot = "xxhash64(page_id, 'half') % 2 = 0"
+    return html.fit(pages.where(lot)), [html.blocks(r["html"]) for r in pages.where(f"not {lot}").collect() if r["html"]]
+
+
+def test_pages_with_meaningless_names(labeller):
+    """Without telling names the article is found by structure, text and context."""
+    model, pages = labeller
+    rng, right, total = np.random.default_rng(5), 0, 0
+    for page in pages:
+        gold = np.array(html.teacher(page), bool)
+        hidden = html.nameless(page, rng)
+        assert not html.TELLING & {html.tag_of(x) for b in hidden for x in b.path}
+        right += ((html.predict(model, [html.vectors(hidden)])[0] >= 0.5) == gold).sum()
+        total += len(page)
+    assert total > 100 and right >= 0.9 * total
+
+
+def test_handmade_page_with_meaningless_names(labeller):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join("".join(rng.choice(list("abdegilmnorstu"), rng.integers(2, 9))) for _ in range(n)).capitalize() + "."
+    article = [say(n) for n in (60, 45, 80, 30, 55, 70)]
+    menu = "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(8))
+    page = f"<body><div class=q1><ul>{menu}</ul></div><div class=q2>{say(8)}</div><div class=q3><h1>{say(6)}</h1>{''.join(f'<p>{x}</p>' for x in article)}</div><div class=q4>{say(9)}</div>"
+    found = html.blocks(page)
+    chances = html.predict(labeller[0], [html.vectors(found)])[0]
+    gold = [b.text in article or b.path[-1] == "h1" for b in found]
+    assert ((chances >= 0.5) == gold).mean() >= 0.9
+
+
+def test_teacher_without_names():
+    long = "<p>" + "words of the article follow here. " * 20 + "</p>"
+    page = html.blocks(f"<div><a href=x>one</a><a href=y>two</a></div><div><h2>Head</h2>{long}{long}</div><div>short remark</div>")
+    assert html.teacher(page) == [0, 1, 1, 1, 0]
+
+
 def test_extract(spark):
     base = spark.createDataFrame([(i, f"u{i}", PAGE.replace("Second", f"Text {i} of the page")) for i in range(60)], "page_id long, url string, html string")
     model = html.fit(base)
-    odd = spark.createDataFrame([(1, "a", None), (2, None, ""), (None, "b", PAGE), (3, "c", PAGE), (3, "c", PAGE)], "page_id long, url string, html string").selectExpr("*", "1 as text")
+    odd = spark.createDataFrame([(1, "a", None), (2, None, ""), (None, "b", PAGE), (3, "c", PAGE), (3, "c", PAGE)], "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as lot", "3 as n_chars", "4 as blocks")
     out = html.extract(odd, model).toPandas()
     assert len(out) == 5
     assert out[out.page_id == 3].text.tolist() == ["Head &!\nFirst part goes on here.\nSecond <one>."] * 2
