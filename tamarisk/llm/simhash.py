@@ -7,13 +7,18 @@ at) come from dynamic programming over the expected numbers of probes and candid
 partition, estimated from the bit frequencies of all distinct fingerprints. Each fingerprint
 probes every value within a partition's threshold; candidates are verified on all bits.
 
-Equal fingerprints are one node, so copies are never paired. A partition value held by more
+Equal fingerprints are one node, so copies are never paired. Where more than ``crowd`` fingerprints
+hold a partition value, each probe is first compared with the least and the greatest of them; these stars make
+preliminary components, and further pairs are sought only between different ones. So a dense group costs
+links in proportion to its members. A partition value held by more
 than ``hot_values`` fingerprints is split by a second pigeonhole on the bits outside the
 partition: at most ``radius`` differ, so of ``radius + 1`` groups one is equal.
 
 Nulls: a null text has no word and gets fingerprint zero, which links like any other. A null
 id takes part but is never a component's smallest id unless all its ids are null. Repeated
-rows come back as often as they occur. An empty table gives an empty result.
+rows come back as often as they occur; rows that tie have one component. Very long texts are read whole,
+65,536 shingles at a time. Columns beyond id and text are not read, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,7 +120,8 @@ def costs(n: int, p: np.ndarray, group: list[int], radius: int) -> list[float]:
 
 def allocate(n: int, together: np.ndarray, radius: int, most_parts: int = 6) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, of least expected cost; thresholds of -1 are left out."""
-    p = together.diagonal() / max(n, 1)
+    n = max(n, 1)  # a table without rows costs probes like any other
+    p = together.diagonal() / n
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for parts in range(2, most_parts + 1):
         groups = group_bits(n, together, parts)
@@ -139,13 +145,8 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def candidate_links(values: DataFrame, radius: int = 4, hot_values: int = 256) -> DataFrame:
-    """``a, b`` (a < b): all pairs of distinct fingerprints that differ in at most ``radius`` bits.
-
-    A pair may come back once for each partition that finds it.
-    """
-    n, together = bit_products(values)
-    plan = allocate(n, together, radius)
+def _rows_of(values: DataFrame, plan: list[tuple[list[int], int]]) -> tuple[DataFrame, DataFrame]:
+    """Index and probe rows ``fp, (component,) part, value`` of all fingerprints."""
     index, probes = [], []
     for i, (group, t) in enumerate(plan):
         whole = sum(1 << b for b in group)
@@ -153,14 +154,40 @@ def candidate_links(values: DataFrame, radius: int = 4, hot_values: int = 256) -
         index.append(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(whole))).alias("value")))
         held = index[-1]["value"]
         probes += [F.struct(F.lit(i).alias("part"), held.bitwiseXOR(F.lit(_signed(m))).alias("value")) for m in flips]
-    indexed = values.select("fp", F.explode(F.array(*index)).alias("k")).select("fp", "k.part", "k.value")
-    probing = values.select("fp", F.explode(F.array(*probes)).alias("k")).select("fp", "k.part", "k.value")
+    own = [c for c in ("fp", "component") if c in values.columns]
+    return tuple(values.select(*own, F.explode(F.array(*x)).alias("k")).select(*own, "k.part", "k.value") for x in (index, probes))
+
+
+def _near(a: str, b: str, radius: int):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
+def star_links(values: DataFrame, plan: list[tuple[list[int], int]], radius: int = 4, crowd: int = 16) -> DataFrame | None:
+    """``a, b``: links of fingerprints with the least and the greatest of a crowded partition value; None without a crowd."""
+    indexed, probing = _rows_of(values.select("fp"), plan)
+    crowded = indexed.groupBy("part", "value").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    crowded = cut(crowded.where(F.col("n") > crowd).select("part", "value", F.array("low", "high").alias("ends")))
+    if not crowded.limit(1).count():
+        return None
+    stars = join_smaller(probing, crowded, ["part", "value"], "inner").select(F.col("fp").alias("a"), F.explode("ends").alias("b"))
+    return stars.where((F.col("a") != F.col("b")) & _near("a", "b", radius)).distinct()
 
-    hot = cut(indexed.groupBy("part", "value").agg(F.count("*").alias("held")).where(F.col("held") > hot_values))
+
+def candidate_links(values: DataFrame, radius: int = 4, hot_values: int = 256, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """``a, b`` (a < b): all pairs of distinct fingerprints that differ in at most ``radius`` bits.
+
+    A pair may come back once for each partition that finds it. If ``values`` has a ``component``,
+    these are pairs of different components, given as ``a, b`` of the components.
+    """
+    plan = plan or allocate(*bit_products(values), radius)
+    grouped = "component" in values.columns
+    indexed, probing = _rows_of(values, plan)
     keys = ["part", "value"]
+    held = indexed.groupBy(*keys).agg(F.count("*").alias("held"), *([F.min("component").alias("least"), F.max("component").alias("most")] if grouped else []))
+    hot = cut(held.where(F.col("held") > hot_values))
     if hot.limit(1).count():
         # Bits outside the partition, in radius + 1 groups; one of them is equal in every pair sought.
-        def split(rows: DataFrame) -> DataFrame:
+        def split(rows: DataFrame, probe: bool) -> DataFrame:
             masks = []
             for group, _ in plan:
                 rest = [b for b in range(BITS) if b not in group]
@@ -173,27 +200,51 @@ def candidate_links(values: DataFrame, radius: int = 4, hot_values: int = 256) -
                 for j in range(radius + 1)
             ])
             whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("sub_value")))
-            marked = join_smaller(rows, hot, ["part", "value"], "left")
+            marked = join_smaller(rows, hot, keys, "left")
+            if grouped and probe:  # a value that only the probe's own component holds has nothing to find
+                marked = marked.where(F.col("held").isNull() | (F.col("least") != F.col("component")) | (F.col("most") != F.col("component")))
             marked = marked.withColumn("s", F.explode(F.when(F.col("held").isNull(), whole).otherwise(kept)))
-            return marked.select("fp", "part", "value", "s.sub", "s.sub_value")
+            return marked.select(*rows.columns, "s.sub", "s.sub_value")
+
+        indexed, probing, keys = split(indexed, False), split(probing, True), [*keys, "sub", "sub_value"]
+    names = {"fp": "a", "component": "of_a"}, {"fp": "b", "component": "of_b"}
+    left, right = probing.withColumnsRenamed(names[0]), indexed.withColumnsRenamed(names[1])
+    pairs = left.join(right, [*(left[k] == right[k] for k in keys), F.col("a") < F.col("b"), _near("a", "b", radius), *([F.col("of_a") != F.col("of_b")] if grouped else [])])
+    if grouped:
+        return pairs.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+    return pairs.select("a", "b")
+
+
+def linked(values: DataFrame, radius: int = 4, crowd: int = 16, hot_values: int = 256) -> DataFrame:
+    """``fp, component`` of at least all fingerprints that link to another one; the component is its smallest fingerprint."""
+    plan = allocate(*bit_products(values), radius)
+    stars = star_links(values, plan, radius, crowd)
+    if stars is None:
+        return connected_components(candidate_links(values, radius, hot_values, plan)).withColumnRenamed("node", "fp")
+    first = cut(connected_components(stars).select(F.col("node").alias("fp"), "component"))
+    of_values = cut(join_smaller(values.select("fp"), first, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    merged = cut(connected_components(candidate_links(of_values, radius, hot_values, plan)).select(F.col("node").alias("component"), F.col("component").alias("into")))
+    return join_smaller(of_values, merged, "component", "left").select("fp", F.coalesce("into", "component").alias("component"))
+
 
-        indexed, probing, keys = split(indexed), split(probing), [*keys, "sub", "sub_value"]
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    left, right = probing.withColumnRenamed("fp", "a"), indexed.withColumnRenamed("fp", "b")
-    same = [left[k] == right[k] for k in keys]
-    return left.join(right, [*same, F.col("a") < F.col("b"), near]).select("a", "b")
+#: A fingerprint that more rows hold than this, and than this share of all rows, is looked up by broadcast: at most so many.
+MANY_ROWS, MOST_BROADCAST = 500, 100_000
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of every row."""
     of_docs = cut(fingerprints(docs, size, seed, id_col, text_col))
-    values = cut(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = connected_components(candidate_links(values, radius))
-    merged = values.join(found, values["fp"] == found["node"]).select("fp", "component", "first_id")
+    values = cut(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    total = values.agg(F.sum("n")).first()[0] or 0
+    merged = values.join(linked(values, radius), "fp").select("fp", "component", "first_id")
     least = merged.groupBy("component").agg(F.min("first_id").alias("least_id"))
     merged = merged.join(least, "component").select("fp", "least_id")
-    of_values = values.join(merged, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return of_docs.join(of_values, "fp").select("doc_id", "fp", "component_id")
+    of_values = cut(values.join(merged, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id")))
+    # Fingerprints of very many rows go to the rows, so that these stay spread; there are MOST_BROADCAST at most.
+    many = F.col("n") > max(MANY_ROWS, total // MOST_BROADCAST)
+    hot = F.broadcast(of_values.where(many).drop("n"))
+    rest = of_docs.join(hot, "fp", "left_anti").join(of_values.where(~many).drop("n"), "fp")
+    return of_docs.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str = "fp"):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tamarisk.llm import components, decontamination, simhash, substrings
 from tamarisk.llm.common import cut
@@ -50,6 +51,67 @@ def test_links_are_whole(spark, hot_values):
     assert found == expected
 
 
+def signed(values):
+    return sorted({v - (1 << 64) if v >> 63 else v for v in values})
+
+
+def brute_components(values, radius):
+    parent = {v: v for v in values}
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= radius:
+                low, high = sorted((find(parent, a), find(parent, b)))
+                parent[high] = low
+    return {v: find(parent, v) for v in values}
+
+
+@pytest.mark.parametrize(("crowd", "hot_values"), [(16, 256), (3, 20), (1, 2), (1000, 256)])
+def test_components_of_fingerprints(spark, crowd, hot_values):
+    values = signed(planted(random.Random(7), 200))
+    table = cut(spark.createDataFrame([(v,) for v in values], "fp long"))
+    found = {r["fp"]: r["component"] for r in simhash.linked(table, 4, crowd, hot_values).collect()}
+    assert {v: found.get(v, v) for v in values} == brute_components(values, 4)
+
+
+def test_dense_group_gives_few_links(spark):
+    """Links grow with the members of a dense group, not with their square."""
+    rng, counts = random.Random(11), []
+    for m in (200, 400):
+        centre = rng.getrandbits(64)
+        near = {centre}
+        while len(near) < m:
+            near.add(centre ^ sum(1 << b for b in rng.sample(range(64), 2)))
+        values = signed([*near, *(rng.getrandbits(64) for _ in range(50))])
+        table = cut(spark.createDataFrame([(v,) for v in values], "fp long"))
+        plan = simhash.allocate(*simhash.bit_products(table), 4)
+        stars = cut(simhash.star_links(table, plan))
+        first = components.connected_components(stars).withColumnRenamed("node", "fp")
+        of_values = cut(table.join(first, "fp", "left").selectExpr("fp", "coalesce(component, fp) as component"))
+        counts.append(stars.count() + simhash.candidate_links(of_values, plan=plan).count())
+        assert counts[-1] < 15 * m
+        found = {r["fp"]: r["component"] for r in simhash.linked(table).collect()}
+        assert {v: found.get(v, v) for v in values} == brute_components(values, 4)
+    assert counts[1] < 3 * counts[0]
+
+
+@pytest.mark.parametrize("text", ["", "one", "A b c d e f g", "x " * 70_000, " ".join(str(i % 977) for i in range(66_000)), "é\u00a0z y\tq\x0bw"])
+def test_fingerprint_by_definition(text):
+    """Majority of the XXH64 of all shingles, also beyond one chunk of them."""
+    words = [w for w in re.split("[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+    shingles = [words[i : i + 4] for i in range(len(words) - 3)] or ([words] if words else [])
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    expected = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint(text) == expected
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    """Rows of a fingerprint that very many rows hold are looked up by broadcast, to the same end."""
+    docs = spark.createDataFrame([(i, ["a b c d", "q r s t u", f"w{i} x{i} y{i} z{i}"][min(2, i % 5)]) for i in range(100)] + [(None, "a b c d")], "doc_id long, text string")
+    plain = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "MANY_ROWS", 5)
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == plain
+
+
 def test_thresholds_cover_the_radius():
     rng = np.random.default_rng(2)
     bits = rng.random((500, 64)) < 0.5
