@@ -25,9 +25,12 @@ All of it is DataFrame functions. The benchmark's windows are broadcast after a
 joined by shuffle when they are many. Words are looked for without placeholders only if there
 are items that need it.
 
-Nulls: null texts are empty and match nothing, null ids are left out of the result. Documents
-with the same id are judged together. Repeated item windows give one hit for each diagonal. An empty
-table on either side gives an empty result.
+Nulls: null texts are empty and match nothing; a document with a null id is found like any other,
+an item with a null id is left out. Every row is judged by itself, by a key of id and text: repeated rows count
+once, and of the rows with one id the best hit of each item is returned. Ties of hits are broken by score,
+windows, slots, the first place and the first row of the item. Windows that an item repeats give one hit for each diagonal. Texts of any
+length are read whole, as one row each. Columns beyond id and text are not read, whatever their names. An
+empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,9 +73,9 @@ def plain_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
-def windows(rows: DataFrame, key: str, tokens: str, lengths: list[int]) -> DataFrame:
-    """``key, pos, length, h``: hashes of all windows of the given lengths, by position."""
-    coded = rows.select(key, F.transform(tokens, lambda t: F.xxhash64(t)).alias("codes"))
+def windows(rows: DataFrame, keys: list[str], tokens: str, lengths: list[int]) -> DataFrame:
+    """``keys, pos, length, h``: hashes of all windows of the given lengths, by position."""
+    coded = rows.select(*keys, F.transform(tokens, lambda t: F.xxhash64(t)).alias("codes"))
 
     def hashed(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size("codes") - (n - 1))
@@ -80,7 +83,7 @@ def windows(rows: DataFrame, key: str, tokens: str, lengths: list[int]) -> DataF
 
     parts = [
         coded.where(F.size("codes") >= n).select(
-            key,
+            *keys,
             F.lit(n).alias("length"),
             F.posexplode(hashed(n)).alias("pos", "h"),
         )
@@ -120,7 +123,8 @@ def find_items(
         dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     )
     none = docs.sparkSession.createDataFrame([], found_schema)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = texts.withColumn("doc_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
 
     usable = _item_windows(items, size)
     if usable is None:  # no item has a token
@@ -140,17 +144,23 @@ def find_items(
     if of_exact is None:
         return by_template
     of_exact = cut(of_exact.drop("tokens").withColumn("item_windows", F.count("*").over(of_item)))
-    seen = windows(texts.select("doc_id", plain_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens", _lengths(of_exact))
+    seen = windows(texts.select(*_DOC, plain_tokens(F.col("text")).alias("tokens")), _DOC, "tokens", _lengths(of_exact))
     hits = join_smaller(seen, of_exact, ["h", "length"], "inner")
-    held = hits.groupBy("doc_id", "item_row", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).count()
-    held = held.where(F.col("count") == F.col("item_windows")).groupBy("doc_id", "item_id").agg(F.max("item_windows").alias("item_windows"))
+    held = hits.groupBy(*_DOC, "item_row", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"))
+    held = held.where(F.size("at") == F.col("item_windows")).groupBy("doc_id", "item_id").agg(F.max("item_windows").alias("item_windows"))
     by_words = held.select(
         "doc_id", "item_id", F.col("item_windows").alias("n_windows"), "item_windows", F.lit(1.0).alias("share"),
         F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"),
     )
     # A hit by template tells more of the same pair.
     by_template = cut(by_template)
-    return by_template.union(by_words.join(by_template.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").select(*by_template.columns))
+    told = by_template.select(F.col("doc_id").alias("told_doc"), F.col("item_id").alias("told_item"))
+    fresh = by_words.join(told, F.col("doc_id").eqNullSafe(F.col("told_doc")) & (F.col("item_id") == F.col("told_item")), "left_anti")
+    return by_template.union(fresh.select(*by_template.columns))
+
+
+#: What stands for a row of the documents: its key, and its id for the result.
+_DOC = ["doc_key", "doc_id"]
 
 
 def _lengths(of_items: DataFrame) -> list[int]:
@@ -163,20 +173,21 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame | None:
     lengths = sorted(r["n"] for r in rows.select(F.least(F.size("tokens"), F.lit(size)).alias("n")).distinct().collect())
     if not lengths:
         return None
-    out = windows(rows.withColumnRenamed("row", "item_row"), "item_row", "tokens", lengths).withColumnRenamed("pos", "item_pos")
+    out = windows(rows.withColumnRenamed("row", "item_row"), ["item_row"], "tokens", lengths).withColumnRenamed("pos", "item_pos")
     out = out.join(rows.select(F.col("row").alias("item_row"), "item_id", "tokens"), "item_row")
     return out.where(F.col("length") == F.least(F.size("tokens"), F.lit(size)))
 
 
 def _by_template(texts: DataFrame, items: DataFrame, usable: DataFrame, size: int, min_share: float, max_shift: int, one_value: bool) -> DataFrame:
-    seen = windows(texts.select("doc_id", template_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens", _lengths(usable))
+    seen = windows(texts.select(*_DOC, template_tokens(F.col("text")).alias("tokens")), _DOC, "tokens", _lengths(usable))
     hits = join_smaller(seen, usable.drop("item_at"), ["h", "length"], "inner")
-    diagonals = hits.groupBy("doc_id", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count("*").alias("n"), F.min("item_pos").alias("low"), F.max(F.col("item_pos") + F.col("length")).alias("high"), F.collect_list("item_pos").alias("at")
+    diagonals = hits.groupBy(*_DOC, "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+        F.min("item_pos").alias("low"), F.max(F.col("item_pos") + F.col("length")).alias("high"), F.collect_set("item_pos").alias("at")
     )
+    diagonals = diagonals.withColumn("n", F.size("at"))
     of_rows = usable.groupBy("item_row").agg(F.first("item_id").alias("item_id"), F.first("item_windows").alias("item_windows"), F.first("length").alias("length"), F.first("item_at").alias("item_at"))
-    near = Window.partitionBy("doc_id", "item_row").orderBy("shift").rangeBetween(0, max_shift)
-    banded = diagonals.withColumn("band", F.collect_list(F.struct("n", "shift", "low", "high", "at")).over(near)).select("doc_id", "item_row", "shift", "band")
+    near = Window.partitionBy("doc_key", "item_row").orderBy("shift").rangeBetween(0, max_shift)
+    banded = diagonals.withColumn("band", F.collect_list(F.struct("n", "shift", "low", "high", "at")).over(near)).select(*_DOC, "item_row", "shift", "band")
     banded = join_smaller(banded, cut(of_rows), "item_row", "inner").withColumn("at", F.array_sort(F.array_distinct(F.flatten("band.at"))))
     # Between two starts no further apart than a window is long, all tokens are matched.
     filled = F.flatten(
@@ -184,12 +195,12 @@ def _by_template(texts: DataFrame, items: DataFrame, usable: DataFrame, size: in
     )
     banded = banded.withColumn("n_windows", F.size(F.array_intersect("item_at", filled)).cast("long"))
     likely = banded.where(F.col("n_windows") >= min_share * F.col("item_windows"))
-    likely = cut(likely.select("doc_id", "item_row", "item_id", "item_windows", "shift", "n_windows", F.transform("band", lambda d: d.dropFields("at")).alias("band")))
+    likely = cut(likely.select(*_DOC, "item_row", "item_id", "item_windows", "shift", "n_windows", F.transform("band", lambda d: d.dropFields("at")).alias("band")))
 
     slots = F.regexp_count("item_text", F.lit(r"[\ue000-\ue002]"))
     slotted = items.withColumn("item_text", marked(F.col("item_text"))).where(slots > 0).select(F.col("row").alias("item_row"), "tokens", "item_text")
     judged = _consistent(likely.join(slotted, "item_row"), texts)
-    keys = ["doc_id", "item_row", "shift"]
+    keys = ["doc_key", "item_row", "shift"]
     share = F.col("n_windows") / F.col("item_windows")
     kept = likely.join(judged, keys, "left").withColumn("score", share * F.coalesce("consistent", F.lit(1.0)))
     kept = kept.where(F.col("score") >= min_share)
@@ -209,10 +220,9 @@ def _by_template(texts: DataFrame, items: DataFrame, usable: DataFrame, size: in
 
 def _consistent(slotted: DataFrame, texts: DataFrame) -> DataFrame:
     """For candidates with slots: the share of slots where item and document values stand for each other, and the most values of one item value."""
-    keys = ["doc_id", "item_row", "shift"]
-    slotted = cut(slotted)
-    ids = slotted.select("doc_id").distinct()
-    held = join_smaller(texts, cut(ids), "doc_id", "left_semi")
+    keys = ["doc_key", "item_row", "shift"]
+    slotted = cut(slotted.drop("doc_id"))
+    held = join_smaller(texts, cut(slotted.select("doc_key").distinct()), "doc_key", "left_semi").dropDuplicates(["doc_key"])
 
     def placed(tokens: Column, text: Column) -> Column:
         """Tokens of the marked text with values in their places: markers carry their value."""
@@ -231,14 +241,14 @@ def _consistent(slotted: DataFrame, texts: DataFrame) -> DataFrame:
 
     in_items = slot_table(slotted.select("item_row", "tokens", "item_text").dropDuplicates(["item_row"]), ["item_row"], "tokens", "item_text")
     in_docs = slot_table(
-        held.select("doc_id", template_tokens(F.col("text")).alias("tokens"), marked(F.col("text")).alias("text")), ["doc_id"], "tokens", "text"
+        held.select("doc_key", template_tokens(F.col("text")).alias("tokens"), marked(F.col("text")).alias("text")), ["doc_key"], "tokens", "text"
     )
     # Of the diagonals that pass over a slot, that with the most windows places it.
     wanted = slotted.select(*keys, F.explode("band").alias("d")).join(in_items.withColumnRenamed("value", "item_value"), "item_row")
     wanted = wanted.where((F.col("pos") >= F.col("d.low")) & (F.col("pos") < F.col("d.high")))
     wanted = wanted.groupBy(*keys, "pos", "item_value").agg(F.max_by("d.shift", F.struct("d.n", -F.col("d.shift"))).alias("of_slot"))
     wanted = wanted.withColumn("pos", F.col("pos") + F.col("of_slot"))
-    pairs = wanted.join(in_docs, ["doc_id", "pos"]).groupBy(*keys, "item_value", "value").agg(F.count("*").alias("n"))
+    pairs = wanted.join(in_docs, ["doc_key", "pos"]).groupBy(*keys, "item_value", "value").agg(F.count("*").alias("n"))
     pairs = pairs.withColumn("changed", F.when(F.col("item_value") != F.col("value"), F.col("n")).otherwise(0))
     forth = pairs.groupBy(*keys, "item_value").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("changed").alias("c"))
     back = pairs.groupBy(*keys, "value").agg(F.max("n").alias("most"))

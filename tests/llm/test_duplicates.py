@@ -199,7 +199,7 @@ def test_decontamination(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as h", "3 as pos")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_items(docs, items).collect()}
-    assert set(found) == {(1, 1), (3, 2), (7, 5), (8, 1)}
+    assert set(found) == {(1, 1), (3, 2), (7, 5), (8, 1), (None, 2)}
     assert (found[1, 1]["n_slots"], found[1, 1]["n_changed"]) == (6, 5) and found[8, 1]["n_changed"] == 0
     assert decontamination.find_items(docs.limit(0), items).count() == 0
     assert decontamination.find_items(docs, items.limit(0)).count() == 0
@@ -230,3 +230,75 @@ def test_decontamination_of_short_items(spark):
     items = spark.createDataFrame([(0, "What is 12 + 7?"), (1, "What is the capital of France"), (2, "42 43 44 45 46 47 48 49 50"), (3, "Tom Ben Ann")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, items, wordless=True).collect()}
     assert found == {(0, 0), (1, 1), (2, 1), (3, 2), (6, 3)}
+
+
+def test_decontamination_of_repeated_rows(spark):
+    """Windows of repeated rows, and of different rows with one id, don't add up; the share is never above 1."""
+    words = [f"w{i}" for i in range(32)]
+    item, part = " ".join(words), " ".join(words[:17])  # 10 of 25 windows
+    rows = [(1, part), (1, part), (2, part), (2, " ".join(words[15:])), (3, item), (3, item), (3, item), (None, item), (None, part), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, "What is 2 plus 2"), (None, item)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["share"]) for r in decontamination.find_items(docs, items).collect()}
+    assert found == {(3, 7): (25, 1.0), (None, 7): (25, 1.0)}
+
+
+def brute_windows(item, doc, size=8, least=4):
+    """Most windows of the item on one diagonal, where windows between two matched ones that touch count."""
+    n = min(size, len(item))
+    usable = [i for i in range(len(item) - n + 1) if len(set(item[i : i + n])) >= least]
+    best = 0
+    for shift in range(-len(item), len(doc)):
+        at = [i for i in usable if 0 <= i + shift <= len(doc) - n and doc[i + shift : i + shift + n] == item[i : i + n]]
+        filled = {x for a, b in zip(at, [*at[1:], None]) for x in (range(a, b) if b is not None and b - a <= n else [a])}
+        best = max(best, len(filled & set(usable)))
+    return best, len(usable)
+
+
+def test_decontamination_by_brute_force(spark):
+    """Random plain texts over a few words, with repeats, ties, nulls and empty texts."""
+    rng = random.Random(23)
+    vocabulary = [f"v{c}" for c in "abcdefghijkl"]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 30))] for _ in range(12)]
+    items.append(items[0])
+    docs = []
+    for _ in range(60):
+        item = rng.choice(items)
+        low = rng.randrange(len(item))
+        docs.append([rng.choice(vocabulary) for _ in range(rng.randint(0, 20))] + item[low : low + rng.randint(1, 30)] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 20))])
+    rows = [(i if i % 9 else None, " ".join(d)) for i, d in enumerate(docs)] + [(5, " ".join(docs[5])), (100, None), (101, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    of_items = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(50, None), (51, "")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"]) for r in decontamination.find_items(frame, of_items, max_shift=0).collect()}
+    expected = {}
+    for doc_id, text in rows:
+        doc = (text or "").split()
+        for item_id, item in enumerate(items):
+            best, of = brute_windows(item, doc)
+            if not of:  # word for word
+                whole = any(doc[i : i + len(item)] == item for i in range(len(doc) - len(item) + 1))
+                size = max(1, len(item) - 7)
+                best, of = (size, size) if whole else (0, size)
+            if best >= 0.5 * of and best:
+                expected[doc_id, item_id] = max(expected.get((doc_id, item_id), (0, 0)), (best, of))
+    assert found == expected
+
+
+def test_recall_of_changed_questions(spark):
+    """Questions of all lengths, asked again with other numbers and names, somewhere in a longer text."""
+    rng = random.Random(31)
+    plain = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    names = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank", "Grace", "Heidi"]
+    items, rows = [], []
+    for i in range(80):
+        kinds = [rng.choices("wna", (8, 1, 1))[0] for _ in range(8 + i % 60)]
+        shape = [(k, rng.choice(plain)) for k in kinds]
+        people = rng.sample(names, 8)
+        asked = lambda people, add: " ".join(w if k == "w" else str(len(w) * 7 + add) if k == "n" else f"and {people[len(w)]}" for k, w in shape)  # noqa: B023, E731
+        items.append((i, asked(people, 3)))
+        rest = [" ".join(rng.choices(plain, k=30)) for _ in range(2)]
+        rows += [(i, f"{rest[0]} {asked(people[::-1], 40)} {rest[1]}"), (1000 + i, " ".join(rng.choices(plain, k=60)))]
+    docs = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, spark.createDataFrame(items, "item_id long, text string"), one_value=False).collect()}
+    assert sum((i, i) in found for i in range(80)) >= 0.9 * 80
+    assert not any(doc >= 1000 for doc, _ in found)
