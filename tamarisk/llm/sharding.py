@@ -31,7 +31,7 @@ def interleave_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 2_500,
 ) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, source``."""
     text = text_or_empty(text_col)
