@@ -13,11 +13,13 @@ share is spread over many tasks, and no bucket's paths lie between those of anot
 
 Output: a row for each node with its place in the tree's sequence, its first position id (the
 tokens of its ancestors come before it), its token ids, the interval of its tokens that bear
-loss, and the intervals of the tree's sequence that its tokens attend to besides themselves.
+loss, and the intervals of the tree's sequence that its tokens attend to besides themselves;
+intervals that touch are one.
 
-Nulls: a null text or role is empty, a null conversation id is a conversation of its own, null
-turn numbers come first. Rows of one conversation with equal turn numbers follow in order of role and text;
-repeated rows are repeated turns. An empty table gives an empty result.
+Nulls: a null text or role is empty, a row without a conversation id is a conversation of its own (with
+a null id), so that no number of them has to be gathered; null turn numbers come first. Rows of one conversation with equal turn numbers follow in order of role and text;
+repeated rows are repeated turns. A conversation is gathered whole, at a cost in proportion to its tokens. Columns
+beyond conv_id, turn, role and text are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def _tokenizer(path: str):
 
 #: Nodes of a path that set its range; the driver samples keys of at most so many ids of 32 digits.
 RANGE_NODES = 16
-_NODE = "struct<node: string, role: string, ids: array<int>, loss_from: int, loss_to: int>"
+_NODE = "struct<node: string, role: string, ids: array<int>, loss_from: int, loss_to: int, before: long>"
 
 
 def formatted_turns(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -83,7 +85,8 @@ def formatted_turns(conversations: DataFrame, vocabulary: str | None = None) ->
         "conv_id",
         F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn"),
     )
-    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    gathered = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    gathered = gathered.union(rows.where("conv_id is null").select("conv_id", F.array("turn").alias("turns")))
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _tokenizer(path).encode_batch
@@ -92,26 +95,25 @@ def formatted_turns(conversations: DataFrame, vocabulary: str | None = None) ->
             for turns in batch["turns"]:
                 parts = [part for t in turns for part in turn_parts(t["role"], t["text"])]
                 ids = [e.ids for e in encode(parts, add_special_tokens=False)]
-                so_far, own = b"", []
+                so_far, before, own = b"", 0, []
                 for i, t in enumerate(turns):
                     head, body, foot = ids[3 * i : 3 * i + 3]
                     data = f"{len(t['role'])}:{t['role']}{t['text']}".encode("utf-8", "surrogatepass")
                     so_far = hashlib.blake2b(so_far + data, digest_size=16).digest()
                     loss = (len(head), len(head) + len(body)) if t["role"] == "assistant" else (0, 0)
-                    own.append({"node": so_far.hex(), "role": t["role"], "ids": head + body + foot, "loss_from": loss[0], "loss_to": loss[1]})
+                    own.append({"node": so_far.hex(), "role": t["role"], "ids": head + body + foot, "loss_from": loss[0], "loss_to": loss[1], "before": before})
+                    before += len(head) + len(body) + len(foot)
                 nodes.append(own)
             yield pd.DataFrame({"conv_id": batch["conv_id"], "turns": nodes})
 
     kind = dict(conversations.dtypes)["conv_id"]
     out = map_batches(gathered, tokenise, f"conv_id {kind}, turns array<{_NODE}>")
-    return out.withColumn("conv_key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")))
+    number = F.monotonically_increasing_id().cast("string")
+    return cut(out.withColumn("conv_key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.concat(F.lit("null"), number))))
 
 
-def prefix_trees(turns: DataFrame) -> DataFrame:
-    """The nodes of all trees: ``tree, node, depth, start, length, position, role, ids, loss_from, loss_to, attends``.
-
-    ``start`` is the node's place in its tree's depth-first token sequence.
-    """
+def ordered_paths(turns: DataFrame) -> DataFrame:
+    """Different conversations with their path of nodes, in buckets that are consecutive ranges of the sorted paths."""
     chains = turns.select(
         "conv_key",
         F.transform("turns", lambda t: t["node"]).alias("nodes"),
@@ -122,8 +124,15 @@ def prefix_trees(turns: DataFrame) -> DataFrame:
     paths = paths.select("leaf", "c.*").withColumn("tree", F.col("nodes")[0]).withColumn("path", F.array_join("nodes", ""))
     spark = turns.sparkSession
     ranges = paths.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.substring("path", 1, RANGE_NODES * 32))
-    paths = cut(ranges.withColumn("bucket", F.spark_partition_id()))
+    return cut(ranges.withColumn("bucket", F.spark_partition_id()))
+
+
+def prefix_trees(turns: DataFrame) -> DataFrame:
+    """The nodes of all trees: ``tree, node, depth, start, length, position, role, ids, loss_from, loss_to, attends``.
 
+    ``start`` is the node's place in its tree's depth-first token sequence.
+    """
+    paths = ordered_paths(turns)
     ends = paths.groupBy("tree", "bucket").agg(F.max_by("nodes", "path").alias("last"))
     ends = ends.withColumn("before_bucket", F.lag("last").over(Window.partitionBy("tree").orderBy("bucket"))).drop("last")
     in_bucket = Window.partitionBy("tree", "bucket").orderBy("path")
@@ -141,19 +150,17 @@ def prefix_trees(turns: DataFrame) -> DataFrame:
     sums = sums.select("tree", "bucket", (F.sum("n").over(Window.partitionBy("tree").orderBy("bucket")) - F.col("n")).alias("of_bucket"))
     placed = ordered.join(sums, ["tree", "bucket"]).withColumn("from", F.col("of_bucket") + F.col("in_bucket"))
 
-    own = placed.join(turns.select("conv_key", "turns"), "conv_key").withColumn(
-        "sums", F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
-    )
-    fresh = own.select("tree", "conv_key", "from", "shared", "sums", F.posexplode("turns").alias("at", "t")).where(F.col("at") >= F.col("shared"))
+    own = placed.join(turns.select("conv_key", "turns"), "conv_key").withColumn("skipped", F.get("turns", F.col("shared"))["before"])
+    fresh = own.select("tree", "conv_key", "from", "shared", "skipped", F.posexplode("turns").alias("at", "t")).where(F.col("at") >= F.col("shared"))
     nodes = cut(
         fresh.select(
             "tree",
             "conv_key",
             "t.node",
             (F.col("at") + 1).alias("depth"),
-            (F.col("from") + F.col("sums")[F.col("at")] - F.col("sums")[F.col("shared")]).alias("start"),
+            (F.col("from") + F.col("t.before") - F.col("skipped")).alias("start"),
             F.size("t.ids").cast("long").alias("length"),
-            F.col("sums")[F.col("at")].alias("position"),
+            F.col("t.before").alias("position"),
             "t.role", "t.ids", "t.loss_from", "t.loss_to", "from",
         )
     )
@@ -165,6 +172,13 @@ def prefix_trees(turns: DataFrame) -> DataFrame:
     )
     interval = "array<struct<from: bigint, to: bigint>>"
     none = F.array().cast(interval)
+
+    def joined(so_far, x):  # nodes that follow each other in the sequence are one interval
+        last = F.try_element_at(so_far, F.lit(-1))
+        longer = F.concat(F.slice(so_far, F.lit(1), F.size(so_far) - 1), F.array(F.struct(last["from"].alias("from"), x["to"].alias("to"))))
+        return F.when(last["to"] == x["from"], longer).otherwise(F.concat(so_far, F.array(x)))
+
+    spans = spans.withColumn("above", F.aggregate("above", none, joined))
     before = F.when(F.col("start") > F.col("from"), F.array(F.struct(F.col("from").alias("from"), F.col("start").alias("to")))).otherwise(none)
     return nodes.join(spans, "conv_key", "left").select(
         "tree", "node", "depth", "start", "length", "position", "role", "ids", "loss_from", "loss_to",

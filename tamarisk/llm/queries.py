@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.llm import chat, decontamination, html, language, packing, quality_classifier, quality_rules, sharding, simhash, substrings
-from tamarisk.llm.common import cut, table
+from tamarisk.llm.common import table
 
 
 def _remainder(name: str, n: int):
@@ -60,7 +60,7 @@ HARD_TEXT = "\\### Assistant: </turn> ok"
 def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").withColumn("text", F.lit(HARD_TEXT))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(hard)
-    turns = cut(chat.formatted_turns(rows))
+    turns = chat.formatted_turns(rows)
     return chat.read_back(chat.prefix_trees(turns), turns)
 
 
@@ -109,11 +109,11 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce
 
 _CHAT = r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
-escaped AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') AS safe_text,
+escaped AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') AS safe_text,
   replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS safe_role FROM rows)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(length(coalesce(string_agg(text, '') FILTER (WHERE role = 'assistant'), '')) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('### ' || safe_role || ': ' || safe_text || '</turn>') + 1) AS BIGINT) AS formatted_chars FROM escaped GROUP BY conv_id"""
+  CAST(sum(length('### ' || safe_role || ': ' || safe_text || '</turn>') + 1) AS BIGINT) AS formatted_chars FROM escaped GROUP BY conv_id, lone"""
 
 ORACLE_SQL: dict[str, str] = {"op3_interleaved_shards": _SHARDS, "op4_de_bruijn_substrings": _SUBSTRINGS, "op8_chat_prefix_tree": _CHAT}

@@ -9,7 +9,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tamarisk.llm import chat, html
-from tamarisk.llm.common import cut
 
 TEXT = st.text(alphabet="a\\#</turn>:ht \n", max_size=20)
 
@@ -24,14 +23,16 @@ def test_prefix_tree(spark):
     pytest.importorskip("tokenizers")
     talks = {
         1: ["hi", "hello", "how", "fine"], 2: ["hi", "hello", "why", "because"], 3: ["hi", "hello", "how", "bad"], 4: ["hi"], 5: ["other", "\\### user: </turn>"],
-        6: ["hi", "hello", "how", "fine"], 7: ["hi", "hello", "how"], None: ["nobody", None],
+        6: ["hi", "hello", "how", "fine"], 7: ["hi", "hello", "how"],
     }
     rows = [(i, t, "assistant" if t % 2 else "user", x) for i, texts in talks.items() for t, x in enumerate(texts)] + [(8, None, None, "x"), (9, 0, "user", "dup"), (9, 0, "user", "dup")]
+    rows += [(None, 0, "user", "nobody"), (None, 0, "user", "nobody"), (None, 1, "assistant", None), (None, 0, "user", "hi")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as node", "2 as tree")
-    turns = cut(chat.formatted_turns(frame))
+    turns = chat.formatted_turns(frame)
     trees = chat.prefix_trees(turns)
     nodes = trees.toPandas()
     assert nodes.node.is_unique and len(nodes) == 7 + 2 + 2 + 1 + 2
+    assert max(len(x) for x in nodes.attends) <= 3  # ancestors that follow each other are one interval
     for _, tree in nodes.groupby("tree"):
         tree = tree.sort_values("start")
         assert tree.start.tolist() == [0, *tree.length.cumsum()[:-1]]  # every token once, without a gap
@@ -41,14 +42,15 @@ def test_prefix_tree(spark):
             assert seen == r.position and all(x["to"] <= r.start for x in r.attends)
             covered = sorted(k for k in spans for x in r.attends if x["from"] <= k[0] and k[1] <= x["to"])
             assert sum(b - a for a, b in covered) == seen and len(covered) == r.depth - 1
-    out = {r["conv_id"]: r for r in chat.read_back(trees, turns).collect()}
-    assert len(out) == 10 and out[9]["n_turns"] == 2
+    back = chat.read_back(trees, turns).collect()
+    out = {r["conv_id"]: r for r in back}
+    assert len(back) == 13 and out[9]["n_turns"] == 2 and sorted(r["formatted_chars"] for r in back if r["conv_id"] is None) == [20, 23, 24, 24]
     for i, texts in talks.items():
         said = "".join(f"{'assistant' if t % 2 else 'user'}\n{x or ''}\n" for t, x in enumerate(texts))
         loss = "".join(x or "" for x in texts[1::2])
         assert out[i]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert (out[i]["loss_chars"], out[i]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    empty = cut(chat.formatted_turns(frame.limit(0)))
+    empty = chat.formatted_turns(frame.limit(0))
     assert chat.read_back(chat.prefix_trees(empty), empty).count() == 0
 
 
@@ -57,7 +59,7 @@ def test_prefix_tree_of_a_hot_first_turn(spark):
     pytest.importorskip("tokenizers")
     talks = [["hi", f"second {i}", f"third {j}", "fourth"][: 3 + j % 2] for i in range(300) for j in range(3)]
     rows = [(n, t, "assistant" if t % 2 else "user", x) for n, texts in enumerate(talks) for t, x in enumerate(texts)]
-    turns = cut(chat.formatted_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    turns = chat.formatted_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     trees = chat.prefix_trees(turns)
     nodes = trees.drop("ids").toPandas().sort_values("start")
     assert nodes.node.is_unique and len(nodes) == 1 + 300 + 900 + 300
@@ -69,6 +71,19 @@ def test_prefix_tree_of_a_hot_first_turn(spark):
         assert (out[n]["n_turns"], out[n]["turns_sha256"]) == (len(texts), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_three_shared_turns_spread_over_buckets(spark):
+    """Conversations that share three turns are sorted in many buckets, and a long one costs no more than its turns."""
+    pytest.importorskip("tokenizers")
+    talks = [["system", "hi", "hello", f"question {i}", f"answer {i}"] for i in range(400)] + [[f"turn {i % 7} {i}" for i in range(2_000)]]
+    rows = [(n, t, "assistant" if t % 2 else "user", x) for n, texts in enumerate(talks) for t, x in enumerate(texts)]
+    turns = chat.formatted_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    sizes = chat.ordered_paths(turns).groupBy("bucket").count().collect()
+    assert len(sizes) >= 3 and max(r["count"] for r in sizes) < 250
+    trees = chat.prefix_trees(turns)
+    assert trees.count() == 3 + 800 + 2_000 and trees.select("node").distinct().count() == 2_803
+    assert {r["n_turns"] for r in chat.read_back(trees, turns).collect()} == {5, 2_000}
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav>"
     "<div class='ad'>Buy &amp; go</div><article><h1>Head &amp;&#33;</h1><p><b>First</b> part<br>goes on\n here.<p>Second &lt;one&gt;.</p></article><footer>&copy; me</footer>"
