@@ -5,29 +5,34 @@ k - 1 words). Only edges that start at two or more places matter:
 
 1. *Sieve.* Every edge has a minimiser, the smallest hash of the shorter word windows in it.
    Equal edges have equal minimisers, so edges whose minimiser occurs at one place only are
-   left out. The repeated minimisers are kept in a bit table of fixed size (``sieve_bits``), which
-   is broadcast; a full table lets more edges through but loses none.
-2. *Count.* The edges left go, as packed arrays of hashes, to buckets of the hash. A bucket
+   left out. The repeated minimisers are kept in a bit table of eight bits for each, ``sieve_bits`` (a power
+   of two) at most, which is broadcast; a full table lets more edges through but loses none.
+2. *Hot edges.* Edges that stand at more than ``hot_places`` places (and at more than a millionth
+   of all, so that there are 2 ** 20 at most) are counted by Spark's own aggregation, combined in every task before the shuffle;
+   their list is broadcast, and they are left out of the next step. So no group there grows with a common passage.
+3. *Count.* The edges left go, as packed arrays of hashes, to buckets of the hash. A bucket
    finds the edges that occur twice or more and whether all occurrences have the same word
    before and after; if not, the graph branches there. Equal edges of a block of documents
    are one entry, so a passage that a third of all documents hold is combined before the shuffle.
-3. *Compact.* Back in the source coordinates, consecutive repeated edges without a branch
+4. *Compact.* Back in the source coordinates, consecutive repeated edges without a branch
    between them are one path, named by its first edge and length. A path has the same extent
    wherever it occurs, so a join with the counts of paths confirms each span by a second place.
-4. *Remove.* Every word that a confirmed span covers is taken out.
+5. *Remove.* Every word that a confirmed span covers is taken out.
 
 Hashes: 64 bits compare edges within a bucket, and the bucket comes from a second, independent
 hash. Block numbers come from the input partitions; the input should be read from files (or
 otherwise have a fixed row order), as recomputed partitions must hold the same rows.
 
 Nulls: a null text is empty, a null id is an id like any other. Repeated rows repeat each
-other's windows and lose them all. Texts shorter than ``k`` words stay whole. An empty table
+other's windows and lose them all; rows that tie in id and text get the same result. Texts shorter than ``k`` words stay whole; very long ones are a block
+of their own. Columns beyond id, text and those carried are not read, whatever their names. An empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -138,8 +143,8 @@ def blocks_of(batch: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
         yield batch.iloc[low:]
 
 
-def sieve(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Bit table of the minimisers that stand at two or more places."""
+def sieve(docs: DataFrame, k: int, most_bits: int, hot_places: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bit table of the minimisers that stand at two or more places, the hot ones among them, and the places that make an edge hot."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,7 +152,11 @@ def sieve(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 found, n = Windows(block["text"].tolist(), k).minimisers()
                 yield pd.DataFrame({"a": found.view(np.int64), "n": n})
 
-    counts = map_batches(docs.select("text"), gather, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = cut(map_batches(docs.select("text"), gather, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1"))
+    held, total = counts.agg(F.count("*"), F.sum("n")).first()
+    bits = min(most_bits, max(3, (8 * held).bit_length()))
+    limit = max(hot_places, (total or 0) >> 20)
+    hot = np.sort(np.array([x["a"] for x in counts.where(F.col("n") > limit).select("a").collect()], dtype=np.int64).view(np.uint64))  # 2 ** 20 at most
     segment = max(3, bits - 10)
     places = counts.select(F.col("a").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     places = places.select(F.shiftright("at", segment).alias("segment"), F.col("at").bitwiseAND(F.lit((1 << segment) - 1)).alias("at"))
@@ -161,14 +170,79 @@ def sieve(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     size = (1 << segment) // 8
     for row in places.groupBy("segment").applyInPandas(pack, "segment long, held binary").toLocalIterator():
         table[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["held"], np.uint8)
-    return table
+    return table, hot, limit
+
+
+class Edges:
+    """Edges of a block at the places given, with the words before and after as 32-bit hashes: 0 at a text's border, always a branch."""
+
+    def __init__(self, win: Windows, places: np.ndarray) -> None:
+        k = win.k
+        self.places = places.astype("<u4")
+        self.hashes = rolling(win.words, k, _BASE)[places]
+        self.second = mix(rolling(win.words, k, _BASE_2)[places])
+        short = np.concatenate([[0], (win.words >> np.uint64(32)) | np.uint64(1), [0]]).astype("<u4")
+        starts = np.isin(places, win.starts)
+        ends = np.isin(places + k, np.append(win.starts[1:], len(win.words)))
+        self.before = np.where(starts, 0, short[places]).astype("<u4")
+        self.after = np.where(ends, 0, short[places + k + 1]).astype("<u4")
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """First place, number of the edge at each place, counts, and the least and greatest neighbours of different edges."""
+        _, first, inverse, n = np.unique(self.hashes, return_index=True, return_inverse=True, return_counts=True)
+        least = [np.full(len(first), 0xFFFFFFFF, "<u4"), np.full(len(first), 0xFFFFFFFF, "<u4")]
+        most = [np.zeros(len(first), "<u4"), np.zeros(len(first), "<u4")]
+        for i, x in enumerate((self.before, self.after)):
+            np.minimum.at(least[i], inverse, x)
+            np.maximum.at(most[i], inverse, x)
+        return first, inverse, n, least, most
+
+
+class HotEdges(NamedTuple):
+    hashes: np.ndarray  # sorted
+    second: np.ndarray
+    flags: np.ndarray
+
+    def at(self, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each edge is hot, and its number here."""
+        if not len(self.hashes):
+            return np.zeros(len(edges.hashes), bool), np.zeros(len(edges.hashes), np.int64)
+        number = np.minimum(np.searchsorted(self.hashes, edges.hashes), len(self.hashes) - 1)
+        return (self.hashes[number] == edges.hashes) & (self.second[number] == edges.second), number
+
+
+def hot_edges(docs: DataFrame, k: int, minimisers: np.ndarray, limit: int) -> HotEdges:
+    """Edges that stand at more than ``limit`` places, with their branches; counted by hash, combined in the tasks."""
+    if not len(minimisers):
+        return HotEdges(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast(minimisers)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot = shared.value
+        for batch in batches:
+            for block in blocks_of(batch, k):
+                win = Windows(block["text"].tolist(), k)
+                near = np.minimum(np.searchsorted(hot, win.least), len(hot) - 1)
+                edges = Edges(win, np.nonzero(win.valid & (hot[near] == win.least))[0])
+                first, _, n, least, most = edges.distinct()
+                columns = {"h": edges.hashes[first].view(np.int64), "s": edges.second[first].view(np.int64), "n": n}
+                columns |= {c: x.astype(np.int64) for c, x in zip(("b0", "a0", "b1", "a1"), (*least, *most), strict=True)}
+                yield pd.DataFrame(columns)
+
+    rows = map_batches(docs.select("text"), gather, "h long, s long, n long, b0 long, a0 long, b1 long, a1 long")
+    found = rows.groupBy("h", "s").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("b0", "a0")), *(F.max(c).alias(c) for c in ("b1", "a1")))
+    branch = lambda low, high, bit: F.when((F.col(low) != F.col(high)) | (F.col(low) == 0), bit).otherwise(0)
+    kept = found.where(F.col("n") > limit).select("h", "s", (branch("b0", "b1", 1) + branch("a0", "a1", 2)).alias("flags")).collect()  # 2 ** 20 at most
+    h, second, flags = (np.array([x[c] for x in kept], dtype=np.int64) for c in ("h", "s", "flags"))
+    order = np.argsort(h.view(np.uint64))
+    return HotEdges(h.view(np.uint64)[order], second.view(np.uint64)[order], flags[order].astype(np.uint8))
 
 
 _PACKED = "bucket long, block string, kind string, hashes binary, places binary, before binary, after binary, many binary, ids array<string>, digests array<long>"
 _FOUND = "block string, kind string, places binary, flags binary, hashes binary, before binary, ids array<string>, digests array<long>"
 
 
-def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 27, per_bucket: int = 1_000_000) -> DataFrame:
+def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucket: int = 1_000_000, hot_places: int = 1_000) -> DataFrame:
     """``id, digest, start, n_edges, path``: all nonbranching paths of repeated edges, by document.
 
     ``docs`` has the columns id, digest and text.
@@ -176,8 +250,10 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 27, per_bucke
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(8, size // 6 // per_bucket)
-    table = spark.sparkContext.broadcast(sieve(docs, k, sieve_bits))  # 2 ** sieve_bits / 8 bytes at any size of the input
-    low = np.uint64((1 << sieve_bits) - 1)
+    bit_table, minimisers, limit = sieve(docs, k, sieve_bits, hot_places)
+    low = np.uint64(8 * len(bit_table) - 1)
+    table = spark.sparkContext.broadcast(bit_table)  # 2 ** sieve_bits / 8 bytes at most
+    hot = spark.sparkContext.broadcast(hot_edges(docs, k, minimisers, limit))
 
     def request(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, count = TaskContext.get().partitionId(), 0
@@ -187,31 +263,27 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 27, per_bucke
                 win = Windows(rows["text"].tolist(), k)
                 at = win.least & low
                 passed = win.valid & ((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                places = np.nonzero(passed)[0].astype("<u4")
+                places = np.nonzero(passed)[0]
                 if not len(places):
                     continue
                 name = f"{task}-{count}"
                 count += 1
-                hashes = rolling(win.words, k, _BASE)[places]
-                # The word before and after, 0 at a text's border: always a branch.
-                short = np.concatenate([[0], (win.words >> np.uint64(32)) | np.uint64(1), [0]]).astype("<u4")
-                starts = np.isin(places, win.starts)
-                ends = np.isin(places + k, np.append(win.starts[1:], len(win.words)))
-                before, after = np.where(starts, 0, short[places]).astype("<u4"), np.where(ends, 0, short[places + k + 1]).astype("<u4")
-                _, first, inverse, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                least = [np.full(len(first), 0xFFFFFFFF, "<u4"), np.full(len(first), 0xFFFFFFFF, "<u4")]
-                most = [np.zeros(len(first), "<u4"), np.zeros(len(first), "<u4")]
-                for i, x in enumerate((before, after)):
-                    np.minimum.at(least[i], inverse, x)
-                    np.maximum.at(most[i], inverse, x)
-                sides = [np.where(a == b, a, 0).astype("<u4") for a, b in zip(least, most, strict=True)]
+                edges = Edges(win, places)
+                known, number = hot.value.at(edges)
+                own = {"block": name, "before": b"", "after": b"", "many": b"", "ids": None, "digests": None}
+                out = []
+                if known.any():
+                    out.append({**own, "bucket": hash_of_block(task, count) % n_buckets, "kind": "hot", "hashes": edges.hashes[known].tobytes(), "places": edges.places[known].tobytes(), "many": hot.value.flags[number[known]].tobytes()})
+                    edges = Edges(win, places[~known])
+                first, inverse, n, least, most = edges.distinct()
+                places, hashes = edges.places, edges.hashes
+                sides = [np.where(x == y, x, 0).astype("<u4") for x, y in zip(least, most, strict=True)]
                 copies = np.ones(len(places), bool)
                 copies[first] = False
                 pairs = np.stack([places[copies], places[first[inverse[copies]]]]).astype("<u4")
-                own = {"block": name, "kind": "block", "hashes": win.starts.astype("<i8").tobytes(), "places": pairs.tobytes(), "before": b"", "after": b"", "many": b""}
-                out = [{"bucket": hash_of_block(task, count) % n_buckets, **own, "ids": rows["id"].tolist(), "digests": rows["digest"].tolist()}]
-                second = mix(rolling(win.words, k, _BASE_2)[places[first]])
-                bucket = (second % np.uint64(n_buckets)).astype(np.int64)
+                starts = {"hashes": win.starts.astype("<i8").tobytes(), "places": pairs.tobytes(), "ids": rows["id"].tolist(), "digests": rows["digest"].tolist()}
+                out.append({**own, "bucket": hash_of_block(task, count) % n_buckets, "kind": "block", **starts})
+                bucket = (edges.second[first] % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
                 for b in np.nonzero(np.diff(bounds))[0]:
@@ -228,6 +300,10 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 27, per_bucke
             {"block": r.block, "kind": "block", "places": r.places, "flags": b"", "hashes": b"", "before": r.hashes, "ids": r.ids, "digests": r.digests}
             for r in rows[rows["kind"] == "block"].itertuples()
         ]
+        out += [
+            {"block": r.block, "kind": "edges", "places": r.places, "flags": r.many, "hashes": r.hashes, "before": b"", "ids": None, "digests": None}
+            for r in rows[rows["kind"] == "hot"].itertuples()
+        ]
         edges = rows[rows["kind"] == "edges"]
         if len(edges):
             joined = {c: np.concatenate([np.frombuffer(x, t) for x in edges[c]]) for c, t in (("hashes", "<u8"), ("before", "<u4"), ("after", "<u4"), ("many", "u1"))}
@@ -301,7 +377,7 @@ def confirmed_spans(paths: DataFrame) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, k: int = 35, sieve_bits: int = 27, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 35, sieve_bits: int = 30, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", hot_places: int = 1_000
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, spans`` of every row, and the columns named in ``carry``.
 
@@ -315,7 +391,7 @@ def remove_repeats(
         F.xxhash64(text_or_empty(text_col)).alias("digest"),
         *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry) if c != text_col),
     )
-    spans = confirmed_spans(cut(repeated_paths(keyed.select("id", "digest", text_or_empty("text").alias("text")), k, sieve_bits)))
+    spans = confirmed_spans(cut(repeated_paths(keyed.select("id", "digest", text_or_empty("text").alias("text")), k, sieve_bits, hot_places=hot_places)))
     # Rows of equal id and text hold the same spans.
     spans = spans.groupBy("id", "digest").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("n_edges") + k - 1).alias("n_words"), "n_places"))).alias("spans")

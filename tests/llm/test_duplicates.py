@@ -144,8 +144,8 @@ def brute_removed(texts, k):
     return out
 
 
-@pytest.mark.parametrize(("k", "bits"), [(35, 20), (7, 20), (4, 3)])
-def test_substrings(spark, k, bits):
+@pytest.mark.parametrize(("k", "bits", "hot"), [(35, 20, 1000), (35, 20, 5), (7, 20, 1000), (7, 20, 3), (4, 3, 1000), (4, 3, 1)])
+def test_substrings(spark, k, bits, hot):
     rng = random.Random(k)
     vocabulary = [f"v{i}" for i in range(300)] + ["long" * 40, "é"]
     shared = [[rng.choice(vocabulary) for _ in range(rng.randrange(k - 1, 3 * k))] for _ in range(5)]
@@ -157,11 +157,33 @@ def test_substrings(spark, k, bits):
         texts.append(rng.choice([" ", "\n", " \t"]).join(w for p in parts for w in p))
     texts += [None, "", texts[0], texts[0], "same " * (4 * k), "one two", " ".join(shared[0]) + " tail"]
     docs = spark.createDataFrame([(i if i != 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as id")
-    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs, k, bits).collect()}
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs, k, bits, hot_places=hot).collect()}
     expected = {(i if i != 7 else None): x for i, x in enumerate(brute_removed(texts, k))}
     assert out == expected
 
 
+def test_passage_in_half_of_all_blocks(spark):
+    """A passage that half of all blocks hold is counted in the tasks: its edges are in no bucket."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"{i}-{j}" for j in range(30)) + (f" {passage} tail{i}" if i % 2 else "") for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(30, "doc_id")
+    rows = cut(docs.selectExpr("cast(doc_id as string) as id", "xxhash64(text) as digest", "text"))
+    _, minimisers, limit = substrings.sieve(rows, 35, 20, 50)
+    hot = substrings.hot_edges(rows, 35, minimisers, limit)
+    assert limit == 50 and len(hot.hashes) == 60 - 34
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs, 35, hot_places=50).collect()}
+    assert out == dict(enumerate(brute_removed(texts, 35)))
+
+
+def test_text_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 500)
+    words = [f"w{i}" for i in range(3_000)]
+    texts = [" ".join(words), " ".join(words[700:900]), "one two", " ".join(reversed(words)), " ".join(words[100:140]), " ".join(words[100:140])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs).collect()}
+    assert out == dict(enumerate(brute_removed(texts, 35)))
+
+
 def test_block_without_repeats(spark):
     docs = spark.createDataFrame([(i, " ".join(f"{i}-{j}" for j in range(50))) for i in range(6)], "doc_id long, text string")
     out = substrings.remove_repeats(docs.repartition(3), 35, 3).collect()  # the sieve lets all through
