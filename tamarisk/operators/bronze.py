@@ -24,17 +24,14 @@ def add_lineage(df: DataFrame, source_file: str | Column, era: str, kind: str, n
     })
 
 
-def checksums(spark: SparkSession, *roots: str, most_bytes: int = 1 << 30) -> DataFrame:
+def checksums(spark: SparkSession, *roots: str) -> DataFrame:
     """``stem, dataset_path, suffix, checksum``: digest over the contents of a dataset's files in path order.
 
-    Files beyond ``most_bytes`` count by path, length and time, as contents are read as one value.
+    Contents are read as one value, so a single file beyond Spark's limit for one (2 GiB) is an error.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = files.with_names(reader.load(list(roots)).where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]")))
-    own = F.when(F.col("length") <= most_bytes, F.md5("content")).otherwise(
-        F.md5(F.concat_ws("|", "path", "length", "modificationTime").cast("binary"))
-    )
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", own.alias("h")))), lambda x: x["h"]), "")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", F.md5("content").alias("h")))), lambda x: x["h"]), "")
     return found.groupBy("stem", "dataset_path", "suffix").agg(F.md5(parts.cast("binary")).alias("checksum"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions.geo import distance, utm
 from tamarisk.sources.shared import cut
 
-#: Facilities up to this number are broadcast; more are looked up by grid cell.
+#: Facilities up to this number are broadcast to the households.
 BROADCAST_FACILITIES = 20_000
 
 
@@ -26,39 +26,38 @@ def projected(df: DataFrame, zone: int = 43) -> DataFrame:
 def nearest_facility(households: DataFrame, facilities: DataFrame, radius_km: float = 5.0) -> DataFrame:
     """Nearest facility of each household with its distance in metres and whether it is within the radius.
 
-    Facilities are reference data: after a count they are broadcast, and each household keeps one
-    candidate as it streams by. With more than ``BROADCAST_FACILITIES`` of them, households
-    look into the grid cells around their own, in cells of the radius first and then, for those
-    without a facility that near, in ever wider ones.
+    Households look into the grid cells around their own, in cells of the radius first and then, for
+    those without a facility that near, in ever wider ones; each ring is one join on the cell. Facilities
+    are broadcast in it if they are few, by count. Households whose place is not finite, and all if there is no
+    facility, come back with NULLs.
     """
-    places = projected(points(facilities)).select(F.col("facility_id").alias("f_id"), F.col("x_m").alias("fx"), F.col("y_m").alias("fy"))
-    homes = projected(points(households)).withColumn("_row", F.struct(*households.columns))
-    if places.limit(BROADCAST_FACILITIES + 1).count() <= BROADCAST_FACILITIES:
-        sites = F.broadcast(places.agg(F.collect_list(F.struct("f_id", "fx", "fy")).alias("sites")))  # one row of bounded size
-        near = F.array_min(
-            F.transform("sites", lambda s: F.struct(distance(F.col("x_m"), F.col("y_m"), s["fx"], s["fy"]).alias("d"), s["f_id"].alias("f_id")))
-        )
-        best = homes.crossJoin(sites).withColumn("_best", near)
-        return _result(best, households, radius_km)
-    width = radius_km * 1000
-    left, parts = cut(homes.withColumn("_id", F.monotonically_increasing_id())), []
-    for _ in range(12):  # cells double until every household has found its nearest facility
-        ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    places = cut(projected(points(facilities)).select(F.col("facility_id").alias("f_id"), F.col("x_m").alias("fx"), F.col("y_m").alias("fy")).where(_finite("fx", "fy")))
+    homes = projected(points(households)).select(F.struct(*households.columns).alias("_row"), F.col("x_m"), F.col("y_m"))
+    all_homes = cut(homes.withColumn("_id", F.monotonically_increasing_id()))
+    few = places.limit(BROADCAST_FACILITIES + 1).count() <= BROADCAST_FACILITIES
+    left, parts, width = all_homes.where(_finite("x_m", "y_m")), [], radius_km * 1000
+    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    while not places.isEmpty() and not left.isEmpty():
         around = left.withColumn("_c", ring).withColumns({"cx": F.floor(F.col("x_m") / width) + F.col("_c.i"), "cy": F.floor(F.col("y_m") / width) + F.col("_c.j")})
         cells = places.withColumns({"cx": F.floor(F.col("fx") / width), "cy": F.floor(F.col("fy") / width)})
-        met = around.join(cells, ["cx", "cy"])
+        met = around.join(F.broadcast(cells) if few else cells, ["cx", "cy"])
         d = distance(F.col("x_m"), F.col("y_m"), F.col("fx"), F.col("fy"))
-        best = met.groupBy("_id", "_row").agg(F.min(F.struct(d.alias("d"), F.col("f_id").alias("f_id"))).alias("_best")).where(F.col("_best.d") <= width)
-        best = cut(best)
-        parts.append(best)
-        left = cut(left.join(best.select("_id"), "_id", "left_anti"))
-        if left.isEmpty():
-            break
+        best = met.groupBy("_id").agg(F.min(F.struct(d.alias("d"), F.col("f_id").alias("f_id"))).alias("_best"))
+        parts.append(cut(best.where(F.col("_best.d") <= width)))  # farther ones may have a nearer facility outside these cells
+        left = cut(left.join(parts[-1].select("_id"), "_id", "left_anti"))
         width *= 4
-    out = parts[0]
+    none = places.limit(0).select(F.lit(None).cast("long").alias("_id"), F.struct(F.lit(None).cast("double").alias("d"), "f_id").alias("_best"))
+    best = parts[0] if parts else none
     for part in parts[1:]:
-        out = out.union(part)
-    return _result(out, households, radius_km)
+        best = best.union(part)
+    return _result(all_homes.join(best, "_id", "left"), households, radius_km)
+
+
+def _finite(*names: str):
+    out = F.lit(True)
+    for c in names:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e12)
+    return out
 
 
 def _result(best: DataFrame, households: DataFrame, radius_km: float) -> DataFrame:

@@ -11,9 +11,9 @@ from tamarisk.functions import refdata
 from tamarisk.functions.cleaning import bilingual, province_of
 from tamarisk.functions.numeric import percent, rounded, to_double
 from tamarisk.operators.nutrition import known_keys
-from tamarisk.operators.scd import initial_versions
+from tamarisk.operators.scd import first_by_key, initial_versions
 
-#: Columns of the fact tables, in order.
+#: Columns of the fact tables, in order, and what the rates are of (fixed values).
 CHILD_FACT = (
     "visit_id", "record_id", "household_id", "data_era", "visit_round", "survey_year", "visit_date", "province", "district",
     "union_council", "ses_tier", "urban_rural", "child_age_months", "child_age_group", "child_sex", "haz_score", "waz_score",
@@ -61,11 +61,11 @@ def union_eras(current: DataFrame | None, historical: DataFrame | None) -> DataF
 
 
 def rounds_and_years(df: DataFrame) -> DataFrame:
-    """Round from the survey year if there is no round at all, then 1; year from the visit if there is none at all, then 2022."""
+    """Round from the survey year if no row has a round, then 1; year from the visit if there is no such column, then 2022."""
     names = set(df.columns)
-    flags = [F.count(c).alias(c) if c in names else F.lit(0).alias(c) for c in ("visit_round", "survey_year")]
+    rounds = F.count("visit_round") if "visit_round" in names else F.lit(0)
     first = F.min(to_double("survey_year")).alias("first") if "survey_year" in names else F.lit(None).cast("double").alias("first")
-    df = df.crossJoin(F.broadcast(df.agg(flags[0].alias("_rounds"), flags[1].alias("_years"), first.alias("_first"))))  # one row
+    df = df.crossJoin(F.broadcast(df.agg(rounds.alias("_rounds"), first.alias("_first"))))  # one row
     year = to_double("survey_year") if "survey_year" in names else F.lit(None).cast("double")
     own = to_double("visit_round") if "visit_round" in names else F.lit(None).cast("double")
     derived = F.when(year.isNotNull(), F.greatest(year - F.col("_first") + 1, F.lit(1.0)))
@@ -73,7 +73,7 @@ def rounds_and_years(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "visit_round": F.coalesce(F.when(F.col("_rounds") == 0, derived).otherwise(own), F.lit(1.0)).cast("int"),
         "survey_year": (year if "survey_year" in names else F.coalesce(visit_year, F.lit(2022.0))).cast("int"),
-    }).drop("_rounds", "_years", "_first")
+    }).drop("_rounds", "_first")
 
 
 def keep(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -216,12 +216,14 @@ def legacy_enumerators(records: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def build(silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spark: SparkSession, now: str) -> dict[str, DataFrame]:
-    """All tables of the layer that have a source."""
+    """All tables of the layer that have a source, with columns that hold mostly numbers as such, and the status of all layers."""
     children = child_fact(silver.get("followup_visits"), silver.get("households"), silver.get("2020_child_nutrition"))
     mothers = maternal_fact(silver.get("followup_visits"), silver.get("households"), silver.get("2021_maternal_health"))
+    # Columns that hold mostly numbers become numbers here, before the reports read them.
+    children, mothers = (None if df is None else numeric_columns(df) for df in (children, mothers))
     out: dict[str, DataFrame | None] = {"dim_district": dim_district(spark), "fct_child_nutrition": children, "fct_maternal_health": mothers}
     if "facility_assessments" in silver and "facility_id" in silver["facility_assessments"].columns:
-        out["dim_facility"] = dim_facility(silver["facility_assessments"].dropDuplicates(["facility_id"]))
+        out["dim_facility"] = numeric_columns(dim_facility(first_by_key(silver["facility_assessments"], "facility_id")))
     if children is not None:
         if {"province", "district"} <= set(children.columns):
             out["rpt_district_summary"] = district_report(children, mothers)
@@ -231,4 +233,6 @@ def build(silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spar
     shared = {k: (bronze[k], silver[k]) for k in bronze if k in silver}
     if shared:
         out["rpt_data_quality"] = quality_report(shared)
-    return {k: v for k, v in out.items() if v is not None}
+    tables = {k: v for k, v in out.items() if v is not None}
+    tables["rpt_pipeline_status"] = pipeline_status({"bronze": bronze, "silver": silver, "gold": tables}, now)
+    return tables

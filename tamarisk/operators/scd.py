@@ -109,13 +109,18 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "full_outer").select(key, op.alias("_cdc_op")).where("_cdc_op is not null")
 
 
+#: Rows that one task numbers, about.
+PART_ROWS = 100_000
+
+
 def tag_changes(df: DataFrame, op: str | Column, source: str, now: str, first_sequence: int | None = None) -> DataFrame:
     """CDC columns; with ``first_sequence`` also a gapless ``_cdc_seq`` in partition order."""
     out = df.withColumns({"_cdc_op": F.lit(op) if isinstance(op, str) else op, "_cdc_ts": F.lit(now).cast("timestamp"), "_cdc_source": F.lit(source)})
     if first_sequence is None:
         return out
     # Rows are counted within hash parts, and the parts' counts summed up, so that no task numbers all rows.
-    out = out.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn("_part", F.pmod("_h", F.lit(256)))
+    parts = max(1, df.count() // PART_ROWS)
+    out = out.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn("_part", F.pmod("_h", F.lit(parts)))
     sums = out.groupBy("_part").agg(F.count("*").alias("_n"))
     sums = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     n = F.row_number().over(Window.partitionBy("_part").orderBy("_h"))

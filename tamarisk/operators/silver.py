@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tamarisk.functions import cleaning as C
 from tamarisk.functions import refdata
 from tamarisk.functions.numeric import clamped, null_outside, to_double
-from tamarisk.operators.scd import first_by_key, tag_changes
+from tamarisk.operators.scd import first_by_key, row_hash, snapshot_diff, tag_changes
 
 LINEAGE = ("_source_file", "_source_era", "_source_type", "_ingested_at", "_load_type", "_layer")
 KEYS = ("household_id", "visit_id", "assessment_id", "backcheck_id", "record_id")
+#: Fields and bounds of the survey (fixed values).
 VISIT_FLAGS = ("anemia", "diarrhea_2w", "ari_2w", "fever_2w", "vaccination_full", "currently_pregnant", "anc_4plus", "last_delivery_skilled")
 VISIT_NUMBERS = (
     "child_age_months", "height_cm", "weight_kg", "muac_mm", "haz_score", "waz_score", "whz_score", "hemoglobin_gdl", "maternal_age",
@@ -161,9 +162,60 @@ def clean(name: str, raw: DataFrame) -> DataFrame:
     return JOBS.get(name, clean_generic)(raw.drop(*LINEAGE))
 
 
-def build(bronze: Mapping[str, DataFrame], now: str, known: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All datasets cleaned and tagged: INSERT on the first load of a dataset, then UPDATE."""
-    return {name: tag_changes(clean(name, raw), "UPDATE" if name in known else "INSERT", name, now) for name, raw in bronze.items()}
+CDC = ("_cdc_op", "_cdc_ts", "_cdc_source")
+
+
+def key_of(df: DataFrame) -> str | None:
+    return next((k for k in KEYS if k in df.columns), None)
+
+
+def newest_load(raw: DataFrame) -> DataFrame:
+    """Of the rows with one key those of its last load, as a changed source is appended whole. Rows without a key stay."""
+    names = {}
+    for c in raw.columns:
+        plain = c.strip().lower().replace(" ", "_")
+        names.setdefault(refdata.LEGACY_HEADERS.get(plain, plain), c)
+    key = next((names[k] for k in KEYS if k in names), None)
+    if key is None or "_ingested_at" not in raw.columns:
+        return raw
+    last = raw.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max("_ingested_at").alias("_last"))
+    both = raw.join(last, F.col(f"`{key}`") == F.col("_key"), "left")
+    return both.where(F.col("_last").isNull() | (F.col("_ingested_at") == F.col("_last"))).drop("_key", "_last")
+
+
+def build(bronze: Mapping[str, DataFrame], now: str, previous: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All datasets cleaned and tagged by key against the previous tables.
+
+    Rows of new keys are INSERT, rows that differ UPDATE; rows that are the same keep their tags. Without a
+    previous table all rows are INSERT; without a key all are UPDATE. Keys that have gone are in ``changes``.
+    """
+    out = {}
+    for name, raw in bronze.items():
+        before = (previous or {}).get(name)
+        df = clean(name, raw if before is None else newest_load(raw))
+        key = key_of(df)
+        if before is None or key is None or key not in before.columns:
+            out[name] = tag_changes(df, "INSERT" if before is None else "UPDATE", name, now)
+            continue
+        common = [c for c in df.columns if c in before.columns and c not in CDC]
+        old = first_by_key(before.where(F.col(key).isNotNull()), key)
+        old = old.select(F.col(key).alias("_key"), row_hash(old.select(*common), [key]).alias("_old"), F.col("_cdc_op").alias("_op"), F.col("_cdc_ts").alias("_ts"))
+        both = df.withColumn("_new", row_hash(df.select(*common), [key])).join(old, F.col(key) == F.col("_key"), "left")
+        op = F.when(F.col("_old").isNull(), "INSERT").when(F.col("_old") != F.col("_new"), "UPDATE")
+        tagged = tag_changes(both, F.coalesce(op, F.col("_op")), name, now)
+        out[name] = tagged.withColumn("_cdc_ts", F.when(op.isNull(), F.col("_ts")).otherwise(F.col("_cdc_ts"))).drop("_key", "_old", "_new", "_op", "_ts")
+    return out
+
+
+def changes(before: DataFrame | None, after: DataFrame) -> DataFrame | None:
+    """``key, _cdc_op`` (INSERT, UPDATE or DELETE) of every key that differs between two versions; None without a key."""
+    key = key_of(after)
+    if key is None or (before is not None and key not in before.columns):
+        return None
+    one = lambda df: first_by_key(df.drop(*CDC).where(F.col(key).isNotNull()), key)
+    if before is None:
+        return one(after).select(F.col(key).cast("string").alias("key"), F.lit("INSERT").alias("_cdc_op"))
+    return snapshot_diff(one(before), one(after), key).select(F.col(key).cast("string").alias("key"), "_cdc_op")
 
 
 def quality_issues(raw: DataFrame, name: str = "households") -> DataFrame:

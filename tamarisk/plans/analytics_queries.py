@@ -311,7 +311,7 @@ def _(v):
     return monitoring.backcheck_sample(v("visits")).select("visit_id", "household_id", "visit_date")
 
 
-_RECHECK = "SELECT visit_id, max(height_cm) AS height_cm, max(weight_kg) AS weight_kg FROM children WHERE visit_id % 10 = 1 GROUP BY visit_id"
+_RECHECK = "SELECT visit_id, max(height_cm) AS height_cm, max(weight_kg) AS weight_kg FROM children GROUP BY visit_id"
 
 
 @query(
@@ -321,7 +321,7 @@ _RECHECK = "SELECT visit_id, max(height_cm) AS height_cm, max(weight_kg) AS weig
     FROM (SELECT *, height_cm + (visit_id % 9) / 2e0 - 2e0 AS height_recheck_cm, weight_kg + (visit_id % 3) / 4e0 AS weight_recheck_kg FROM ({_RECHECK}) AS o) AS t""",
 )
 def _(v):
-    originals = v("children").where("visit_id % 10 = 1").groupBy("visit_id").agg(F.max("height_cm").alias("height_cm"), F.max("weight_kg").alias("weight_kg"))
+    originals = v("children").groupBy("visit_id").agg(F.max("height_cm").alias("height_cm"), F.max("weight_kg").alias("weight_kg"))
     checks = originals.selectExpr(
         "visit_id", "height_cm + (visit_id % 9) / 2D - 2D as height_recheck_cm", "weight_kg + (visit_id % 3) / 4D as weight_recheck_kg",
         "case when visit_id % 7 <> 0 then 1 else 0 end as morbidity_match",

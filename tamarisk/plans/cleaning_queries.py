@@ -227,7 +227,10 @@ _HH = f"""SELECT household_id, {district('district')} AS district, {PROVINCE} AS
 HOUSEHOLD_COLUMNS = ("household_id", "district", "province", "has_toilet", "consent_given", "ses_tier", "water_source", "enumerator_id", "respondent_age", "household_size", "gps_latitude", "gps_longitude")
 
 
-@query("sv33_clean_households", f"SELECT * FROM ({_HH}) AS t WHERE consent_given = 1")
+HOUSEHOLD_ROWS = f"SELECT * FROM ({_HH}) AS t WHERE consent_given = 1"
+
+
+@query("sv33_clean_households", HOUSEHOLD_ROWS)
 def _(v):
     out = silver.clean_households(v("raw_households"))
     return out.select(*HOUSEHOLD_COLUMNS, F.to_date("enrollment_date").alias("enrollment_date"))
@@ -237,15 +240,19 @@ _V = "visit_id * 1000 + CAST(l_partkey % 1000 AS INT)"
 _VISITS = f"""SELECT visit_id, district, record_type, CASE WHEN record_type <> 'child' OR height_cm BETWEEN 40 AND 130 THEN height_cm END AS height_cm,
   CASE WHEN abs(haz_score) <= 6 THEN haz_score END AS haz_score, anemia, {CHILD_AGE.format('child_age_months')} AS child_age_group,
   {MOTHER_AGE.format("(CASE WHEN record_type <> 'maternal' OR maternal_age BETWEEN 10 AND 60 THEN maternal_age END)")} AS maternal_age_group FROM one"""
-_ONE = "one AS (SELECT visit_id, min(household_id) AS household_id, min(district) AS district, min(record_type) AS record_type, min(height_cm) AS height_cm, min(haz_score) AS haz_score, max(anemia) AS anemia, min(child_age_months) AS child_age_months, min(maternal_age) AS maternal_age FROM visits GROUP BY visit_id)"
+VISITS_ONCE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY l_extendedprice) AS nth FROM visits) AS t WHERE nth = 1)"
+VISIT_ROWS = _VISITS
+VISIT_COLUMNS = ("visit_id", "district", "record_type", "height_cm", "haz_score", "anemia", "child_age_group", "maternal_age_group")
 
 
-@query("sv34_clean_visits", _VISITS, extra=_ONE)
+@query("sv34_clean_visits", _VISITS, extra=VISITS_ONCE)
 def _(v):
-    cols = {"household_id": F.min, "district": F.min, "record_type": F.min, "height_cm": F.min, "haz_score": F.min, "anemia": F.max, "child_age_months": F.min, "maternal_age": F.min}
-    raw = v("visits").groupBy("visit_id").agg(*[f(c).alias(c) for c, f in cols.items()])
-    raw = raw.withColumns({"anemia": F.when(F.col("anemia") == 1, "Yes").when(F.col("anemia") == 0, "نہیں"), "height_cm": F.col("height_cm").cast("string"), "district": F.upper("district")})
-    return silver.clean_visits(raw).select("visit_id", "district", "record_type", "height_cm", "haz_score", "anemia", "child_age_group", "maternal_age_group")
+    """Visits come several times; the first to be ingested (here: in the order of a price) counts."""
+    raw = v("visits").withColumns({
+        "anemia": F.when(F.col("anemia") == 1, "Yes").when(F.col("anemia") == 0, "نہیں"), "height_cm": F.col("height_cm").cast("string"), "district": F.upper("district"),
+        "_ingested_at": F.timestamp_micros(F.round(F.col("l_extendedprice") * 1000).cast("long")),
+    })
+    return silver.clean_visits(raw).select(*VISIT_COLUMNS)
 
 
 @query("sv35_clean_facilities", "SELECT facility_id AS assessment_id, district, least(readiness_score, 1e2) AS readiness_score, stockout_ors FROM facilities")
@@ -254,9 +261,9 @@ def _(v):
     return silver.clean_facilities(raw.union(raw))
 
 
-@query("sv36_clean_enumerator_log", "SELECT concat('E', lpad(CAST(enumerator_id AS VARCHAR), 3, '0')) AS enumerator_id, CAST(date AS DATE) AS day, CAST(submissions AS DOUBLE) AS submissions, CASE WHEN avg_duration_min BETWEEN 0 AND 480 THEN avg_duration_min END AS avg_duration_min FROM enumerator_performance WHERE enumerator_id < 1000")
+@query("sv36_clean_enumerator_log", "SELECT printf('E%03d', enumerator_id) AS enumerator_id, CAST(date AS DATE) AS day, CAST(submissions AS DOUBLE) AS submissions, CASE WHEN avg_duration_min BETWEEN 0 AND 480 THEN avg_duration_min END AS avg_duration_min FROM enumerator_performance")
 def _(v):
-    raw = v.sql("SELECT concat('enu', CAST(enumerator_id AS STRING)) AS enumerator_id, CAST(date AS STRING) AS date, CAST(submissions AS STRING) AS submissions, avg_duration_min FROM enumerator_performance WHERE enumerator_id < 1000")
+    raw = v.sql("SELECT concat('enu', CAST(enumerator_id AS STRING)) AS enumerator_id, CAST(date AS STRING) AS date, CAST(submissions AS STRING) AS submissions, avg_duration_min FROM enumerator_performance")
     out = silver.clean_enumerator_log(raw)
     return out.select("enumerator_id", F.to_date("date").alias("day"), "submissions", "avg_duration_min")
 
@@ -278,8 +285,20 @@ def _(v):
     return silver.clean_generic(raw)
 
 
-@query("sv39_silver_build", f"SELECT 'households' AS dataset, 'INSERT' AS _cdc_op, count(*) AS n FROM ({_HH}) AS t WHERE consent_given = 1 UNION ALL SELECT 'facilities' AS dataset, 'UPDATE' AS _cdc_op, count(*) AS n FROM facilities")
+@query(
+    "sv39_silver_build",
+    f"""SELECT household_id, op AS _cdc_op, CASE WHEN op <> 'DELETE' THEN household_size END AS household_size FROM (
+      SELECT *, CASE WHEN household_id % 5 = 1 AND household_id % 7 <> 3 THEN 'INSERT' WHEN household_id % 5 <> 1 AND household_id % 7 = 3 THEN 'DELETE'
+        WHEN household_id % 5 <> 1 AND household_id % 7 <> 3 AND household_id % 11 = 2 AND household_size IS NOT NULL THEN 'UPDATE' END AS op FROM ({_HH}) AS h WHERE consent_given = 1) AS t
+    WHERE op IS NOT NULL""",
+)
 def _(v):
-    built = silver.build({"households": v("raw_households"), "facilities": v("facilities")}, "2024-01-01", known=["facilities"])
-    parts = [df.groupBy("_cdc_op").agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), "_cdc_op", "n") for name, df in built.items()]
-    return parts[0].union(parts[1])
+    """Second load: a fifth of the households is new, a seventh is gone, an eleventh has another size."""
+    raw = v("raw_households")
+    first = raw.where("household_id % 5 <> 1").withColumn("household_size", F.when(F.col("household_id") % 11 == 2, F.lit(None)).otherwise(F.col("household_size")))
+    before = silver.build({"households": first}, "2024-01-01")
+    after = silver.build({"households": raw.where("household_id % 7 <> 3")}, "2024-01-02", before)["households"]
+    found = silver.changes(before["households"], after)
+    same = F.col("found._cdc_op").eqNullSafe(F.col("after._cdc_op")) | (F.col("found._cdc_op") == "DELETE")
+    both = found.alias("found").join(after.alias("after"), F.col("key") == F.col("after.household_id").cast("string"), "left").where(same)
+    return both.select(F.col("key").cast("long").alias("household_id"), "found._cdc_op", "after.household_size")

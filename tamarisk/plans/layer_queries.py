@@ -5,29 +5,35 @@ What they write goes to a folder of its own under the session's checkpoint folde
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
-from tamarisk.operators import bronze, gold, serving, silver
-from tamarisk.plans.cleaning_queries import yes_no
+from tamarisk.operators import bronze, pipeline, serving
+from tamarisk.plans.cleaning_queries import HOUSEHOLD_COLUMNS, HOUSEHOLD_ROWS, VISIT_COLUMNS, VISIT_ROWS, VISITS_ONCE
 from tamarisk.plans.registry import query
 from tamarisk.plans.views import Views
 from tamarisk.sources import files, tables
+from tamarisk.sources.shared import checkpoint_dir
 from tamarisk.streaming import submissions as stream
 
 
 def scratch(v: Views) -> str:
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{uuid4().hex}"
+    return f"{checkpoint_dir(v.spark)}/{uuid4().hex}"
 
 
 _CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
 _TYPED = ("cast(c_custkey as long) as c_custkey", "c_name", "cast(c_nationkey as int) as c_nationkey", "cast(c_acctbal as double) as c_acctbal")
 
 
+def _united(parts: list):
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def _round_trip(name: str, fmt: str) -> None:
     @query(name, _CUSTOMERS)
     def _(v):
@@ -49,13 +55,17 @@ def _(v):
     return (files.read(v.spark, f"{root}/customer.parquet") if found is None else found).selectExpr(*_TYPED)
 
 
-@query("io06_read_all", "SELECT 'customer' AS dataset, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
+_NAMED = "SELECT {0} AS dataset, CAST(c_custkey AS BIGINT) AS id, c_name AS name FROM customer UNION ALL SELECT {1}, CAST(n_nationkey AS BIGINT), n_name FROM nation"
+
+
+@query("io06_read_all", _NAMED.format("'customer'", "'nation'") + " UNION ALL SELECT 'orders', o_orderkey, o_orderstatus FROM orders")
 def _(v):
     root = scratch(v)
     for name, fmt in (("customer", "csv"), ("nation", "json"), ("orders", "parquet")):
         files.write(v(name), f"{root}/{name}.{fmt}", fmt)
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("dataset"), "n") for k, df in files.read_all(v.spark, root).items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    columns = {"customer": ("c_custkey", "c_name"), "nation": ("n_nationkey", "n_name"), "orders": ("o_orderkey", "o_orderstatus")}
+    found = files.read_all(v.spark, root)
+    return _united([found[k].select(F.lit(k).alias("dataset"), F.col(a).cast("long").alias("id"), F.col(b).alias("name")) for k, (a, b) in columns.items()])
 
 
 @query("io07_read_by_key", _CUSTOMERS)
@@ -63,21 +73,22 @@ def _(v):
     return files.read(v.spark, f"{v.sf_dir}/customer.parquet", "parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
 
 
-@query("io08_listing")
+@query("io08_listing")  # no SQL: sizes are of files; its test reads the folder
 def _(v):
     found = files.with_names(files.listing(v.spark, v.sf_dir))
     return found.groupBy("stem", "suffix").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-@query("io09_best_sources", "SELECT 'customer' AS stem, 'parquet' AS suffix, 'current' AS era, count(*) AS n FROM customer UNION ALL SELECT 'nation', 'csv', 'historical', count(*) FROM nation")
+@query("io09_best_sources", _NAMED.format("'customer parquet current'", "'nation csv historical'"))
 def _(v):
     root = scratch(v)
     for path, name, fmt in (("current", "customer", "csv"), ("current", "customer", "parquet"), ("historical", "customer", "json"), ("historical", "nation", "csv")):
         files.write(v(name), f"{root}/{path}/{name}.{fmt}", fmt)
     era = F.when(F.col("dataset_path").contains("/historical/"), "historical").otherwise("current")
     rows = files.best_sources(files.with_names(files.listing(v.spark, root)), era).collect()
-    parts = [files.read(v.spark, r["dataset_path"], r["suffix"]).agg(F.count("*").alias("n")).select(F.lit(r["stem"]).alias("stem"), F.lit(r["suffix"]).alias("suffix"), F.lit(r["era"]).alias("era"), "n") for r in rows]
-    return parts[0].union(parts[1])
+    what = lambda r: F.lit(f"{r['stem']} {r['suffix']} {r['era']}").alias("dataset")
+    names = {"customer": ("c_custkey", "c_name"), "nation": ("n_nationkey", "n_name")}
+    return _united([files.read(v.spark, r["dataset_path"], r["suffix"]).select(what(r), F.col(names[r["stem"]][0]).cast("long").alias("id"), F.col(names[r["stem"]][1]).alias("name")) for r in rows])
 
 
 @query("io10_read_first", _CUSTOMERS)
@@ -102,11 +113,10 @@ def _(v):
     return files.read(v.spark, uri, "parquet")
 
 
-@query("io13_all_formats", "SELECT f AS format, n FROM (SELECT count(*) AS n FROM customer) AS t, (VALUES ('csv'), ('parquet'), ('jsonl')) AS k(f)")
+@query("io13_all_formats", f"SELECT f AS format, t.* FROM ({_CUSTOMERS}) AS t, (VALUES ('csv'), ('parquet'), ('jsonl')) AS k(f)")
 def _(v):
     written = files.write_all_formats(v.sql(_CUSTOMERS), scratch(v), "customer")
-    parts = [files.read(v.spark, p, k).agg(F.count("*").alias("n")).select(F.lit(k).alias("format"), "n") for k, p in written.items() if k != "avro"]
-    return parts[0].union(parts[1]).union(parts[2])
+    return _united([files.read(v.spark, p, k).selectExpr(f"'{k}' as format", *_TYPED) for k, p in written.items() if k != "avro"])
 
 
 @query("io14_append", f"{_CUSTOMERS} UNION ALL SELECT c_custkey, c_name, NULL, c_acctbal FROM customer WHERE c_custkey % 10 = 0")
@@ -127,7 +137,7 @@ def _(v):
     url = _database()
     tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 0"), url, "customer", "replace")
     tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 1"), url, "customer", "append")
-    return tables.read(v.spark, url, "customer").selectExpr(*_TYPED)
+    return tables.read(v.spark, url, "customer", "c_custkey").selectExpr(*_TYPED)
 
 
 @query("io16_table_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0")
@@ -135,7 +145,7 @@ def _(v):
     url, rows = _database(), v.sql(_CUSTOMERS)
     tables.load(rows.where("c_custkey % 5 <> 0"), url, "customer", "replace")
     tables.upsert(rows.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("NEW")), url, "customer", "c_custkey")
-    return tables.read(v.spark, url, "customer").selectExpr(*_TYPED)
+    return tables.read(v.spark, url, "customer", "c_custkey").selectExpr(*_TYPED)
 
 
 @query("io17_partitions", "SELECT CAST(coalesce(year(o_orderdate), 2024) AS INT) AS year, CAST(coalesce(month(o_orderdate), 1) AS INT) AS month, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS o_orderdate FROM orders) AS t GROUP BY ALL")
@@ -203,13 +213,14 @@ def _(v):
 
 
 def _raw_files(v: Views) -> str:
+    """Raw files of both eras; each visit once."""
     root = f"{scratch(v)}/raw"
-    for name, view, fmt in (("households", "raw_households", "csv"), ("followup_visits", "visits", "parquet"), ("facility_assessments", "facilities", "json")):
-        df = v(view)
-        if name == "facility_assessments":
-            df = df.withColumnRenamed("visit_round", "assessment_round").withColumn("assessment_id", F.col("facility_id"))
-        files.write(df, f"{root}/current/{name}.{fmt}", fmt)
-    kids = v("children").where("visit_id % 20 = 1").selectExpr("visit_id as child_record_no", "household_id as household_ref", "1998 as year", "district", "stunted as stunted_flag", "muac_mm / 10 as muac_cm")
+    files.write(v("raw_households"), f"{root}/current/households.csv", "csv")
+    once = v.sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY l_extendedprice) AS nth FROM visits) WHERE nth = 1").drop("nth")
+    files.write(once, f"{root}/current/followup_visits.parquet", "parquet")
+    places = v("facilities").withColumnRenamed("visit_round", "assessment_round").withColumn("assessment_id", F.col("facility_id"))
+    files.write(places, f"{root}/current/facility_assessments.json", "json")
+    kids = v("children").selectExpr("visit_id as child_record_no", "household_id as household_ref", "1998 as survey_year", "district", "stunted as stunted_flag", "muac_mm / 10 as muac_cm")
     files.write(kids, f"{root}/historical/2020_child_nutrition.csv", "csv")
     return root
 
@@ -218,61 +229,59 @@ def _no_watermarks(v: Views):
     return v.spark.createDataFrame([], bronze.WATERMARKS)
 
 
-_SETS = "SELECT 'households' AS dataset, count(*) AS n FROM raw_households UNION ALL SELECT 'followup_visits', count(*) FROM visits UNION ALL SELECT 'facility_assessments', count(*) FROM facilities UNION ALL SELECT '2020_child_nutrition', count(*) FROM children WHERE visit_id % 20 = 1"
+_INGESTED = """SELECT 'households' AS dataset, household_id AS id, CASE WHEN respondent_age <> 'nan' THEN respondent_age END AS value FROM raw_households
+  UNION ALL SELECT 'followup_visits', visit_id, district FROM one UNION ALL SELECT 'facility_assessments', facility_id, facility_name FROM facilities
+  UNION ALL SELECT '2020_child_nutrition', visit_id, district FROM children"""
 
 
-def _counts(found: dict):
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("dataset"), "n") for k, df in found.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-@query("bz08_ingest", _SETS)
+@query("bz08_ingest", f"SELECT *, 'full_load' AS _load_type, '2024-01-01' AS day FROM ({_INGESTED}) AS t", extra=VISITS_ONCE)
 def _(v):
     """A second run over unchanged files adds nothing."""
     raw = _raw_files(v)
     root = raw.removesuffix("/raw")
     _, marks = bronze.ingest(v.spark, raw, f"{root}/bronze", _no_watermarks(v), "2024-01-01")
     found, _ = bronze.ingest(v.spark, raw, f"{root}/bronze", marks, "2024-01-02")
-    return _counts(found)
-
+    columns = {"households": ("household_id", "respondent_age"), "followup_visits": ("visit_id", "district"), "facility_assessments": ("facility_id", "facility_name"), "2020_child_nutrition": ("child_record_no", "district")}
+    day = F.date_format("_ingested_at", "yyyy-MM-dd").alias("day")
+    return _united([found[k].select(F.lit(k).alias("dataset"), F.col(i).cast("long").alias("id"), F.col(c).alias("value"), "_load_type", day) for k, (i, c) in columns.items()])
 
-def _layers(v: Views) -> tuple[dict, dict, dict]:
-    raw = _raw_files(v)
-    loaded, _ = bronze.ingest(v.spark, raw, f"{raw}_bronze", _no_watermarks(v), "2024-01-01")
-    cleaned = silver.build(loaded, "2024-01-01")
-    for name, df in cleaned.items():
-        files.write(df, f"{raw}_silver/{name}")
-    cleaned = {name: v.spark.read.parquet(f"{raw}_silver/{name}") for name in cleaned}
-    return loaded, cleaned, gold.build(cleaned, loaded, v.spark, "2024-01-01")
 
-
-_ONCE = "once AS (SELECT DISTINCT visit_id FROM visits)"
-
-
-@query("gd21_gold_build", "SELECT data_era, count(*) AS n FROM (SELECT 'current' AS data_era FROM visits GROUP BY visit_id HAVING min(record_type) = 'child' AND max(record_type) = 'child' UNION ALL SELECT 'historical' FROM (SELECT DISTINCT household_id FROM children WHERE visit_id % 20 = 1) AS h) AS t GROUP BY data_era")
+@query(
+    "gd21_gold_build",
+    """SELECT 'current' AS data_era, CAST(visit_id AS DOUBLE) AS visit_id, household_id, district, province, visit_round, survey_year, CAST(stunted AS DOUBLE) AS stunted, CASE WHEN abs(haz_score) <= 6 THEN haz_score END AS haz_score FROM one WHERE record_type = 'child'
+    UNION ALL SELECT DISTINCT 'historical', NULL, household_id, district, province, 1, 1998, NULL, NULL FROM children""",
+    extra=VISITS_ONCE,
+)
 def _(v):
-    """Child fact rows by era; visits whose repeats differ in type are left out, historical rows are one for each household."""
-    both = v("visits").groupBy("visit_id").agg(F.count_distinct("record_type").alias("k")).where("k = 1").select("visit_id")
-    fact = _layers(v)[2]["fct_child_nutrition"]
-    now = fact.where("data_era = 'current'").join(both, "visit_id", "left_semi").select("data_era")
-    return now.union(fact.where("data_era = 'historical'").select("data_era")).groupBy("data_era").agg(F.count("*").alias("n"))
+    """Rows of the child fact. Historical records are one for each household, whose own measurements aren't shown."""
+    raw = _raw_files(v)
+    fact = pipeline.run(v.spark, raw, raw.removesuffix("/raw"), now="2024-01-01")["gold"]["fct_child_nutrition"]
+    now = F.col("data_era") == "current"
+    return fact.select(
+        "data_era", F.col("visit_id").cast("double").alias("visit_id"), F.col("household_id").cast("long").alias("household_id"),
+        "district", "province", "visit_round", "survey_year", F.when(now, F.col("stunted")).cast("double").alias("stunted"), F.when(now, F.col("haz_score")).alias("haz_score"),
+    )
 
 
-@query("gd22_pipeline", f"SELECT 'raw_households' AS dataset, count(*) AS n FROM raw_households UNION ALL SELECT 'households', count(*) FILTER (WHERE {yes_no('consent_given')} = 1) FROM raw_households UNION ALL SELECT 'followup_visits', count(*) FROM once UNION ALL SELECT 'dim_district', 36", extra=_ONCE)
+@query("gd22_pipeline", HOUSEHOLD_ROWS)
 def _(v):
-    raw, clean, marts = _layers(v)
-    return _counts({"raw_households": raw["households"], "households": clean["households"], "followup_visits": clean["followup_visits"], "dim_district": marts["dim_district"]})
+    """Clean households after a whole run and one of two layers over the same files; the second finds nothing new, and both are in the log."""
+    raw = _raw_files(v)
+    root = raw.removesuffix("/raw")
+    pipeline.run(v.spark, raw, root, now="2024-01-01")
+    out = pipeline.run(v.spark, raw, root, ["bronze", "silver"], now="2024-01-02")["silver"]["households"]
+    runs = pipeline.control(v.spark, root, "runs", bronze.RUNS).where("status = 'success'").count()
+    rows = out.where((F.lit(runs) == 2) & (F.col("_cdc_ts") == F.lit("2024-01-01").cast("timestamp")))
+    return rows.withColumn("household_id", F.col("household_id").cast("long")).select(*HOUSEHOLD_COLUMNS, F.to_date("enrollment_date").alias("enrollment_date"))
 
 
-@query("gd23_one_layer", "SELECT count(*) AS n FROM once", extra=_ONCE)
+@query("gd23_one_layer", VISIT_ROWS, extra=VISITS_ONCE)
 def _(v):
     """Silver alone, from the Bronze that is on disk."""
     raw = _raw_files(v)
-    bronze.ingest(v.spark, raw, f"{raw}_bronze", _no_watermarks(v), "2024-01-01")
-    return silver.clean("followup_visits", v.spark.read.parquet(f"{raw}_bronze/followup_visits")).agg(F.count("*").alias("n"))
+    root = raw.removesuffix("/raw")
+    pipeline.run(v.spark, raw, root, ["bronze"], now="2024-01-01")
+    return pipeline.run(v.spark, raw, root, ["silver"], now="2024-01-02")["silver"]["followup_visits"].select(*VISIT_COLUMNS)
 
 
 @query("ap07_layer_statistics")
@@ -371,11 +380,20 @@ def _(v):
 
 @query(
     "st08_validation",
-    """SELECT valid, count(*) AS n FROM (SELECT household_id % 31 <> 0 AND respondent_age BETWEEN 15 AND 90 AND household_size * 4 BETWEEN 1 AND 30 AS valid FROM households) AS t GROUP BY valid""",
+    """SELECT CAST(household_id AS VARCHAR) AS household_id, household_id % 31 <> 0 AND respondent_age BETWEEN 15 AND 90 AND household_size * 4 BETWEEN 1 AND 30 AS valid,
+    concat_ws('; ', CASE WHEN household_id % 31 = 0 THEN 'respondent_name missing' END, CASE WHEN NOT respondent_age BETWEEN 15 AND 90 THEN 'respondent_age out of range' END,
+      CASE WHEN NOT household_size * 4 BETWEEN 1 AND 30 THEN 'household_size out of range' END) AS errors FROM households""",
 )
 def _(v):
+    """A batch that is run again writes the same rows once."""
     root = scratch(v)
-    writer = stream.validated(_forms(v)).writeStream.foreachBatch(stream.split_valid(f"{root}/valid", f"{root}/quarantine"))
-    stream.run_to_end(writer, f"{root}/checkpoint")
-    parts = [v.spark.read.parquet(f"{root}/{k}").agg(F.count("*").alias("n")).select(F.lit(ok).alias("valid"), "n") for k, ok in (("valid", True), ("quarantine", False))]
-    return parts[0].union(parts[1])
+    split = stream.split_valid(f"{root}/valid", f"{root}/quarantine")
+
+    def twice(batch, batch_id):
+        split(batch, batch_id)
+        split(batch, batch_id)
+
+    stream.run_to_end(stream.validated(_forms(v)).writeStream.foreachBatch(twice), f"{root}/checkpoint")
+    good = v.spark.read.parquet(f"{root}/valid").select("household_id", F.lit(True).alias("valid"), F.lit("").alias("errors"))
+    bad = v.spark.read.parquet(f"{root}/quarantine").select("household_id", F.lit(False).alias("valid"), F.array_join("errors", "; ").alias("errors"))
+    return good.union(bad)

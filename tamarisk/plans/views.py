@@ -69,7 +69,7 @@ VIEWS: dict[str, str] = {
          (l_partkey % 31) / 1e1 AS height_discrepancy_cm, (l_partkey % 7) / 1e1 AS weight_discrepancy_kg,
          CASE WHEN l_partkey % 8 = 0 THEN 0 ELSE 1 END AS morbidity_match,
          CASE WHEN l_partkey % 31 <= 20 AND l_partkey % 7 <= 5 AND l_partkey % 8 <> 0 THEN 1 ELSE 0 END AS overall_pass
-  FROM visits WHERE record_type = 'child' AND visit_id % 10 = 1""",
+  FROM visits WHERE record_type = 'child'""",
     "raw_households": f"""
   SELECT household_id, CASE household_id % {len(_DIRTY)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_DIRTY))} END AS district,
          CASE WHEN household_id % 4 = 0 THEN NULL ELSE province END AS province,
@@ -99,7 +99,7 @@ _NEEDS = {
 
 def with_views(body: str, extra: str = "") -> str:
     """The query with the views that it names in front."""
-    named = [v for v in VIEWS if re.search(rf"\b{v}\b", body + extra)]
+    named = [v for v in VIEWS if re.search(rf"\b{v}\b", f"{body} {extra}")]
     wanted = {x for v in named for x in (*_NEEDS.get(v, ()), v)}
     parts = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in wanted] + ([extra] if extra else [])
     return (f"WITH {', '.join(parts)} " if parts else "") + body

@@ -88,6 +88,50 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def tables_in(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The Parquet table of each folder, by name; columns that came later are NULL in older files."""
+    return {name: spark.read.option("mergeSchema", True).parquet(f"{root}/{name}") for name in folders(spark, root) if name[0] not in "._"}
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table."""
+    names = [name for name in folders(spark, path) if name.startswith("version=")]
+    return [int(name.split("=")[1]) for name in names if exists(spark, f"{path}/{name}/_SUCCESS")]
+
+
+def version_path(path: str, number: int) -> str:
+    return f"{path}/version={number:09d}"
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    done = versions(spark, path)
+    return spark.read.parquet(version_path(path, done[-1])) if done else None
+
+
+def write_version(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Writes the next version beside the old ones, of which the last ``keep`` stay; readers never see half of one."""
+    spark = df.sparkSession
+    done = versions(spark, path)
+    number = done[-1] + 1 if done else 0
+    df.write.mode("overwrite").parquet(version_path(path, number))
+    for old in [*done, number][:-keep]:
+        remove(spark, version_path(path, old))
+    return number
+
+
 def read_first(spark: SparkSession, name: str, roots: Iterable[str]) -> DataFrame | None:
     """The dataset from the first root that has it in any format, best format first."""
     for root in roots:

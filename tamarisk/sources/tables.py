@@ -21,8 +21,15 @@ def load(df: DataFrame, url: str, table: str, if_exists: str = "append", batch_s
         rows.unpersist()
 
 
-def read(spark: SparkSession, url: str, table: str, properties: Mapping[str, str] | None = None) -> DataFrame:
-    return spark.read.jdbc(url, table, properties=dict(properties or {}))
+def read(spark: SparkSession, url: str, table: str, column: str | None = None, partitions: int = 8, properties: Mapping[str, str] | None = None) -> DataFrame:
+    """A table; with a numeric or date ``column`` over so many connections, each with a range of it between its least and greatest value."""
+    properties = dict(properties or {})
+    if column is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    ends = spark.read.jdbc(url, f'(SELECT min("{column}") AS "low", max("{column}") AS "high" FROM {table}) ends', properties=properties).first()
+    if ends["low"] is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, f'"{column}"', str(ends["low"]), str(ends["high"]), partitions, properties=properties)
 
 
 def statement(spark: SparkSession, url: str, *commands: str) -> None:
@@ -35,6 +42,9 @@ def statement(spark: SparkSession, url: str, *commands: str) -> None:
             run.executeUpdate(command)
             run.close()
         link.commit()
+    except Exception:
+        link.rollback()
+        raise
     finally:
         link.close()
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from tamarisk.functions.cleaning import parse_date, yes_no
 from tamarisk.functions.numeric import to_double
 from tamarisk.operators import scd
+from tamarisk.sources import files
 
 #: A landed form, as text.
 FORM = (
@@ -50,13 +51,18 @@ def validated(df: DataFrame) -> DataFrame:
 
 
 def split_valid(valid_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes valid rows and rows with errors to their folders."""
+    """A batch function that writes valid rows and rows with errors to their folders.
+
+    Each batch has a folder of its own there (``batch_id``), which a batch that is run again replaces.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        batch.where(F.size("errors") == 0).drop("errors").write.mode("append").parquet(valid_path)
-        batch.where(F.size("errors") > 0).write.mode("append").parquet(quarantine_path)
-        batch.unpersist()
+        try:
+            batch.where(F.size("errors") == 0).drop("errors").write.mode("overwrite").parquet(f"{valid_path}/batch_id={batch_id}")
+            batch.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
@@ -82,40 +88,54 @@ def short_interviews(df: DataFrame, minutes: str = "interview_duration_min", lim
     return df.where(F.col(minutes) < limit)
 
 
-def upsert_batches(path: str, key: str, order: str, source: str, now: str) -> Callable[[DataFrame, int], None]:
+def upsert_batches(path: str, key: str, order: str, source: str, now: str, buckets: int = 32) -> Callable[[DataFrame, int], None]:
     """A batch function that merges each batch into the table of a folder; the last row of a key by ``order``
     counts, also when files arrive out of order.
 
-    Every batch writes a new version beside the old one and then points to it, so a batch that
-    is run again gives the same table and readers never see half of one.
+    The table is cut into buckets by key. A batch writes the buckets that it touches as a new version beside
+    the old ones, so its cost grows with these, a batch that is run again gives the same table, and readers never
+    see half of one. What two later versions of a bucket stand above is removed. The number of buckets stays as it is for the life of a table.
     """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = current_version(spark, path, before=batch_id)
-        rows = scd.latest_by_key(batch, key, order)
-        if old is None:
-            out = scd.tag_changes(rows, "INSERT", source, now)
-        else:
-            known = old.select(key, F.col(order).alias("_known"))
-            rows = rows.join(known, key, "left").where(F.col("_known").isNull() | (F.col(order) >= F.col("_known"))).drop("_known")
-            out = scd.upsert(old, scd.tag_against(old, rows, key, source, now), key, order)
-        out.write.mode("overwrite").parquet(f"{path}/version={batch_id:09d}")
+        rows = scd.latest_by_key(batch, key, order).persist()
+        try:
+            touched = {r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets`` rows
+            old = current_version(spark, path, batch_id, touched)
+            if old is None:
+                out = scd.tag_changes(rows, "INSERT", source, now)
+            else:
+                known = old.select(key, F.col(order).alias("_known"))
+                newer = rows.join(known, key, "left").where(F.col("_known").isNull() | (F.col(order) >= F.col("_known"))).drop("_known")
+                out = scd.upsert(old, scd.tag_against(old, newer, key, source, now), key, order)
+            out.withColumn("key_bucket", bucket).write.mode("overwrite").partitionBy("key_bucket").parquet(files.version_path(path, batch_id))
+        finally:
+            rows.unpersist()
+        for b, numbers in bucket_versions(spark, path).items():
+            for number in numbers[:-2]:
+                files.remove(spark, f"{files.version_path(path, number)}/key_bucket={b}")
 
     return merge
 
 
-def current_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (older than ``before``, if given)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = sorted(n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-    done = [n for n in done if before is None or int(n.split("=")[1]) < before]
-    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+def bucket_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[int]]:
+    """The complete versions (older than ``before``, if given) that hold each bucket, oldest first."""
+    found: dict[int, list[int]] = {}
+    for number in files.versions(spark, path):
+        if before is None or number < before:
+            for name in files.folders(spark, files.version_path(path, number)):
+                if name.startswith("key_bucket="):
+                    found.setdefault(int(name.split("=")[1]), []).append(number)
+    return found
+
+
+def current_version(spark: SparkSession, path: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """The newest complete version of each bucket (of those named), older than ``before``, if given."""
+    found = bucket_versions(spark, path, before)
+    paths = [f"{files.version_path(path, numbers[-1])}/key_bucket={b}" for b, numbers in sorted(found.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def run_to_end(writer: DataStreamWriter, checkpoint: str) -> None:
