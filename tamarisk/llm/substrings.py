@@ -15,7 +15,7 @@ k - 1 words). Only edges that start at two or more places matter:
    before and after; if not, the graph branches there. Equal edges of a block of documents
    are one entry, so a passage that a third of all documents hold is combined before the shuffle.
 4. *Compact.* Back in the source coordinates, consecutive repeated edges without a branch
-   between them are one path, named by its first edge and length. A path has the same extent
+   between them are one path, named by a digest of its edges and its length. A path has the same extent
    wherever it occurs, so a join with the counts of paths confirms each span by a second place.
 5. *Remove.* Every word that a confirmed span covers is taken out.
 
@@ -238,6 +238,20 @@ def hot_edges(docs: DataFrame, k: int, minimisers: np.ndarray, limit: int) -> Ho
     return HotEdges(h.view(np.uint64)[order], second.view(np.uint64)[order], flags[order].astype(np.uint8))
 
 
+def steps(places: np.ndarray) -> bytes:
+    """Ascending places as differences."""
+    return np.diff(places, prepend=places.dtype.type(0)).astype("<u4").tobytes()
+
+
+def places_of(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "<u4"), dtype=np.uint32)
+
+
+def names_of(hashes: np.ndarray) -> np.ndarray:
+    """Half of a hash, for the digests of paths."""
+    return (hashes >> np.uint64(32)).astype("<u4")
+
+
 _PACKED = "bucket long, block string, kind string, hashes binary, places binary, before binary, after binary, many binary, ids array<string>, digests array<long>"
 _FOUND = "block string, kind string, places binary, flags binary, hashes binary, before binary, ids array<string>, digests array<long>"
 
@@ -273,7 +287,8 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
                 own = {"block": name, "before": b"", "after": b"", "many": b"", "ids": None, "digests": None}
                 out = []
                 if known.any():
-                    out.append({**own, "bucket": hash_of_block(task, count) % n_buckets, "kind": "hot", "hashes": edges.hashes[known].tobytes(), "places": edges.places[known].tobytes(), "many": hot.value.flags[number[known]].tobytes()})
+                    numbers = number[known].astype("<u4").tobytes()
+                    out.append({**own, "bucket": hash_of_block(task, count) % n_buckets, "kind": "hot", "hashes": numbers, "places": steps(edges.places[known])})
                     edges = Edges(win, places[~known])
                 first, inverse, n, least, most = edges.distinct()
                 places, hashes = edges.places, edges.hashes
@@ -283,13 +298,15 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
                 pairs = np.stack([places[copies], places[first[inverse[copies]]]]).astype("<u4")
                 starts = {"hashes": win.starts.astype("<i8").tobytes(), "places": pairs.tobytes(), "ids": rows["id"].tolist(), "digests": rows["digest"].tolist()}
                 out.append({**own, "bucket": hash_of_block(task, count) % n_buckets, "kind": "block", **starts})
+                by_place = np.argsort(first)  # places that follow each other take little room
+                first, n, sides = first[by_place], n[by_place], [x[by_place] for x in sides]
                 bucket = (edges.second[first] % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
                 for b in np.nonzero(np.diff(bounds))[0]:
                     take = order[bounds[b] : bounds[b + 1]]
                     out.append({
-                        "bucket": int(b), "block": name, "kind": "edges", "hashes": hashes[first[take]].tobytes(), "places": places[first[take]].tobytes(),
+                        "bucket": int(b), "block": name, "kind": "edges", "hashes": hashes[first[take]].tobytes(), "places": steps(places[first[take]]),
                         "before": sides[0][take].tobytes(), "after": sides[1][take].tobytes(), "many": (n[take] > 1).astype(np.uint8).tobytes(),
                         "ids": None, "digests": None,
                     })
@@ -301,7 +318,7 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
             for r in rows[rows["kind"] == "block"].itertuples()
         ]
         out += [
-            {"block": r.block, "kind": "edges", "places": r.places, "flags": r.many, "hashes": r.hashes, "before": b"", "ids": None, "digests": None}
+            {"block": r.block, "kind": "hot", "places": r.places, "flags": b"", "hashes": r.hashes, "before": b"", "ids": None, "digests": None}
             for r in rows[rows["kind"] == "hot"].itertuples()
         ]
         edges = rows[rows["kind"] == "edges"]
@@ -321,33 +338,35 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
             twice, of_all = (total > 1)[group], flags[group]
             low_at = 0
             for r in edges.itertuples():
-                places = np.frombuffer(r.places, "<u4")
+                places = places_of(r.places)
                 part = slice(low_at, low_at + len(places))
                 low_at += len(places)
                 kept = twice[part]
                 if kept.any():
                     out.append({
-                        "block": r.block, "kind": "edges", "places": places[kept].tobytes(), "flags": of_all[part][kept].tobytes(),
-                        "hashes": joined["hashes"][part][kept].tobytes(), "before": b"", "ids": None, "digests": None,
+                        "block": r.block, "kind": "edges", "places": steps(places[kept]), "flags": of_all[part][kept].tobytes(),
+                        "hashes": names_of(joined["hashes"][part][kept]).tobytes(), "before": b"", "ids": None, "digests": None,
                     })
         give_back()
         return pd.DataFrame(out, columns=["block", "kind", "places", "flags", "hashes", "before", "ids", "digests"])
 
     def compact(rows: pd.DataFrame) -> pd.DataFrame:
-        edges = rows[rows["kind"] == "edges"]
-        names = ["id", "digest", "start", "n_edges", "path"]
-        if not len(edges):
-            return pd.DataFrame([], columns=names)  # a block whose edges all stand at one place
+        edges, known = rows[rows["kind"] == "edges"], rows[rows["kind"] == "hot"]
+        if not len(edges) + len(known):
+            return pd.DataFrame([], columns=["id", "digest", "start", "n_edges", "path"])  # a block whose edges all stand at one place
         block = rows[rows["kind"] == "block"].iloc[0]
-        places, flags, hashes = (np.concatenate([np.frombuffer(x, t) for x in edges[c]]) for c, t in (("places", "<u4"), ("flags", "u1"), ("hashes", "<u8")))
+        numbers = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in known["hashes"])])
+        places = np.concatenate([*map(places_of, edges["places"]), *map(places_of, known["places"])])
+        flags = np.concatenate([*(np.frombuffer(x, "u1") for x in edges["flags"]), hot.value.flags[numbers]])
+        names = np.concatenate([*(np.frombuffer(x, "<u4") for x in edges["hashes"]), names_of(hot.value.hashes[numbers])])
         order = np.argsort(places)
-        places, flags, hashes = places[order], flags[order], hashes[order]
+        places, flags, names = places[order], flags[order], names[order]
         copies = np.frombuffer(block["places"], "<u4").reshape(2, -1)
         like = np.searchsorted(places, copies[1])  # copies in the block are repeated, and so is the edge sent for them
         places = np.concatenate([places, copies[0]]).astype(np.int64)
-        flags, hashes = np.concatenate([flags, flags[like]]), np.concatenate([hashes, hashes[like]])
+        flags, names = np.concatenate([flags, flags[like]]), np.concatenate([names, names[like]])
         order = np.argsort(places)
-        places, flags, hashes = places[order], flags[order], hashes[order]
+        places, flags, names = places[order], flags[order], names[order]
         starts = np.frombuffer(block["before"], "<i8")
         doc = np.searchsorted(starts, places, side="right") - 1
         new = np.ones(len(places), bool)
@@ -355,9 +374,12 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
         first = np.nonzero(new)[0]
         n_edges = np.diff(np.append(first, len(places)))
         own = doc[first]
+        # A path's digest covers all its edges in order.
+        at = np.arange(len(places)) - np.repeat(first, n_edges)
+        path = np.add.reduceat(mix((names.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)), first)
         return pd.DataFrame({
             "id": np.array(block["ids"], dtype=object)[own], "digest": np.array(block["digests"], dtype=np.int64)[own],
-            "start": places[first] - starts[own], "n_edges": n_edges, "path": hashes[first].view(np.int64),
+            "start": places[first] - starts[own], "n_edges": n_edges, "path": path.view(np.int64),
         })
 
     packed = map_batches(docs, request, _PACKED)
