@@ -143,22 +143,15 @@ def blocks_of(batch: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
         yield batch.iloc[low:]
 
 
-def sieve(docs: DataFrame, k: int, most_bits: int, hot_places: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bit table of the minimisers that stand at two or more places, the hot ones among them, and the places that make an edge hot."""
+def bits_for(held: int, most_bits: int) -> int:
+    """Eight bits of a table for each hash, to the next power of two, at most 2 ** most_bits."""
+    return min(most_bits, max(3, (8 * held).bit_length()))
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block in blocks_of(batch, k):
-                found, n = Windows(block["text"].tolist(), k).minimisers()
-                yield pd.DataFrame({"a": found.view(np.int64), "n": n})
 
-    counts = cut(map_batches(docs.select("text"), gather, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1"))
-    held, total = counts.agg(F.count("*"), F.sum("n")).first()
-    bits = min(most_bits, max(3, (8 * held).bit_length()))
-    limit = max(hot_places, (total or 0) >> 20)
-    hot = np.sort(np.array([x["a"] for x in counts.where(F.col("n") > limit).select("a").collect()], dtype=np.int64).view(np.uint64))  # 2 ** 20 at most
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Table of 2 ** bits bits, set at the low bits of the hashes in column ``a``; packed by Spark in 1,024 segments."""
     segment = max(3, bits - 10)
-    places = counts.select(F.col("a").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    places = hashes.select(F.col("a").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     places = places.select(F.shiftright("at", segment).alias("segment"), F.col("at").bitwiseAND(F.lit((1 << segment) - 1)).alias("at"))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +163,30 @@ def sieve(docs: DataFrame, k: int, most_bits: int, hot_places: int) -> tuple[np.
     size = (1 << segment) // 8
     for row in places.groupBy("segment").applyInPandas(pack, "segment long, held binary").toLocalIterator():
         table[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["held"], np.uint8)
-    return table, hot, limit
+    return table
+
+
+def held_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set."""
+    at = hashes & np.uint64(8 * len(table) - 1)
+    return ((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def sieve(docs: DataFrame, k: int, most_bits: int, hot_places: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bit table of the minimisers that stand at two or more places, the hot ones among them, and the places that make an edge hot."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in blocks_of(batch, k):
+                found, n = Windows(block["text"].tolist(), k).minimisers()
+                yield pd.DataFrame({"a": found.view(np.int64), "n": n})
+
+    counts = cut(map_batches(docs.select("text"), gather, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1"))
+    held, total = counts.agg(F.count("*"), F.sum("n")).first()
+    bits = bits_for(held, most_bits)
+    limit = max(hot_places, (total or 0) >> 20)
+    hot = np.sort(np.array([x["a"] for x in counts.where(F.col("n") > limit).select("a").collect()], dtype=np.int64).view(np.uint64))  # 2 ** 20 at most
+    return bit_table(counts, bits), hot, limit
 
 
 class Edges:
@@ -264,9 +280,8 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(8, size // 6 // per_bucket)
-    bit_table, minimisers, limit = sieve(docs, k, sieve_bits, hot_places)
-    low = np.uint64(8 * len(bit_table) - 1)
-    table = spark.sparkContext.broadcast(bit_table)  # 2 ** sieve_bits / 8 bytes at most
+    bits, minimisers, limit = sieve(docs, k, sieve_bits, hot_places)
+    table = spark.sparkContext.broadcast(bits)  # 2 ** sieve_bits / 8 bytes at most
     hot = spark.sparkContext.broadcast(hot_edges(docs, k, minimisers, limit))
 
     def request(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,8 +290,7 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
         for batch in batches:
             for rows in blocks_of(batch, k):
                 win = Windows(rows["text"].tolist(), k)
-                at = win.least & low
-                passed = win.valid & ((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                passed = win.valid & held_in(held, win.least)
                 places = np.nonzero(passed)[0]
                 if not len(places):
                     continue
@@ -418,7 +432,21 @@ def remove_repeats(
     spans = spans.groupBy("id", "digest").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("n_edges") + k - 1).alias("n_words"), "n_places"))).alias("spans")
     )
-    joined = keyed.join(spans, ["id", "digest"], "left").drop("id", "digest")
+    spans = cut(spans)
+    # Texts without a span need not be moved: a bit table of the digests tells most of them.
+    digests = spans.select(F.col("digest").alias("a"))
+    likely = docs.sparkSession.sparkContext.broadcast(bit_table(digests, bits_for(spans.count(), sieve_bits)))  # 2 ** sieve_bits / 8 bytes at most
+
+    def those(wanted: bool) -> DataFrame:
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = held_in(likely.value, batch["digest"].to_numpy(np.int64).view(np.uint64)) == wanted
+                yield batch[found].reset_index(drop=True)
+
+        return map_batches(keyed, choose, keyed.schema)
+
+    none = F.array().cast("array<struct<start: long, n_words: long, n_places: long>>")
+    moved = those(True).join(spans, ["id", "digest"], "left").drop("id", "digest")
     kind = dict(docs.dtypes)[id_col]
     span = "array<struct<start: long, n_words: long, n_places: long>>"
 
@@ -428,7 +456,7 @@ def remove_repeats(
             for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 words = WORD_RE.findall(text or "")
                 out, low = [], 0
-                for span in [] if spans is None else spans:
+                for span in () if spans is None else spans:
                     out += words[low : max(low, span["start"])]
                     low = max(low, span["start"] + span["n_words"])
                 out += words[low:]
@@ -440,4 +468,6 @@ def remove_repeats(
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, spans {span}"
     schema += "".join(f", carried_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(carry))
-    return map_batches(joined, keep, schema).withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
+    columns = [*(c for c in keyed.columns if c not in ("id", "digest")), "spans"]
+    out = map_batches(moved.select(*columns), keep, schema).union(map_batches(those(False).withColumn("spans", none).select(*columns), keep, schema))
+    return out.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
