@@ -19,11 +19,38 @@ def test_stages_keep_columns_and_shrink(spark):
     assert packed.select("doc_id").distinct().count() == n
 
 
-@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
-def test_odd_rows(spark, stage):
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the same text", "en", "a", 13), (3, "the same text", "en", "a", 13), (None, "the other text", "en", None, 14)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as length", "2 as score")
-    stage(spark, docs, "/root/testdata/sf0.001").collect()
+SCHEMA_ODD = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"long{i} word{i % 977}" for i in range(20_000))
+PLAIN = "Anes in erth to the hahe hare, and the ththedth was on to the is in atreing."
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, PLAIN, "en", "a", 76), (3, PLAIN, "en", "a", 76), (None, "Be lyin is thti oned, en tith oningti heoues the thd.", "en", None, 52),
+    (4, "12 34 !!", "en", "b", 8), (5, LONG, "en", "b", len(LONG)), (6, PLAIN, "en", "b", 76),
+]
+#: What each stage keeps of these rows: ids and numbers of rows, and what is done to the rest.
+KEPT = {
+    "SimHash near-dedup": [1, 3, 4, 5, None],  # the two without a word are one group, and so are the four equal texts
+    "substring dedup": [1, 2, 3, 3, 4, 5, 6, None],  # none repeats 35 words
+    "benchmark decontamination": [1, 2, 3, 3, 4, 5, 6, None],
+}
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_odd_rows(spark, name, stage):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table."""
+    docs = spark.createDataFrame(ODD, SCHEMA_ODD).selectExpr("*", "1 as length", "2 as score", "3 as row_key", "4 as fp", "5 as spans", "6 as digest")
+    rows = stage(spark, docs, "/root/testdata/sf0.001").collect()
+    ids = sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x))
+    if name in KEPT:
+        assert ids == KEPT[name]
+        texts = {r["doc_id"]: r["text"] for r in rows}
+        assert texts[5] == LONG and all(texts[i] == next(o[1] for o in ODD if o[0] == i) for i in texts)
+    elif name == "language ID":
+        assert not {1, 2, 4} & set(ids)  # no letter
+    else:
+        lengths = {}
+        for r in rows:
+            lengths.setdefault((r["doc_id"], r["start"]), []).append(r["length"])
+        assert lengths[1, 0] == lengths[2, 0] == [1] and len(lengths[3, 0]) == 2 and sum(x[0] for (i, _), x in lengths.items() if i == 5) > 40_000
     assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
 
 

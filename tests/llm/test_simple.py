@@ -142,10 +142,53 @@ def test_trees_separate_and_handle_one_class():
     assert quality_classifier.walk(flat, x[:2]).shape == (2,)
 
 
+def plain_walk(trees, row):
+    total = trees.prior
+    for at in trees.roots:
+        while trees.feature[at] >= 0:
+            at = trees.left[at] + int(row[trees.feature[at]] > trees.threshold[at])
+        total += trees.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_flat_trees_by_plain_walk():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 1)  # with ties
+    trees = quality_classifier.grow(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(int), n_trees=25)
+    assert np.allclose(quality_classifier.walk(trees, x), [plain_walk(trees, row) for row in x])
+
+
+def test_first_split_is_the_best_of_all():
+    """The histogram split of one tree of depth one has the highest gain of all cuts between values."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 20, size=(200, 3)).astype(float), rng.integers(0, 2, 200)
+    y[x[:, 1] > 12] = 1
+    trees = quality_classifier.grow(x, y, n_trees=1, depth=1)
+    share = y.mean()
+    gradient, weight = y - share, np.full(len(y), share * (1 - share))
+
+    def gain(low):
+        sides = [(gradient[m].sum(), weight[m].sum()) for m in (low, ~low)]
+        return sum(g * g / (h + 1) for g, h in sides) - gradient.sum() ** 2 / (weight.sum() + 1)
+
+    cuts = {(j, c): gain(x[:, j] <= c) for j in range(3) for c in np.unique(x[:, j])[:-1] if 10 <= (x[:, j] <= c).sum() <= len(x) - 10}
+    found = gain(x[:, trees.feature[0]] <= trees.threshold[0])
+    assert np.isclose(found, max(cuts.values()))
+
+
+def test_classifier_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    learned = "crc32(cast(cast(doc_id as string) as binary)) % 5 != 0"
+    trees = quality_classifier.fit(docs.selectExpr("doc_id as id", "text as body", "'x' as quality"), labels.where(learned), id_col="id", text_col="body")
+    rest = quality_classifier.score(docs, trees).join(labels.where(f"not {learned}"), "doc_id").collect()
+    assert len(rest) > 30 and sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in rest) >= 0.95 * len(rest)
+
+
 def test_classifier_odd_rows(spark, odd):
     trees = quality_classifier.grow(np.zeros((0, len(quality_classifier.STATS))), np.zeros(0))
     out = quality_classifier.score(odd, trees).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out)
+    assert quality_classifier.score(odd.limit(0), trees).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -198,6 +241,24 @@ def test_shards(spark, odd):
     assert sharding.interleave_shards(odd.limit(0), 3).count() == 0
 
 
+def test_shards_of_rows_without_an_id(spark):
+    """They are shuffled by their texts, repeated rows tie, and every law holds as before."""
+    docs = spark.range(600).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 200) as text", "cast(null as string) as source", "'x' as key", "1 as slot")
+    out = sharding.interleave_shards(docs, 7, rows_per_bucket=50).toPandas()
+    sizes = out.groupby("shard").size()
+    assert sizes.sum() == 600 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+    in_order = out.sort_values(["shard", "slot"]).text_crc32.tolist()
+    assert in_order != sorted(in_order) and len(set(in_order[:150])) > 40
+
+
+def test_many_languages():
+    """Labels beyond 127 don't wrap."""
+    scores = np.zeros((5, 200), np.float32)
+    scores[:, 150] = 9
+    assert language.best_paths(scores, np.array([3, 2]), 1.0).tolist() == [150] * 5
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plan_is_best_fit_decreasing(histogram):
