@@ -73,6 +73,8 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+#: Conversations that are tokenised together.
+SLICE = 100
 #: Nodes of a path that set its range; the driver samples keys of at most so many ids of 32 digits.
 RANGE_NODES = 16
 _NODE = "struct<node: string, role: string, ids: array<int>, loss_from: int, loss_to: int, before: long>"
@@ -89,22 +91,28 @@ def formatted_turns(conversations: DataFrame, vocabulary: str | None = None) ->
     gathered = gathered.union(rows.where("conv_id is null").select("conv_id", F.array("turn").alias("turns")))
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _tokenizer(path).encode_batch
-        for batch in batches:
+        encode_batch = _tokenizer(path).encode_batch
+        encode = lambda texts: (e.ids for e in encode_batch(texts, add_special_tokens=False))
+        heads: dict[str, list[int]] = {}  # few roles, each written again and again
+        for batch in (whole.iloc[low : low + SLICE] for whole in batches for low in range(0, len(whole), SLICE)):
             nodes = []
+            new = sorted({t["role"] for turns in batch["turns"] for t in turns} - heads.keys())
+            if len(heads) > 10_000:
+                heads, new = {}, sorted({t["role"] for turns in batch["turns"] for t in turns})
+            heads.update(zip(new, encode([turn_parts(role, "")[0] for role in new]), strict=True))
+            bodies = encode([turn_parts("", t["text"])[1] for turns in batch["turns"] for t in turns])
+            (foot,) = encode([turn_parts("", "")[2]])
             for turns in batch["turns"]:
-                parts = [part for t in turns for part in turn_parts(t["role"], t["text"])]
-                ids = [e.ids for e in encode(parts, add_special_tokens=False)]
                 so_far, before, own = b"", 0, []
-                for i, t in enumerate(turns):
-                    head, body, foot = ids[3 * i : 3 * i + 3]
+                for t in turns:
+                    head, body = heads[t["role"]], next(bodies)
                     data = f"{len(t['role'])}:{t['role']}{t['text']}".encode("utf-8", "surrogatepass")
                     so_far = hashlib.blake2b(so_far + data, digest_size=16).digest()
                     loss = (len(head), len(head) + len(body)) if t["role"] == "assistant" else (0, 0)
                     own.append({"node": so_far.hex(), "role": t["role"], "ids": head + body + foot, "loss_from": loss[0], "loss_to": loss[1], "before": before})
                     before += len(head) + len(body) + len(foot)
                 nodes.append(own)
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "turns": nodes})
+            yield pd.DataFrame({"conv_id": batch["conv_id"].values, "turns": nodes})
 
     kind = dict(conversations.dtypes)["conv_id"]
     out = map_batches(gathered, tokenise, f"conv_id {kind}, turns array<{_NODE}>")
@@ -196,13 +204,15 @@ def read_back(trees: DataFrame, turns: DataFrame, vocabulary: str | None = None)
     )
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = _tokenizer(path).decode_batch
-        for batch in batches:
+        decode_batch = _tokenizer(path).decode_batch
+        decode = lambda ids: iter(decode_batch([x.tolist() for x in ids], skip_special_tokens=False)) if ids else iter(())
+        for batch in (whole.iloc[low : low + SLICE] for whole in batches for low in range(0, len(whole), SLICE)):
             rows = []
+            texts = decode([p["ids"] for parts in batch["parts"] for p in parts])
+            masked = decode([p["ids"][p["loss_from"] : p["loss_to"]] for parts in batch["parts"] for p in parts if p["loss_to"]])
             for parts in batch["parts"]:
-                whole = "".join(decode([list(p["ids"]) for p in parts], skip_special_tokens=False))
-                masked = [list(p["ids"][p["loss_from"] : p["loss_to"]]) for p in parts if p["loss_to"]]
-                loss = "".join(map(unescape, decode(masked, skip_special_tokens=False))) if masked else ""
+                whole = "".join(next(texts) for _ in parts)
+                loss = "".join(unescape(next(masked)) for p in parts if p["loss_to"])
                 read = parse(whole)
                 said = "".join(f"{role}\n{text}\n" for role, text in read)
                 rows.append((len(read), _sha(said), len(loss), _sha(loss), len(whole)))
