@@ -80,6 +80,7 @@ LEGACY_HEADERS = {
 }
 
 PROVINCE_OF = {name: province for name, province, *_ in DISTRICTS}
+#: Kinds of facilities (fixed values).
 FACILITY_KINDS = ("DHQ", "RHC", "BHU")
 
 

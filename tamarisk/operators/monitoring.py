@@ -26,9 +26,12 @@ def enumerator_summary(perf: DataFrame, keys: tuple[str, ...] = ("enumerator_id"
 
 def detect_anomalies(visits: DataFrame, shortest: float = 10) -> DataFrame:
     """Short interviews and repeated visits of a household on a day, one row for each visit id; short comes first."""
-    same = F.count("*").over(Window.partitionBy("household_id", "visit_date", "record_type"))
+    keys = ("household_id", "visit_date", "record_type")  # missing ones are equal to each other
+    # Counts are combined before the shuffle, so that no task gathers all rows without keys.
+    same = visits.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_same")).where("_same > 1")
+    both = visits.join(same, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
     kind = F.when(F.col("interview_duration_min") < shortest, "short_interview").when(F.col("_same") > 1, "duplicate_visit")
-    found = visits.withColumn("_same", same).withColumn("anomaly_type", kind).where("anomaly_type is not null")
+    found = both.withColumn("anomaly_type", kind).where("anomaly_type is not null")
     first = F.min_by(
         F.struct("household_id", "enumerator_id", "visit_date", "anomaly_type"),
         F.struct(F.when(F.col("anomaly_type") == "short_interview", 0).otherwise(1), "household_id", "enumerator_id", "visit_date"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.functions.numeric import rounded, to_double
 
-#: Result name and source column of the child indicators.
+#: Result name and source column of the child indicators (fixed values).
 INDICATORS = {
     "stunting_rate": "stunted", "wasting_rate": "wasted", "underweight_rate": "underweight", "severe_stunting": "severe_stunted",
     "severe_wasting": "severe_wasted", "anemia_rate": "anemia", "diarrhea_rate": "diarrhea_2w", "ari_rate": "ari_2w",

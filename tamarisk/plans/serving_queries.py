@@ -26,9 +26,15 @@ def _(v):
     return serving.fields(v("households"), ["household_id", "district", "unknown"])
 
 
-@query("ap04_tool_schema", "SELECT * FROM (VALUES ('event_id', 'Event Id', 'int'), ('ts', 'Ts', 'datetime'), ('user_id', 'User Id', 'int'), ('event_type', 'Event Type', 'string'), ('value', 'Value', 'float'), ('props', 'Props', 'string')) AS t(id, alias, type)")
+_EVENT_SCHEMA = (("event_id", "Event Id", "int"), ("ts", "Ts", "datetime"), ("user_id", "User Id", "int"), ("event_type", "Event Type", "string"), ("value", "Value", "float"), ("props", "Props", "string"))
+
+
+@query("ap04_tool_schema", " UNION ALL ".join(f"SELECT '{c}' AS id, '{alias}' AS alias, '{kind}' AS type, count({c}) AS n_filled FROM events" for c, alias, kind in _EVENT_SCHEMA))
 def _(v):
-    return serving.tool_schema(v("events"))
+    """The schema with the number of values of each column."""
+    events = v("events")
+    filled = events.agg(*[F.count(c).alias(c) for c in events.columns]).unpivot([], events.columns, "id", "n_filled")
+    return serving.tool_schema(events).join(filled, "id")
 
 
 @query("ap05_plain", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, value FROM events")

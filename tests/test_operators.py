@@ -38,6 +38,12 @@ def test_anomalies_one_row_a_visit(spark):
     assert {r["visit_id"]: r["anomaly_type"] for r in monitoring.detect_anomalies(df).collect()} == {1: "short_interview", 2: "duplicate_visit"}
 
 
+def test_anomalies_without_keys(spark):
+    rows = [(1, None, 1, None, "child", 30), (2, None, 1, None, "child", 30), (3, 8, 1, None, "child", 30)]
+    df = spark.createDataFrame(rows, "visit_id int, household_id int, enumerator_id int, visit_date string, record_type string, interview_duration_min int")
+    assert {r["visit_id"]: r["anomaly_type"] for r in monitoring.detect_anomalies(df).collect()} == {1: "duplicate_visit", 2: "duplicate_visit"}
+
+
 def scd_rows(df):
     return sorted((r["id"], r["x"], r["_scd_version"], r["_scd_is_current"], r["_scd_effective_to"]) for r in df.collect())
 
