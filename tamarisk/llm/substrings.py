@@ -14,9 +14,11 @@ k - 1 words). Only edges that start at two or more places matter:
    finds the edges that occur twice or more and whether all occurrences have the same word
    before and after; if not, the graph branches there. Equal edges of a block of documents
    are one entry, so a passage that a third of all documents hold is combined before the shuffle.
-4. *Compact.* Back in the source coordinates, consecutive repeated edges without a branch
-   between them are one path, named by a digest of its edges and its length. A path has the same extent
-   wherever it occurs, so a join with the counts of paths confirms each span by a second place.
+4. *Compact.* Consecutive repeated edges without a branch between them make fragments, which end at a
+   branch or where the next edge's hash says so (about every ``FRAGMENT`` edges), alike wherever they
+   occur. Different fragments are nodes, each with the one before it; joins that double the step find the head of each
+   nonbranching path and the distance to it. Back in the source coordinates, fragments of one path at one place are one span, and a
+   join with the number of places of its path and length confirms it by a second one.
 5. *Remove.* Every word that a confirmed span covers is taken out.
 
 Hashes: 64 bits compare edges within a bucket, and the bucket comes from a second, independent
@@ -46,6 +48,8 @@ _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 _BASE, _BASE_2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 _TAILS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _LONG = 64
+#: A fragment ends before an edge whose hash is a multiple of this.
+FRAGMENT = 128
 #: Windows that a block of documents holds at most.
 BLOCK = 1 << 18
 
@@ -131,11 +135,11 @@ class Windows:
         return np.unique(self.anchors[chosen], return_counts=True)
 
 
-def blocks_of(batch: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
-    """Rows of a batch in groups of about ``BLOCK`` words; one longer text is a group of its own."""
+def blocks_of(batch: pd.DataFrame, most_words: int) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in groups of about ``most_words`` words; one longer text is a group of its own."""
     low, held = 0, 0
     for at, size in enumerate(batch["text"].str.len()):
-        if held and held + size // 6 > BLOCK:
+        if held and held + size // 6 > most_words:
             yield batch.iloc[low:at]
             low, held = at, 0
         held += size // 6
@@ -177,7 +181,7 @@ def sieve(docs: DataFrame, k: int, most_bits: int, hot_places: int) -> tuple[np.
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for block in blocks_of(batch, k):
+            for block in blocks_of(batch, BLOCK):
                 found, n = Windows(block["text"].tolist(), k).minimisers()
                 yield pd.DataFrame({"a": found.view(np.int64), "n": n})
 
@@ -236,7 +240,7 @@ def hot_edges(docs: DataFrame, k: int, minimisers: np.ndarray, limit: int) -> Ho
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot = shared.value
         for batch in batches:
-            for block in blocks_of(batch, k):
+            for block in blocks_of(batch, BLOCK):
                 win = Windows(block["text"].tolist(), k)
                 near = np.minimum(np.searchsorted(hot, win.least), len(hot) - 1)
                 edges = Edges(win, np.nonzero(win.valid & (hot[near] == win.least))[0])
@@ -272,8 +276,10 @@ _PACKED = "bucket long, block string, kind string, hashes binary, places binary,
 _FOUND = "block string, kind string, places binary, flags binary, hashes binary, before binary, ids array<string>, digests array<long>"
 
 
-def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucket: int = 1_000_000, hot_places: int = 1_000) -> DataFrame:
-    """``id, digest, start, n_edges, path``: all nonbranching paths of repeated edges, by document.
+def repeated_fragments(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucket: int = 1_000_000, hot_places: int = 1_000) -> DataFrame:
+    """``id, digest, start, n_edges, path, before, n_before``: nonbranching fragments of repeated edges, by document.
+
+    ``path`` is the digest of a fragment, ``before`` that of the fragment which always stands before it (0: none).
 
     ``docs`` has the columns id, digest and text.
     """
@@ -288,7 +294,7 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
         task, count = TaskContext.get().partitionId(), 0
         held = table.value
         for batch in batches:
-            for rows in blocks_of(batch, k):
+            for rows in blocks_of(batch, BLOCK):
                 win = Windows(rows["text"].tolist(), k)
                 passed = win.valid & held_in(held, win.least)
                 places = np.nonzero(passed)[0]
@@ -364,10 +370,10 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
         give_back()
         return pd.DataFrame(out, columns=["block", "kind", "places", "flags", "hashes", "before", "ids", "digests"])
 
-    def compact(rows: pd.DataFrame) -> pd.DataFrame:
+    def fragments(rows: pd.DataFrame) -> pd.DataFrame:
         edges, known = rows[rows["kind"] == "edges"], rows[rows["kind"] == "hot"]
         if not len(edges) + len(known):
-            return pd.DataFrame([], columns=["id", "digest", "start", "n_edges", "path"])  # a block whose edges all stand at one place
+            return pd.DataFrame([], columns=["id", "digest", "start", "n_edges", "path", "before", "n_before"])  # a block whose edges all stand at one place
         block = rows[rows["kind"] == "block"].iloc[0]
         numbers = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in known["hashes"])])
         places = np.concatenate([*map(places_of, edges["places"]), *map(places_of, known["places"])])
@@ -383,33 +389,58 @@ def repeated_paths(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_bucke
         places, flags, names = places[order], flags[order], names[order]
         starts = np.frombuffer(block["before"], "<i8")
         doc = np.searchsorted(starts, places, side="right") - 1
-        new = np.ones(len(places), bool)
+        new = np.ones(len(places), bool)  # nothing before, or a branch
         new[1:] = (np.diff(places) != 1) | (np.diff(doc) != 0) | ((flags[1:] & 1) > 0) | ((flags[:-1] & 2) > 0)
-        first = np.nonzero(new)[0]
+        first = np.nonzero(new | (names % FRAGMENT == 0))[0]
         n_edges = np.diff(np.append(first, len(places)))
         own = doc[first]
-        # A path's digest covers all its edges in order.
+        # A fragment's digest covers all its edges in order.
         at = np.arange(len(places)) - np.repeat(first, n_edges)
         path = np.add.reduceat(mix((names.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)), first)
         return pd.DataFrame({
             "id": np.array(block["ids"], dtype=object)[own], "digest": np.array(block["digests"], dtype=np.int64)[own],
             "start": places[first] - starts[own], "n_edges": n_edges, "path": path.view(np.int64),
+            "before": np.where(new[first], 0, np.roll(path.view(np.int64), 1)), "n_before": np.where(new[first], 0, np.roll(n_edges, 1)),
         })
 
     packed = map_batches(docs, request, _PACKED)
     found = packed.groupBy("bucket").applyInPandas(count_edges, _FOUND)
-    return found.groupBy("block").applyInPandas(compact, "id string, digest long, start long, n_edges long, path long")
+    return found.groupBy("block").applyInPandas(fragments, "id string, digest long, start long, n_edges long, path long, before long, n_before long")
 
 
 def hash_of_block(task: int, count: int) -> int:
     return (task * 1_000_003 + count * 7_919) & 0x7FFFFFFF
 
 
-def confirmed_spans(paths: DataFrame) -> DataFrame:
-    """The paths that stand, with the same extent, at two or more places."""
+def heads(nodes: DataFrame) -> DataFrame:
+    """``path, head, distance`` of all fragments that have one before them (``path, before, n_before``).
+
+    Every round joins each fragment with the one it points to and points to that one's instead, so rounds grow with the
+    logarithm of the longest path. A path has a head, as the first edge of a text is a branch.
+    """
+    found = cut(nodes.select("path", F.col("before").alias("head"), F.col("n_before").alias("distance")))
+    moved = found.count()
+    while moved:
+        above = found.select(F.col("path").alias("head"), F.col("head").alias("further"), F.col("distance").alias("more"))
+        both = found.join(above, "head", "left")
+        ahead = F.col("further").isNotNull()
+        following = cut(both.select("path", F.coalesce("further", "head").alias("head"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"), ahead.alias("moved")))
+        moved, found = following.where("moved").count(), following.drop("moved")
+    return found
+
+
+def confirmed_spans(fragments: DataFrame) -> DataFrame:
+    """``id, digest, start, n_edges, n_places``: the nonbranching paths that stand, with the same extent, at two or more places."""
+    nodes = fragments.where("before != 0").groupBy("path").agg(F.max("before").alias("before"), F.max("n_before").alias("n_before"))
+    placed = fragments.join(heads(nodes), "path", "left").withColumns({"head": F.coalesce("head", "path"), "distance": F.coalesce("distance", F.lit(0))})
+    # Rows of equal id and text have the same places: those of the head say how many there are.
+    spans = placed.groupBy("id", "digest", "head", (F.col("start") - F.col("distance")).alias("start")).agg(
+        (F.max(F.col("start") + F.col("n_edges")) - F.min("start")).alias("n_edges"), F.count_if(F.col("distance") == 0).alias("copies")
+    )
     # Written first, so that a path which very many documents hold can be split in the join.
-    counts = cut(paths.groupBy("path", "n_edges").agg(F.count("*").alias("n_places")).where("n_places > 1"))
-    return paths.join(counts, ["path", "n_edges"])
+    spans = cut(spans)
+    counts = cut(spans.groupBy("head", "n_edges").agg(F.sum("copies").alias("n_places")).where("n_places > 1"))
+    return spans.join(counts, ["head", "n_edges"]).select("id", "digest", "start", "n_edges", "n_places")
 
 
 def remove_repeats(
@@ -427,7 +458,7 @@ def remove_repeats(
         F.xxhash64(text_or_empty(text_col)).alias("digest"),
         *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry) if c != text_col),
     )
-    spans = confirmed_spans(cut(repeated_paths(keyed.select("id", "digest", text_or_empty("text").alias("text")), k, sieve_bits, hot_places=hot_places)))
+    spans = confirmed_spans(cut(repeated_fragments(keyed.select("id", "digest", text_or_empty("text").alias("text")), k, sieve_bits, hot_places=hot_places)))
     # Rows of equal id and text hold the same spans.
     spans = spans.groupBy("id", "digest").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("n_edges") + k - 1).alias("n_words"), "n_places"))).alias("spans")

@@ -175,6 +175,30 @@ def test_passage_in_half_of_all_blocks(spark):
     assert out == dict(enumerate(brute_removed(texts, 35)))
 
 
+def test_heads(spark):
+    """Chains, lone links and a long chain, by following them."""
+    rng = random.Random(4)
+    names = rng.sample(range(1, 10**6), 400)
+    chains = [names[:1], names[1:3], names[3:20], names[20:300], names[300:301], names[301:400]]
+    size = {x: rng.randint(1, 9) for x in names}
+    nodes = [(b, a, size[a]) for chain in chains for a, b in zip(chain, chain[1:])]
+    found = {r["path"]: (r["head"], r["distance"]) for r in substrings.heads(spark.createDataFrame(nodes, "path long, before long, n_before long")).collect()}
+    assert found == {x: (chain[0], sum(size[y] for y in chain[:i])) for chain in chains for i, x in enumerate(chain) if i}
+
+
+@pytest.mark.parametrize("fragment", [1, 3])
+def test_paths_of_many_fragments(spark, monkeypatch, fragment):
+    """Paths over many fragments, with branches, repeated rows and a text that repeats itself."""
+    monkeypatch.setattr(substrings, "FRAGMENT", fragment)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join(base[50:390]), " ".join(base[:200] + ["x"] + base[200:]), " ".join(base[100:150] * 3), "same " * 90]
+    texts += [" ".join(base[a : a + 60] + [f"t{a}"]) for a in rng.sample(range(300), 6)] + [texts[1], None, ""]
+    docs = spark.createDataFrame([(i % 9, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs).collect())
+    assert out == Counter((i % 9, *x) for i, x in enumerate(brute_removed(texts, 35)))
+
+
 def test_text_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 500)
     words = [f"w{i}" for i in range(3_000)]
