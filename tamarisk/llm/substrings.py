@@ -8,7 +8,7 @@ k - 1 words). Only edges that start at two or more places matter:
    left out. The repeated minimisers are kept in a bit table of eight bits for each, ``sieve_bits`` (a power
    of two) at most, which is broadcast; a full table lets more edges through but loses none.
 2. *Hot edges.* Edges that stand at more than ``hot_places`` places (and at more than a millionth
-   of all, so that there are 2 ** 20 at most) are counted by Spark's own aggregation, combined in every task before the shuffle;
+   of all places, so that there are 2 ** 20 at most) are counted by Spark's own aggregation, combined in every task before the shuffle;
    their list is broadcast, and they are left out of the next step. So no group there grows with a common passage.
 3. *Count.* The edges left go, as packed arrays of hashes, to buckets of the hash. A bucket
    finds the edges that occur twice or more and whether all occurrences have the same word
@@ -188,7 +188,7 @@ def sieve(docs: DataFrame, k: int, most_bits: int, hot_places: int) -> tuple[np.
     counts = cut(map_batches(docs.select("text"), gather, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1"))
     held, total = counts.agg(F.count("*"), F.sum("n")).first()
     bits = bits_for(held, most_bits)
-    limit = max(hot_places, (total or 0) >> 20)
+    limit = max(hot_places, (total or 0) * (k - (k + 1) // 2 + 1) >> 20)  # no place serves more windows than that
     hot = np.sort(np.array([x["a"] for x in counts.where(F.col("n") > limit).select("a").collect()], dtype=np.int64).view(np.uint64))  # 2 ** 20 at most
     return bit_table(counts, bits), hot, limit
 
