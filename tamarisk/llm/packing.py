@@ -178,7 +178,7 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 
 def pack(
     docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False,
-    id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 1_000,
+    id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 250,
 ) -> DataFrame:
     """Rows ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``)."""
     spark = docs.sparkSession
