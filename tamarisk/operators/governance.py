@@ -26,14 +26,18 @@ def audit_record(spark: SparkSession, user: str, action: str, table: str, row_co
     return spark.range(1).select(*[c.alias(k) for k, c in values.items()])
 
 
-def codebook(df: DataFrame, dataset: str, descriptions: dict[str, str] | None = None, personal: Sequence[str] = PERSONAL) -> DataFrame:
-    """``dataset, field, type, pii, description, missing_pct, n_distinct, minimum, maximum``: metadata and a profile in one pass."""
+def codebook(df: DataFrame, dataset: str, descriptions: dict[str, str] | None = None, personal: Sequence[str] = PERSONAL, exact: bool = False) -> DataFrame:
+    """``dataset, field, type, pii, description, missing_pct, n_distinct, minimum, maximum``: metadata and a profile in one pass.
+
+    Distinct values are estimated unless ``exact``, which shuffles all of them.
+    """
     names = df.columns
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     stats = F.array(*[
         F.struct(
             F.lit(c).alias("field"), F.lit(kind).alias("type"), F.lit("YES" if c in personal else "no").alias("pii"),
             F.lit((descriptions or {}).get(c)).cast("string").alias("description"),
-            F.round(100 * F.avg(F.col(c).isNull().cast("int")), 1).alias("missing_pct"), F.approx_count_distinct(c).alias("n_distinct"),
+            F.round(100 * F.avg(F.col(c).isNull().cast("int")), 1).alias("missing_pct"), distinct(c).alias("n_distinct"),
             F.min(c).cast("string").alias("minimum"), F.max(c).cast("string").alias("maximum"),
         )
         for c, kind in df.select(*names).dtypes

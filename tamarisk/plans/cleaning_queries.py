@@ -208,15 +208,15 @@ def _(v):
     return silver.quality_issues(v("raw_households"))
 
 
-@query("sv32_tag_changes", "SELECT household_id, 'INSERT' AS _cdc_op, 'households' AS _cdc_source, row_number() OVER (ORDER BY household_id) + 99 AS seq_rank FROM households")
+_N = "(SELECT count(*) FROM households)"
+
+
+@query("sv32_tag_changes", f"SELECT household_id, 'INSERT' AS _cdc_op, 'households' AS _cdc_source, 100 AS first_seq, {_N} + 99 AS last_seq, {_N} AS n_seq FROM households")
 def _(v):
+    """The sequence is gapless but in an order of its own: its ends and the number of its values are shown."""
     out = scd.tag_changes(v("households").select("household_id", "district"), "INSERT", "households", "2024-01-01", first_sequence=100)
-    # The sequence is gapless but in an order of its own: its values are shown by rank.
-    ids = out.select("household_id", "_cdc_op", "_cdc_source").orderBy("household_id")
-    from pyspark.sql import Window
-
-    seq = out.select(F.row_number().over(Window.orderBy("_cdc_seq")).alias("_r"), F.col("_cdc_seq").alias("seq_rank"))
-    return ids.withColumn("_r", F.row_number().over(Window.orderBy("household_id"))).join(seq, "_r").drop("_r")
+    seq = out.agg(F.min("_cdc_seq").alias("first_seq"), F.max("_cdc_seq").alias("last_seq"), F.count_distinct("_cdc_seq").alias("n_seq"))
+    return out.select("household_id", "_cdc_op", "_cdc_source").crossJoin(F.broadcast(seq))  # one row
 
 
 _HH = f"""SELECT household_id, {district('district')} AS district, {PROVINCE} AS province, {yes_no('has_toilet')} AS has_toilet, {yes_no('consent_given')} AS consent_given,

@@ -82,7 +82,7 @@ def _(v):
     "gv06_codebook",
     " UNION ALL ".join(
         f"SELECT 'households' AS dataset, '{c}' AS field, '{kind}' AS type, '{pii}' AS pii, {about} AS description, round(100 * avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 1) AS missing_pct, "
-        f"CAST(min({c}) AS VARCHAR) AS minimum, CAST(max({c}) AS VARCHAR) AS maximum FROM raw_households"
+        f"count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS minimum, CAST(max({c}) AS VARCHAR) AS maximum FROM raw_households"
         for c, kind, pii, about in (
             ("household_id", "bigint", "no", "'Unique household identifier'"), ("respondent_name", "string", "YES", "CAST(NULL AS VARCHAR)"), ("water_source", "string", "no", "CAST(NULL AS VARCHAR)")
         )
@@ -90,7 +90,7 @@ def _(v):
 )
 def _(v):
     df = v("raw_households").select("household_id", "respondent_name", "water_source")
-    return governance.codebook(df, "households", {"household_id": "Unique household identifier"}).drop("n_distinct")  # an estimate
+    return governance.codebook(df, "households", {"household_id": "Unique household identifier"}, exact=True)
 
 
 _X, _Y = utm_sql("gps_latitude", "gps_longitude")
