@@ -468,16 +468,11 @@ def remove_repeats(
     digests = spans.select(F.col("digest").alias("a"))
     likely = docs.sparkSession.sparkContext.broadcast(bit_table(digests, bits_for(spans.count(), sieve_bits)))  # 2 ** sieve_bits / 8 bytes at most
 
-    def those(wanted: bool) -> DataFrame:
-        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = held_in(likely.value, batch["digest"].to_numpy(np.int64).view(np.uint64)) == wanted
-                yield batch[found].reset_index(drop=True)
-
-        return map_batches(keyed, choose, keyed.schema)
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[held_in(likely.value, batch["digest"].to_numpy(np.int64).view(np.uint64))]
 
-    none = F.array().cast("array<struct<start: long, n_words: long, n_places: long>>")
-    moved = those(True).join(spans, ["id", "digest"], "left").drop("id", "digest")
+    moved = map_batches(keyed, choose, keyed.schema).join(spans, ["id", "digest"], "left").drop("id", "digest")
     kind = dict(docs.dtypes)[id_col]
     span = "array<struct<start: long, n_words: long, n_places: long>>"
 
@@ -499,6 +494,10 @@ def remove_repeats(
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, spans {span}"
     schema += "".join(f", carried_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(carry))
-    columns = [*(c for c in keyed.columns if c not in ("id", "digest")), "spans"]
-    out = map_batches(moved.select(*columns), keep, schema).union(map_batches(those(False).withColumn("spans", none).select(*columns), keep, schema))
+    def keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rest = batch[~held_in(likely.value, batch["digest"].to_numpy(np.int64).view(np.uint64))]
+            yield from keep(iter([rest.assign(spans=None)]))
+
+    out = map_batches(moved, keep, schema).union(map_batches(keyed, keep_rest, schema))
     return out.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
