@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import chat, decontamination, html, language, packing, quality_classifier, quality_rules, sharding, simhash, substrings
+from tamarisk.llm import (
+    chat, decontamination, html, language, mixing, packing, periodic_runs, quality_classifier, quality_rules, sharding, simhash, substrings, whitening,
+)
 from tamarisk.llm.common import table
 
 
@@ -73,6 +75,30 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op11_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op12_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_copies=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_template_decontamination": op2_template_decontamination,
@@ -84,6 +110,9 @@ QUERIES = {
     "op8_chat_prefix_tree": op8_chat_prefix_tree,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
+    "op11_incremental_whitening": op11_incremental_whitening,
+    "op12_pareto_mixing": op12_pareto_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 #: CRC-32 has no function there: the table of its 256 remainders is computed, then the bytes of a text are folded in.
 _SHARDS = """WITH remainders AS (
@@ -116,4 +145,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('### ' || safe_role || ': ' || safe_text || '</turn>') + 1) AS BIGINT) AS formatted_chars FROM escaped GROUP BY conv_id, lone"""
 
-ORACLE_SQL: dict[str, str] = {"op3_interleaved_shards": _SHARDS, "op4_de_bruijn_substrings": _SUBSTRINGS, "op8_chat_prefix_tree": _CHAT}
+#: Both shares (of all words among sources, of a source's words among its documents) are met in the order in which caps are reached.
+_MIXING = r"""WITH read AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('pareto-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key, coalesce('=' || source, 'null') AS stratum FROM documents),
+sized AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class FROM read),
+classes AS (SELECT stratum, source, class, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY ALL),
+sources AS (SELECT stratum, source, CAST(sum(words) AS BIGINT) AS source_size FROM classes GROUP BY ALL),
+numbered AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM sources),
+ratios AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST) AS k FROM numbered),
+factors AS (SELECT *, CAST(total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / CAST(sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS factor FROM ratios),
+targets AS (SELECT stratum, source_size, CASE WHEN chosen IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), chosen * weight) END AS target
+  FROM (SELECT *, arg_min(factor, k) FILTER (WHERE cap > factor * weight) OVER () AS chosen FROM factors)),
+shares AS (SELECT c.stratum, class, words, source_size, target, CASE WHEN class > 0 THEN 3 * words ELSE 0 END AS most, class * words AS unit FROM classes AS c JOIN targets USING (stratum)),
+steps AS (SELECT *, (target - CAST(coalesce(sum(most) OVER (PARTITION BY stratum ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+  / nullif(CAST(sum(unit) OVER (PARTITION BY stratum ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS factor FROM shares),
+chosen AS (SELECT *, arg_min(factor, -class) FILTER (WHERE most > factor * unit) OVER (PARTITION BY stratum) AS f FROM steps),
+expected AS (SELECT *, CASE WHEN class = 0 THEN 0.0::DOUBLE WHEN f IS NULL THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, f * class) END AS m FROM chosen),
+plan AS (SELECT stratum, class, source_size, target, floor(m) AS whole, m - floor(m) AS chance,
+  target - CAST(sum(CAST(floor(m) AS BIGINT) * words) OVER (PARTITION BY stratum) AS DOUBLE) AS extra FROM expected),
+odds AS (SELECT s.doc_id, s.stratum, s.size, s.key, p.* EXCLUDE (stratum, class), (CAST('0x' || substr(key, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM sized AS s JOIN plan AS p USING (stratum, class)),
+ranks AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS q FROM odds),
+placed AS (SELECT *, CASE WHEN chance > 0 THEN CAST(sum(size) OVER (PARTITION BY stratum, chance > 0 ORDER BY q / (1 + q), key, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size END AS before FROM ranks)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN chance > 0 AND 2 * before + size <= 2 * extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed"""
+
+ORACLE_SQL: dict[str, str] = {"op3_interleaved_shards": _SHARDS, "op4_de_bruijn_substrings": _SUBSTRINGS, "op8_chat_prefix_tree": _CHAT, "op12_pareto_mixing": _MIXING}
