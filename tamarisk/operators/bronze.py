@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions.cleaning import null_sentinel
-from tamarisk.sources import files
+from tamarisk.sources import files, loads
 
 log = logging.getLogger(__name__)
 WATERMARKS = "dataset string, checksum string, watermark timestamp, row_count long"
@@ -66,28 +66,34 @@ def with_run(history: DataFrame, run: DataFrame, keep: int = 100) -> DataFrame:
 
 
 def ingest(spark: SparkSession, raw: str, bronze: str, watermarks: DataFrame, now: str, era: Column | None = None, force_full: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All datasets of ``raw`` into ``bronze``: new and changed ones are written (changed ones appended), others read from there.
+    """All datasets of ``raw`` into ``bronze``: new and changed ones are loaded (changed ones as one load more), others read from there.
 
-    A dataset that fails is logged and left out. Returns the tables and the new watermarks.
+    A load is known by the file's checksum and the watermark that it follows: a run that died before the
+    watermarks were written is run again without loading anything twice. A dataset that fails is logged and
+    left out. Returns the tables and the new watermarks.
     """
     era = era if era is not None else F.when(F.col("dataset_path").contains("/historical/"), "historical").otherwise("current")
     best = files.best_sources(files.with_names(files.listing(spark, raw)), era)
-    loads = load_types(best.join(checksums(spark, raw).select("dataset_path", "checksum"), "dataset_path"), watermarks, force_full)
+    kinds = load_types(best.join(checksums(spark, raw).select("dataset_path", "checksum"), "dataset_path"), watermarks, force_full)
+    kinds = kinds.join(watermarks.select(F.col("dataset").alias("stem"), F.col("checksum").alias("last"), F.col("watermark").cast("string")), "stem", "left")
     tables: dict[str, DataFrame] = {}
     done = []
-    for r in loads.orderBy("stem").collect():  # a row for each dataset
+    for r in kinds.orderBy("stem").collect():  # a row for each dataset
         path = f"{bronze}/{r['stem']}"
         try:
-            if r["load_type"] != "cdc" or not files.exists(spark, path):
+            if r["load_type"] != "cdc" or not loads.committed(spark, path):
                 df = files.read(spark, r["dataset_path"], r["suffix"])
                 if df is None:
                     continue
                 names = {c: c.replace(".", "_") for c in df.columns if "." in c}
-                rows = clean_sentinels(add_lineage(df.withColumnsRenamed(names), r["dataset_path"], r["era"], r["suffix"], now, r["load_type"]))
-                mode = "append" if r["load_type"] == "incremental" else "overwrite"
-                files.write(rows, path, "parquet", mode)
+                rows = loads.input_order(df).withColumnsRenamed(names)
+                rows = clean_sentinels(add_lineage(rows, r["dataset_path"], r["era"], r["suffix"], now, r["load_type"]))
+                replaces = r["load_type"] != "incremental"
+                load = loads.load_id(r["last"], r["watermark"], r["checksum"], now if force_full else None)
+                loads.write(rows, path, load, replaces)
+                loads.compact(spark, path)
                 done.append((r["stem"], r["checksum"]))
-            tables[r["stem"]] = spark.read.option("mergeSchema", True).parquet(path)
+            tables[r["stem"]] = loads.read(spark, path)
         except Exception as error:  # one bad dataset doesn't stop the others
             log.warning("dataset %s failed: %s", r["stem"], error)
     return tables, updated_watermarks(watermarks, watermark_rows(spark, done, tables, now))

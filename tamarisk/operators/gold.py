@@ -188,7 +188,7 @@ def quality_report(datasets: Mapping[str, tuple[DataFrame, DataFrame]], fixes: D
         out = out.unionByName(part)
     out = out.where("raw_rows > 0").withColumn("rows_dropped", F.col("raw_rows") - F.col("clean_rows"))
     if fixes is not None:
-        out = out.join(fixes.groupBy("dataset").agg(F.sum("n").alias("dq_fixes_applied")), "dataset", "left")
+        out = out.join(fixes.groupBy("dataset").agg(F.sum("n").alias("dq_fixes_applied")), "dataset", "left").na.fill(0, ["dq_fixes_applied"])
     ok = (F.col("missing_pct_raw") < 15) & (F.col("duplicates_raw") == 0)
     return out.withColumns({"drop_pct": percent(F.col("rows_dropped"), F.col("raw_rows")), "status": F.when(ok, "OK").otherwise("Review")})
 
@@ -215,7 +215,7 @@ def legacy_enumerators(records: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumn("enumerator_id", F.coalesce("_new", "enumerator_id")).drop("_new", "legacy_enum_id")
 
 
-def build(silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spark: SparkSession, now: str) -> dict[str, DataFrame]:
+def build(silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spark: SparkSession, now: str, fixes: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the layer that have a source, with columns that hold mostly numbers as such, and the status of all layers."""
     children = child_fact(silver.get("followup_visits"), silver.get("households"), silver.get("2020_child_nutrition"))
     mothers = maternal_fact(silver.get("followup_visits"), silver.get("households"), silver.get("2021_maternal_health"))
@@ -232,7 +232,7 @@ def build(silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spar
             out["rpt_annual_trend"] = annual_trend(children)
     shared = {k: (bronze[k], silver[k]) for k in bronze if k in silver}
     if shared:
-        out["rpt_data_quality"] = quality_report(shared)
+        out["rpt_data_quality"] = quality_report(shared, fixes)
     tables = {k: v for k, v in out.items() if v is not None}
     tables["rpt_pipeline_status"] = pipeline_status({"bronze": bronze, "silver": silver, "gold": tables}, now)
     return tables

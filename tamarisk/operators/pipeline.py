@@ -1,7 +1,7 @@
 """The whole run, or some of its layers: raw files to Bronze, Silver and Gold, with control tables and a run log.
 
-Folders under ``root``: ``bronze`` and ``gold`` hold a table for each dataset, ``silver`` and
-``changes`` versions of one, ``control`` the watermarks and the run log.
+Folders under ``root``: ``bronze`` holds the committed loads of each dataset, ``silver``, ``changes`` and
+``gold`` versions of each table, ``control`` the watermarks, the counts of fixes and the run log.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarisk.operators import bronze, gold, silver
-from tamarisk.sources import files
+from tamarisk.operators.watch import FIXES, table_of
+from tamarisk.sources import files, loads
 
 LAYERS = ("bronze", "silver", "gold")
 Tables = dict[str, DataFrame]
@@ -65,24 +66,26 @@ def run_bronze(spark: SparkSession, raw: str, root: str, now: str, force_full: b
 
 
 def run_silver(spark: SparkSession, root: str, now: str) -> Tables:
-    """Cleaned tables as new versions, and what changed in each against the version before."""
-    sources = files.tables_in(spark, f"{root}/bronze")
+    """Cleaned tables as new versions, what changed in each against the version before, and what was fixed."""
+    sources = loads.tables_in(spark, f"{root}/bronze")
     before = {name: found for name in sources if (found := files.latest_version(spark, f"{root}/silver/{name}")) is not None}
-    out = {}
-    for name, df in silver.build(sources, now, before).items():
+    out, watches, fixes = {}, {}, []
+    for name, df in silver.build(sources, now, before, watches).items():
         files.write_version(df, f"{root}/silver/{name}")
         out[name] = files.latest_version(spark, f"{root}/silver/{name}")
         found = silver.changes(before.get(name), out[name])
         if found is not None:
             files.write_version(found, f"{root}/changes/{name}")
+        fixes += [(name, issue, n) for issue, n in watches[name].counts(out[name].count()).items()]
+    files.write_version(table_of(spark, fixes), f"{root}/control/fixes")
     return out
 
 
 def run_gold(spark: SparkSession, root: str, now: str) -> Tables:
-    sources = files.tables_in(spark, f"{root}/bronze")
+    sources = loads.tables_in(spark, f"{root}/bronze")
     cleaned = {name: found for name in sources if (found := files.latest_version(spark, f"{root}/silver/{name}")) is not None}
     out = {}
-    for name, df in gold.build(cleaned, sources, spark, now).items():
-        files.write(df, f"{root}/gold/{name}")
-        out[name] = spark.read.parquet(f"{root}/gold/{name}")
+    for name, df in gold.build(cleaned, sources, spark, now, control(spark, root, "fixes", FIXES)).items():
+        files.write_version(df, f"{root}/gold/{name}")
+        out[name] = files.latest_version(spark, f"{root}/gold/{name}")
     return out

@@ -8,11 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Column with a row's place in the files that it was read from.
+INPUT_ORDER = "_input_order"
+
+
 def first_by_key(df: DataFrame, keys: str | Sequence[str], *order: Column | str) -> DataFrame:
-    """One row for each key, the first in the order given; rows that tie are told apart by all their columns."""
+    """One row for each key, the first in the order given, then in the order of input if the rows have it; others that tie are told apart by all their columns.
+
+    Spark keeps one row of each key and task before the shuffle, so that a key with very many rows (or
+    none, where it is NULL) doesn't gather them in one task.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    read = [F.col(INPUT_ORDER).asc_nulls_last()] if INPUT_ORDER in df.columns else []
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    window = Window.partitionBy(*keys).orderBy(*order, tie)
+    window = Window.partitionBy(*keys).orderBy(*order, *read, tie)
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 

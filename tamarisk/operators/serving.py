@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import logging
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.sources import files
+from tamarisk.sources import files, loads
+
+log = logging.getLogger(__name__)
 
 INTERNAL = ("_layer", "_source_file", "_ingested_at")
 PERSONAL = ("respondent_name", "household_head_name", "enumerator_name", "gps_latitude", "gps_longitude", "gps_accuracy_m")
@@ -55,13 +59,51 @@ def tool_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "id string, alias string, type string")
 
 
+@contextmanager
+def footer_counts(spark: SparkSession) -> Iterator[None]:
+    """Inside, counts of Parquet tables are answered from the files' footers."""
+    changes = {"spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text"}
+    before = {k: spark.conf.get(k, None) for k in changes}
+    try:
+        for k, x in changes.items():
+            spark.conf.set(k, x)
+        yield
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def as_read(spark: SparkSession, path: str, suffix: str) -> DataFrame | None:
+    """The dataset as its readers see it: the newest version, the committed loads, or the files."""
+    if done := files.versions(spark, path):
+        return spark.read.parquet(files.version_path(path, done[-1]))
+    if loads.committed(spark, path):
+        return loads.read(spark, path)
+    return files.read(spark, path, suffix or "parquet") if suffix in ("", *files.FORMATS) else None
+
+
 def layer_statistics(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
-    """``layer, dataset, files, kb`` of all layers from one listing of each."""
+    """``layer, dataset, files, kb, rows, columns`` of all layers from one listing of each.
+
+    Rows of Parquet tables come from their footers, those of other formats from one pass over their files. A
+    dataset that can't be read has NULL rows and columns.
+    """
     out = None
     for layer, root in roots.items():
         found = files.with_names(files.listing(spark, root)).where("suffix != 'crc'").withColumn("layer", F.lit(layer))
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("layer", F.col("stem").alias("dataset")).agg(F.count("*").alias("files"), F.round(F.sum("length") / 1024, 1).alias("kb"))
+    sizes = out.groupBy("layer", F.col("stem").alias("dataset"), "dataset_path", "suffix").agg(F.count("*").alias("files"), F.round(F.sum("length") / 1024, 1).alias("kb"))
+    rows = []
+    with footer_counts(spark):
+        for r in sizes.collect():  # a row for each dataset
+            n = columns = None
+            try:
+                if (df := as_read(spark, r["dataset_path"], r["suffix"])) is not None:
+                    n, columns = df.agg(F.count("*")).first()[0], len(df.columns)
+            except Exception as error:  # one bad dataset doesn't hide the others
+                log.warning("dataset %s can't be read: %s", r["dataset_path"], error)
+            rows.append((r["layer"], r["dataset"], r["files"], r["kb"], n, columns))
+    return spark.createDataFrame(rows, "layer string, dataset string, files long, kb double, rows long, columns int")
 
 
 def recent_runs(history: DataFrame, n: int = 20) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Cleaning jobs: each takes raw rows and returns clean rows; ``quality_issues`` counts what was fixed."""
+"""Cleaning jobs: each takes raw rows and returns clean rows; a ``Watch`` given to it counts what was fixed."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tamarisk.functions import cleaning as C
 from tamarisk.functions import refdata
 from tamarisk.functions.numeric import clamped, null_outside, to_double
-from tamarisk.operators.scd import first_by_key, row_hash, snapshot_diff, tag_changes
+from tamarisk.operators.scd import INPUT_ORDER, first_by_key, row_hash, snapshot_diff, tag_changes
+from tamarisk.operators.watch import Watch
 
 LINEAGE = ("_source_file", "_source_era", "_source_type", "_ingested_at", "_load_type", "_layer")
 KEYS = ("household_id", "visit_id", "assessment_id", "backcheck_id", "record_id")
@@ -20,6 +21,7 @@ VISIT_NUMBERS = (
     "child_age_months", "height_cm", "weight_kg", "muac_mm", "haz_score", "waz_score", "whz_score", "hemoglobin_gdl", "maternal_age",
     "interview_duration_min",
 )
+Z_SCORES = ("haz_score", "waz_score", "whz_score")
 CHILD_LIMITS = {"height_cm": (40.0, 130.0), "weight_kg": (1.5, 30.0), "muac_mm": (80.0, 200.0)}
 GENERIC_FLAGS = ("has_toilet", "consent_given", "has_electricity", "has_water", "stunted", "wasted", "underweight", "anemia", "vaccination_full")
 
@@ -45,9 +47,40 @@ def rename_legacy(df: DataFrame, mapping: Mapping[str, str] = refdata.LEGACY_HEA
     return df.select(*[F.coalesce(*[F.col(f"`{c}`") for c in target[n]]).alias(n) for n in order])
 
 
-def apply(df: DataFrame, changes: Mapping[str, Callable[[str], Column]]) -> DataFrame:
-    """The changes whose column is there, all from the values before."""
-    return df.withColumns({c: f(c) for c, f in changes.items() if c in df.columns})
+Issues = Mapping[str, tuple[str, Callable[[Column, Column], Column]]]
+
+
+def apply(df: DataFrame, changes: Mapping[str, Callable[[str], Column]], watch: Watch | None = None, lost: str | None = None, issues: Issues | None = None) -> DataFrame:
+    """The changes whose column is there, all from the values before.
+
+    With a watch, rows are counted by ``issues``: name to column and a test of its old and new value, each computed once.
+    """
+    new = {c: f(c) for c, f in changes.items() if c in df.columns}
+    if watch is None:
+        return df.withColumns(new)
+    both = df.withColumns({f"_new_{c}": x for c, x in new.items()})
+    both = watch.at(both, lost, **{k: test(F.col(c), F.col(f"_new_{c}")) for k, (c, test) in (issues or {}).items() if c in new})
+    return both.select(*[F.col(f"_new_{c}").alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+
+
+def seen(watch: Watch | None, df: DataFrame, lost: str | None = None) -> DataFrame:
+    return df if watch is None else watch.at(df, lost)
+
+
+def _unreadable(old: Column, new: Column) -> Column:
+    return new.isNull()
+
+
+def _outside(old: Column, new: Column) -> Column:
+    return to_double(old).isNotNull() & new.isNull()
+
+
+def _converted(old: Column, new: Column) -> Column:
+    return new.isNotNull() & (old.cast("string") != new.cast("string"))
+
+
+def _clamped(old: Column, new: Column) -> Column:
+    return to_double(old) != new
 
 
 def fill_province(df: DataFrame) -> DataFrame:
@@ -69,19 +102,28 @@ def consented(df: DataFrame, flag: str = "consent_given") -> DataFrame:
     return df.where(F.col(flag) == 1) if flag in df.columns else df
 
 
-def clean_households(raw: DataFrame) -> DataFrame:
-    df = normal_headers(raw).na.drop(subset=["household_id"])
+def clean_households(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+    df = seen(watch, normal_headers(raw))
+    df = seen(watch, df.na.drop(subset=["household_id"]), "missing_hh_id_dropped")
     if "submission_time" in df.columns:
         df = df.withColumn("submission_time", C.parse_date("submission_time"))
         df = first_by_key(df, "household_id", F.col("submission_time").desc_nulls_last())
-    df = fill_province(apply(df, {"district": C.district}))
     number = lambda low, high: lambda c: null_outside(to_double(c), low, high)
-    df = apply(df, {
-        "water_source": C.water_source, "ses_tier": C.ses_tier, "consent_given": C.yes_no, "has_toilet": C.yes_no,
+    changes = {
+        "district": C.district, "water_source": C.water_source, "ses_tier": C.ses_tier, "consent_given": C.yes_no, "has_toilet": C.yes_no,
         "enrollment_date": C.parse_date, "household_size": number(1, 25), "respondent_age": number(15, 65),
         "children_under_5": to_double, "women_15_49": to_double, "enumerator_id": C.enumerator_id,
+    }
+    if {"gps_latitude", "gps_longitude"} <= set(df.columns):
+        lat, lon = C.gps_pair("gps_latitude", "gps_longitude")
+        changes |= {"gps_latitude": lambda _: lat, "gps_longitude": lambda _: lon}
+    df = apply(df, changes, watch, "duplicates_removed", {
+        "district_normalised": ("district", C.changed), "water_source_normalised": ("water_source", C.changed), "ses_tier_normalised": ("ses_tier", C.changed),
+        "bad_enrollment_dates": ("enrollment_date", _unreadable), "implausible_respondent_age": ("respondent_age", _outside),
+        "implausible_hh_size": ("household_size", _outside), "gps_out_of_bounds_nulled": ("gps_latitude", _outside),
+        "enum_id_standardised": ("enumerator_id", C.changed),
     })
-    return consented(gps_bounds(df))
+    return seen(watch, consented(fill_province(df)), "no_consent_dropped")
 
 
 def child_limits(df: DataFrame) -> DataFrame:
@@ -91,7 +133,7 @@ def child_limits(df: DataFrame) -> DataFrame:
 
 
 def z_limits(df: DataFrame) -> DataFrame:
-    return apply(df, {c: lambda c: F.when(F.abs(F.col(c)) <= 6, F.col(c)) for c in ("haz_score", "waz_score", "whz_score")})
+    return apply(df, {c: lambda c: F.when(F.abs(F.col(c)) <= 6, F.col(c)) for c in Z_SCORES})
 
 
 def maternal_limits(df: DataFrame) -> DataFrame:
@@ -103,63 +145,80 @@ def maternal_limits(df: DataFrame) -> DataFrame:
     })
 
 
-def clean_visits(raw: DataFrame) -> DataFrame:
-    df = normal_headers(raw).na.drop(subset=["visit_id", "household_id"])
+def clean_visits(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+    df = seen(watch, normal_headers(raw))
+    df = seen(watch, df.na.drop(subset=["visit_id", "household_id"]), "missing_pk_dropped")
     df = first_by_key(df, "visit_id", *([F.col("_ingested_at").asc_nulls_last()] if "_ingested_at" in df.columns else []))
-    df = fill_province(apply(df, {"district": C.district}))
-    df = apply(df, dict.fromkeys(VISIT_FLAGS, C.yes_no) | dict.fromkeys(VISIT_NUMBERS, to_double) | {"visit_date": C.parse_date, "enumerator_id": C.enumerator_id})
+    changes = {"district": C.district, "visit_date": C.parse_date, "enumerator_id": C.enumerator_id} | dict.fromkeys(VISIT_FLAGS, C.yes_no) | dict.fromkeys(VISIT_NUMBERS, to_double)
+    limits: dict[str, tuple[Column | None, float, float]] = {}
     if "record_type" in df.columns:
-        df = maternal_limits(z_limits(child_limits(df)))
+        of = lambda kind: F.coalesce(F.col("record_type") == kind, F.lit(False))
+        limits = {c: (of("child"), *b) for c, b in CHILD_LIMITS.items()} | dict.fromkeys(Z_SCORES, (None, -6.0, 6.0))
+        limits |= {"maternal_age": (of("maternal"), 10.0, 60.0), "hemoglobin_gdl": (None, 3.0, 20.0)}
+    within = lambda which, low, high: lambda c: F.when((F.lit(False) if which is None else ~which) | to_double(c).between(low, high), to_double(c))
+    changes |= {c: within(*b) for c, b in limits.items()}
+    issues = {"district_normalised": ("district", C.changed), "bad_visit_dates": ("visit_date", _unreadable), "enum_id_standardised": ("enumerator_id", C.changed)}
+    issues |= {f"{c}_converted": (c, _converted) for c in VISIT_FLAGS} | {f"implausible_{c.removesuffix('_gdl')}": (c, _outside) for c in limits}
+    df = fill_province(apply(df, changes, watch, "duplicate_visit_ids", issues))
     groups = {"child_age_months": ("child_age_group", C.child_age_group), "maternal_age": ("maternal_age_group", C.maternal_age_group)}
     return df.withColumns({name: f(c) for c, (name, f) in groups.items() if c in df.columns})
 
 
-def clean_facilities(raw: DataFrame) -> DataFrame:
-    df = first_by_key(normal_headers(raw).na.drop(subset=["assessment_id"]), "assessment_id")
+def clean_facilities(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+    df = seen(watch, normal_headers(raw))
+    df = first_by_key(df.na.drop(subset=["assessment_id"]), "assessment_id")
     score = lambda c: clamped(to_double(c), 0.0, 100.0)
     flags = ["has_electricity", "has_water", "has_toilet", *[c for c in df.columns if c.startswith("stockout_")]]
-    return apply(df, {"assessment_date": C.parse_date, "readiness_score": score, "overall_score": score, "district": C.district} | dict.fromkeys(flags, C.yes_no))
+    changes = {"assessment_date": C.parse_date, "readiness_score": score, "overall_score": score, "district": C.district} | dict.fromkeys(flags, C.yes_no)
+    return apply(df, changes, watch, "duplicates_dropped", {
+        "bad_assessment_dates": ("assessment_date", _unreadable), "district_normalised": ("district", C.changed),
+        "readiness_score_clamped": ("readiness_score", _clamped), "overall_score_clamped": ("overall_score", _clamped),
+    })
 
 
-def clean_enumerator_log(raw: DataFrame) -> DataFrame:
-    return apply(normal_headers(raw), {
+def clean_enumerator_log(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+    changes = {
         "date": C.parse_date, "enumerator_id": C.enumerator_id, "submissions": to_double, "short_interviews": to_double,
         "flagged_for_backcheck": to_double, "avg_duration_min": lambda c: null_outside(to_double(c), 0, 480),
-    })
+    }
+    issues = {"bad_dates": ("date", _unreadable), "enum_id_standardised": ("enumerator_id", C.changed), "implausible_avg_duration_min": ("avg_duration_min", _outside)}
+    return apply(normal_headers(raw), changes, watch, None, issues)
 
 
-def clean_backchecks(raw: DataFrame) -> DataFrame:
-    df = normal_headers(raw)
+def clean_backchecks(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+    df = seen(watch, normal_headers(raw))
     if "backcheck_id" in df.columns:
         df = first_by_key(df, "backcheck_id")
     numbers = [f"{what}_{which}" for what in ("height", "weight") for which in ("original_cm", "recheck_cm", "original_kg", "recheck_kg", "discrepancy_cm", "discrepancy_kg")]
-    return apply(df, dict.fromkeys(numbers, to_double) | {"morbidity_match": C.yes_no, "overall_pass": C.yes_no, "backcheck_enumerator_id": C.enumerator_id})
+    changes = dict.fromkeys(numbers, to_double) | {"morbidity_match": C.yes_no, "overall_pass": C.yes_no, "backcheck_enumerator_id": C.enumerator_id}
+    return apply(df, changes, watch, "duplicates_dropped", {"enum_id_standardised": ("backcheck_enumerator_id", C.changed)})
 
 
-def clean_generic(raw: DataFrame) -> DataFrame:
+def clean_generic(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
     """For datasets without a job of their own: headers, latest row of the first key, dates by name, bounds, labels."""
-    df = rename_legacy(normal_headers(rename_legacy(raw), dots=True))
+    df = seen(watch, rename_legacy(normal_headers(rename_legacy(raw), dots=True)))
     key = next((k for k in KEYS if k in df.columns), None)
     if key:
         stamp = [F.col(c).desc_nulls_last() for c in ("_ingested_at", "submission_time") if c in df.columns]
         df = first_by_key(df, key, *stamp)
     dates = {c: C.parse_date for c in df.columns if any(x in c for x in ("date", "time", "period"))}
     permissive = lambda c: C.yes_no(c, permissive=True)
-    df = apply(df, dates | dict.fromkeys(GENERIC_FLAGS, permissive) | {
+    changes = dates | dict.fromkeys(GENERIC_FLAGS, permissive) | {
         "gps_latitude": C.gps_latitude, "latitude": C.gps_latitude, "ses_tier": C.legacy_ses_tier, "water_source": C.legacy_water_source,
         "muac_mm": C.muac_mm, "district": C.district,
-    })
-    return fill_province(df)
+    }
+    return fill_province(apply(df, changes, watch, "duplicates_removed", {"district_normalised": ("district", C.changed)}))
 
 
-JOBS: dict[str, Callable[[DataFrame], DataFrame]] = {
+JOBS: dict[str, Callable[[DataFrame, Watch | None], DataFrame]] = {
     "households": clean_households, "followup_visits": clean_visits, "facility_assessments": clean_facilities,
     "enumerator_performance": clean_enumerator_log, "backcheck_records": clean_backchecks,
 }
 
 
-def clean(name: str, raw: DataFrame) -> DataFrame:
-    return JOBS.get(name, clean_generic)(raw.drop(*LINEAGE))
+def clean(name: str, raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+    """The dataset's job on its rows without their lineage; the order of input tells repeated keys apart."""
+    return JOBS.get(name, clean_generic)(raw.drop(*LINEAGE), watch).drop(INPUT_ORDER)
 
 
 CDC = ("_cdc_op", "_cdc_ts", "_cdc_source")
@@ -170,29 +229,39 @@ def key_of(df: DataFrame) -> str | None:
 
 
 def newest_load(raw: DataFrame) -> DataFrame:
-    """Of the rows with one key those of its last load, as a changed source is appended whole. Rows without a key stay."""
+    """Of the rows with one key those of its last load, as a changed source is appended whole.
+
+    A dataset without a key has the rows of the last load of each source file. A table of one load is returned as it is.
+    """
+    if "_ingested_at" not in raw.columns:
+        return raw
+    ends = raw.agg(F.min("_ingested_at"), F.max("_ingested_at")).first()
+    if ends[0] == ends[1]:
+        return raw
     names = {}
     for c in raw.columns:
         plain = c.strip().lower().replace(" ", "_")
         names.setdefault(refdata.LEGACY_HEADERS.get(plain, plain), c)
-    key = next((names[k] for k in KEYS if k in names), None)
-    if key is None or "_ingested_at" not in raw.columns:
-        return raw
+    key = next((names[k] for k in KEYS if k in names), "_source_file")
     last = raw.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max("_ingested_at").alias("_last"))
     both = raw.join(last, F.col(f"`{key}`") == F.col("_key"), "left")
     return both.where(F.col("_last").isNull() | (F.col("_ingested_at") == F.col("_last"))).drop("_key", "_last")
 
 
-def build(bronze: Mapping[str, DataFrame], now: str, previous: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def build(bronze: Mapping[str, DataFrame], now: str, previous: Mapping[str, DataFrame] | None = None, watches: dict[str, Watch] | None = None) -> dict[str, DataFrame]:
     """All datasets cleaned and tagged by key against the previous tables.
 
     Rows of new keys are INSERT, rows that differ UPDATE; rows that are the same keep their tags. Without a
     previous table all rows are INSERT; without a key all are UPDATE. Keys that have gone are in ``changes``.
+    ``watches`` gets a watch for each dataset, to be asked when the table has been written.
     """
     out = {}
     for name, raw in bronze.items():
         before = (previous or {}).get(name)
-        df = clean(name, raw if before is None else newest_load(raw))
+        watch = None
+        if watches is not None:
+            watch = watches[name] = Watch()
+        df = clean(name, newest_load(raw), watch)
         key = key_of(df)
         if before is None or key is None or key not in before.columns:
             out[name] = tag_changes(df, "INSERT" if before is None else "UPDATE", name, now)
@@ -216,25 +285,3 @@ def changes(before: DataFrame | None, after: DataFrame) -> DataFrame | None:
     if before is None:
         return one(after).select(F.col(key).cast("string").alias("key"), F.lit("INSERT").alias("_cdc_op"))
     return snapshot_diff(one(before), one(after), key).select(F.col(key).cast("string").alias("key"), "_cdc_op")
-
-
-def quality_issues(raw: DataFrame, name: str = "households") -> DataFrame:
-    """``dataset, issue, n`` of the household job, in one pass over the raw rows (before rows are dropped as repeats)."""
-    df = normal_headers(raw)
-    lat, lon = C.gps_pair("gps_latitude", "gps_longitude")
-    outside = lambda c, low, high: to_double(c).isNotNull() & ~to_double(c).between(low, high)
-    checks = {
-        "missing_hh_id_dropped": (["household_id"], lambda: F.col("household_id").isNull()),
-        "district_normalised": (["district"], lambda: C.changed("district", C.district("district"))),
-        "water_source_normalised": (["water_source"], lambda: C.changed("water_source", C.water_source("water_source"))),
-        "ses_tier_normalised": (["ses_tier"], lambda: C.changed("ses_tier", C.ses_tier("ses_tier"))),
-        "bad_enrollment_dates": (["enrollment_date"], lambda: C.parse_date("enrollment_date").isNull()),
-        "implausible_respondent_age": (["respondent_age"], lambda: outside("respondent_age", 15, 65)),
-        "implausible_hh_size": (["household_size"], lambda: outside("household_size", 1, 25)),
-        "gps_out_of_bounds_nulled": (["gps_latitude", "gps_longitude"], lambda: to_double("gps_latitude").isNotNull() & lat.isNull()),
-        "enum_id_standardised": (["enumerator_id"], lambda: C.changed("enumerator_id", C.enumerator_id("enumerator_id"))),
-        "no_consent_dropped": (["consent_given"], lambda: ~C.yes_no("consent_given").eqNullSafe(F.lit(1))),
-    }
-    have = {k: f() for k, (needs, f) in checks.items() if set(needs) <= set(df.columns)}
-    wide = df.agg(*[F.count_if(x).alias(k) for k, x in have.items()])
-    return wide.unpivot([], list(have), "issue", "n").select(F.lit(name).alias("dataset"), "issue", "n")

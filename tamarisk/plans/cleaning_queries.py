@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tamarisk.functions import cleaning as C
 from tamarisk.functions import numeric, refdata
 from tamarisk.operators import scd, silver
+from tamarisk.operators.watch import Watch, table_of
 from tamarisk.plans.registry import query
+from tamarisk.plans.views import scratch
+from tamarisk.sources import files, loads
 
 
 def strip(c: str) -> str:
@@ -193,19 +196,52 @@ def _(v):
     return out.select("household_id", F.to_date("enrollment_date").alias("enrollment_date"), F.to_date("some_time").alias("some_time"))
 
 
+_CHANGED = "coalesce({0}, '') <> coalesce({1}, '')"
+_VISIT_RAW = """SELECT CASE WHEN l_partkey % 17 > 0 THEN visit_id END AS visit_id, household_id, record_type, upper(district) AS district, CASE anemia WHEN 1 THEN 'Yes' WHEN 0 THEN 'no' END AS anemia, fever_2w,
+  CASE WHEN l_partkey % 23 = 0 THEN 'unknown' ELSE CAST(visit_date AS STRING) END AS visit_date, CAST(height_cm AS STRING) AS height_cm, haz_score, maternal_age, hemoglobin_gdl,
+  concat('enu', CAST(enumerator_id AS STRING)) AS enumerator_id, l_extendedprice FROM visits"""
+_PLACE_RAW = "SELECT facility_id AS assessment_id, upper(district) AS district, readiness_score * 1.2e0 AS readiness_score, CASE WHEN facility_id % 7 = 0 THEN 'soon' ELSE '2024-01-05' END AS assessment_date FROM facilities"
+_LOG_RAW = "SELECT concat('enu', CAST(enumerator_id AS STRING)) AS enumerator_id, CASE WHEN enumerator_id % 9 = 0 THEN 'never' ELSE CAST(date AS STRING) END AS date, avg_duration_min * 20 AS avg_duration_min FROM enumerator_performance"
+_CHECK_RAW = "SELECT original_visit_id AS backcheck_id, concat('enu', CAST(max(per_enumerator) AS STRING)) AS backcheck_enumerator_id FROM backcheck GROUP BY original_visit_id"
+#: Dataset: rows that its job keeps, and the condition of each issue; counts of rows that go are over a table of their own.
 _ISSUES = {
-    "missing_hh_id_dropped": "household_id IS NULL", "district_normalised": f"coalesce(district, '') <> coalesce({district('district')}, '')",
-    "water_source_normalised": f"coalesce(water_source, '') <> coalesce({label('water_source', refdata.WATER_URDU)}, '')",
-    "ses_tier_normalised": f"coalesce(ses_tier, '') <> coalesce({label('ses_tier', refdata.SES_URDU)}, '')",
-    "bad_enrollment_dates": f"{date('enrollment_date')} IS NULL", "implausible_respondent_age": f"NOT {number('respondent_age').join('()')} BETWEEN 15 AND 65",
-    "implausible_hh_size": f"NOT {number('household_size').join('()')} BETWEEN 1 AND 25", "gps_out_of_bounds_nulled": f"gps_latitude IS NOT NULL AND NOT {_INSIDE}",
-    "enum_id_standardised": f"coalesce(enumerator_id, '') <> coalesce({enumerator('enumerator_id')}, '')", "no_consent_dropped": f"{yes_no('consent_given')} IS DISTINCT FROM 1",
+    "households": ("raw_households", {
+        "district_normalised": _CHANGED.format("district", district("district")), "water_source_normalised": _CHANGED.format("water_source", label("water_source", refdata.WATER_URDU)),
+        "ses_tier_normalised": _CHANGED.format("ses_tier", label("ses_tier", refdata.SES_URDU)),
+        "bad_enrollment_dates": f"{date('enrollment_date')} IS NULL", "implausible_respondent_age": f"NOT {number('respondent_age').join('()')} BETWEEN 15 AND 65",
+        "implausible_hh_size": f"NOT {number('household_size').join('()')} BETWEEN 1 AND 25", "gps_out_of_bounds_nulled": f"gps_latitude IS NOT NULL AND NOT {_INSIDE}",
+        "enum_id_standardised": _CHANGED.format("enumerator_id", enumerator("enumerator_id")), "no_consent_dropped": f"{yes_no('consent_given')} IS DISTINCT FROM 1",
+    }),
+    "households ": ("raw_households", {"missing_hh_id_dropped": "household_id IS NULL", "duplicates_removed": "TRUE"}),  # every household was sent twice
+    "followup_visits": (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY l_extendedprice) AS nth FROM ({_VISIT_RAW}) AS r WHERE visit_id IS NOT NULL) AS q WHERE nth = 1) AS t", {
+        "district_normalised": _CHANGED.format("district", district("district")), "bad_visit_dates": "visit_date = 'unknown'", "anemia_converted": "anemia IS NOT NULL", "fever_2w_converted": "FALSE",
+        "enum_id_standardised": _CHANGED.format("enumerator_id", enumerator("enumerator_id")), "implausible_height_cm": "record_type = 'child' AND NOT CAST(height_cm AS DOUBLE) BETWEEN 40 AND 130",
+        "implausible_haz_score": "abs(haz_score) > 6", "implausible_maternal_age": "record_type = 'maternal' AND NOT maternal_age BETWEEN 10 AND 60", "implausible_hemoglobin": "NOT hemoglobin_gdl BETWEEN 3 AND 20",
+    }),
+    "followup_visits ": (f"(SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY l_extendedprice) AS nth FROM ({_VISIT_RAW}) AS r) AS t", {"missing_pk_dropped": "visit_id IS NULL", "duplicate_visit_ids": "visit_id IS NOT NULL AND nth > 1"}),
+    "facility_assessments": (f"({_PLACE_RAW}) AS t", {"duplicates_dropped": "TRUE", "bad_assessment_dates": "assessment_date = 'soon'", "district_normalised": _CHANGED.format("district", district("district")), "readiness_score_clamped": "readiness_score > 100"}),
+    "enumerator_performance": (f"({_LOG_RAW}) AS t", {"bad_dates": "date = 'never'", "enum_id_standardised": "TRUE", "implausible_avg_duration_min": "NOT avg_duration_min BETWEEN 0 AND 480"}),
+    "backcheck_records": (f"({_CHECK_RAW}) AS t", {"duplicates_dropped": "TRUE", "enum_id_standardised": "TRUE"}),
 }
 
 
-@query("sv30_quality_issues", " UNION ALL ".join(f"SELECT 'households' AS dataset, '{k}' AS issue, count(*) FILTER (WHERE {x}) AS n FROM raw_households" for k, x in _ISSUES.items()))
+@query("sv30_quality_issues", " UNION ALL ".join(f"SELECT '{name.strip()}' AS dataset, '{k}' AS issue, count(*) FILTER (WHERE {x}) AS n FROM {rows}" for name, (rows, issues) in _ISSUES.items() for k, x in issues.items()))
 def _(v):
-    return silver.quality_issues(v("raw_households"))
+    """Counts of all five jobs, each taken while the clean rows are written."""
+    hh = v("raw_households")
+    raw = {
+        "households": hh.withColumn("submission_time", F.lit("2024-01-01")).union(hh.withColumn("submission_time", F.lit("2024-01-02"))),
+        "followup_visits": v.sql(_VISIT_RAW).withColumn("_input_order", F.struct("l_extendedprice")),
+        "facility_assessments": v.sql(f"{_PLACE_RAW} UNION ALL {_PLACE_RAW}"),
+        "enumerator_performance": v.sql(_LOG_RAW),
+        "backcheck_records": v.sql(f"{_CHECK_RAW} UNION ALL {_CHECK_RAW}"),
+    }
+    fixes = []
+    for name, df in raw.items():
+        watch, path = Watch(), f"{scratch(v)}/{name}"
+        files.write(silver.clean(name, df, watch), path)
+        fixes += [(name, issue, n) for issue, n in watch.counts(v.spark.read.parquet(path).count()).items()]
+    return table_of(v.spark, fixes)
 
 
 _N = "(SELECT count(*) FROM households)"
@@ -302,3 +338,20 @@ def _(v):
     same = F.col("found._cdc_op").eqNullSafe(F.col("after._cdc_op")) | (F.col("found._cdc_op") == "DELETE")
     both = found.alias("found").join(after.alias("after"), F.col("key") == F.col("after.household_id").cast("string"), "left").where(same)
     return both.select(F.col("key").cast("long").alias("household_id"), "found._cdc_op", "after.household_size")
+
+
+@query("sv39_keyless_reload", "SELECT enumerator_id, CAST(sum(submissions) AS DOUBLE) AS submissions FROM (SELECT printf('E%03d', enumerator_id) AS enumerator_id, submissions FROM enumerator_performance) AS t GROUP BY enumerator_id")
+def _(v):
+    """A log without a key that was loaded twice, the second time with all its days: each counts once."""
+    raw = v.sql("SELECT concat('enu', CAST(enumerator_id AS STRING)) AS enumerator_id, date, submissions, 'log.csv' AS _source_file FROM enumerator_performance")
+    loaded = lambda df, at: df.withColumn("_ingested_at", F.lit(at).cast("timestamp"))
+    both = loaded(raw.where("date < date'2024-01-20'"), "2024-01-20").union(loaded(raw, "2024-02-01"))
+    return silver.build({"enumerator_performance": both}, "2024-02-01")["enumerator_performance"].groupBy("enumerator_id").agg(F.sum("submissions").alias("submissions"))
+
+
+@query("sv22_input_order", "SELECT o_orderkey, l_linenumber FROM (SELECT o_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey) AS t WHERE n = 1")
+def _(v):
+    """The first row of each order in the files, which were written in the order of the lines."""
+    path, rows = f"{scratch(v)}/lines", v.sql("SELECT l_orderkey AS o_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+    files.write(rows.repartitionByRange(4, "l_linenumber").sortWithinPartitions("l_linenumber"), path, "csv")
+    return scd.first_by_key(loads.input_order(files.read(v.spark, path, "csv")), "o_orderkey").selectExpr("cast(o_orderkey as long) as o_orderkey", "cast(l_linenumber as int) as l_linenumber")

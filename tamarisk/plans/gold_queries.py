@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.operators import gold, scd
+from tamarisk.operators import gold, scd, silver
+from tamarisk.operators.watch import Watch, table_of
 from tamarisk.plans.analytics_queries import r
-from tamarisk.plans.cleaning_queries import yes_no
+from tamarisk.plans.cleaning_queries import _ISSUES, yes_no
 from tamarisk.plans.registry import query
+from tamarisk.plans.views import scratch
+from tamarisk.sources import files
 
 
 def rates(names: dict[str, str]) -> str:
@@ -176,13 +179,15 @@ _URDU = "regexp_matches({0}, 'پائپ|ہینڈ|کنواں|کم|درمیانہ|
     f"""SELECT *, raw_rows - clean_rows AS rows_dropped, {r('1e2 * (raw_rows - clean_rows) / raw_rows', 1)} AS drop_pct, CASE WHEN missing_pct_raw < 15 AND duplicates_raw = 0 THEN 'OK' ELSE 'Review' END AS status FROM (
     SELECT 'households' AS dataset, count(*) AS raw_rows, {r(f"100 * ({' + '.join(f'avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)' for c in _COLUMNS)}) / {len(_COLUMNS)}", 1)} AS missing_pct_raw,
       count(*) - count(DISTINCT household_id) AS duplicates_raw, CAST({' + '.join(f'count(*) FILTER (WHERE {_URDU.format(c)})' for c in ('water_source', 'ses_tier', 'district'))} AS BIGINT) AS bilingual_values,
-      count(*) FILTER (WHERE {yes_no('consent_given')} = 1) AS clean_rows FROM raw_households) AS t""",
+      count(*) FILTER (WHERE {yes_no('consent_given')} = 1) AS clean_rows, CAST({' + '.join(f'count(*) FILTER (WHERE {x})' for x in _ISSUES['households'][1].values())} AS BIGINT) AS dq_fixes_applied FROM raw_households) AS t""",
 )
 def _(v):
-    from tamarisk.operators.silver import clean_households
-
-    raw = v("raw_households")
-    return gold.quality_report({"households": (raw, clean_households(raw))})
+    """Fixes are counted while the clean rows are written."""
+    raw, watch, path = v("raw_households"), Watch(), f"{scratch(v)}/households"
+    files.write(silver.clean("households", raw, watch), path)
+    cleaned = v.spark.read.parquet(path)
+    fixes = table_of(v.spark, [("households", issue, n) for issue, n in watch.counts(cleaned.count()).items()])
+    return gold.quality_report({"households": (raw, cleaned)}, fixes)
 
 
 @query("gd19_bilingual", f"SELECT count(*) FILTER (WHERE {_URDU.format('water_source')}) AS water, count(*) FILTER (WHERE {_URDU.format('ses_tier')}) AS ses, count(*) FILTER (WHERE {_URDU.format('district')}) AS district FROM raw_households")

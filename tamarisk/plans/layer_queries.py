@@ -13,16 +13,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 from tamarisk.operators import bronze, pipeline, serving
 from tamarisk.plans.cleaning_queries import HOUSEHOLD_COLUMNS, HOUSEHOLD_ROWS, VISIT_COLUMNS, VISIT_ROWS, VISITS_ONCE
 from tamarisk.plans.registry import query
-from tamarisk.plans.views import Views
-from tamarisk.sources import files, tables
-from tamarisk.sources.shared import checkpoint_dir
+from tamarisk.plans.views import TABLES, Views, scratch
+from tamarisk.sources import files, loads, tables
 from tamarisk.streaming import submissions as stream
 
 
-def scratch(v: Views) -> str:
-    return f"{checkpoint_dir(v.spark)}/{uuid4().hex}"
-
-
 _CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
 _TYPED = ("cast(c_custkey as long) as c_custkey", "c_name", "cast(c_nationkey as int) as c_nationkey", "cast(c_acctbal as double) as c_acctbal")
 
@@ -194,6 +189,19 @@ def _(v):
     return bronze.newer_than(v("events"), "2024-01-15", "ts").select("event_id")
 
 
+@query("bz04_loads_once", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'second' ELSE 'first' END AS load FROM events")
+def _(v):
+    """Two loads, the first run twice and the second left without its commit once; each row is there once."""
+    path, events = f"{scratch(v)}/events", v("events").select("event_id")
+    first = events.where("event_id % 3 <> 0").withColumn("load", F.lit("first"))
+    second = events.where("event_id % 3 = 0").withColumn("load", F.lit("second"))
+    for _ in range(2):
+        loads.write(first, path, loads.load_id("a"))
+    second.write.parquet(f"{path}/load={loads.load_id('b')}")
+    loads.write(second, path, loads.load_id("b"))
+    return loads.read(v.spark, path)
+
+
 @query("bz05_sentinels", "SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN NULL ELSE c_name END AS name FROM customer")
 def _(v):
     return bronze.clean_sentinels(v.sql("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'nan' WHEN 2 THEN '<NA>' ELSE c_name END AS name FROM customer"))
@@ -284,10 +292,16 @@ def _(v):
     return pipeline.run(v.spark, raw, root, ["silver"], now="2024-01-02")["silver"]["followup_visits"].select(*VISIT_COLUMNS)
 
 
-@query("ap07_layer_statistics")
+@query(
+    "ap07_layer_statistics",
+    " UNION ALL ".join(f"SELECT 'given' AS layer, '{t}' AS dataset, count(*) AS rows, (SELECT count(*) FROM pragma_table_info('{t}')) AS columns FROM {t}" for t in TABLES)
+    + " UNION ALL SELECT 'raw', 'households', count(*), 15 FROM raw_households UNION ALL SELECT 'raw', '2020_child_nutrition', count(*), 6 FROM children",
+)
 def _(v):
+    """Rows and columns of the given tables and of two raw files; files and KB are left out."""
     raw = _raw_files(v)
-    return serving.layer_statistics(v.spark, {"raw": raw, "given": v.sf_dir})
+    found = serving.layer_statistics(v.spark, {"raw": raw, "given": v.sf_dir})
+    return found.where(F.col("dataset").isin("households", "2020_child_nutrition", *TABLES)).select("layer", "dataset", "rows", F.col("columns").cast("long").alias("columns"))
 
 
 @query("ap08_recent_runs", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 20")

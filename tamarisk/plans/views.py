@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarisk.functions import refdata
+from tamarisk.sources.shared import checkpoint_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -119,3 +121,8 @@ class Views:
     def sql(self, body: str) -> DataFrame:
         text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", with_views(body))
         return self.spark.sql(text, **{t: self(t) for t in TABLES if f"{{{t}}}" in text})
+
+
+def scratch(v: Views) -> str:
+    """A new folder of the shared one."""
+    return f"{checkpoint_dir(v.spark)}/{uuid4().hex}"

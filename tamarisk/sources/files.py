@@ -52,12 +52,12 @@ def listing(spark: SparkSession, *roots: str, pattern: str = "*") -> DataFrame:
 
 def with_names(files: DataFrame) -> DataFrame:
     """Adds ``stem`` and ``suffix`` of the dataset: that of the file, or of the folder that Spark wrote it to."""
-    parts = F.split("path", "/")
-    inner = F.element_at(parts, -1)
-    outer = F.element_at(parts, -2)
-    own = F.when(inner.startswith("part-"), outer).otherwise(inner)
+    inner = F.element_at(F.split("path", "/"), -1)
+    folder = F.regexp_replace("path", r"(/[^/=]+=[^/]*)*/[^/]*$", "")  # without the folders of partitions, versions and loads
+    written = inner.startswith("part-")
+    own = F.when(written, F.element_at(F.split(folder, "/"), -1)).otherwise(inner)
     return files.withColumns({
-        "dataset_path": F.when(inner.startswith("part-"), F.regexp_replace("path", r"/part-[^/]*$", "")).otherwise(F.col("path")),
+        "dataset_path": F.when(written, folder).otherwise(F.col("path")),
         "stem": F.regexp_extract(own, r"^(.*?)(\.[^.]*)?$", 1),
         "suffix": F.lower(F.regexp_extract(own, r"\.([^.]*)$", 1)),
     })
@@ -101,11 +101,6 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def tables_in(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The Parquet table of each folder, by name; columns that came later are NULL in older files."""
-    return {name: spark.read.option("mergeSchema", True).parquet(f"{root}/{name}") for name in folders(spark, root) if name[0] not in "._"}
-
-
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions of a table."""
     names = [name for name in folders(spark, path) if name.startswith("version=")]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -9,8 +10,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tamarisk.operators import bronze, geospatial, governance, pipeline, serving, silver
-from tamarisk.sources import files, shared, tables
+from tamarisk.operators import bronze, geospatial, governance, pipeline, scd, serving, silver
+from tamarisk.operators.watch import Watch
+from tamarisk.sources import files, loads, shared, tables
 from tamarisk.streaming import submissions as stream
 
 
@@ -112,6 +114,8 @@ def test_listing_checksums_and_statistics(spark, tmp_path):
     assert sums == {"a": md5(md5(b"x,y\n1,2\n").encode()), "b": md5(md5(b"{}").encode()), "c": md5((md5(b"part") + md5(b"partpart")).encode())}
     stats = {r["dataset"]: (r["files"], r["kb"]) for r in serving.layer_statistics(spark, {"raw": str(tmp_path)}).collect()}
     assert stats == {"a": (1, 0.0), "b": (1, 0.0), "c": (2, 0.0)}
+    seen = {r["dataset"]: (r["rows"], r["columns"]) for r in serving.layer_statistics(spark, {"raw": str(tmp_path)}).collect()}
+    assert seen["a"] == (1, 2) and seen["c"] == (None, None)  # no Parquet file at all
 
 
 def test_codebook_counts(spark):
@@ -142,7 +146,7 @@ def test_entry_hides_missing_parts_only(tmp_path):
     root = Path(__file__).parent.parent
     for name in ("__spark_entry__.py", "tamarisk"):
         (tmp_path / name).symlink_to(root / name)
-    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).returncode
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""}).returncode
     assert run("import __spark_entry__ as e; assert len(e.queries()) > 100 and 'pipeline' not in e.queries()") == 0
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
     assert run("import __spark_entry__") != 0
@@ -150,3 +154,100 @@ def test_entry_hides_missing_parts_only(tmp_path):
 
 def test_kinds_of_columns_survive_a_cut(spark):
     assert shared.cut(spark.range(3).withColumn("x", F.lit("a"))).schema.simpleString() == "struct<id:bigint,x:string>"
+
+
+def test_killed_run_loads_nothing_twice(spark, tmp_path, monkeypatch):
+    """A run that dies between the load and the watermarks, or within the load, gives the same table when it is run again."""
+    raw, root = f"{tmp_path}/raw", f"{tmp_path}/data"
+    count = lambda: loads.read(spark, f"{root}/bronze/households").count()
+    households(spark, raw, [(str(i), "Lahore", "yes", "4") for i in range(5)])
+    pipeline.run(spark, raw, root, ["bronze"], now="2024-01-01")
+    households(spark, raw, [(str(i), "Lahore", "yes", "9") for i in range(3)])
+    write_version = files.write_version
+
+    def dies(df, path, *more):
+        if path.endswith("watermarks"):
+            raise RuntimeError("killed")
+        return write_version(df, path, *more)
+
+    for broken in ("watermarks", "commit"):
+        with monkeypatch.context() as m:
+            if broken == "watermarks":
+                m.setattr(files, "write_version", dies)
+                with pytest.raises(RuntimeError):
+                    pipeline.run(spark, raw, root, ["bronze"], now="2024-01-02")
+            else:
+                households(spark, raw, [(str(i), "Lahore", "yes", "1") for i in range(2)])
+                m.setattr(loads, "commit", lambda *_: 1 / 0)
+                pipeline.run(spark, raw, root, ["bronze"], now="2024-01-04")  # logged, others go on
+                assert count() == 8
+        pipeline.run(spark, raw, root, ["bronze"], now="2024-01-03" if broken == "watermarks" else "2024-01-05")
+        assert count() == {"watermarks": 8, "commit": 10}[broken]
+    assert len(loads.committed(spark, f"{root}/bronze/households")) == 3
+    loads.compact(spark, f"{root}/bronze/households", most=2)
+    assert count() == 10 and len(loads.committed(spark, f"{root}/bronze/households")) == 1
+    # The same contents again after others are a load of their own; a full load replaces all, and older folders go.
+    households(spark, raw, [(str(i), "Lahore", "yes", "9") for i in range(3)])
+    pipeline.run(spark, raw, root, ["bronze"], now="2024-01-06")
+    assert count() == 13
+    for day in (7, 8):
+        pipeline.run(spark, raw, root, ["bronze"], force_full=True, now=f"2024-01-{day:02d}")
+    assert count() == 3 and len([x for x in files.folders(spark, f"{root}/bronze/households") if x.startswith("load=")]) == 2
+
+
+def test_reload_of_a_dataset_without_a_key(spark, tmp_path):
+    raw, root = f"{tmp_path}/raw", f"{tmp_path}/data"
+    log = [("E001", "2024-01-01", "10"), ("E002", "2024-01-01", "7")]
+    write = lambda rows: files.write(spark.createDataFrame(rows, "enumerator_id string, date string, submissions string"), f"{raw}/current/enumerator_performance.csv", "csv")
+    write(log)
+    pipeline.run(spark, raw, root, now="2024-01-01")
+    write([*log, ("E001", "2024-01-02", "5")])
+    out = pipeline.run(spark, raw, root, now="2024-01-02")
+    assert sorted((r["enumerator_id"], r["submissions"]) for r in out["silver"]["enumerator_performance"].collect()) == [("E001", 5.0), ("E001", 10.0), ("E002", 7.0)]
+    report = {r["dataset"]: r for r in out["gold"]["rpt_data_quality"].collect()}
+    assert report["enumerator_performance"]["dq_fixes_applied"] == 0
+    assert files.versions(spark, f"{root}/gold/rpt_data_quality") == [0, 1]  # readers of the older one aren't disturbed
+
+
+def test_first_row_of_a_file_wins(spark, tmp_path):
+    """Also against a smaller digest, in every format, and over several files."""
+    rows = spark.createDataFrame([("1", f"r{i:03d}", str(i % 7)) for i in range(200)], "visit_id string, note string, household_id string").coalesce(1)
+    for fmt in ("csv", "json", "parquet"):
+        path = f"{tmp_path}/{fmt}"
+        files.write(rows, path, fmt)
+        files.write(rows.where("note < 'r005'").replace({"r000": "later"}), path, fmt, "append")
+        first = [f for f in sorted(os.listdir(path)) if f.startswith("part-")][0]
+        found = silver.clean("followup_visits", loads.input_order(files.read(spark, path, fmt))).collect()
+        assert [r["note"] for r in found] == [files.read(spark, f"{path}/{first}", fmt).first()["note"]]
+    many = scd.first_by_key(loads.input_order(files.read(spark, f"{tmp_path}/csv", "csv")), "visit_id")
+    assert "WindowGroupLimit" in many._jdf.queryExecution().executedPlan().toString()  # one row of a hot key from each task
+
+
+def test_counts_without_data_pages(spark, tmp_path):
+    path = files.write(spark.range(1000), f"{tmp_path}/t.parquet")
+    with serving.footer_counts(spark):
+        plan = serving.as_read(spark, path, "parquet").agg(F.count("*"))
+        assert plan.first()[0] == 1000
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in text and "ReadSchema: struct<count(*):bigint>" in text
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+@pytest.mark.parametrize("lost", [0, 3])
+def test_watch_counts_again_after_a_loss(spark, tmp_path, lost):
+    """Counts are those of one pass, also if rows passed a point twice."""
+    raw = spark.createDataFrame([(str(i % 8), "lahor", "yes", "4") for i in range(20)] + [(None, "x", "no", "1")], "household_id string, district string, consent_given string, household_size string")
+    watch = Watch()
+    out = silver.clean_households(raw.withColumn("submission_time", F.lit("2024-01-01")), watch)
+    n = out.write.format("noop").mode("overwrite").save() or out.count()
+    assert n == 8
+    if lost:
+        watch._points[-1][1].count()
+        real = watch._points[-1][0]
+
+        class Twice:
+            get = real.get | {"rows": n + lost, "district_normalised": 99}
+
+        watch._points[-1] = (Twice(), *watch._points[-1][1:])
+    found = watch.counts(n)
+    assert found["missing_hh_id_dropped"] == 1 and found["duplicates_removed"] == 12 and found["district_normalised"] == 8 and found["no_consent_dropped"] == 0
