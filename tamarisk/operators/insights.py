@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions.cleaning import title_case
 from tamarisk.functions.numeric import rounded, to_double
 from tamarisk.operators.nutrition import known_keys
+from tamarisk.sources.shared import cut
 
 #: Targets of the programme (fixed values).
 TARGETS = {"vaccination_full": 0.90, "exclusive_bf": 0.50, "anc_4plus": 0.80, "last_delivery_skilled": 0.80}
@@ -85,14 +86,54 @@ def indicator_table(df: DataFrame, indicators: Mapping[str, str], key: str = "pr
     return wide.unpivot([key], list(indicators), "indicator", "rate")
 
 
+#: Groups up to this number are broadcast with their brackets.
+BROADCAST_GROUPS = 100_000
+
+
+def exact_quantiles(rows: DataFrame, key: str, value: str, shares: Sequence[float], *aggs: Column, accuracy: int = 10_000) -> DataFrame:
+    """``key``, ``n``, ``q``: an array of interpolated quantiles of each group, exact, and further ``aggs``.
+
+    A sketch of bounded size brackets each quantile first (its ranks are off by a share of 1 / ``accuracy``). Of the
+    rows outside a bracket only the number below it is kept, and values in it are counted, so no aggregation holds a
+    group's values. Where a bracket misses its rank after all, all values of that group are counted. ``rows`` have
+    neither null keys nor null values.
+    """
+    sketch = F.percentile_approx(value, F.array(*[F.lit(min(max(s + side * 2 / accuracy, 0.0), 1.0)) for s in shares for side in (-1, 1)]), accuracy)
+    groups = rows.groupBy(key).agg(F.count("*").alias("n"), sketch.alias("_ends"), *aggs)
+    brackets = [F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("n") - 1)).alias("rank"), F.col("_ends")[2 * i].alias("low"), F.col("_ends")[2 * i + 1].alias("high")) for i, s in enumerate(shares)]
+    groups = cut(groups.withColumn("_brackets", F.array(*brackets)).drop("_ends"))
+    found = cut(_in_brackets(rows, key, value, groups))
+    missed = groups.join(found.where("v is null").select(key).distinct(), key, "left_semi")
+    if not missed.isEmpty():
+        wide = F.transform("_brackets", lambda b: b.withField("low", F.lit(float("-inf"))).withField("high", F.lit(float("inf"))))
+        again = _in_brackets(rows, key, value, missed.withColumn("_brackets", wide))
+        found = found.join(missed.select(key), key, "left_anti").unionByName(again)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
+    return groups.drop("_brackets").join(found.groupBy(key).agg(ordered.alias("q")), key)
+
+
+def _in_brackets(rows: DataFrame, key: str, value: str, groups: DataFrame) -> DataFrame:
+    """``key, i, v``: the i-th quantile, null if its bracket doesn't hold its rank."""
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    brackets = groups.select(key, "_brackets")
+    met = rows.select(key, F.col(value).alias("x")).join(F.broadcast(brackets) if few else brackets, key)
+    each = met.select(key, "x", F.explode(F.filter("_brackets", lambda b: F.col("x") <= b["high"])).alias("b"))
+    counted = each.groupBy(key, "b", F.when(F.col("x") >= F.col("b.low"), F.col("x")).alias("x")).agg(F.count("*").alias("m"))
+    until = F.sum("m").over(Window.partitionBy(key, "b").orderBy(F.col("x").asc_nulls_first()))
+    counted = counted.withColumn("until", until)
+    at = lambda k: F.min(F.when(F.col("until") > k, F.struct("until", "x")))["x"]
+    pairs = counted.groupBy(key, "b").agg(at(F.floor("b.rank")).alias("low"), at(F.ceil("b.rank")).alias("high"), F.max(F.when(F.col("x").isNull(), F.col("until"))).alias("below"))
+    inside = F.coalesce(F.col("below") <= F.floor("b.rank"), F.lit(True)) & F.col("high").isNotNull()
+    v = F.col("low") + (F.col("high") - F.col("low")) * (F.col("b.rank") - F.floor("b.rank"))
+    return pairs.select(key, F.col("b.i").alias("i"), F.when(inside, v).alias("v"))
+
+
 def distribution(df: DataFrame, value: str, key: str, low: float) -> DataFrame:
     """Quartiles, extremes and the share below ``low`` of each group."""
-    x = to_double(value)
-    out = known_keys(df.withColumn("_x", x).where("_x is not null"), [key]).groupBy(key).agg(
-        F.count("*").alias("n"), F.min("_x").alias("minimum"), F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.max("_x").alias("maximum"), rounded(F.avg((F.col("_x") < low).cast("int")), 4).alias("share_below"),
-    )
-    q = [F.round(F.col("_q")[i], 6).alias(name) for i, name in enumerate(("q1", "median", "q3"))]
+    rows = known_keys(df.select(key, to_double(value).alias("_x")).where("_x is not null"), [key])
+    aggs = [F.min("_x").alias("minimum"), F.max("_x").alias("maximum"), rounded(F.avg((F.col("_x") < low).cast("int")), 4).alias("share_below")]
+    out = exact_quantiles(rows, key, "_x", (0.25, 0.5, 0.75), *aggs)
+    q = [F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("q1", "median", "q3"))]
     return out.select(key, "n", "minimum", *q, "maximum", "share_below")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions.cleaning import bilingual
 from tamarisk.functions.numeric import percent, rounded
 from tamarisk.operators.nutrition import known_keys
+from tamarisk.sources.shared import cut
 
 
 def enumerator_summary(perf: DataFrame, keys: tuple[str, ...] = ("enumerator_id", "enumerator_name", "district")) -> DataFrame:
@@ -24,17 +25,49 @@ def enumerator_summary(perf: DataFrame, keys: tuple[str, ...] = ("enumerator_id"
     return out.withColumn("quality_flag", F.coalesce(F.col("avg_interview_min") < 15, F.lit(False)))
 
 
-def detect_anomalies(visits: DataFrame, shortest: float = 10) -> DataFrame:
-    """Short interviews and repeated visits of a household on a day, one row for each visit id; short comes first."""
+#: Kinds of anomalies; of those that a visit has the first counts.
+ANOMALIES = ("short_interview", "duplicate_visit", "far_from_centre", "implausible_z")
+#: A score whose distance from its enumerator's median is so many times their median distance (scaled to a standard deviation) stands out.
+Z_DEVIATIONS, MAD_SCALE = 6.0, 1.4826
+
+
+def score_spread(visits: DataFrame, score: str, key: str = "enumerator_id") -> DataFrame:
+    """``key, _median, _mad``: median of each enumerator's scores and median of their distances from it.
+
+    Scores have two decimals, so both medians are read from counts of some hundred values for each enumerator.
+    """
+    x = F.round(F.col(score).cast("double"), 2)
+    counts = cut(visits.select(key, x.alias("x")).where(F.col(key).isNotNull() & F.col("x").isNotNull()).groupBy(key, "x").agg(F.count("*").alias("n")))
+    medians = counts.groupBy(key).agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("_median"))
+    away = counts.join(medians, key).withColumn("d", F.abs(F.col("x") - F.col("_median")))
+    return away.groupBy(key).agg(F.first("_median").alias("_median"), F.percentile("d", F.lit(0.5), F.col("n")).alias("_mad"))
+
+
+def detect_anomalies(visits: DataFrame, shortest: float = 10, households: DataFrame | None = None, centres: DataFrame | None = None, km: float = 100.0, scores: tuple[str, ...] = ("haz_score",)) -> DataFrame:
+    """Short interviews, repeated visits of a household on a day, households far from their district's centre and scores
+    that can't be or that stand out among those of their enumerator; one row for each visit id, of the first kind that it has.
+    """
+    far = F.lit(False)
+    if households is not None and centres is not None:
+        places = far_from_centre(households, centres, km).select(F.col("household_id").alias("_far")).distinct()
+        visits = visits.join(places, F.col("household_id") == F.col("_far"), "left")
+        far = F.col("_far").isNotNull()
+    odd = F.lit(False)
+    for score in (c for c in scores if c in visits.columns):
+        x = F.round(F.col(score).cast("double"), 2)
+        spread = score_spread(visits, score).select(F.col("enumerator_id").alias("_e"), F.col("_median").alias(f"_m_{score}"), F.col("_mad").alias(f"_d_{score}"))
+        visits = visits.join(spread, F.col("enumerator_id") == F.col("_e"), "left").drop("_e")
+        out = (F.abs(x) > 6) | ((F.col(f"_d_{score}") > 0) & (F.abs(x - F.col(f"_m_{score}")) > Z_DEVIATIONS * MAD_SCALE * F.col(f"_d_{score}")))
+        odd = odd | F.coalesce(out, F.lit(False))
     keys = ("household_id", "visit_date", "record_type")  # missing ones are equal to each other
     # Counts are combined before the shuffle, so that no task gathers all rows without keys.
     same = visits.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_same")).where("_same > 1")
     both = visits.join(same, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
-    kind = F.when(F.col("interview_duration_min") < shortest, "short_interview").when(F.col("_same") > 1, "duplicate_visit")
+    kind = F.when(F.col("interview_duration_min") < shortest, ANOMALIES[0]).when(F.col("_same") > 1, ANOMALIES[1]).when(far, ANOMALIES[2]).when(odd, ANOMALIES[3])
     found = both.withColumn("anomaly_type", kind).where("anomaly_type is not null")
     first = F.min_by(
         F.struct("household_id", "enumerator_id", "visit_date", "anomaly_type"),
-        F.struct(F.when(F.col("anomaly_type") == "short_interview", 0).otherwise(1), "household_id", "enumerator_id", "visit_date"),
+        F.struct(F.array_position(F.array(*map(F.lit, ANOMALIES)), F.col("anomaly_type")), "household_id", "enumerator_id", "visit_date"),
     )
     return found.groupBy("visit_id").agg(first.alias("r")).select("visit_id", "r.*")
 

@@ -96,12 +96,36 @@ def apply_scd2(existing: DataFrame, incoming: DataFrame, key: str, tracked: Sequ
     return old.select(*existing.columns).unionByName(added, allowMissingColumns=True)
 
 
-def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str) -> DataFrame:
-    """Each fact with the dimension version in force at its time; facts without one keep NULLs."""
-    d = dimension.withColumnRenamed(key, "_key")
-    moment = F.col(at).cast("string")
-    in_force = (F.col("_scd_effective_from") <= moment) & (F.col("_scd_effective_to").isNull() | (moment < F.col("_scd_effective_to")))
-    return facts.join(d, (F.col(key) == F.col("_key")) & in_force, "left").drop("_key")
+#: Facts of one key that one task puts in order, about.
+FACTS_OF_KEY = 1_000_000
+
+
+def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str, facts_of_key: int = FACTS_OF_KEY) -> DataFrame:
+    """Each fact with the dimension version in force at its time; facts without one keep NULLs.
+
+    Facts and versions of a key are put in order of time together, and each fact takes the last version before it,
+    so a key with many versions and many facts costs their sum, not their product. Facts of a key that has more than
+    ``facts_of_key`` of them are dealt over several parts, each with all versions of the key. Versions of a key
+    don't overlap; of those that start together the one with the highest number counts.
+    """
+    have = [c for c in dimension.columns if c != key]
+    # Keys with that many facts are few: one at most for each ``facts_of_key`` rows.
+    many = facts.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > facts_of_key)
+    many = F.broadcast(many.select("_key", F.ceil(F.col("_n") / facts_of_key).cast("int").alias("_parts")))
+    dealt = facts.select(F.col(key).alias("_key"), F.col(at).cast("string").alias("_t"), F.struct(*facts.columns).alias("_fact"))
+    part = F.coalesce(F.pmod(F.xxhash64("_fact"), F.col("_parts")), F.lit(0).cast("long"))
+    dealt = dealt.alias("f").join(many.alias("m"), F.col("f._key").eqNullSafe(F.col("m._key")), "left").select("f._key", part.alias("_part"), "_t", "_fact")
+    versions = dimension.where(F.col(key).isNotNull() & F.col("_scd_effective_from").isNotNull())
+    versions = versions.select(F.col(key).alias("_key"), F.col("_scd_effective_from").cast("string").alias("_t"), F.struct(*have).alias("_version"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1))
+    versions = versions.alias("v").join(many.alias("m"), F.col("v._key") == F.col("m._key"), "left").select("v._key", parts.alias("_part"), "_t", "_version")
+    both = dealt.unionByName(versions, allowMissingColumns=True)
+    number = F.col("_version._scd_version") if "_scd_version" in have else F.lit(None)
+    order = Window.partitionBy("_key", "_part").orderBy("_t", F.col("_fact").isNotNull(), number).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_version", ignorenulls=True).over(order)).where(F.col("_fact").isNotNull())
+    ends = F.col("_last._scd_effective_to")
+    in_force = F.when(F.col("_key").isNotNull() & (ends.isNull() | (F.col("_t") < ends)), F.col("_last"))
+    return found.withColumn("_last", in_force).select("_fact.*", "_last.*")
 
 
 def row_hash(df: DataFrame, skip: Sequence[str] = ()) -> Column:

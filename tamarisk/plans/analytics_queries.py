@@ -108,15 +108,26 @@ def _(v):
     return monitoring.enumerator_summary(v("enumerator_performance"))
 
 
+#: Kilometres from a household to the centre of its district.
+KM = "2 * 6371.0 * asin(sqrt(power(sin((radians(gps_latitude) - radians(centre_lat)) / 2), 2) + cos(radians(gps_latitude)) * cos(radians(centre_lat)) * power(sin((radians(gps_longitude) - radians(centre_lon)) / 2), 2)))"
+
+
+_OUTLIER = f"abs(round(haz_score, 2)) > 6 OR (mad > 0 AND abs(round(haz_score, 2) - median) > {monitoring.Z_DEVIATIONS} * {monitoring.MAD_SCALE} * mad)"
+
+
 @query(
     "an10_anomalies",
-    """SELECT visit_id, household_id, enumerator_id, visit_date, anomaly_type FROM (
-    SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY CASE WHEN anomaly_type = 'short_interview' THEN 0 ELSE 1 END, household_id, enumerator_id, visit_date) AS rn FROM (
-      SELECT *, CASE WHEN interview_duration_min < 10 THEN 'short_interview' WHEN same > 1 THEN 'duplicate_visit' END AS anomaly_type FROM (
-        SELECT *, count(*) OVER (PARTITION BY household_id, visit_date, record_type) AS same FROM visits) AS a) AS b WHERE anomaly_type IS NOT NULL) AS c WHERE rn = 1""",
+    f"""SELECT visit_id, household_id, enumerator_id, visit_date, ['short_interview', 'duplicate_visit', 'far_from_centre', 'implausible_z'][kind] AS anomaly_type FROM (
+    SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY kind, household_id, enumerator_id, visit_date) AS rn FROM (
+      SELECT a.*, CASE WHEN interview_duration_min < 10 THEN 1 WHEN same > 1 THEN 2 WHEN away.household_id IS NOT NULL THEN 3 WHEN {_OUTLIER} THEN 4 END AS kind FROM (
+        SELECT *, count(*) OVER (PARTITION BY household_id, visit_date, record_type) AS same FROM visits) AS a
+        LEFT JOIN (SELECT DISTINCT household_id FROM households h JOIN districts d ON h.district = d.district WHERE round({{KM}}, 1) > 1200) AS away ON a.household_id = away.household_id
+        LEFT JOIN spread ON a.enumerator_id = spread.enumerator_id) AS b WHERE kind IS NOT NULL) AS c WHERE rn = 1""".replace("{KM}", KM),
+    extra="""middle AS (SELECT enumerator_id, quantile_cont(round(haz_score, 2), 0.5) AS median FROM visits GROUP BY enumerator_id),
+    spread AS (SELECT enumerator_id, any_value(median) AS median, quantile_cont(abs(round(haz_score, 2) - median), 0.5) AS mad FROM visits JOIN middle USING (enumerator_id) GROUP BY enumerator_id)""",
 )
 def _(v):
-    return monitoring.detect_anomalies(v("visits"))
+    return monitoring.detect_anomalies(v("visits"), households=v("households"), centres=v("districts"), km=1200.0)
 
 
 @query(

@@ -357,12 +357,12 @@ def _(v):
 
 @query(
     "st04_daily_counts",
-    "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL",
+    "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS n_distinct FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL",
 )
 def _(v):
-    """Closed days only; the estimate of distinct ids is left out."""
+    """Closed days only."""
     df = stream.daily_counts(stream.landed(v.spark, _landed_events(v), _EVENT), "ts", "event_type", "1 day", "user_id")
-    return _sunk(v, df, f"{scratch(v)}/out").select(F.to_date("day").alias("day"), "event_type", "n")
+    return _sunk(v, df, f"{scratch(v)}/out").select(F.to_date("day").alias("day"), "event_type", "n", "n_distinct")
 
 
 @query(

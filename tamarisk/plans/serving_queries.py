@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions import privacy
 from tamarisk.functions.geo import utm_sql
 from tamarisk.operators import geospatial, governance, monitoring, serving
+from tamarisk.plans.analytics_queries import KM
 from tamarisk.plans.registry import query
 
 
@@ -130,9 +131,6 @@ def _(v):
     return geospatial.map_layer(v("households"), v("facilities"), "consent_given")
 
 
-_KM = "2 * 6371.0 * asin(sqrt(power(sin((radians(gps_latitude) - radians(centre_lat)) / 2), 2) + cos(radians(gps_latitude)) * cos(radians(centre_lat)) * power(sin((radians(gps_longitude) - radians(centre_lon)) / 2), 2)))"
-
-
-@query("ge06_far_from_centre", f"SELECT household_id, h.district, round({_KM}, 1) AS km_from_centre FROM households h JOIN districts d ON h.district = d.district WHERE round({_KM}, 1) > 100")
+@query("ge06_far_from_centre", f"SELECT household_id, h.district, round({KM}, 1) AS km_from_centre FROM households h JOIN districts d ON h.district = d.district WHERE round({KM}, 1) > 100")
 def _(v):
     return monitoring.far_from_centre(v("households"), v("districts")).select("household_id", "district", "km_from_centre")

@@ -73,68 +73,133 @@ def first_arrivals(df: DataFrame, key: str, at: str, delay: str) -> DataFrame:
 
 
 def daily_counts(df: DataFrame, at: str, key: str, delay: str, counted: str) -> DataFrame:
-    """Rows and approximate distinct ids by day and group; days close when the delay has passed."""
-    found = df.withWatermark(at, delay).groupBy(F.window(at, "1 day"), key)
-    out = found.agg(F.count("*").alias("n"), F.approx_count_distinct(counted).alias("n_distinct_approx"))
-    return out.select(F.col("window.start").alias("day"), key, "n", "n_distinct_approx")
+    """Rows and distinct ids (NULL isn't one) by day and group; days close when the delay has passed.
+
+    Ids are told apart by one aggregation, whose state is spread by id, and counted by the next, which
+    gets a row for each id of a closed day.
+    """
+    each = df.withWatermark(at, delay).groupBy(F.window(at, "1 day").alias("day"), key, counted).agg(F.count("*").alias("rows"))
+    found = each.groupBy(F.window(F.window_time("day"), "1 day"), key).agg(F.sum("rows").alias("n"), F.count(counted).alias("n_distinct"))
+    return found.select(F.col("window.start").alias("day"), key, "n", "n_distinct")
 
 
 def sliding_rate(df: DataFrame, at: str, key: str, value: str, delay: str, width: str = "30 days", step: str = "1 day") -> DataFrame:
-    found = df.withWatermark(at, delay).groupBy(F.window(at, width, step), key).agg(F.count("*").alias("n"), F.avg(value).alias("rate"))
-    return found.select(F.col("window.end").alias("until"), key, "n", "rate")
+    """Rows and mean value by group over a window that moves by steps.
+
+    Rows are summed up by step first; only these sums are copied into the windows that hold them.
+    """
+    panes = df.withWatermark(at, delay).groupBy(F.window(at, step).alias("pane"), key)
+    panes = panes.agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.count(value).alias("known"))
+    found = panes.groupBy(F.window(F.window_time("pane"), width, step), key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("known").alias("known"))
+    return found.select(F.col("window.end").alias("until"), key, "n", F.try_divide("total", "known").alias("rate"))
 
 
 def short_interviews(df: DataFrame, minutes: str = "interview_duration_min", limit: float = 10) -> DataFrame:
     return df.where(F.col(minutes) < limit)
 
 
-def upsert_batches(path: str, key: str, order: str, source: str, now: str, buckets: int = 32) -> Callable[[DataFrame, int], None]:
+#: Bytes of a bucket's files beyond which it is split.
+BUCKET_BYTES = 256 << 20
+
+
+def upsert_batches(path: str, key: str, order: str, source: str, now: str, buckets: int = 32, bucket_bytes: int = BUCKET_BYTES) -> Callable[[DataFrame, int], None]:
     """A batch function that merges each batch into the table of a folder; the last row of a key by ``order``
     counts, also when files arrive out of order.
 
-    The table is cut into buckets by key. A batch writes the buckets that it touches as a new version beside
-    the old ones, so its cost grows with these, a batch that is run again gives the same table, and readers never
-    see half of one. What two later versions of a bucket stand above is removed. The number of buckets stays as it is for the life of a table.
+    The table is cut into buckets by key, at first ``buckets`` (a power of two) of them. A batch writes the buckets
+    that it touches as a new version beside the old ones, so its cost grows with these, a batch that is run again
+    gives the same table, and readers never see half of one. A bucket that has grown beyond ``bucket_bytes`` is
+    written as two, by one more bit of its keys' hash, so what a batch writes for a key doesn't grow with the
+    table. What two later versions of a bucket stand above is removed.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    depth = buckets.bit_length() - 1
+    if buckets != 1 << depth:
+        raise ValueError("the number of buckets is a power of two")
+    start = {f"{depth}-{v}" for v in range(buckets)}
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = scd.latest_by_key(batch, key, order).persist()
+        held = bucket_versions(spark, path, batch_id)
+        leaves = {b: held[b][-1] if b in held else None for b in _unsplit(start | set(held), depth)}
+        rows = _in_buckets(scd.latest_by_key(batch, key, order), key, set(leaves)).persist()
         try:
-            touched = {r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets`` rows
+            touched = {r["key_bucket"] for r in rows.select("key_bucket").distinct().collect()}  # a row for each bucket at most
             old = current_version(spark, path, batch_id, touched)
             if old is None:
-                out = scd.tag_changes(rows, "INSERT", source, now)
+                out = scd.tag_changes(rows.drop("key_bucket"), "INSERT", source, now)
             else:
                 known = old.select(key, F.col(order).alias("_known"))
-                newer = rows.join(known, key, "left").where(F.col("_known").isNull() | (F.col(order) >= F.col("_known"))).drop("_known")
+                newer = rows.drop("key_bucket").join(known, key, "left").where(F.col("_known").isNull() | (F.col(order) >= F.col("_known"))).drop("_known")
                 out = scd.upsert(old, scd.tag_against(old, newer, key, source, now), key, order)
-            out.withColumn("key_bucket", bucket).write.mode("overwrite").partitionBy("key_bucket").parquet(files.version_path(path, batch_id))
+            large = {b for b in touched if leaves[b] is not None and files.size_of(spark, _bucket_path(path, leaves[b], b)) > bucket_bytes}
+            after = {*leaves} - large | {half for b in large for half in _halves(b)}
+            _in_buckets(out, key, after).write.mode("overwrite").partitionBy("key_bucket").parquet(files.version_path(path, batch_id))
         finally:
             rows.unpersist()
-        for b, numbers in bucket_versions(spark, path).items():
-            for number in numbers[:-2]:
-                files.remove(spark, f"{files.version_path(path, number)}/key_bucket={b}")
+        held = bucket_versions(spark, path)
+        for b, numbers in held.items():
+            later = {n for other, found in held.items() if other == b or b in _around(other) for n in found}
+            for number in numbers:
+                if sum(n > number for n in later) >= 2:
+                    files.remove(spark, _bucket_path(path, number, b))
 
     return merge
 
 
-def bucket_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[int]]:
+def _bucket_path(path: str, number: int, bucket: str) -> str:
+    return f"{files.version_path(path, number)}/key_bucket={bucket}"
+
+
+def _halves(bucket: str) -> tuple[str, str]:
+    """A bucket ``depth-value`` has the keys whose hash ends in the ``depth`` bits of ``value``."""
+    depth, value = map(int, bucket.split("-"))
+    return f"{depth + 1}-{value}", f"{depth + 1}-{value + (1 << depth)}"
+
+
+def _around(bucket: str) -> set[str]:
+    """The wider buckets that hold all keys of this one."""
+    depth, value = map(int, bucket.split("-"))
+    return {f"{d}-{value % (1 << d)}" for d in range(depth)}
+
+
+def _unsplit(buckets: set[str], depth: int) -> set[str]:
+    """Buckets that together hold each key once: those that aren't split, and empty halves that were never written."""
+    split = {wider for b in buckets for wider in _around(b)}
+    return {half for b in split if int(b.split("-")[0]) >= depth for half in _halves(b)} - split | (buckets - split)
+
+
+def _leaves(held: dict[str, list[int]]) -> dict[str, int]:
+    """The buckets that weren't split, with their newest version; the keys of one that was are all in narrower ones."""
+    split = {wider for b in held for wider in _around(b)}
+    return {b: numbers[-1] for b, numbers in held.items() if b not in split}
+
+
+def _in_buckets(df: DataFrame, key: str, buckets: set[str]) -> DataFrame:
+    """The rows with the ``key_bucket`` that they belong to."""
+    depths = sorted({int(b.split("-")[0]) for b in buckets})
+    end = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    names = [F.concat(F.lit(f"{d}-"), (end % F.lit(1 << d)).cast("string")) for d in depths]
+    if len(names) == 1:
+        return df.withColumn("key_bucket", names[0])
+    known = df.sparkSession.createDataFrame([(b,) for b in sorted(buckets)], "key_bucket string")  # a name for each bucket
+    return df.withColumn("key_bucket", F.explode(F.array(*names))).join(F.broadcast(known), "key_bucket", "left_semi")
+
+
+def bucket_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[str, list[int]]:
     """The complete versions (older than ``before``, if given) that hold each bucket, oldest first."""
-    found: dict[int, list[int]] = {}
+    found: dict[str, list[int]] = {}
     for number in files.versions(spark, path):
         if before is None or number < before:
             for name in files.folders(spark, files.version_path(path, number)):
                 if name.startswith("key_bucket="):
-                    found.setdefault(int(name.split("=")[1]), []).append(number)
+                    found.setdefault(name.split("=")[1], []).append(number)
     return found
 
 
-def current_version(spark: SparkSession, path: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+def current_version(spark: SparkSession, path: str, before: int | None = None, buckets: set[str] | None = None) -> DataFrame | None:
     """The newest complete version of each bucket (of those named), older than ``before``, if given."""
-    found = bucket_versions(spark, path, before)
-    paths = [f"{files.version_path(path, numbers[-1])}/key_bucket={b}" for b, numbers in sorted(found.items()) if buckets is None or b in buckets]
+    found = _leaves(bucket_versions(spark, path, before))
+    paths = [_bucket_path(path, number, b) for b, number in sorted(found.items()) if buckets is None or b in buckets]
     return spark.read.parquet(*paths) if paths else None
 
 

@@ -251,3 +251,32 @@ def test_watch_counts_again_after_a_loss(spark, tmp_path, lost):
         watch._points[-1] = (Twice(), *watch._points[-1][1:])
     found = watch.counts(n)
     assert found["missing_hh_id_dropped"] == 1 and found["duplicates_removed"] == 12 and found["district_normalised"] == 8 and found["no_consent_dropped"] == 0
+
+
+def test_buckets_split_as_they_grow(spark, tmp_path):
+    """Every key stays findable once, also where a batch is run again after a split, and a batch of one key writes a small part."""
+    path, kind = f"{tmp_path}/table", "id long, at int, x string"
+    merge = stream.upsert_batches(path, "id", "at", "t", "2024-01-01", buckets=2, bucket_bytes=6_000)
+    truth = {}
+    for batch in (0, 1, 1, 2, 3, 4, 5, 5, 6):
+        ids = range(batch * 100, batch * 100 + 700, 1 + batch % 2)
+        merge(spark.createDataFrame([(i, batch, f"text {i} of batch {batch}") for i in ids], kind), batch)
+        truth |= {i: batch for i in ids}
+        assert {r["id"]: r["at"] for r in stream.current_version(spark, path).collect()} == truth
+        assert stream.current_version(spark, path).count() == len(truth)
+    labels = stream._leaves(stream.bucket_versions(spark, path))
+    assert len(labels) > 4 and len({b.split("-")[0] for b in labels}) >= 1
+    merge(spark.createDataFrame([(7, 99, "one")], kind), 7)
+    assert len([x for x in files.folders(spark, files.version_path(path, 7)) if x.startswith("key_bucket")]) <= 2
+    with pytest.raises(ValueError):
+        stream.upsert_batches(path, "id", "at", "t", "2024-01-01", buckets=3)
+
+
+def test_sliding_windows_copy_sums_only(spark, tmp_path):
+    """30 windows hold each day's sum, not each row: state stays far below 30 rows for each row."""
+    rows = spark.range(3_000).selectExpr("timestamp_seconds(1704067200 + id * 60) as at", "'a' as k", "cast(id % 7 as double) as v")
+    landed = files.write(rows, f"{tmp_path}/in", "json")
+    found = stream.sliding_rate(stream.landed(spark, landed, rows.schema), "at", "k", "v", "1 day")
+    run = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in run.recentProgress) <= 40
