@@ -18,7 +18,8 @@ k - 1 words). Only edges that start at two or more places matter:
    branch or where the next edge's hash says so (about every ``FRAGMENT`` edges), alike wherever they
    occur. Different fragments are nodes, each with the one before it; joins that double the step find the head of each
    nonbranching path and the distance to it. Back in the source coordinates, fragments of one path at one place are one span, and a
-   join with the number of places of its path and length confirms it by a second one.
+   join with the number of places of its path and length confirms it by a second one. Two fragments that share a digest
+   by chance but not what stands before them are not compacted, so that none gets the other's head.
 5. *Remove.* Every word that a confirmed span covers is taken out.
 
 Hashes: 64 bits compare edges within a bucket, and the bucket comes from a second, independent
@@ -268,8 +269,8 @@ def places_of(data: bytes) -> np.ndarray:
 
 
 def names_of(hashes: np.ndarray) -> np.ndarray:
-    """Half of a hash, for the digests of paths."""
-    return (hashes >> np.uint64(32)).astype("<u4")
+    """What the digests of paths know an edge by: its whole hash."""
+    return hashes.astype("<u8")
 
 
 _PACKED = "bucket long, block string, kind string, hashes binary, places binary, before binary, after binary, many binary, ids array<string>, digests array<long>"
@@ -378,7 +379,7 @@ def repeated_fragments(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_b
         numbers = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in known["hashes"])])
         places = np.concatenate([*map(places_of, edges["places"]), *map(places_of, known["places"])])
         flags = np.concatenate([*(np.frombuffer(x, "u1") for x in edges["flags"]), hot.value.flags[numbers]])
-        names = np.concatenate([*(np.frombuffer(x, "<u4") for x in edges["hashes"]), names_of(hot.value.hashes[numbers])])
+        names = np.concatenate([*(np.frombuffer(x, "<u8") for x in edges["hashes"]), names_of(hot.value.hashes[numbers])])
         order = np.argsort(places)
         places, flags, names = places[order], flags[order], names[order]
         copies = np.frombuffer(block["places"], "<u4").reshape(2, -1)
@@ -391,12 +392,12 @@ def repeated_fragments(docs: DataFrame, k: int = 35, sieve_bits: int = 30, per_b
         doc = np.searchsorted(starts, places, side="right") - 1
         new = np.ones(len(places), bool)  # nothing before, or a branch
         new[1:] = (np.diff(places) != 1) | (np.diff(doc) != 0) | ((flags[1:] & 1) > 0) | ((flags[:-1] & 2) > 0)
-        first = np.nonzero(new | (names % FRAGMENT == 0))[0]
+        first = np.nonzero(new | ((names >> np.uint64(32)) % np.uint64(FRAGMENT) == 0))[0]
         n_edges = np.diff(np.append(first, len(places)))
         own = doc[first]
-        # A fragment's digest covers all its edges in order.
+        # A fragment's digest covers all its edges in order, and their number.
         at = np.arange(len(places)) - np.repeat(first, n_edges)
-        path = np.add.reduceat(mix((names.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)), first)
+        path = mix(np.add.reduceat(mix(names + mix(at.astype(np.uint64) * _C3)), first) + n_edges.astype(np.uint64) * _C3)
         return pd.DataFrame({
             "id": np.array(block["ids"], dtype=object)[own], "digest": np.array(block["digests"], dtype=np.int64)[own],
             "start": places[first] - starts[own], "n_edges": n_edges, "path": path.view(np.int64),
@@ -431,7 +432,10 @@ def heads(nodes: DataFrame) -> DataFrame:
 
 def confirmed_spans(fragments: DataFrame) -> DataFrame:
     """``id, digest, start, n_edges, n_places``: the nonbranching paths that stand, with the same extent, at two or more places."""
-    nodes = fragments.where("before != 0").groupBy("path").agg(F.max("before").alias("before"), F.max("n_before").alias("n_before"))
+    # Different fragments that share a digest differ in what stands before them: such a digest begins a path of its own.
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("before", "n_before") for f in (F.min, F.max)]
+    nodes = fragments.groupBy("path").agg(*ends).where("min_before = max_before and min_n_before = max_n_before and max_before != 0")
+    nodes = nodes.select("path", F.col("max_before").alias("before"), F.col("max_n_before").alias("n_before"))
     placed = fragments.join(heads(nodes), "path", "left").withColumns({"head": F.coalesce("head", "path"), "distance": F.coalesce("distance", F.lit(0))})
     # Rows of equal id and text have the same places: those of the head say how many there are.
     spans = placed.groupBy("id", "digest", "head", (F.col("start") - F.col("distance")).alias("start")).agg(

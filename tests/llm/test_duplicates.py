@@ -199,6 +199,21 @@ def test_paths_of_many_fragments(spark, monkeypatch, fragment):
     assert out == Counter((i % 9, *x) for i, x in enumerate(brute_removed(texts, 35)))
 
 
+@pytest.mark.parametrize("fragment", [1, 2, 128])
+def test_fragments_that_share_a_digest(spark, monkeypatch, fragment):
+    """With names of 8 bits very many digests collide, within paths and between heads; no removal is lost."""
+    monkeypatch.setattr(substrings, "FRAGMENT", fragment)
+    monkeypatch.setattr(substrings, "names_of", lambda h: h & np.uint64(0xFF00000000))
+    rng = random.Random(fragment)
+    texts = []
+    for size in (45, 41, 36, 37, 35, 60, 90, 52, 39, 48):
+        passage = [f"p{size}-{i}" for i in range(size)]
+        texts += [" ".join([*(f"{size}a{i}" for i in range(rng.randrange(3))), *passage, *(f"{size}b{i}" for i in range(rng.randrange(3)))]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs).collect()}
+    assert out == dict(enumerate(brute_removed(texts, 35)))
+
+
 def test_text_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 500)
     words = [f"w{i}" for i in range(3_000)]
