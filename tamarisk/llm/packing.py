@@ -23,6 +23,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -183,7 +184,8 @@ def pack(
     """Rows ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``)."""
     spark = docs.sparkSession
     cut_pieces = cut(pieces(docs, vocabulary, capacity, end_id, keep_ids, id_col, text_col))
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4096)))
+    # Alike pieces (null ids, repeated rows) are told apart by their place in the checkpoint, which stays as it is.
+    salted = cut_pieces.withColumn("salt", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_slots(histogram, capacity)
     slots = F.broadcast(
@@ -192,9 +194,9 @@ def pack(
         )
     )
     # A length with many pieces is ranked in as many parts as it fills buckets.
-    parts = [(length, -(-n // rows_per_bucket)) for length, n in sorted(histogram.items())] or [(0, 1)]
+    parts = [(length, -(-n // max(rows_per_bucket, isqrt(n)))) for length, n in sorted(histogram.items())] or [(0, 1)]
     parts_df = F.broadcast(spark.createDataFrame(parts, "length long, parts long"))
-    salted = salted.join(parts_df, "length").withColumn("part", F.col("salt") % F.least(F.col("parts"), F.lit(4096)))
+    salted = salted.join(parts_df, "length").withColumn("part", F.pmod("salt", "parts"))
     before = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = before.select(
         "length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")
