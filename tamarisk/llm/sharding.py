@@ -18,10 +18,15 @@ gives an empty result.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import cut, text_or_empty
+from tamarisk.llm.common import cut, join_smaller, text_or_empty
+
+#: Times its share of rows from which a bucket is dealt further.
+CROWDED = 8
 
 
 def interleave_shards(
@@ -41,25 +46,34 @@ def interleave_shards(
             F.col(source_col).alias("source"),
             (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("place"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.crc32(text.cast("binary")).cast("string")).cast("binary")).alias("key"),
         ).withColumn("stratum", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     )
     total = base.count()
+    # Buckets and rows in a bucket both grow with the root of the table, so that neither's order is long.
+    rows_per_bucket = max(rows_per_bucket, isqrt(total))
     buckets = max(1, -(-total // rows_per_bucket))
     digits = max(1, (max(buckets - 1, 1).bit_length() + 3) // 4)
     tie = ["key", "doc_id", "text_crc32"]
 
     base = base.withColumn("digits", F.substring("key", 1, digits))
-    counts = base.groupBy("stratum", "digits").agg(F.count("*").alias("n"))
+    # A bucket far over its share holds a row repeated very often: its rows are dealt by key and then by place.
+    crowded = cut(base.groupBy("stratum", "digits").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * rows_per_bucket).select("stratum", "digits", F.lit(True).alias("crowded")))
+    base = join_smaller(base, crowded, ["stratum", "digits"], "left")
+    fine = F.struct(F.when(F.col("crowded"), F.col("key")).alias("key"), F.when(F.col("crowded"), F.pmod(F.xxhash64("place"), F.lit(buckets))).alias("deal"))
+    base = base.withColumn("fine", fine)
+    counts = base.groupBy("stratum", "digits", "fine").agg(F.count("*").alias("n"))
     in_source = Window.partitionBy("stratum")
     before = counts.select(
-        F.col("stratum"),
-        F.col("digits"),
-        (F.sum("n").over(in_source.orderBy("digits")) - F.col("n")).alias("before"),
+        "stratum",
+        "digits",
+        "fine",
+        (F.sum("n").over(in_source.orderBy("digits", "fine")) - F.col("n")).alias("before"),
         F.sum("n").over(in_source).alias("of_source"),
     )
-    ranked = base.join(before, ["stratum", "digits"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(Window.partitionBy("stratum", "digits").orderBy(*tie)) - 1
+    ranked = base.join(before, ["stratum", "digits", "fine"]).withColumn(
+        "rank", F.col("before") + F.row_number().over(Window.partitionBy("stratum", "digits", "fine").orderBy(*tie)) - 1
     )
     ranked = cut(
         ranked.withColumn("share", (2 * F.col("rank") + 1) / (2 * F.col("of_source")))
