@@ -12,7 +12,8 @@ from tamarisk.llm.common import table
 
 
 def _remainder(name: str, n: int):
-    return F.crc32(F.col(name).cast("string").cast("binary")) % n
+    """Of the id as text; a null id is the empty text."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
