@@ -10,6 +10,8 @@ dropped.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,10 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with ``row_key``: never null, in the order of the ids (null last), then of a digest of the text."""
-    signed = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))  # as hexadecimal digits in the order of the ids
-    return docs.withColumn("row_key", F.concat(F.coalesce(F.lpad(F.hex(signed), 16, "0"), F.lit("null")), F.lit("~"), F.md5(text_or_empty())))
+    """The documents with ``row_key``: a number, never null, in the order of the ids (null last), then of a digest of 60 bits of the text."""
+    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)), F.lit(Decimal(1 << 64)))
+    digest = F.shiftrightunsigned(F.xxhash64(text_or_empty()), 4).cast("decimal(19,0)")
+    return docs.withColumn("row_key", (place.cast("decimal(20,0)") * F.lit(Decimal(1 << 60)) + digest).cast("decimal(38,0)"))
 
 
 def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
