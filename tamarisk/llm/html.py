@@ -414,7 +414,7 @@ VARIED = (
     ("div.sidebar", "p"), ("aside", "p"), ("div.notice", "p"), ("div.cookie", "p"), ("form", "label"), ("form", "button"), ("header", "p"),
     ("header", "h1"), ("div.comments", "div.comment", "p"), ("section#comments", "p"), ("div.ad",), ("div.advert", "p"), ("nav", "ul", "li", "a"),
     ("footer", "p"), ("ul.menu", "li"), ("div.related", "ul", "li"), ("div#footer",), ("div#header", "p"), ("aside.sidebar", "ul", "li"),
-    ("div.banner",), ("div.popup", "p"), ("section.comments", "article.comment", "p"), ("div.newsletter", "form", "p"),
+    ("nav", "a"), ("nav", "p", "a"), ("div.menu", "a"), ("div.banner",), ("div.popup", "p"), ("section.comments", "article.comment", "p"), ("div.newsletter", "form", "p"),
 )
 
 
@@ -433,8 +433,9 @@ def varied(page: list[Block], other: list[Block], rng: np.random.Generator) -> t
     fresh = 1 << 30
     for _ in range(rng.integers(0, 4)):
         if other:
-            path = VARIED[rng.integers(len(VARIED))]
             inside = containers(within)[-1] + 1 if within and rng.random() < 0.3 else 0
+            choice = [x for x in VARIED if not inside or x[0] != "header"]  # a header within the article is its own
+            path = choice[rng.integers(len(choice))]
             around = (within.path[:inside], within.ids[:inside]) if inside else (("html", "body"), (fresh, fresh + 1))
             n = int(rng.integers(1, 4))
             start = int(rng.integers(len(other)))
@@ -449,6 +450,47 @@ def varied(page: list[Block], other: list[Block], rng: np.random.Generator) -> t
     return page, labels
 
 
+#: Markup that blocks of an article get in varied pages, and how many words of them are kept at most.
+FORMS = (
+    (("ul", "li"), 30), (("ul", "li"), 12), (("ol", "li"), 20), (("blockquote", "p"), 60), (("blockquote",), 40), (("table", "tr", "td"), 10), (("pre",), 40),
+    (("h2",), 8), (("h3",), 6), (("figure", "figcaption"), 15), (("dl", "dd"), 25), (("section", "p"), 60), (("div", "p"), 60), (("p",), 10),
+)
+
+
+def reshaped(page: list[Block], labels: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+    """The page with other forms of text in its article: lists, tables, quotations, headings, an inner header, few blocks. Labels stay."""
+    inside = [i for i, y in enumerate(labels) if y]
+    if not inside:
+        return page, labels
+    page, gone = list(page), set()
+    fresh = 1 << 40
+    leaf = len(containers(page[inside[0]]))
+    if rng.random() < 0.3:  # a short article
+        gone = set(inside[int(rng.integers(2, 5)) :])
+    for _ in range(rng.integers(0, 4)):
+        form, most = FORMS[rng.integers(len(FORMS))]
+        at = int(rng.integers(len(inside)))
+        fresh += 1000
+        for k, i in enumerate(inside[at : at + int(rng.integers(1, 5))]):
+            b = page[i]
+            depth = containers(b)[-1] + 1
+            if depth > len(b.ids):
+                continue
+            words = b.text.split()
+            text = " ".join(words[: max(1, min(most, len(words)))]) if rng.random() < 0.7 else b.text
+            ids = tuple(fresh + j + (0 if j + 1 < len(form) else 10 * (k + 1)) for j in range(len(form)))
+            page[i] = Block((*b.path[:depth], *form), text, min(b.link_chars, len(text)) // 2, (*b.ids[:depth], *ids))
+    if rng.random() < 0.4:  # the title, and perhaps who wrote it, in a header of the article
+        for k, i in enumerate(inside[: int(rng.integers(1, 4))]):
+            b = page[i]
+            depth = containers(b)[-1] + 1
+            tag = ("h1", "p", "p.byline")[k] if leaf and rng.random() < 0.8 else "p"
+            text = " ".join(b.text.split()[: int(rng.integers(3, 12))])
+            page[i] = Block((*b.path[:depth], "header", tag), text, 0, (*b.ids[:depth], fresh + 500, fresh + 501 + k))
+    kept = [i for i in range(len(page)) if i not in gone]
+    return [page[i] for i in kept], [labels[i] for i in kept]
+
+
 def nameless(page: list[Block], rng: np.random.Generator) -> list[Block]:
     """The page with telling elements as ``div`` and with meaningless classes and ids or none."""
     seed, how = int(rng.integers(1 << 30)), int(rng.integers(3))
@@ -474,8 +516,10 @@ def fit(pages: DataFrame, max_pages: int = 250) -> Lstm:
     both = []
     for p in plain:
         both.append((p, teacher(p)))
-        for hide in (False, True, True):
+        for hide, reshape in ((False, False), (False, True), (True, False), (True, True)):
             one, labels = varied(p, plain[int(rng.integers(len(plain)))], rng)
+            if reshape:
+                one, labels = reshaped(one, labels, rng)
             both.append((nameless(one, rng) if hide else one, labels))
     return train([vectors(p) for p, _ in both], [y for _, y in both])
 

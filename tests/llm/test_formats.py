@@ -1,8 +1,10 @@
 """Chat trees and page extraction: round trips and odd input."""
 
 import hashlib
+import re
 import time
 
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -186,6 +188,41 @@ def test_handmade_page_with_meaningless_names(labeller):
     assert ((chances >= 0.5) == gold).mean() >= 0.9
 
 
+#: Layouts labelled by hand: {m:n} is text of the article with n words, {o:n} is not.
+LAYOUTS = (
+    "<nav><ul><li><a href=1>{o:1}</a><li><a href=2>{o:1}</a></ul></nav><main><h1>{m:6}</h1><p>{m:50}<p>{m:40}<p>{m:60}<h2>{m:4}</h2><ul><li>{m:9}<li>{m:7}</ul><p>{m:50}<p>{m:45}</main><footer><p>{o:6}</footer>",
+    "<div><ul><li><a href=1>{o:1}</a><li><a href=2>{o:1}</a></ul></div><div><h1>{m:6}</h1><p>{m:50}<p>{m:40}<ul><li>{m:9}<li>{m:12}</ul><p>{m:50}<p>{m:45}</div><div><p>{o:6}</div>",
+    "<nav><a href=1>{o:1}</a></nav><article><header><h1>{m:6}</h1><p class=byline>{m:3}</p></header><p>{m:25}<blockquote>{m:20}</blockquote><table><tr><td>{m:3}<td>{m:2}</table><pre>{m:12}</pre><aside>{o:10}</aside></article><footer>{o:5}</footer>",
+    "<article><header><h1>{m:6}</h1></header><p>{m:40}<p>{m:50}<p>{m:60}<p>{m:30}</article>",
+    "<header><h1>{o:3}</h1></header><div class=content><h2>{m:5}</h2><p>{m:70}<ol><li>{m:15}<li>{m:11}<li>{m:18}</ol><p>{m:33}</div><div class=sidebar><p>{o:12}</div>",
+    "<div class=cookie><p>{o:14}</div><main><article><h1>{m:7}</h1><figure><figcaption>{m:9}</figcaption></figure><p>{m:55}<p>{m:65}</article></main><div class=comments><div class=comment><p>{o:22}</div><div class=comment><p>{o:9}</div></div>",
+    "<form><label>{o:3}</label><button>{o:1}</button></form><article><p>{m:20}<p>{m:30}</article><footer>{o:8}</footer>",
+    "<div class=x1><a href=1>{o:2}</a></div><div class=x2><h3>{m:5}</h3><p>{m:44}<dl><dt>{m:2}<dd>{m:16}<dt>{m:2}<dd>{m:21}</dl><p>{m:37}</div><div class=x3>{o:7}</div>",
+    "<div class=post><h1>{m:8}</h1><p>{m:35}<h2>{m:3}</h2><p>{m:48}<h2>{m:4}</h2><p>{m:29}<div class=ad>{o:6}</div><p>{m:52}</div><div class=related><ul><li>{o:5}<li>{o:6}</ul></div>",
+    "<main><section><h2>{m:5}</h2><p>{m:41}</section><section><h2>{m:4}</h2><p>{m:63}<table><tr><td>{m:4}<td>{m:5}<tr><td>{m:3}<td>{m:6}</table></section></main><aside><p>{o:15}</aside>",
+)
+
+
+def test_pages_labelled_by_hand(labeller):
+    """Lists, tables, quotations, inner headers and short articles, 60 pages; no label comes from the teacher."""
+    rng = np.random.default_rng(21)
+    right = total = kept = articles = 0
+    for layout in LAYOUTS * 6:
+        gold = {}
+
+        def said(m, gold=gold):
+            text = " ".join("".join(rng.choice(list("abdegilmnorstu"), rng.integers(2, 9))) for _ in range(int(m[2]))).capitalize()
+            gold[text + "." * (int(m[2]) > 8)] = m[1] == "m"
+            return text + "." * (int(m[2]) > 8)
+
+        page = html.blocks(f"<body>{re.sub(r'{([mo]):(\d+)}', said, layout)}</body>")
+        found = html.predict(labeller[0], [html.vectors(page)])[0] >= 0.5
+        truth = np.array([gold[b.text] for b in page])
+        right, total = right + (found == truth).sum(), total + len(page)
+        kept, articles = kept + (found & truth).sum(), articles + truth.sum()
+    assert total >= 400 and right >= 0.9 * total and kept >= 0.9 * articles, (right, total, kept, articles)
+
+
 def test_teacher_without_names():
     long = "<p>" + "words of the article follow here. " * 20 + "</p>"
     page = html.blocks(f"<div><a href=x>one</a><a href=y>two</a></div><div><h2>Head</h2>{long}{long}</div><div>short remark</div>")
