@@ -14,7 +14,7 @@ from tamarisk.operators import bronze, pipeline, serving
 from tamarisk.plans.cleaning_queries import HOUSEHOLD_COLUMNS, HOUSEHOLD_ROWS, VISIT_COLUMNS, VISIT_ROWS, VISITS_ONCE
 from tamarisk.plans.registry import query
 from tamarisk.plans.views import TABLES, Views, scratch
-from tamarisk.sources import files, loads, tables
+from tamarisk.sources import files, loads, warehouse
 from tamarisk.streaming import submissions as stream
 
 
@@ -123,24 +123,26 @@ def _(v):
     return v.spark.read.parquet(path)
 
 
-def _database() -> str:
-    return f"jdbc:derby:memory:t{uuid4().hex};create=true"  # one JVM: a stand-in for a server, for local runs
+def _table(v: Views, name: str) -> dict[str, str]:
+    """A new table of the catalog, kept in a shared folder."""
+    return {"table": f"{name}_{uuid4().hex}", "path": f"{scratch(v)}/{name}"}
 
 
 @query("io15_table_load", _CUSTOMERS)
 def _(v):
-    url = _database()
-    tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 0"), url, "customer", "replace")
-    tables.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 1"), url, "customer", "append")
-    return tables.read(v.spark, url, "customer", "c_custkey").selectExpr(*_TYPED)
+    to = _table(v, "customer")
+    warehouse.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 0"), if_exists="replace", **to)
+    warehouse.load(v.sql(_CUSTOMERS).where("c_custkey % 2 = 1"), if_exists="append", **to)
+    warehouse.load(v.sql(_CUSTOMERS).limit(0), if_exists="replace", **to)  # no rows: nothing happens
+    return warehouse.read(v.spark, to["table"]).selectExpr(*_TYPED)
 
 
 @query("io16_table_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0")
 def _(v):
-    url, rows = _database(), v.sql(_CUSTOMERS)
-    tables.load(rows.where("c_custkey % 5 <> 0"), url, "customer", "replace")
-    tables.upsert(rows.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("NEW")), url, "customer", "c_custkey")
-    return tables.read(v.spark, url, "customer", "c_custkey").selectExpr(*_TYPED)
+    to, rows = _table(v, "customer"), v.sql(_CUSTOMERS)
+    warehouse.load(rows.where("c_custkey % 5 <> 0"), if_exists="replace", key="c_custkey", parts=8, **to)
+    warehouse.upsert(rows.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("NEW")), to["table"], "c_custkey", parts=8)
+    return warehouse.read(v.spark, to["table"]).selectExpr(*_TYPED)
 
 
 @query("io17_partitions", "SELECT CAST(coalesce(year(o_orderdate), 2024) AS INT) AS year, CAST(coalesce(month(o_orderdate), 1) AS INT) AS month, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS o_orderdate FROM orders) AS t GROUP BY ALL")
@@ -155,10 +157,11 @@ def _(v):
 
 @query("io18_publish", "SELECT district, count(*) AS n FROM households GROUP BY district")
 def _(v):
-    url = _database()
     report = v("households").groupBy("district").agg(F.count("*").alias("n")).withColumn("_layer", F.lit("gold"))
-    tables.publish({"rpt_households": report}, url)
-    return tables.read(v.spark, url, "rpt_households")
+    to = _table(v, "rpt_households")
+    for _ in range(2):  # the second run replaces the first
+        warehouse.publish({to["table"]: report}, {to["table"]: to["path"]})
+    return warehouse.read(v.spark, to["table"])
 
 
 @query("io19_submissions_since", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10'")

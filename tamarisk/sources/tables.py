@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
 def load(df: DataFrame, url: str, table: str, if_exists: str = "append", batch_size: int = 1000, partitions: int = 8, properties: Mapping[str, str] | None = None) -> int:
     """Writes the rows in batches over a bounded number of connections; returns their number (0: nothing is written)."""
-    rows = df.persist()
-    try:
-        n = rows.count()
-        if n:
-            rows.write.mode(MODES[if_exists]).option("batchsize", batch_size).option("numPartitions", partitions).jdbc(url, table, properties=dict(properties or {}))
-        return n
-    finally:
-        rows.unpersist()
+    if df.isEmpty():
+        return 0
+    seen = Observation()
+    rows = df.observe(seen, F.count("*").alias("n"))
+    rows.write.mode(MODES[if_exists]).option("batchsize", batch_size).option("numPartitions", partitions).jdbc(url, table, properties=dict(properties or {}))
+    return seen.get["n"]
 
 
 def read(spark: SparkSession, url: str, table: str, column: str | None = None, partitions: int = 8, properties: Mapping[str, str] | None = None) -> DataFrame:

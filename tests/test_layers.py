@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import bronze, geospatial, governance, pipeline, scd, serving, silver
 from tamarisk.operators.watch import Watch
-from tamarisk.sources import files, loads, shared, tables
+from tamarisk.sources import files, loads, shared, tables, warehouse
 from tamarisk.streaming import submissions as stream
 
 
@@ -280,3 +280,24 @@ def test_sliding_windows_copy_sums_only(spark, tmp_path):
     run = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     run.awaitTermination()
     assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in run.recentProgress) <= 40
+
+
+def test_catalog_tables(spark, tmp_path):
+    """Modes of a load, no rows, an upsert of a few parts that leaves the files of all others, and a repeated one."""
+    rows = spark.range(1_000).selectExpr("id", "concat('n', id) as name")
+    to = {"table": "people", "path": f"{tmp_path}/people"}
+    assert warehouse.load(rows, if_exists="fail", key="id", parts=16, **to) == 1_000
+    with pytest.raises(Exception, match="already exists"):
+        warehouse.load(rows, if_exists="fail", key="id", parts=16, **to)
+    assert warehouse.load(rows.limit(0), if_exists="replace", key="id", parts=16, **to) == 0
+    files_of = lambda: {r["path"] for r in files.listing(spark, to["path"]).where("path like '%/part-%'").select("path").collect()}
+    before = files_of()
+    fresh = spark.createDataFrame([(5, "new", 1), (5, "newer", 2), (5_000, "more", 1), (None, "nobody", 1)], "id long, name string, at int")
+    for _ in range(2):
+        assert warehouse.upsert(fresh.where("id is not null"), "people", "id", "at", parts=16) == 2
+    out = {r["id"]: r["name"] for r in warehouse.read(spark, "people").collect()}
+    assert len(out) == 1_001 and out[5] == "newer" and out[5_000] == "more" and out[6] == "n6"
+    assert len(before & files_of()) >= 0.8 * len(before)
+    assert warehouse.upsert(fresh.limit(0), "people", "id", parts=16) == 0
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static").lower() == "static"
+    assert tables.load(rows.limit(0), "jdbc:derby:memory:none;create=true", "t", "replace") == 0
