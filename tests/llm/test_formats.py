@@ -4,7 +4,6 @@ import hashlib
 import re
 import time
 
-
 import numpy as np
 import pytest
 from hypothesis import given, settings
