@@ -12,6 +12,7 @@ from tamarisk.functions import refdata
 from tamarisk.functions.numeric import clamped, null_outside, to_double
 from tamarisk.operators.scd import INPUT_ORDER, first_by_key, row_hash, snapshot_diff, tag_changes
 from tamarisk.operators.watch import Watch
+from tamarisk.sources.shared import cut
 
 LINEAGE = ("_source_file", "_source_era", "_source_type", "_ingested_at", "_load_type", "_layer")
 KEYS = ("household_id", "visit_id", "assessment_id", "backcheck_id", "record_id")
@@ -63,6 +64,28 @@ def apply(df: DataFrame, changes: Mapping[str, Callable[[str], Column]], watch:
     return both.select(*[F.col(f"_new_{c}").alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
 
 
+#: Distinct values up to this number are broadcast with what they become.
+BROADCAST_VALUES = 100_000
+
+
+def resolved(df: DataFrame, source: DataFrame, column: str, f: Callable[[str], Column]) -> DataFrame:
+    """``df`` with ``_resolved_<column>``: ``f`` of the column, computed once for each distinct value of it in ``source``.
+
+    For costly functions of columns with few values, in tables that are cheap to read twice.
+    """
+    values = cut(source.select(column).where(F.col(column).isNotNull()).distinct())
+    values = cut(values.select(F.col(column).alias("_value"), f(column).alias(f"_resolved_{column}")))
+    few = values.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    return df.join(F.broadcast(values) if few else values, F.col(column) == F.col("_value"), "left").drop("_value")
+
+
+def _districts(df: DataFrame, source: DataFrame, stored: bool) -> tuple[DataFrame, Callable[[str], Column]]:
+    """What districts are to be taken from, for ``apply``: the joined column if the source is stored, else the function itself."""
+    if not stored or "district" not in df.columns:
+        return df, C.district
+    return resolved(df, source, "district", C.district), lambda c: F.col(f"_resolved_{c}")
+
+
 def seen(watch: Watch | None, df: DataFrame, lost: str | None = None) -> DataFrame:
     return df if watch is None else watch.at(df, lost)
 
@@ -102,15 +125,16 @@ def consented(df: DataFrame, flag: str = "consent_given") -> DataFrame:
     return df.where(F.col(flag) == 1) if flag in df.columns else df
 
 
-def clean_households(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+def clean_households(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     df = seen(watch, normal_headers(raw))
     df = seen(watch, df.na.drop(subset=["household_id"]), "missing_hh_id_dropped")
     if "submission_time" in df.columns:
         df = df.withColumn("submission_time", C.parse_date("submission_time"))
         df = first_by_key(df, "household_id", F.col("submission_time").desc_nulls_last())
     number = lambda low, high: lambda c: null_outside(to_double(c), low, high)
+    df, district = _districts(df, normal_headers(raw), stored)
     changes = {
-        "district": C.district, "water_source": C.water_source, "ses_tier": C.ses_tier, "consent_given": C.yes_no, "has_toilet": C.yes_no,
+        "district": district, "water_source": C.water_source, "ses_tier": C.ses_tier, "consent_given": C.yes_no, "has_toilet": C.yes_no,
         "enrollment_date": C.parse_date, "household_size": number(1, 25), "respondent_age": number(15, 65),
         "children_under_5": to_double, "women_15_49": to_double, "enumerator_id": C.enumerator_id,
     }
@@ -123,7 +147,7 @@ def clean_households(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
         "implausible_hh_size": ("household_size", _outside), "gps_out_of_bounds_nulled": ("gps_latitude", _outside),
         "enum_id_standardised": ("enumerator_id", C.changed),
     })
-    return seen(watch, consented(fill_province(df)), "no_consent_dropped")
+    return seen(watch, consented(fill_province(df)), "no_consent_dropped").drop("_resolved_district")
 
 
 def child_limits(df: DataFrame) -> DataFrame:
@@ -145,11 +169,12 @@ def maternal_limits(df: DataFrame) -> DataFrame:
     })
 
 
-def clean_visits(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+def clean_visits(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     df = seen(watch, normal_headers(raw))
     df = seen(watch, df.na.drop(subset=["visit_id", "household_id"]), "missing_pk_dropped")
     df = first_by_key(df, "visit_id", *([F.col("_ingested_at").asc_nulls_last()] if "_ingested_at" in df.columns else []))
-    changes = {"district": C.district, "visit_date": C.parse_date, "enumerator_id": C.enumerator_id} | dict.fromkeys(VISIT_FLAGS, C.yes_no) | dict.fromkeys(VISIT_NUMBERS, to_double)
+    df, district = _districts(df, normal_headers(raw), stored)
+    changes = {"district": district, "visit_date": C.parse_date, "enumerator_id": C.enumerator_id} | dict.fromkeys(VISIT_FLAGS, C.yes_no) | dict.fromkeys(VISIT_NUMBERS, to_double)
     limits: dict[str, tuple[Column | None, float, float]] = {}
     if "record_type" in df.columns:
         of = lambda kind: F.coalesce(F.col("record_type") == kind, F.lit(False))
@@ -159,24 +184,25 @@ def clean_visits(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
     changes |= {c: within(*b) for c, b in limits.items()}
     issues = {"district_normalised": ("district", C.changed), "bad_visit_dates": ("visit_date", _unreadable), "enum_id_standardised": ("enumerator_id", C.changed)}
     issues |= {f"{c}_converted": (c, _converted) for c in VISIT_FLAGS} | {f"implausible_{c.removesuffix('_gdl')}": (c, _outside) for c in limits}
-    df = fill_province(apply(df, changes, watch, "duplicate_visit_ids", issues))
+    df = fill_province(apply(df, changes, watch, "duplicate_visit_ids", issues)).drop("_resolved_district")
     groups = {"child_age_months": ("child_age_group", C.child_age_group), "maternal_age": ("maternal_age_group", C.maternal_age_group)}
     return df.withColumns({name: f(c) for c, (name, f) in groups.items() if c in df.columns})
 
 
-def clean_facilities(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+def clean_facilities(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     df = seen(watch, normal_headers(raw))
     df = first_by_key(df.na.drop(subset=["assessment_id"]), "assessment_id")
     score = lambda c: clamped(to_double(c), 0.0, 100.0)
     flags = ["has_electricity", "has_water", "has_toilet", *[c for c in df.columns if c.startswith("stockout_")]]
-    changes = {"assessment_date": C.parse_date, "readiness_score": score, "overall_score": score, "district": C.district} | dict.fromkeys(flags, C.yes_no)
+    df, district = _districts(df, normal_headers(raw), stored)
+    changes = {"assessment_date": C.parse_date, "readiness_score": score, "overall_score": score, "district": district} | dict.fromkeys(flags, C.yes_no)
     return apply(df, changes, watch, "duplicates_dropped", {
         "bad_assessment_dates": ("assessment_date", _unreadable), "district_normalised": ("district", C.changed),
         "readiness_score_clamped": ("readiness_score", _clamped), "overall_score_clamped": ("overall_score", _clamped),
-    })
+    }).drop("_resolved_district")
 
 
-def clean_enumerator_log(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+def clean_enumerator_log(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     changes = {
         "date": C.parse_date, "enumerator_id": C.enumerator_id, "submissions": to_double, "short_interviews": to_double,
         "flagged_for_backcheck": to_double, "avg_duration_min": lambda c: null_outside(to_double(c), 0, 480),
@@ -185,7 +211,7 @@ def clean_enumerator_log(raw: DataFrame, watch: Watch | None = None) -> DataFram
     return apply(normal_headers(raw), changes, watch, None, issues)
 
 
-def clean_backchecks(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+def clean_backchecks(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     df = seen(watch, normal_headers(raw))
     if "backcheck_id" in df.columns:
         df = first_by_key(df, "backcheck_id")
@@ -194,31 +220,36 @@ def clean_backchecks(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
     return apply(df, changes, watch, "duplicates_dropped", {"enum_id_standardised": ("backcheck_enumerator_id", C.changed)})
 
 
-def clean_generic(raw: DataFrame, watch: Watch | None = None) -> DataFrame:
+def clean_generic(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     """For datasets without a job of their own: headers, latest row of the first key, dates by name, bounds, labels."""
-    df = seen(watch, rename_legacy(normal_headers(rename_legacy(raw), dots=True)))
+    named = rename_legacy(normal_headers(rename_legacy(raw), dots=True))
+    df = seen(watch, named)
     key = next((k for k in KEYS if k in df.columns), None)
     if key:
         stamp = [F.col(c).desc_nulls_last() for c in ("_ingested_at", "submission_time") if c in df.columns]
         df = first_by_key(df, key, *stamp)
     dates = {c: C.parse_date for c in df.columns if any(x in c for x in ("date", "time", "period"))}
     permissive = lambda c: C.yes_no(c, permissive=True)
+    df, district = _districts(df, named, stored)
     changes = dates | dict.fromkeys(GENERIC_FLAGS, permissive) | {
         "gps_latitude": C.gps_latitude, "latitude": C.gps_latitude, "ses_tier": C.legacy_ses_tier, "water_source": C.legacy_water_source,
-        "muac_mm": C.muac_mm, "district": C.district,
+        "muac_mm": C.muac_mm, "district": district,
     }
-    return fill_province(apply(df, changes, watch, "duplicates_removed", {"district_normalised": ("district", C.changed)}))
+    return fill_province(apply(df, changes, watch, "duplicates_removed", {"district_normalised": ("district", C.changed)})).drop("_resolved_district")
 
 
-JOBS: dict[str, Callable[[DataFrame, Watch | None], DataFrame]] = {
+JOBS: dict[str, Callable[[DataFrame, Watch | None, bool], DataFrame]] = {
     "households": clean_households, "followup_visits": clean_visits, "facility_assessments": clean_facilities,
     "enumerator_performance": clean_enumerator_log, "backcheck_records": clean_backchecks,
 }
 
 
-def clean(name: str, raw: DataFrame, watch: Watch | None = None) -> DataFrame:
-    """The dataset's job on its rows without their lineage; the order of input tells repeated keys apart."""
-    return JOBS.get(name, clean_generic)(raw.drop(*LINEAGE), watch).drop(INPUT_ORDER)
+def clean(name: str, raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
+    """The dataset's job on its rows without their lineage; the order of input tells repeated keys apart.
+
+    ``stored``: the rows are those of a table, so each spelling of a district is resolved once, in a pass over its column.
+    """
+    return JOBS.get(name, clean_generic)(raw.drop(*LINEAGE), watch, stored).drop(INPUT_ORDER)
 
 
 CDC = ("_cdc_op", "_cdc_ts", "_cdc_source")
@@ -261,7 +292,7 @@ def build(bronze: Mapping[str, DataFrame], now: str, previous: Mapping[str, Data
         watch = None
         if watches is not None:
             watch = watches[name] = Watch()
-        df = clean(name, newest_load(raw), watch)
+        df = clean(name, newest_load(raw), watch, stored=True)
         key = key_of(df)
         if before is None or key is None or key not in before.columns:
             out[name] = tag_changes(df, "INSERT" if before is None else "UPDATE", name, now)
