@@ -166,7 +166,8 @@ def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
 
     table = np.zeros((1 << bits) // 8, np.uint8)
     size = (1 << segment) // 8
-    for row in places.groupBy("segment").applyInPandas(pack, "segment long, held binary").toLocalIterator():
+    packed = cut(places.groupBy("segment").applyInPandas(pack, "segment long, held binary"))
+    for row in packed.coalesce(16).toLocalIterator():  # a job for each part
         table[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["held"], np.uint8)
     return table
 
