@@ -470,7 +470,7 @@ def remove_repeats(
     )
     spans = cut(spans)
     # Texts without a span need not be moved: a bit table of the digests tells most of them.
-    digests = spans.select(F.col("digest").alias("a"))
+    digests = spans.select(F.col("digest").alias("a")).distinct()  # copies of a text have one
     likely = docs.sparkSession.sparkContext.broadcast(bit_table(digests, bits_for(spans.count(), sieve_bits)))  # 2 ** sieve_bits / 8 bytes at most
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
