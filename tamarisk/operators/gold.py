@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,12 +102,17 @@ def maternal_fact(visits: DataFrame | None, households: DataFrame | None = None,
     return _fact("maternal", visits, households, historical, ("province", "ses_tier", "urban_rural"), MATERNAL_FACT)
 
 
+#: How every text starts that a cast takes for a number.
+_NUMBER_STARTS = r"^[\x00-\x20]*[-+]?([.0-9]|[iI][nN][fF])"
+
+
 def numeric_columns(df: DataFrame) -> DataFrame:
     """String columns of which more than half of all rows are numbers become doubles (one extra pass)."""
     texts = [c for c, kind in df.dtypes if kind == "string"]
     if not texts:
         return df
-    share = df.agg(F.count("*").alias("_all"), *[F.count(to_double(f"`{c}`")).alias(c) for c in texts]).first()
+    # Texts that can't be numbers are told by their first letters, as a cast that fails costs much more.
+    share = df.agg(F.count("*").alias("_all"), *[F.count(F.when(F.col(f"`{c}`").rlike(_NUMBER_STARTS), to_double(f"`{c}`"))).alias(c) for c in texts]).first()
     return df.withColumns({c: to_double(f"`{c}`") for c in texts if 2 * share[c] > share["_all"]})
 
 
@@ -170,6 +175,17 @@ def year_over_year(trend: DataFrame, rate: str = "stunting_rate", key: str = "pr
     return trend.select(key, year, rate, rounded(F.col(rate) - last, 4).alias("change"))
 
 
+def _repeats(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``duplicates_raw``: rows whose key was there before; rows without a key repeat each other.
+
+    Keys are counted apart from the shares of missing values, which would else be carried along with every key.
+    """
+    if not keys:
+        return raw.sparkSession.createDataFrame([(0,)], "duplicates_raw long")
+    key = F.coalesce(F.col(keys[0]).cast("string"), F.lit("\0"))
+    return raw.groupBy(key.alias("key")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates_raw"))
+
+
 def quality_report(datasets: Mapping[str, tuple[DataFrame, DataFrame]], fixes: DataFrame | None = None) -> DataFrame:
     """One row for each dataset's raw and clean rows: dropped, missing, repeated keys, bilingual values, status."""
     parts = []
@@ -177,12 +193,10 @@ def quality_report(datasets: Mapping[str, tuple[DataFrame, DataFrame]], fixes: D
         keys = [c for c in ("household_id", "visit_id", "assessment_id", "record_id") if c in raw.columns]
         texts = [c for c in ("water_source", "ses_tier", "district") if c in raw.columns]
         missing = sum((F.avg(F.col(f"`{c}`").isNull().cast("int")) for c in raw.columns), F.lit(0.0)) / max(1, len(raw.columns))
-        # Repeats: rows whose key was there before; rows without a key repeat each other.
-        repeats = F.count("*") - F.count_distinct(F.coalesce(F.col(keys[0]).cast("string"), F.lit("\0"))) if keys else F.lit(0).cast("long")
         urdu = sum((F.count_if(bilingual(c)) for c in texts), F.lit(0).cast("long"))
-        a = raw.agg(F.count("*").alias("raw_rows"), rounded(100 * missing, 1).alias("missing_pct_raw"), repeats.alias("duplicates_raw"), urdu.alias("bilingual_values"))
+        a = raw.agg(F.count("*").alias("raw_rows"), rounded(100 * missing, 1).alias("missing_pct_raw"), urdu.alias("bilingual_values"))
         b = cleaned.agg(F.count("*").alias("clean_rows"))
-        parts.append(a.crossJoin(b).withColumn("dataset", F.lit(name)))  # one row each
+        parts.append(a.crossJoin(_repeats(raw, keys)).crossJoin(b).select("raw_rows", "missing_pct_raw", "duplicates_raw", "bilingual_values", "clean_rows", F.lit(name).alias("dataset")))  # one row each
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -215,13 +229,20 @@ def legacy_enumerators(records: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumn("enumerator_id", F.coalesce("_new", "enumerator_id")).drop("_new", "legacy_enum_id")
 
 
-def build(silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spark: SparkSession, now: str, fixes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of the layer that have a source, with columns that hold mostly numbers as such, and the status of all layers."""
+def build(
+    silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spark: SparkSession, now: str, fixes: DataFrame | None = None,
+    save: Callable[[str, DataFrame], DataFrame] = lambda _, df: df,
+) -> dict[str, DataFrame]:
+    """All tables of the layer that have a source, with columns that hold mostly numbers as such, and the status of all layers.
+
+    ``save`` gets each table when it is made; what it returns is what later tables are made from.
+    """
     children = child_fact(silver.get("followup_visits"), silver.get("households"), silver.get("2020_child_nutrition"))
     mothers = maternal_fact(silver.get("followup_visits"), silver.get("households"), silver.get("2021_maternal_health"))
     # Columns that hold mostly numbers become numbers here, before the reports read them.
-    children, mothers = (None if df is None else numeric_columns(df) for df in (children, mothers))
-    out: dict[str, DataFrame | None] = {"dim_district": dim_district(spark), "fct_child_nutrition": children, "fct_maternal_health": mothers}
+    names = ("fct_child_nutrition", "fct_maternal_health")
+    children, mothers = (None if df is None else save(name, numeric_columns(df)) for name, df in zip(names, (children, mothers), strict=True))
+    out: dict[str, DataFrame | None] = {"dim_district": dim_district(spark), **dict(zip(names, (children, mothers), strict=True))}
     if "facility_assessments" in silver and "facility_id" in silver["facility_assessments"].columns:
         out["dim_facility"] = numeric_columns(dim_facility(first_by_key(silver["facility_assessments"], "facility_id")))
     if children is not None:
@@ -233,6 +254,6 @@ def build(silver: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], spar
     shared = {k: (bronze[k], silver[k]) for k in bronze if k in silver}
     if shared:
         out["rpt_data_quality"] = quality_report(shared, fixes)
-    tables = {k: v for k, v in out.items() if v is not None}
-    tables["rpt_pipeline_status"] = pipeline_status({"bronze": bronze, "silver": silver, "gold": tables}, now)
+    tables = {k: v if k in names else save(k, v) for k, v in out.items() if v is not None}
+    tables["rpt_pipeline_status"] = save("rpt_pipeline_status", pipeline_status({"bronze": bronze, "silver": silver, "gold": tables}, now))
     return tables

@@ -44,7 +44,7 @@ def run(
         if "bronze" in layers:
             out["bronze"] = run_bronze(spark, raw, root, now, force_full)
         if "silver" in layers:
-            out["silver"] = run_silver(spark, root, now)
+            out["silver"] = run_silver(spark, root, now, force_full)
         if "gold" in layers:
             out["gold"] = run_gold(spark, root, now)
         status = "success"
@@ -65,12 +65,27 @@ def run_bronze(spark: SparkSession, raw: str, root: str, now: str, force_full: b
     return tables
 
 
-def run_silver(spark: SparkSession, root: str, now: str) -> Tables:
-    """Cleaned tables as new versions, what changed in each against the version before, and what was fixed."""
+#: What each Silver version was made from.
+MADE_FROM = "dataset string, version long, loads array<string>"
+
+
+def run_silver(spark: SparkSession, root: str, now: str, force_full: bool = False) -> Tables:
+    """Cleaned tables as new versions, what changed in each against the version before, and what was fixed.
+
+    A table with a key whose Bronze has the loads that its newest version was made from stays as it is, with an empty
+    version of changes: all its rows would keep their values and tags. ``force_full`` makes it anew.
+    """
     sources = loads.tables_in(spark, f"{root}/bronze")
     before = {name: found for name in sources if (found := files.latest_version(spark, f"{root}/silver/{name}")) is not None}
-    out, watches, fixes = {}, {}, []
-    for name, df in silver.build(sources, now, before, watches).items():
+    held = {name: loads.committed(spark, f"{root}/bronze/{name}") for name in sources}
+    made = {r["dataset"]: (r["version"], r["loads"]) for r in control(spark, root, "made_from", MADE_FROM).collect()}  # a row for each dataset
+    newest = {name: files.versions(spark, f"{root}/silver/{name}")[-1] for name in before}
+    same = {} if force_full else {name: df for name, df in before.items() if silver.key_of(df) and made.get(name) == (newest[name], held[name])}
+    out, watches = dict(same), {}
+    fixes = [tuple(r) for r in control(spark, root, "fixes", FIXES).collect() if r["dataset"] in same]
+    for name in same:
+        files.write_version(spark.createDataFrame([], "key string, _cdc_op string"), f"{root}/changes/{name}")
+    for name, df in silver.build({k: x for k, x in sources.items() if k not in same}, now, before, watches).items():
         files.write_version(df, f"{root}/silver/{name}")
         out[name] = files.latest_version(spark, f"{root}/silver/{name}")
         found = silver.changes(before.get(name), out[name])
@@ -78,14 +93,17 @@ def run_silver(spark: SparkSession, root: str, now: str) -> Tables:
             files.write_version(found, f"{root}/changes/{name}")
         fixes += [(name, issue, n) for issue, n in watches[name].counts(out[name].count()).items()]
     files.write_version(table_of(spark, fixes), f"{root}/control/fixes")
-    return out
+    made_from = [(name, files.versions(spark, f"{root}/silver/{name}")[-1], held[name]) for name in out]
+    files.write_version(spark.createDataFrame(made_from, MADE_FROM), f"{root}/control/made_from")
+    return {name: out[name] for name in sources}
 
 
 def run_gold(spark: SparkSession, root: str, now: str) -> Tables:
     sources = loads.tables_in(spark, f"{root}/bronze")
     cleaned = {name: found for name in sources if (found := files.latest_version(spark, f"{root}/silver/{name}")) is not None}
-    out = {}
-    for name, df in gold.build(cleaned, sources, spark, now, control(spark, root, "fixes", FIXES)).items():
+
+    def save(name: str, df: DataFrame) -> DataFrame:
         files.write_version(df, f"{root}/gold/{name}")
-        out[name] = files.latest_version(spark, f"{root}/gold/{name}")
-    return out
+        return files.latest_version(spark, f"{root}/gold/{name}")
+
+    return gold.build(cleaned, sources, spark, now, control(spark, root, "fixes", FIXES), save)

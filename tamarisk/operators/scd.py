@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarisk.sources.shared import cut
 
 #: Column with a row's place in the files that it was read from.
 INPUT_ORDER = "_input_order"
@@ -25,6 +26,31 @@ def first_by_key(df: DataFrame, keys: str | Sequence[str], *order: Column | str)
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
+#: Keys that repeat, up to this number, are broadcast with the place of their first row.
+BROADCAST_KEYS = 100_000
+
+
+def first_of_few(df: DataFrame, source: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """``first_by_key`` of rows of which few have a key in common: only the keys of all rows are shuffled.
+
+    ``source`` has the rows of ``df`` and is cheap to read again: once for the keys that repeat, and once for the place
+    of their first rows. Where many keys repeat, or rows of one key are alike in every column, all rows are put in order.
+    """
+    repeats = cut(source.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key")))
+    n = repeats.limit(BROADCAST_KEYS + 1).count()
+    if n == 0:
+        return df
+    if n > BROADCAST_KEYS:
+        return first_by_key(df, key, *order)
+    place = F.struct(*([INPUT_ORDER] if INPUT_ORDER in df.columns else []), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("tie"))
+    rows = source.join(F.broadcast(repeats), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    if not rows.groupBy(key, place.alias("_place")).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return first_by_key(df, key, *order)
+    first = cut(first_by_key(rows, key, *order).select(F.col(key).alias("_key"), place.alias("_place")))
+    both = df.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("_key")), "left")
+    return both.where(F.col("_place").isNull() | (F.col("_place") == place)).drop("_key", "_place")
+
+
 def latest_by_key(df: DataFrame, keys: str | Sequence[str], order: str | None) -> DataFrame:
     return first_by_key(df, keys, *([F.col(order).desc_nulls_last()] if order else []))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions import cleaning as C
 from tamarisk.functions import refdata
 from tamarisk.functions.numeric import clamped, null_outside, to_double
-from tamarisk.operators.scd import INPUT_ORDER, first_by_key, row_hash, snapshot_diff, tag_changes
+from tamarisk.operators.scd import INPUT_ORDER, first_by_key, first_of_few, row_hash, snapshot_diff, tag_changes
 from tamarisk.operators.watch import Watch
 from tamarisk.sources.shared import cut
 
@@ -48,6 +48,12 @@ def rename_legacy(df: DataFrame, mapping: Mapping[str, str] = refdata.LEGACY_HEA
     return df.select(*[F.coalesce(*[F.col(f"`{c}`") for c in target[n]]).alias(n) for n in order])
 
 
+#: What functions of texts come to for columns of other kinds, which needn't be made texts and read again.
+_OF_KIND: dict[tuple[Callable[[str], Column], str], Callable[[str], Column]] = {
+    **{(C.yes_no, kind): lambda c: F.when(F.col(c) != 0, 1).when(F.col(c) == 0, 0) for kind in ("tinyint", "smallint", "int")},
+    **{(C.enumerator_id, kind): lambda c: F.col(c).cast("string") for kind in ("tinyint", "smallint", "int", "bigint")},
+    (C.parse_date, "date"): lambda c: F.col(c).cast("timestamp"), (C.parse_date, "timestamp"): lambda c: F.col(c),
+}
 Issues = Mapping[str, tuple[str, Callable[[Column, Column], Column]]]
 
 
@@ -56,7 +62,8 @@ def apply(df: DataFrame, changes: Mapping[str, Callable[[str], Column]], watch:
 
     With a watch, rows are counted by ``issues``: name to column and a test of its old and new value, each computed once.
     """
-    new = {c: f(c) for c, f in changes.items() if c in df.columns}
+    kinds = dict(df.dtypes)
+    new = {c: _OF_KIND.get((f, kinds[c]), f)(c) for c, f in changes.items() if c in kinds}
     if watch is None:
         return df.withColumns(new)
     both = df.withColumns({f"_new_{c}": x for c, x in new.items()})
@@ -86,6 +93,11 @@ def _districts(df: DataFrame, source: DataFrame, stored: bool) -> tuple[DataFram
     return resolved(df, source, "district", C.district), lambda c: F.col(f"_resolved_{c}")
 
 
+def _first(df: DataFrame, source: DataFrame, stored: bool, key: str, *order: Column) -> DataFrame:
+    """One row for each key. Rows of a stored table whose key is theirs alone aren't shuffled."""
+    return first_of_few(df, source, key, *order) if stored else first_by_key(df, key, *order)
+
+
 def seen(watch: Watch | None, df: DataFrame, lost: str | None = None) -> DataFrame:
     return df if watch is None else watch.at(df, lost)
 
@@ -129,8 +141,8 @@ def clean_households(raw: DataFrame, watch: Watch | None = None, stored: bool =
     df = seen(watch, normal_headers(raw))
     df = seen(watch, df.na.drop(subset=["household_id"]), "missing_hh_id_dropped")
     if "submission_time" in df.columns:
-        df = df.withColumn("submission_time", C.parse_date("submission_time"))
-        df = first_by_key(df, "household_id", F.col("submission_time").desc_nulls_last())
+        df, source = (x.withColumn("submission_time", C.parse_date("submission_time")) for x in (df, normal_headers(raw).na.drop(subset=["household_id"])))
+        df = _first(df, source, stored, "household_id", F.col("submission_time").desc_nulls_last())
     number = lambda low, high: lambda c: null_outside(to_double(c), low, high)
     df, district = _districts(df, normal_headers(raw), stored)
     changes = {
@@ -172,7 +184,7 @@ def maternal_limits(df: DataFrame) -> DataFrame:
 def clean_visits(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     df = seen(watch, normal_headers(raw))
     df = seen(watch, df.na.drop(subset=["visit_id", "household_id"]), "missing_pk_dropped")
-    df = first_by_key(df, "visit_id", *([F.col("_ingested_at").asc_nulls_last()] if "_ingested_at" in df.columns else []))
+    df = _first(df, normal_headers(raw).na.drop(subset=["visit_id", "household_id"]), stored, "visit_id", *([F.col("_ingested_at").asc_nulls_last()] if "_ingested_at" in df.columns else []))
     df, district = _districts(df, normal_headers(raw), stored)
     changes = {"district": district, "visit_date": C.parse_date, "enumerator_id": C.enumerator_id} | dict.fromkeys(VISIT_FLAGS, C.yes_no) | dict.fromkeys(VISIT_NUMBERS, to_double)
     limits: dict[str, tuple[Column | None, float, float]] = {}
@@ -191,7 +203,7 @@ def clean_visits(raw: DataFrame, watch: Watch | None = None, stored: bool = Fals
 
 def clean_facilities(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     df = seen(watch, normal_headers(raw))
-    df = first_by_key(df.na.drop(subset=["assessment_id"]), "assessment_id")
+    df = _first(df.na.drop(subset=["assessment_id"]), normal_headers(raw).na.drop(subset=["assessment_id"]), stored, "assessment_id")
     score = lambda c: clamped(to_double(c), 0.0, 100.0)
     flags = ["has_electricity", "has_water", "has_toilet", *[c for c in df.columns if c.startswith("stockout_")]]
     df, district = _districts(df, normal_headers(raw), stored)
@@ -214,7 +226,7 @@ def clean_enumerator_log(raw: DataFrame, watch: Watch | None = None, stored: boo
 def clean_backchecks(raw: DataFrame, watch: Watch | None = None, stored: bool = False) -> DataFrame:
     df = seen(watch, normal_headers(raw))
     if "backcheck_id" in df.columns:
-        df = first_by_key(df, "backcheck_id")
+        df = _first(df, normal_headers(raw), stored, "backcheck_id")
     numbers = [f"{what}_{which}" for what in ("height", "weight") for which in ("original_cm", "recheck_cm", "original_kg", "recheck_kg", "discrepancy_cm", "discrepancy_kg")]
     changes = dict.fromkeys(numbers, to_double) | {"morbidity_match": C.yes_no, "overall_pass": C.yes_no, "backcheck_enumerator_id": C.enumerator_id}
     return apply(df, changes, watch, "duplicates_dropped", {"enum_id_standardised": ("backcheck_enumerator_id", C.changed)})
@@ -227,7 +239,7 @@ def clean_generic(raw: DataFrame, watch: Watch | None = None, stored: bool = Fal
     key = next((k for k in KEYS if k in df.columns), None)
     if key:
         stamp = [F.col(c).desc_nulls_last() for c in ("_ingested_at", "submission_time") if c in df.columns]
-        df = first_by_key(df, key, *stamp)
+        df = _first(df, named, stored, key, *stamp)
     dates = {c: C.parse_date for c in df.columns if any(x in c for x in ("date", "time", "period"))}
     permissive = lambda c: C.yes_no(c, permissive=True)
     df, district = _districts(df, named, stored)
@@ -313,6 +325,6 @@ def changes(before: DataFrame | None, after: DataFrame) -> DataFrame | None:
     if key is None or (before is not None and key not in before.columns):
         return None
     one = lambda df: first_by_key(df.drop(*CDC).where(F.col(key).isNotNull()), key)
-    if before is None:
-        return one(after).select(F.col(key).cast("string").alias("key"), F.lit("INSERT").alias("_cdc_op"))
+    if before is None:  # keys alone tell all
+        return after.select(key).where(F.col(key).isNotNull()).distinct().select(F.col(key).cast("string").alias("key"), F.lit("INSERT").alias("_cdc_op"))
     return snapshot_diff(one(before), one(after), key).select(F.col(key).cast("string").alias("key"), "_cdc_op")

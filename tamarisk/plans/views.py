@@ -118,9 +118,10 @@ class Views:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.sql(f"SELECT * FROM {name}")
 
-    def sql(self, body: str) -> DataFrame:
+    def sql(self, body: str, **given: DataFrame) -> DataFrame:
+        """The query's rows; tables that are given stand for those of the folder."""
         text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", with_views(body))
-        return self.spark.sql(text, **{t: self(t) for t in TABLES if f"{{{t}}}" in text})
+        return self.spark.sql(text, **{t: given.get(t) or self(t) for t in TABLES if f"{{{t}}}" in text})
 
 
 def scratch(v: Views) -> str:
