@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions.cleaning import null_sentinel
 from tamarisk.sources import files, loads
+from tamarisk.sources.shared import cut
 
 log = logging.getLogger(__name__)
 WATERMARKS = "dataset string, checksum string, watermark timestamp, row_count long"
@@ -24,14 +25,43 @@ def add_lineage(df: DataFrame, source_file: str | Column, era: str, kind: str, n
     })
 
 
+#: Bytes of a file that one task reads whole for its digest.
+WHOLE_BYTES = 64 << 20
+
+
+def line_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, h``: digest of each file's contents, read in blocks by many tasks.
+
+    The bytes between two newlines are a line, in any kind of file. Two sums of hashes of each line and its number stand
+    for all of them, whatever the blocks are, with the file's length. The first pass counts the lines of each block, which
+    gives the second their numbers. Files that Spark unpacks as it reads (``.gz``) are read by one task.
+    """
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"),
+    )
+    blocks = cut(lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")))  # a row for each block
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(F.broadcast(blocks.select("path", "block", "first", before.alias("before"))), ["path", "block"])
+    number = F.col("at") - F.col("first") + F.col("before")
+    halves = [F.sum(F.xxhash64(F.lit(seed), number, "line").cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    sums = numbered.groupBy("path", "size").agg(F.count("*").alias("lines"), *halves)
+    return sums.select("path", F.md5(F.concat_ws(" ", "size", "lines", "h1", "h2").cast("binary")).alias("h"))
+
+
 def checksums(spark: SparkSession, *roots: str) -> DataFrame:
     """``stem, dataset_path, suffix, checksum``: digest over the contents of a dataset's files in path order.
 
-    Contents are read as one value, so a single file beyond Spark's limit for one (2 GiB) is an error.
+    Files of up to ``WHOLE_BYTES`` are read as one value; those beyond it in blocks, by ``line_digests``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    found = files.with_names(reader.load(list(roots)).where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]")))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", F.md5("content").alias("h")))), lambda x: x["h"]), "")
+    rows = reader.load(list(roots)).where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]"))
+    digests = rows.where(F.col("length") <= WHOLE_BYTES).select("path", F.md5("content").alias("h"))
+    large = [r["path"] for r in rows.where(F.col("length") > WHOLE_BYTES).select("path").collect()]  # a path for each large file
+    if large:
+        digests = digests.unionByName(line_digests(spark, large))
+    found = files.with_names(digests)
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"]), "")
     return found.groupBy("stem", "dataset_path", "suffix").agg(F.md5(parts.cast("binary")).alias("checksum"))
 
 
