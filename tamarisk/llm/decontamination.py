@@ -47,8 +47,9 @@ UNITS = (
     "pounds?", "lbs?", "tons?", "ml", "l", "litres?", "liters?", "seconds?", "minutes?", "hours?", "days?", "weeks?", "months?",
     "years?", "dollars?", "euros?", "cents?", "degrees?",
 )
-_NUMBER = r"(?<![\p{L}\p{N}\ue000-\ue002])\p{Nd}+(?:[.,:/ ]\p{Nd}+)*"  # "1 200" is one number
-_NAME = r"\p{Lu}(?<=[\p{Ll}\p{Nd}][,;]? \p{Lu})\p{Ll}[\p{L}\p{M}]*(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*)*"  # the capital first: most places fail there
+# Groups repeat possessively: nothing follows them, and Java would go one call deeper for each repeat of a long run.
+_NUMBER = r"(?<![\p{L}\p{N}\ue000-\ue002])\p{Nd}+(?:[.,:/ ]\p{Nd}+)*+"  # "1 200" is one number
+_NAME = r"\p{Lu}(?<=[\p{Ll}\p{Nd}][,;]? \p{Lu})\p{Ll}[\p{L}\p{M}]*(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*)*+"  # the capital first: most places fail there
 _UNIT = rf"(?i)(?<=\p{{Nd}} ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _VALUE = r"[\ue000-\ue002]([^\ue003]*)\ue003"
 

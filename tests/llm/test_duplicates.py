@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tamarisk.llm import components, decontamination, simhash, substrings
 from tamarisk.llm.common import cut
@@ -363,3 +364,10 @@ def test_recall_of_changed_questions(spark):
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, spark.createDataFrame(items, "item_id long, text string"), one_value=False).collect()}
     assert sum((i, i) in found for i in range(80)) >= 0.9 * 80
     assert not any(doc >= 1000 for doc, _ in found)
+
+
+def test_template_tokens_of_long_runs(spark):
+    """op2: a long run of numbers or names is one placeholder, and takes no deeper stack than a short one."""
+    for text, mark in (("1 " * 100_000, decontamination.NUMBER), ("a " + "Ab " * 100_000, decontamination.NAME)):
+        tokens = spark.createDataFrame([(text,)], "text string").select(decontamination.template_tokens(F.col("text"))).first()[0]
+        assert tokens[-1] == mark and len(tokens) <= 2
