@@ -42,10 +42,12 @@ def district(c: Column | str) -> Column:
     text = stripped(c)
     low = F.lower(text)
     known = refdata.DISTRICT_VARIANTS | {name.lower(): name for name, *_ in refdata.DISTRICTS}
-    parts = [
-        F.when(F.contains(F.lit(name.lower()), low) | F.contains(low, F.lit(name.lower())), name) for name, *_ in refdata.DISTRICTS
-    ]
-    return F.when(text != "", F.coalesce(lookup(low, known), *parts, title_case(text)))
+
+    def spelled(low: Column) -> Column:
+        return F.coalesce(*[F.when(F.contains(F.lit(name.lower()), low) | F.contains(low, F.lit(name.lower())), name) for name, *_ in refdata.DISTRICTS])
+
+    part = F.transform(F.array(low), spelled)[0]  # so that each test has the text at hand and doesn't make it anew
+    return F.when(text != "", F.coalesce(lookup(low, known), part, title_case(text)))
 
 
 def province_of(district_name: Column | str) -> Column:
@@ -75,14 +77,21 @@ def legacy_ses_tier(c: Column | str) -> Column:
     return label(c, refdata.SES_LEGACY)
 
 
+_DAY, _MONTH, _YEAR = "0*(?:3[01]|[12][0-9]|[1-9])", "0*(?:1[0-2]|[1-9])", "[+-]?[0-9]{4,}"
 #: Day and month may lack the leading zero; the first pattern that fits decides.
 DATE_PATTERNS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "yyyy/M/d", "d.M.yyyy")
 
 
+def _may_fit(text: Column, pattern: str) -> Column:
+    """Whether the text has the shape of the pattern. What has it not can't be parsed by it, which costs an exception to find out."""
+    shape = pattern.replace(".", "[.]").replace("yyyy", "Y").replace("d", "D").replace("Y", _YEAR).replace("D", _DAY).replace("M", _MONTH)
+    return text.rlike(f"^{shape}$")
+
+
 def parse_date(c: Column | str) -> Column:
     """Timestamp of the first pattern that fits, then of any ISO form, else NULL."""
     text = stripped(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS], text.try_cast("timestamp"))
+    return F.coalesce(*[F.when(_may_fit(text, p), F.try_to_timestamp(text, F.lit(p))) for p in DATE_PATTERNS], text.try_cast("timestamp"))
 
 
 def enumerator_id(c: Column | str) -> Column:
