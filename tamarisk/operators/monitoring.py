@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions.cleaning import bilingual
 from tamarisk.functions.numeric import percent, rounded
 from tamarisk.operators.nutrition import known_keys
-from tamarisk.sources.shared import cut
+from tamarisk.sources.shared import cut, small_tasks
 
 
 def enumerator_summary(perf: DataFrame, keys: tuple[str, ...] = ("enumerator_id", "enumerator_name", "district")) -> DataFrame:
@@ -47,6 +47,7 @@ def detect_anomalies(visits: DataFrame, shortest: float = 10, households: DataFr
     """Short interviews, repeated visits of a household on a day, households far from their district's centre and scores
     that can't be or that stand out among those of their enumerator; one row for each visit id, of the first kind that it has.
     """
+    small_tasks(visits.sparkSession)
     far = F.lit(False)
     if households is not None and centres is not None:
         places = far_from_centre(households, centres, km).select(F.col("household_id").alias("_far")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarisk.sources.shared import cut
+from tamarisk.sources.shared import cut, small_tasks
 
 #: Column with a row's place in the files that it was read from.
 INPUT_ORDER = "_input_order"
@@ -19,6 +19,7 @@ def first_by_key(df: DataFrame, keys: str | Sequence[str], *order: Column | str)
     Spark keeps one row of each key and task before the shuffle, so that a key with very many rows (or
     none, where it is NULL) doesn't gather them in one task.
     """
+    small_tasks(df.sparkSession)
     keys = [keys] if isinstance(keys, str) else list(keys)
     read = [F.col(INPUT_ORDER).asc_nulls_last()] if INPUT_ORDER in df.columns else []
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])

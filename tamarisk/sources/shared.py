@@ -1,4 +1,4 @@
-"""The shared folder of the session, and lineage cut through it."""
+"""The shared folder of the session, lineage cut through it, and how much a task takes."""
 
 from __future__ import annotations
 
@@ -28,3 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read from there on."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: What a task takes of files and of shuffles; in sorts and hash tables rows take 10 to 50 times these bytes.
+TASK_BYTES = {"spark.sql.files.maxPartitionBytes": 32 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20}
+
+
+def small_tasks(spark: SparkSession) -> None:
+    """Cuts the work into more tasks than Spark does by itself, so that none needs much memory. What the session sets is left alone."""
+    for name, size in TASK_BYTES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(size))
