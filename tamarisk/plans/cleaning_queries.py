@@ -11,6 +11,7 @@ from tamarisk.operators.watch import Watch, table_of
 from tamarisk.plans.registry import query
 from tamarisk.plans.views import scratch
 from tamarisk.sources import files, loads
+from tamarisk.sources.shared import small_tasks
 
 
 def strip(c: str) -> str:
@@ -352,6 +353,7 @@ def _(v):
 @query("sv22_input_order", "SELECT o_orderkey, l_linenumber FROM (SELECT o_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey) AS t WHERE n = 1")
 def _(v):
     """The first row of each order in the files, which were written in the order of the lines."""
+    small_tasks(v.spark)
     path, rows = f"{scratch(v)}/lines", v.sql("SELECT l_orderkey AS o_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
-    files.write(rows.repartitionByRange(4, "l_linenumber").sortWithinPartitions("l_linenumber"), path, "csv")
+    files.write(rows.repartitionByRange("l_linenumber", "o_orderkey").sortWithinPartitions("l_linenumber"), path, "csv")
     return scd.first_by_key(loads.input_order(files.read(v.spark, path, "csv")), "o_orderkey").selectExpr("cast(o_orderkey as long) as o_orderkey", "cast(l_linenumber as int) as l_linenumber")
