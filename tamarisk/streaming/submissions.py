@@ -100,6 +100,8 @@ def short_interviews(df: DataFrame, minutes: str = "interview_duration_min", lim
 
 #: Bytes of a bucket's files beyond which it is split.
 BUCKET_BYTES = 256 << 20
+#: Files of a bucket in a version, at least (or its rows, if fewer), so that many tasks share a batch of few buckets; a file has so many new rows and copied bytes, about.
+LEAST_FILES, FILE_ROWS, FILE_BYTES = 4, 1_000_000, 64 << 20
 
 
 def upsert_batches(path: str, key: str, order: str, source: str, now: str, buckets: int = 32, bucket_bytes: int = BUCKET_BYTES) -> Callable[[DataFrame, int], None]:
@@ -131,9 +133,13 @@ def upsert_batches(path: str, key: str, order: str, source: str, now: str, bucke
                 known = old.select(key, F.col(order).alias("_known"))
                 newer = rows.drop("key_bucket").join(known, key, "left").where(F.col("_known").isNull() | (F.col(order) >= F.col("_known"))).drop("_known")
                 out = scd.upsert(old, scd.tag_against(old, newer, key, source, now), key, order)
-            large = {b for b in touched if leaves[b] is not None and files.size_of(spark, _bucket_path(path, leaves[b], b)) > bucket_bytes}
+            sizes = {b: files.size_of(spark, _bucket_path(path, leaves[b], b)) for b in touched if leaves[b] is not None}
+            large = {b for b, size in sizes.items() if size > bucket_bytes}
             after = {*leaves} - large | {half for b in large for half in _halves(b)}
-            _in_buckets(out, key, after).write.mode("overwrite").partitionBy("key_bucket").parquet(files.version_path(path, batch_id))
+            # Each bucket is gathered first, in as many parts as it has work for; else every task would write a file for every bucket.
+            files_of = LEAST_FILES + rows.count() // (FILE_ROWS * max(1, len(touched))) + max(sizes.values(), default=0) // FILE_BYTES
+            gathered = _in_buckets(out, key, after).repartition(max(1, len(touched) + len(large)) * files_of, "key_bucket", F.pmod(F.hash(key), F.lit(files_of)))
+            gathered.write.mode("overwrite").partitionBy("key_bucket").parquet(files.version_path(path, batch_id))
         finally:
             rows.unpersist()
         held = bucket_versions(spark, path)
